@@ -69,37 +69,51 @@ def pieces(kind: str, text: Column) -> tuple[Column, Column]:
     return F.when(some, F.split(text, pattern, -1)).otherwise(F.array(text)), F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once a row: a lambda's variable isn't evaluated again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _spans(kind: str, gaps: Column, matches: Column) -> Column:
     """The valid spans of one kind. Offsets are sums over blocks, so that many matches stay cheap."""
     zero = F.lit(0).cast("long")
     add = lambda a, x: a + x
-    lens = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
-    block = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(lens, b * BLOCK + 1, F.lit(BLOCK)), zero, add))
-    base = F.transform(block, lambda _, b: F.aggregate(F.slice(block, F.lit(1), b), zero, add))
     rank, score = list(KINDS).index(kind), SCORES[kind]
+    lens = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
+    sums = lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(n, b * BLOCK + 1, F.lit(BLOCK)), zero, add))
+    before = lambda s: F.transform(s, lambda _, b: F.aggregate(F.slice(s, F.lit(1), b), zero, add))
+
+    def all_spans(n: Column, base: Column) -> Column:
+        def span(m: Column, i: Column) -> Column:
+            end = F.get(base, F.floor(i / BLOCK).cast("int")) + F.aggregate(F.slice(n, (F.floor(i / BLOCK) * BLOCK + 1).cast("int"), i % BLOCK + 1), zero, add)
+            near = F.lower(F.right(F.get(gaps, i), F.lit(CONTEXT))).rlike(KINDS[kind][2])
+            found = F.struct((end - F.length(m)).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), (F.lit(score) + F.when(near, F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))).alias("score"))
+            return F.when(valid(kind, m), found)
+
+        return F.transform(matches, span)
+
+    found = _let(lens, lambda n: _let(sums(n), lambda s: _let(before(s), lambda base: all_spans(n, base))))
+    return F.when(F.size(matches) == 0, F.array().cast(SPAN)).otherwise(F.filter(found, lambda x: x.isNotNull()))
 
-    def span(m: Column, i: Column) -> Column:
-        end = F.get(base, F.floor(i / BLOCK).cast("int")) + F.aggregate(F.slice(lens, (F.floor(i / BLOCK) * BLOCK + 1).cast("int"), i % BLOCK + 1), zero, add)
-        near = F.lower(F.right(F.get(gaps, i), F.lit(CONTEXT))).rlike(KINDS[kind][2])
-        found = F.struct((end - F.length(m)).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), (F.lit(score) + F.when(near, F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))).alias("score"))
-        return F.when(valid(kind, m), found)
 
-    return F.when(F.size(matches) == 0, F.array().cast(SPAN)).otherwise(F.filter(F.transform(matches, span), lambda x: x.isNotNull()))
+def _pair_spans(kind: str):
+    return lambda p: _spans(kind, p["g"], p["m"])
 
 
 def find(docs: DataFrame) -> DataFrame:
     """Add `pii`, the spans of all kinds by start and kind; every span carries a score."""
     keep = [c for c in docs.columns if c != "pii"]
     out = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
+    spans = []
     for k in KINDS:
         gaps, matches = pieces(k, F.col("_text"))
-        out = out.withColumns({f"_gaps_{k}": gaps, f"_match_{k}": matches})
-    spans = [_spans(k, F.col(f"_gaps_{k}"), F.col(f"_match_{k}")) for k in KINDS]
+        spans.append(_let(F.struct(gaps.alias("g"), matches.alias("m")), _pair_spans(k)))
     return out.select(*keep, F.array_sort(F.concat(*spans)).alias("pii"))
 
 
-def _tagged(kind: str):
-    return lambda m: F.when(valid(kind, m), F.lit(f"[{kind.upper()}]")).otherwise(m)
+def _replaced(kind: str):
+    tag = lambda m: F.when(valid(kind, m), F.lit(f"[{kind.upper()}]")).otherwise(m)
+    return lambda p: F.array_join(F.zip_with(p["g"], F.concat(F.transform(p["m"], tag), F.array(F.lit(""))), lambda g, t: F.concat(g, t)), "")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -108,8 +122,7 @@ def redact(docs: DataFrame) -> DataFrame:
     out = docs
     for k in KINDS:
         gaps, matches = pieces(k, text)
-        tag = F.concat(F.transform(matches, _tagged(k)), F.array(F.lit("")))
-        out = out.withColumn("text", F.array_join(F.zip_with(gaps, tag, lambda g, t: F.concat(g, t)), ""))
+        out = out.withColumn("text", _let(F.struct(gaps.alias("g"), matches.alias("m")), _replaced(k)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
