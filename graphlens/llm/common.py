@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -58,3 +59,8 @@ def fraction(*parts: Column) -> Column:
 def doc_part(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
+
+
+def extended(df: DataFrame, more: str) -> T.StructType:
+    """The schema of df with more columns, given as DDL."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])

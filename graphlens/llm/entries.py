@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphlens.llm import decontam, mixing, pii
+from graphlens.llm import decontam, language_id, mixing, pii
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
     "op3_find_pii": pii.op3_find_pii,
     "op8_decontaminate": decontam.op8_decontaminate,
     "op9_mix_sources": mixing.op9_mix_sources,
