@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphlens.llm import decontam, language_id, mixing, pii
+from graphlens.llm import decontam, language_id, mixing, pii, quality
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op3_find_pii": pii.op3_find_pii,
+    "op7_quality": quality.op7_quality,
     "op8_decontaminate": decontam.op8_decontaminate,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
