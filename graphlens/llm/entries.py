@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from graphlens.llm import decontam, language_id, mixing, pii, quality
+from graphlens.llm import decontam, language_id, mixing, pii, quality, topk
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op3_find_pii": pii.op3_find_pii,
+    "op4_topk": topk.op4_topk,
     "op7_quality": quality.op7_quality,
     "op8_decontaminate": decontam.op8_decontaminate,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
 ORACLE_SQL = {
+    "op4_topk": topk.OP4_SQL,
     "op8_decontaminate": decontam.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }
