@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphlens.llm import decontam, language_id, mixing, pii, quality, topk
+from graphlens.llm import decontam, html_extract, language_id, mixing, pii, quality, topk
 
 QUERIES = {
+    "op1_extract_text": html_extract.op1_extract_text,
     "op2_language_id": language_id.op2_language_id,
     "op3_find_pii": pii.op3_find_pii,
     "op4_topk": topk.op4_topk,
