@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphlens.llm import decontam, html_extract, language_id, mixing, pii, quality, topk
+from graphlens.llm import decontam, html_extract, language_id, mixing, near_dup, pii, quality, topk
 
 QUERIES = {
     "op1_extract_text": html_extract.op1_extract_text,
@@ -12,10 +12,12 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_decontaminate": decontam.op8_decontaminate,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_near_duplicates": near_dup.op10_near_duplicates,
 }
 
 ORACLE_SQL = {
     "op4_topk": topk.OP4_SQL,
     "op8_decontaminate": decontam.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
+    "op10_near_duplicates": near_dup.OP10_SQL,
 }
