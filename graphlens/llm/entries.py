@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphlens.llm import decontam, dedup_suffix, html_extract, language_id, mixing, near_dup, pii, quality, topk
+from graphlens.llm import decontam, dedup_suffix, html_extract, language_id, lm_score, mixing, near_dup, pii, quality, topk
 
 QUERIES = {
     "op1_extract_text": html_extract.op1_extract_text,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_find_pii": pii.op3_find_pii,
     "op4_topk": topk.op4_topk,
     "op5_remove_repeats": dedup_suffix.op5_remove_repeats,
+    "op6_lm_score": lm_score.op6_lm_score,
     "op7_quality": quality.op7_quality,
     "op8_decontaminate": decontam.op8_decontaminate,
     "op9_mix_sources": mixing.op9_mix_sources,
