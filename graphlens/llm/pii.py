@@ -122,7 +122,7 @@ def redact(docs: DataFrame) -> DataFrame:
     out = docs
     for k in KINDS:
         gaps, matches = pieces(k, text)
-        out = out.withColumn("text", _let(F.struct(gaps.alias("g"), matches.alias("m")), _replaced(k)))
+        out = out.withColumn("text", F.when(text.isNotNull(), _let(F.struct(gaps.alias("g"), matches.alias("m")), _replaced(k))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
