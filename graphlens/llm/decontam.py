@@ -53,10 +53,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     found = []
     for n in sorted(sizes):
         key = F.xxhash64(*[F.get("w", F.col("pos") + k) for k in range(n)])
-        here = d.filter(F.col("pos") + n <= F.size("w")).withColumn("h", key)
+        here = d.filter(F.col("pos") + n <= F.size("w")).select("doc_id", "text_key", "pos", key.alias("h"), F.col("w"))
         g = grams.filter(F.col("n") == n).select(F.xxhash64(*[F.get("gram", F.lit(k)) for k in range(n)]).alias("gh"), "gram", "items")
-        hit = here.join(F.broadcast(g) if small else g, F.col("h") == F.col("gh"))
-        hit = hit.filter(F.slice("w", F.col("pos") + 1, F.lit(n)) == F.col("gram"))
+        if small:  # the text's words stay in the row's buffer, no row is copied
+            hit = here.join(F.broadcast(g), F.col("h") == F.col("gh")).filter(F.slice("w", F.col("pos") + 1, F.lit(n)) == F.col("gram"))
+        else:  # rows are shuffled: with their own words only
+            hit = here.withColumn("w", F.slice("w", F.col("pos") + 1, F.lit(n))).join(g, (F.col("h") == F.col("gh")) & (F.col("w") == F.col("gram")))
         found.append(hit.select("doc_id", "text_key", F.struct(F.col("pos").alias("s"), (F.col("pos") + n).alias("e")).alias("span"), "items"))
     per_doc = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(a["end"], x["s"].cast("long")))).alias("n"), F.greatest(a["end"], x["e"].cast("long")).alias("end"))

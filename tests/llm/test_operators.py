@@ -233,7 +233,8 @@ def test_repeats_brute_force(spark, monkeypatch, hot, frequent, piece):
 
 
 def test_repeats_edges(spark):
-    long = "q" + "".join(random.Random(1).choice("abcdefghij") for _ in range(300))
+    rng = random.Random(1)
+    long = "q" + "".join(rng.choice("abcdefghij") for _ in range(300))
     rows = [(None, long), (3, long), (3, "other"), (2, long + "!")]
     got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in dedup_suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(None, 301): 0, (3, 301): 301, (3, 5): 0, (2, 302): 301}
