@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +40,13 @@ LENGTH = 100
 GRAM = 24
 #: Text is hashed in pieces of so many bytes, so that memory does not follow the longest text.
 PIECE = 1 << 20
+#: Documents of so many bytes together are sampled at once; a larger one alone.
+SAMPLE_BYTES = 4 << 20
 #: A string in so many contexts within a task is not sent to be sorted but ranked again at once.
 FREQUENT = 64
 #: Positions of one string that a task ranks together; larger groups are spread by Spark.
 HOT = 20_000
-BATCH_POSITIONS = 20_000
+BATCH_POSITIONS = 6_000
 INPUT_BYTES_PER_TASK = 8 << 20
 
 _rng = np.random.default_rng(77)
@@ -98,10 +101,9 @@ def sampled(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def contexts(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> list[bytes]:
-    """The bytes around each position: length - gram before it and length after, cut at the ends."""
-    raw = data.tobytes()
-    return [raw[max(0, p - (length - gram)) : p + length] for p in at.tolist()]
+def context(raw: bytes, at: int, length: int = LENGTH, gram: int = GRAM) -> bytes:
+    """The bytes around a position: length - gram before it and length from it, cut at the ends."""
+    return raw[max(0, at - (length - gram)) : at + length]
 
 
 def _bytes(text: str | None) -> np.ndarray:
@@ -127,19 +129,31 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sample_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sampled positions of the documents; of equal (gram, context) pairs in a batch only the first is sent on."""
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(doc, th, bytes) of the documents that can hold a repeat, some SAMPLE_BYTES at a time."""
+    keys, datas, size = [], [], 0
     for b in batches:
-        docs, ths = b.column("doc").to_numpy(zero_copy_only=False), b.column("th").to_numpy(zero_copy_only=False)
-        parts, datas = [], []
-        for row, text in enumerate(b.column("text").to_pylist()):
-            data = _bytes(text)
+        for doc, th, text in zip(b.column("doc").to_numpy(zero_copy_only=False), b.column("th").to_numpy(zero_copy_only=False), b.column("text"), strict=True):
+            data = _bytes(text.as_py())
+            if len(data) < LENGTH:
+                continue
+            keys.append((doc, th))
             datas.append(data)
-            if len(data) >= LENGTH:
-                pos, g, c = sampled(data)
-                parts.append((np.full(len(pos), row), pos, g, c, np.full(len(pos), len(data))))
-        if not parts:
-            continue
+            size += len(data)
+            if size >= SAMPLE_BYTES:
+                yield *(np.array(x, np.int64) for x in zip(*keys, strict=True)), datas
+                keys, datas, size = [], [], 0
+    if datas:
+        yield *(np.array(x, np.int64) for x in zip(*keys, strict=True)), datas
+
+
+def _sample_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sampled positions of the documents; of equal (gram, context) pairs in a batch only the first is sent on."""
+    for docs, ths, datas in _portions(batches):
+        parts = []
+        for row, data in enumerate(datas):
+            pos, g, c = sampled(data)
+            parts.append((np.full(len(pos), row), pos, g, c, np.full(len(pos), len(data))))
         row, pos, g, c, size = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((pos, ths[row], docs[row], c, g))
         row, pos, g, c, size = (x[order] for x in (row, pos, g, c, size))
@@ -161,18 +175,24 @@ def _sample_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(0, g[plain], c[plain], docs[row[plain]], ths[row[plain]], pos[plain], end[plain])
         again = send[frequent & (rank_in >= 2)]
         if len(again):
-            ctx = [contexts(datas[r], np.array([p]))[0] for r, p in zip(row[again].tolist(), pos[again].tolist(), strict=True)]
+            raw = {r: datas[r].tobytes() for r in np.unique(row[again]).tolist()}
+            ctx = [context(raw[r], p) for r, p in zip(row[again].tolist(), pos[again].tolist(), strict=True)]
             yield _batch(2, g[again], c[again], docs[row[again]], ths[row[again]], pos[again], end[again], ctx)
 
 
 def _sorted_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (g, c, doc, th, pos): covered bytes of repeated contexts, and positions to rank again.
+    """Rows sorted by (kind, g, c, doc, th, pos): covered bytes of repeated contexts, and positions to rank again.
 
-    State between batches is one row and whether its string already has several contexts.
+    State between batches is one row and whether its string already has several contexts. Rows of
+    other kinds pass through.
     """
     last = None  # (g, c, doc, th, pos, end) of the first row of the current (g, c); sent: it was passed on
     sent = False
     for b in batches:
+        to_rank = pa.array(b.column("kind").to_numpy(zero_copy_only=False) == 0)
+        if b.num_rows and not to_rank[-1].as_py():
+            yield b.filter(pa.compute.invert(to_rank))
+            b = b.filter(to_rank)
         if not b.num_rows:
             continue
         cols = [b.column(x).to_numpy(zero_copy_only=False) for x in ("g", "c", "doc", "th", "pos", "end")]
@@ -207,9 +227,11 @@ def _sorted_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The context bytes of the positions (packed with their strings) of each document."""
     for b in batches:
-        for doc, th, text, at, gs in zip(*(b.column(x).to_pylist() for x in ("doc", "th", "text", "at", "gs")), strict=True):
-            data, at = _bytes(text), np.array(at, np.int64)
-            yield _batch(2, np.array(gs, np.int64), np.zeros(len(at)), np.full(len(at), doc), np.full(len(at), th), at, np.minimum(at + LENGTH, len(data)), contexts(data, at))
+        for doc, th, text, at, gs in zip(*(b.column(x) for x in ("doc", "th", "text", "at", "gs")), strict=True):
+            raw, at = (text.as_py() or "").encode("utf-8", "surrogatepass"), at.values.to_numpy()
+            for i in range(0, len(at), BATCH_POSITIONS):
+                p = at[i : i + BATCH_POSITIONS]
+                yield _batch(2, gs.values.to_numpy()[i : i + BATCH_POSITIONS], np.zeros(len(p)), np.full(len(p), doc.as_py()), np.full(len(p), th.as_py()), p, np.minimum(p + LENGTH, len(raw)), [context(raw, x) for x in p.tolist()])
 
 
 def _windows(ctx: list[bytes], before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,9 +319,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each document, from its text and its covered spans."""
     for b in batches:
         out = []
-        for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            s = np.array(spans or [], np.int64).reshape(-1, 2)
+        for text, spans in zip(b.column("text"), b.column("spans"), strict=True):
+            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            s = spans.values.to_numpy().reshape(-1, 2) if spans.is_valid else np.zeros((0, 2), np.int64)
             s = s[np.lexsort((s[:, 1], s[:, 0]))]
             runs, kept, at = [], hashlib.sha256(), 0
             if len(s):
@@ -321,18 +343,19 @@ def covered_spans(docs: DataFrame) -> DataFrame:
     """(doc, th, spans): flat [start, end, ...] of the bytes to remove, for documents that have any."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     tasks = max(1, -(-size // INPUT_BYTES_PER_TASK))
-    first = materialize(docs.mapInArrow(_sample_task, ROW))
-    by = ["g", "c", "doc", "th", "pos"]
-    ranked = first.filter("kind = 0").select(*by, "end").repartition(tasks, "g").sortWithinPartitions(*by).mapInArrow(_sorted_task, ROW)
+    by = ["kind", "g", "c", "doc", "th", "pos"]
+    place = F.when(F.col("kind") == 0, F.col("g")).otherwise(F.xxhash64("doc", "pos"))
+    ranked = docs.mapInArrow(_sample_task, ROW).repartition(tasks, place).sortWithinPartitions(*by).mapInArrow(_sorted_task, ROW)
     second = materialize(ranked)
-    at = second.filter("kind = 2").groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "g")).alias("x")).select("doc", "th", F.col("x.pos").alias("at"), F.col("x.g").alias("gs"))
-    asked = docs.join(at, ["doc", "th"]).dropDuplicates(["doc", "th"]).mapInArrow(_with_context, ROW)
-    again = materialize(asked.unionByName(first.filter("kind = 2")).select("g", "doc", "th", "pos", "ctx"))
+    asked = second.filter("kind = 2 AND ctx IS NULL").groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "g")).alias("x")).select("doc", "th", F.col("x.pos").alias("at"), F.col("x.g").alias("gs"))
+    # rows that repeat a document ask once each; the rows they give are the same positions
+    given = docs.join(asked, ["doc", "th"]).mapInArrow(_with_context, ROW)
+    again = materialize(given.unionByName(second.filter("kind = 2 AND ctx IS NOT NULL")).select("g", "doc", "th", "pos", "ctx"))
     hot = materialize(again.groupBy("g").count().filter(F.col("count") > HOT).select("g"))
     some_hot = not hot.isEmpty()
     usual = again.join(hot, "g", "left_anti") if some_hot else again
     third = usual.repartition(tasks, "g").sortWithinPartitions("g", "doc", "th", "pos").mapInArrow(_ranked_again, ROW)
-    spans = [x.filter("kind = 1").select("doc", "th", "pos", "end") for x in (first, second, third)]
+    spans = [x.filter("kind = 1").select("doc", "th", "pos", "end") for x in (second, third)]
     if some_hot:
         rows = again.join(hot, "g", "left_semi").mapInArrow(_exploded, "g long, h long, doc long, th long, start long")
         here = F.struct("doc", "th", "start")
