@@ -27,6 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Most bytes of text that Spark hands to a Python worker at once.
+ARROW_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch: a batch of long texts is held several times over, by the JVM and by Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key, str(1 << 62)))
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again, so that later steps survive lost executors."""
     spark = df.sparkSession

@@ -34,7 +34,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import materialize, read_table
+from graphlens.llm.common import bound_batches, materialize, read_table
 
 LENGTH = 100
 GRAM = 24
@@ -373,6 +373,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) for each document; removed: flat byte spans."""
+    bound_batches(docs.sparkSession)
     d = keyed(docs)
     out = d.join(covered_spans(d.select("doc", "th", "text")), ["doc", "th"], "left").select("doc_id", "text", "spans")
     return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>")
