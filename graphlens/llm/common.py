@@ -34,7 +34,7 @@ ARROW_BYTES = 8 << 20
 def bound_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
     """Lower the session's limit on the bytes of an Arrow batch: a batch of long texts is held several times over, by the JVM and by Python."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(spark.conf.get(key, str(1 << 62)))
+    now = str(spark.conf.get(key, None))
     if not now.isdigit() or int(now) > most:
         spark.conf.set(key, str(most))
 
