@@ -134,3 +134,60 @@ def looks_opaque(c: Column) -> Column:
 
 def rank_verdict(rank: Column) -> Column:
     return F.when(rank == 1, "first").when(rank <= 3, "top 3").when(rank <= 10, "top 10").otherwise("missed")
+
+
+def correctness(verdict: Column, gold: Column) -> Column:
+    """1 or 0; no verdict counts as wrong."""
+    return F.coalesce(verdict.cast("int") == gold, F.lit(False)).cast("int")
+
+
+def wordnet_id(c: Column) -> Column:
+    """(lemma, pos, sense) of `stool_NN_2` or `__east_indian_1`; null if it is neither."""
+    tagged, plain = r"^(.+?)_(NN|VB|JJ|RB)_?([0-9]+)$", r"^_*(.+?)_([0-9]+)$"
+    part = lambda p, i: F.regexp_extract(c, p, i)
+    pos = F.element_at(F.create_map(*[F.lit(x) for x in ("NN", "n", "VB", "v", "JJ", "a", "RB", "r")]), part(tagged, 2))
+    a = F.struct(part(tagged, 1).alias("lemma"), pos.alias("pos"), part(tagged, 3).cast("int").alias("sense"))
+    b = F.struct(part(plain, 1).alias("lemma"), F.lit(None).cast("string").alias("pos"), part(plain, 2).cast("int").alias("sense"))
+    return F.when(c.rlike(tagged), a).when(c.rlike(plain), b)
+
+
+# Endings of plural words and what takes their place, the first that fits.
+PLURALS = (("ies", "y"), ("sses", "ss"), ("shes", "sh"), ("ches", "ch"), ("xes", "x"), ("zes", "z"), ("ses", "s"), ("s", ""))
+ARTICLES = ("and", "or", "the", "a", "an")
+
+
+def singular(c: Column) -> Column:
+    out = c
+    for end, put in reversed(PLURALS):
+        out = F.when(F.endswith(c, F.lit(end)), F.concat(F.left(c, F.length(c) - len(end)), F.lit(put))).otherwise(out)
+    return F.when(F.endswith(c, F.lit("ss")) | (F.length(c) <= 3), c).otherwise(out)
+
+
+def category_head(c: Column) -> Column:
+    """The head noun of a category: `English_male_film_actors` gives actor, `Cities_in_Texas` gives city."""
+    head = F.get(F.split(c, "_(?:in|of|from|by|at|for|about|with|during)_", 2), F.lit(0))
+    toks = F.filter(F.split(head, "_"), lambda t: (t != "") & ~t.rlike("^[0-9]+$"))
+    keep = lambda t: ~(F.endswith(t, F.lit("ed")) | F.lower(t).isin(*ARTICLES))
+    last = F.coalesce(F.element_at(F.filter(toks, keep), -1), F.get(toks, F.lit(0)))
+    return singular(F.lower(last))
+
+
+def class_name(c: Column) -> Column:
+    """(kind, name) of a class atom: wordnet, schema or wikicat; null if it is none."""
+    v = F.regexp_replace(F.regexp_replace(strip(c), r"^\.+|\.+$", ""), "^[<>]+|[<>]+$", "")
+    part = lambda p: F.nullif(F.regexp_extract(v, p, 1), F.lit(""))
+    wordnet, schema = part(r"^wordnet_([a-z][a-z_]*?)_[0-9]+$"), part(r"^https?://(?:schema\.org|yago-knowledge\.org/schema)/(\w+)$")
+    wiki = category_head(part("^wikicat(?:egory)?_(.+)$"))
+    pair = lambda k, n: F.struct(F.lit(k).alias("kind"), n.alias("name"))
+    return F.when(wordnet.isNotNull(), pair("wordnet", wordnet)).when(schema.isNotNull(), pair("schema", F.lower(schema))).when(wiki.isNotNull(), pair("wikicat", wiki))
+
+
+def cell_name(c: Column) -> Column:
+    """(policy, budget, direction) of a result's name such as `S1_B200_tail`."""
+    p = r"^([A-Z][A-Za-z0-9]*)_B([0-9]+)_(head|tail|relation)$"
+    return F.when(c.rlike(p), F.struct(F.regexp_extract(c, p, 1).alias("policy"), F.regexp_extract(c, p, 2).cast("int").alias("budget"), F.regexp_extract(c, p, 3).alias("direction")))
+
+
+def p_yes_share(p_yes: Column, p_no: Column) -> Column:
+    s = p_yes + p_no
+    return p_yes / F.when(s == 0, 1.0).otherwise(s)
