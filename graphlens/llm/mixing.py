@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import fraction, read_table
+from graphlens.llm.common import fraction, materialize, read_table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -23,6 +23,8 @@ SHARE = 1.5
 #: No source is used more than so often.
 MAX_REPEATS = 2
 SEED = "mix-1"
+#: Most sources whose targets are broadcast (some 100 bytes each); more are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -56,7 +58,8 @@ def with_copies(docs: DataFrame, seed: str = SEED, **weights) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     sized = docs.select(*keep, word_count(F.col("text")).alias("size"))
     sizes = docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = source_targets(sizes, **weights).withColumnRenamed("source", "_source")
+    t = materialize(source_targets(sizes, **weights).withColumnRenamed("source", "_source"))
+    t = F.broadcast(t) if t.count() <= BROADCAST_SOURCES else t  # texts then stay where they are, and no source is one task
     out = sized.join(t, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     rate = F.least(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)), F.lit(float(MAX_REPEATS)))
     draw = fraction(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
