@@ -16,12 +16,26 @@ from graphlens.sources.kg import canonical_entities, canonical_split, canonical_
 N_WAY, TRIES = 10, 8
 
 
+_kept: dict[tuple[str, str], DataFrame] = {}
+
+
+def graph_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The split graph, persisted: a query reads it several times, and making it takes a shuffle for each many-to-many relation."""
+    key = (spark.sparkContext.applicationId, sf)
+    df = _kept.get(key)
+    if df is None:
+        df = _kept[key] = canonical_split(canonical_triples(spark, sf))
+    if not df.storageLevel.useMemory:
+        df.persist()
+    return df
+
+
 def triples(spark: SparkSession, sf: str) -> DataFrame:
-    return canonical_triples(spark, sf)
+    return graph_of(spark, sf).drop("split")
 
 
 def split(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return canonical_split(canonical_triples(spark, sf)).filter(F.col("split") == name).drop("split")
+    return graph_of(spark, sf).filter(F.col("split") == name).drop("split")
 
 
 def entities(spark: SparkSession, sf: str) -> DataFrame:
