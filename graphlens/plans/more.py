@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from graphlens.functions import text as tx
 from graphlens.functions.hashing import det_number, unit
-from graphlens.operators import arms, evidence, metrics, prompts, routing, sampling, stats, types
+from graphlens.operators import arms, audit, evidence, metrics, prompts, routing, sampling, stats, types
 from graphlens.plans import base
 from graphlens.plans.base import T, U, number
-from graphlens.plans.queries import ARMS, candidates, features, filled, query, r6, rounded
+from graphlens.plans.queries import ARMS, candidate_scores, candidates, features, filled, query, r6, rounded
 from graphlens.plans.queries import arms as two_arms
 
 # ------------------------------------------------------------------ identifiers and names
@@ -281,3 +281,48 @@ def _(spark, sf):
     p = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (unit("dir", (i + 1).cast("string")) - F.lit(0.5))), F.lit(0.0), lambda a, x: a + x)
     return v.select("vec_id", r6(p).alias("p"))
 
+
+
+# ------------------------------------------------------------------ splits, distributions, pairs
+
+
+@query("se5_unseen_share", "WITH e AS (SELECT head AS e FROM test UNION SELECT tail FROM test), s AS (SELECT head AS e FROM train UNION SELECT tail FROM train) SELECT count(*) AS n, round(avg(CAST(s.e IS NULL AS DOUBLE)), 6) AS unseen FROM e LEFT JOIN s ON s.e = e.e")
+def _(spark, sf):
+    e = audit.ends(base.split(spark, sf, "test"))
+    s = audit.ends(base.split(spark, sf, "train")).withColumn("seen", F.lit(1))
+    return rounded(e.join(s, "entity", "left").agg(F.count("*").alias("n"), F.avg(F.col("seen").isNull().cast("double")).alias("unseen")))
+
+
+@query("ag67_degenerate_ranking", f"WITH s AS (SELECT qid, count(*) AS n, max(score) - min(score) AS spread FROM cscored GROUP BY qid) SELECT max(spread) < 0.05 AS degenerate, count(*) FILTER (n < {base.N_WAY}) AS short_sets, round(max(spread), 6) AS largest_spread FROM s")
+def _(spark, sf):
+    s = candidate_scores(spark, sf).groupBy("qid").agg(F.count("*").alias("n"), (F.max("score") - F.min("score")).alias("spread"))
+    return rounded(s.agg((F.max("spread") < 0.05).alias("degenerate"), F.count_if(F.col("n") < base.N_WAY).alias("short_sets"), F.max("spread").alias("largest_spread")))
+
+
+@query("ag71_prediction_distribution", "WITH v AS (SELECT relation, p_yes >= 0.5 AS yes FROM scored) SELECT relation, count(*) AS n, count(*) FILTER (yes) AS n_yes, count(DISTINCT yes) = 1 AS always_same FROM v GROUP BY relation")
+def _(spark, sf):
+    v = base.scored(spark, sf).select("relation", (F.col("p_yes") >= 0.5).alias("yes"))
+    return v.groupBy("relation").agg(F.count("*").alias("n"), F.count_if("yes").alias("n_yes"), (F.count_distinct("yes") == 1).alias("always_same"))
+
+
+@query("ag34_all_pairs", f"WITH {ARMS}, a AS (SELECT relation, avg(a) AS acc FROM arm GROUP BY relation) SELECT x.relation AS one, y.relation AS other, round(x.acc - y.acc, 6) AS diff FROM a x JOIN a y ON x.relation < y.relation")
+def _(spark, sf):
+    a = two_arms(spark, sf).groupBy("relation").agg(F.avg("a").alias("acc"))
+    x, y = a.select(F.col("relation").alias("one"), F.col("acc").alias("xa")), a.select(F.col("relation").alias("other"), F.col("acc").alias("ya"))
+    return x.join(F.broadcast(y), F.col("one") < F.col("other")).select("one", "other", r6(F.col("xa") - F.col("ya")).alias("diff"))  # one row a relation
+
+
+@query("jo11_paired_runs", f"WITH {PR} SELECT count(*) AS n, round(avg(abs(a.rank - b.rank)), 6) AS mean_delta, CAST(max(abs(a.rank - b.rank)) AS BIGINT) AS largest FROM pr a JOIN pr b ON a.qid = b.qid AND a.policy = 'S0' AND b.policy = 'S2'")
+def _(spark, sf):
+    r = policy_ranks(spark, sf)
+    a, b = (r.filter(F.col("policy") == x).select("qid", F.col("rank").alias(x)) for x in ("S0", "S2"))
+    d = F.abs(F.col("S0") - F.col("S2"))
+    return rounded(a.join(b, "qid").agg(F.count("*").alias("n"), F.avg(d).alias("mean_delta"), F.max(d).alias("largest")))
+
+
+@query("ag27_recovery", f"WITH {ARMS}, m AS (SELECT avg(a) AS a, avg(b) AS b FROM arm), r AS (SELECT relation, avg(a) AS acc FROM arm GROUP BY relation) SELECT relation, round(CASE WHEN a - b > 1e-9 THEN (acc - b) / (a - b) END, 6) AS recovered FROM r, m")
+def _(spark, sf):
+    t = two_arms(spark, sf)
+    m = t.agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"))
+    r = t.groupBy("relation").agg(F.avg("a").alias("acc"))
+    return r.crossJoin(F.broadcast(m)).select("relation", r6(arms.recovery(F.col("acc"), F.col("ma"), F.col("mb"))).alias("recovered"))  # one row
