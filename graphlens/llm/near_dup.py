@@ -11,8 +11,11 @@ pass over the orders takes the best FIRST candidates of each node and order, and
 Boruvka's method, each node's best before the rest. A second pass, over the nodes of which it left
 candidates out, takes every candidate between different components, so none is dropped. Regions
 denser than the window are then sorted again with only a few nodes of each component left (the dense
-groups thinned out), until nothing is left to thin, so that a node reaches across a region that its
-own component has filled.
+groups thinned out), which links most of what a component's own nodes have kept apart. At last the
+groups that share MIN_DEPTH levels and are larger than the window are finished exactly: all their
+pairs between different components are compared, in tiles of two blocks. A tile of few candidates
+gives these to be confirmed; one of many is settled on the full sets and gives only links that join
+components. So every pair that shares MIN_DEPTH levels in an order is compared, however dense its region.
 
 Defined results: null and empty texts and texts without words have no shingles, link with nothing
 and are their own component; a text of fewer words than a shingle has its whole sequence as the one
@@ -42,12 +45,20 @@ TREES, LEVELS = 16, 8
 HASHES = TREES * LEVELS
 MIN_DEPTH = 3
 WINDOW = 20
-#: A pair whose sketches agree less than this share below the threshold's expectation is no candidate (some 4 standard deviations).
-SLACK = 0.145
+#: A pair whose sketches agree less than this share below the threshold's expectation is no candidate (over 4 standard deviations).
+SLACK = 0.17
 ROWS_PER_TASK = 40_000
-#: Nodes of each component that stay when a dense region is thinned.
+#: Nodes of each component that stay when a dense region is thinned, to link most of it cheaply; _finished() takes the rest.
 HUBS = 4
 MAX_THINNINGS = 6
+#: Nodes of a block of a dense group, of which each two are compared as one tile.
+BLOCK = 1024
+#: A tile with more candidates than this for each of its nodes is settled on full sets at once, not pair by pair.
+RICH = 8
+#: Parts of a group's rows when these meet the group's size.
+SALTS = 32
+#: Shingles that a tile multiplies at once.
+COLUMNS = 2048
 #: Candidates of a node in each order that the first pass takes.
 FIRST = 2
 #: Most node ids that are broadcast to pick out texts; beyond it Spark joins by shuffle.
@@ -299,6 +310,191 @@ def _linked(pairs: DataFrame, sets: DataFrame, comp: DataFrame | None, similarit
     return comp if good.isEmpty() else _renamed(comp, good)
 
 
+def _planes(sketches: np.ndarray) -> np.ndarray:
+    """The four bit planes of each sketch, as (4, words, rows)."""
+    n = len(sketches)
+    bits = np.unpackbits(sketches, axis=1).reshape(n, HASHES, 4)
+    return np.packbits(bits.transpose(0, 2, 1), axis=2).view(np.uint64).transpose(1, 2, 0).copy()
+
+
+def _agreeing(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray, least: int, half: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i of x and j of y in different components whose sketches agree enough; i < j if x and y are one block."""
+    px, py = _planes(x), _planes(y)
+    left, right = [], []
+    for at in range(0, len(x), 128):
+        end = min(at + 128, len(x))
+        differ = np.zeros((end - at, len(y)), np.uint16)
+        for w in range(px.shape[1]):
+            d = px[0, w, at:end, None] ^ py[0, w]
+            for bit in range(1, 4):
+                d |= px[bit, w, at:end, None] ^ py[bit, w]
+            differ += np.bitwise_count(d)
+        keep = (differ <= HASHES - least) & (cx[at:end, None] != cy)
+        if half:
+            keep &= np.arange(at, end)[:, None] < np.arange(len(y))
+        i, j = np.nonzero(keep)
+        left.append(i + at)
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _similar(x: list[np.ndarray], y: list[np.ndarray], similarity: tuple[int, int]) -> np.ndarray:
+    """Whether the sets of x and of y are similar enough, each with each: intersections by matrix products of the shingles on both sides."""
+    num, den = similarity
+    nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+    fx, fy = np.concatenate(x), np.concatenate(y)
+    if x is y:
+        values, n = np.unique(fx, return_counts=True)
+        both = values[n > 1]
+    else:
+        both = np.intersect1d(fx, fy)
+    shared = np.zeros((len(x), len(y)), np.int64)
+    if len(both):
+        at = []
+        for f, n in ((fx, nx), (fy, ny)):
+            col = np.minimum(np.searchsorted(both, f), len(both) - 1)
+            hit = both[col] == f
+            order = np.argsort(col[hit], kind="stable")
+            at.append((np.repeat(np.arange(len(n)), n)[hit][order], col[hit][order]))
+        for c in range(0, len(both), COLUMNS):
+            parts = []
+            for (row, col), n in zip(at, (len(x), len(y)), strict=True):
+                lo, hi = np.searchsorted(col, [c, c + COLUMNS])
+                m = np.zeros((n, min(COLUMNS, len(both) - c)), np.float32)
+                m[row[lo:hi], col[lo:hi] - c] = 1
+                parts.append(m)
+            shared += (parts[0] @ parts[1].T).astype(np.int64)
+    return den * shared >= num * (nx[:, None] + ny - shared)
+
+
+def _joins(ca: np.ndarray, cb: np.ndarray) -> list[int]:
+    """The places of those pairs that join components which the pairs before have not."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    out = []
+    for k, (a, b) in enumerate(zip(ca.tolist(), cb.tolist(), strict=True)):
+        a, b = top(a), top(b)
+        if a != b:
+            up[a] = b
+            out.append(k)
+    return out
+
+
+TILES = "a binary, b binary, tree int, prefix long, x int, y int"
+
+
+def _screened(least: int):
+    """(a, b) of the tiles with few candidates; (tree, prefix, x, y) of those with many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                half = r["x"] == r["y"]
+                kx, ky = r["kx"], r["ky"]
+                sx, sy = (np.frombuffer(b"".join(r[c]), np.uint8).reshape(-1, HASHES // 2) for c in ("sx", "sy"))
+                i, j = _agreeing(sx, sy, np.array(r["cx"]), np.array(r["cy"]), least, half)
+                rich = len(i) > RICH * (len(kx) + len(ky))
+                pairs = [] if rich else [(min(p), max(p)) for p in zip((kx[m] for m in i), (ky[m] for m in j), strict=True)]
+                n = len(pairs) + rich
+                name = [[None] * len(pairs) + [r[c]] * rich for c in ("tree", "prefix", "x", "y")]
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs] + [None] * rich, pa.binary()), pa.array([p[1] for p in pairs] + [None] * rich, pa.binary()), pa.array(name[0], pa.int32()), pa.array(name[1], pa.int64()), pa.array(name[2], pa.int32()), pa.array(name[3], pa.int32())], names=["a", "b", "tree", "prefix", "x", "y"])
+
+    return run
+
+
+def _settled(similarity: tuple[int, int]):
+    """(a, b): links of a tile, by full sets, as many as join its components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                x = [np.frombuffer(s, np.uint64) for s in r["sx"]]
+                y = x if r["x"] == r["y"] else [np.frombuffer(s, np.uint64) for s in r["sy"]]
+                cx, cy = np.array(r["cx"]), np.array(r["cy"])
+                i, j = np.nonzero(_similar(x, y, similarity) & (cx[:, None] != cy))
+                keep = _joins(cx[i], cy[j])
+                pairs = [(min(p), max(p)) for p in ((r["kx"][i[k]], r["ky"][j[k]]) for k in keep)]
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+
+    return run
+
+
+def _dense_rows(nodes: DataFrame, open_: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(tree, prefix, pure, part, c, key, sketch): the open nodes of groups that share MIN_DEPTH levels, have more nodes than
+    the window and several components. A component of a block or more has blocks of its own, with itself as pure."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            k = np.frombuffer(b"".join(b.column("orders").to_pylist()), ">i8").reshape(n * TREES, 2)[:, 0].astype(np.int64) >> np.int64(16 * (4 - MIN_DEPTH))
+            each = pa.array(np.repeat(np.arange(n), TREES))
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), pa.array(k), *(b.column(c).take(each) for c in ("key", "c", "sketch", "open"))], names=["tree", "prefix", "key", "c", "sketch", "open"])
+
+    if comp is None:
+        named = nodes.withColumn("component", F.col("key"))
+    else:
+        named = nodes.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    named = named.join(open_.select("key", F.lit(True).alias("open")), "key", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    rows = materialize(named.select("key", F.xxhash64("component").alias("c"), "sketch", "orders", "open").mapInArrow(cut, "tree int, prefix long, key binary, c long, sketch binary, open boolean"))
+    group = ["tree", "prefix"]
+    each = materialize(rows.groupBy(*group, "c").agg(F.count("*").alias("all"), F.count_if("open").alias("n")))
+    sizes = each.groupBy(*group).agg(F.sum("all").alias("size"), F.count_if(F.col("n") > 0).alias("comps"), F.sum(F.when(F.col("n") < BLOCK, F.col("n"))).alias("rest")).filter((F.col("size") > WINDOW) & (F.col("comps") > 1))
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    large = each.filter(F.col("n") >= BLOCK).select(*group, "c", F.col("n").alias("own")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = [*group, "salt"]
+    j = rows.filter("open").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, salt).join(large, [*salt, "c"], "left")
+    parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    spread = lambda n: F.pmod(F.xxhash64(F.lit(1), "key"), n)
+    # mixed blocks first; those of a large component after them, told apart by the component
+    own = F.col("own").isNotNull()
+    return j.withColumn("pure", F.when(own, F.col("c"))).withColumn("part", F.when(own, spread(parts(F.col("own")))).otherwise(spread(parts(F.col("rest"))))).select(*group, "pure", "part", "c", "key", "sketch")
+
+
+def _finished(base: DataFrame, nodes: DataFrame, open_: DataFrame, pairs: DataFrame, sets: DataFrame | None, comp: DataFrame | None, least: int, similarity: tuple[int, int]) -> DataFrame | None:
+    """The components after all pairs of the dense groups between different components have been compared."""
+    group = ["tree", "prefix"]
+    rows = materialize(_dense_rows(nodes, open_, comp))
+    packed = materialize(rows.groupBy(*group, "pure", "part").agg(F.collect_list(F.struct("key", "c", "sketch")).alias("r")))
+    if packed.isEmpty():
+        return comp
+    # few rows a group: one for each block
+    block = (F.row_number().over(Window.partitionBy(*group).orderBy("pure", "part")) - 1).cast("int")
+    named = materialize(packed.select(*group, "pure", "part").withColumn("block", block).withColumn("blocks", F.count("*").over(Window.partitionBy(*group)).cast("int")))
+    blocks = materialize(packed.withColumn("_p", F.coalesce("pure", F.lit(0))).join(named.withColumn("_p", F.coalesce("pure", F.lit(0))).withColumn("_own", F.col("pure").isNotNull()).drop("pure"), [*group, "part", "_p"]).filter(F.col("_own") == F.col("pure").isNotNull()).select(*group, "block", "r"))
+    other = named.select(*group, F.col("block").alias("y"), F.col("pure").alias("py"))
+    tiles = named.select(*group, F.col("block").alias("x"), F.col("pure").alias("px")).join(other, group).filter((F.col("x") <= F.col("y")) & (F.col("px").isNull() | F.col("py").isNull() | (F.col("px") != F.col("py")))).select(*group, "x", "y")
+
+    def filled(tiles: DataFrame, blocks: DataFrame, field: str) -> DataFrame:
+        side = lambda e: blocks.select(*group, F.col("block").alias(e), F.col("r.key").alias(f"k{e}"), F.col("r.c").alias(f"c{e}"), F.col(f"r.{field}").alias(f"s{e}"))
+        return tiles.join(side("x"), [*group, "x"]).join(side("y"), [*group, "y"]).select(*group, "x", "y", "kx", "cx", "sx", "ky", "cy", "sy")
+
+    found = materialize(filled(tiles, blocks, "sketch").mapInArrow(_screened(least), TILES))
+    few = materialize(found.filter(F.col("a").isNotNull()).select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    rich = found.filter(F.col("a").isNull()).select(*group, "x", "y")
+    links = None
+    if not rich.isEmpty():
+        ends = rich.select(*group, F.col("x").alias("block")).unionByName(rich.select(*group, F.col("y").alias("block"))).distinct()
+        members = blocks.join(ends, [*group, "block"], "left_semi").select(*group, "block", F.explode("r").alias("m")).select(*group, "block", "m.key", "m.c")
+        keys = members.select("key").distinct()
+        sets = _sets_of(base, nodes, keys.select(F.col("key").alias("a"), F.col("key").alias("b")), sets)
+        whole = materialize(members.join(sets, "key").groupBy(*group, "block").agg(F.collect_list(F.struct("key", "c", "shingles")).alias("r")))
+        links = materialize(filled(rich, whole, "shingles").mapInArrow(_settled(similarity), "a binary, b binary").distinct())
+    if links is not None and not links.isEmpty():
+        comp = _renamed(comp, links)
+    if not few.isEmpty():
+        few = _between(few.withColumn("agree", F.lit(0)), comp)
+        comp = _linked(few, _sets_of(base, nodes, few, sets), comp, similarity)
+    return comp
+
+
 def set_components(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id), one row for each row of documents."""
     bound_batches(docs.sparkSession)
@@ -313,11 +509,12 @@ def set_components(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
     best = materialize(_best(pairs))
     comp = _linked(best, sets, None, similarity)
     comp = _linked(_between(pairs.join(best, ["a", "b"], "left_anti"), comp), sets, comp, similarity)
+    wide = None
     for turn in range(1 + MAX_THINNINGS):
-        if comp is None:
-            break
         here = dense
         if turn:
+            if comp is None:
+                break
             named = dense.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
             few = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("key")))
             here = materialize(named.withColumn("n", few).filter(F.col("n") <= HUBS).select("key"))
@@ -326,11 +523,14 @@ def set_components(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
         elif dense.isEmpty():
             break
         more, dense = candidates(nodes.join(here, "key", "left_semi"), comp, least)
+        wide = wide or (here, dense)
         more = materialize(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
         if not more.isEmpty():
             sets = _sets_of(base, nodes, more, sets)
             pairs = pairs.unionByName(more)
             comp = _linked(more, sets, comp, similarity)
+    if wide is not None:
+        comp = _finished(base, nodes.join(wide[0], "key", "left_semi"), wide[1], pairs, sets, comp, least, similarity)
     if comp is None:
         named = nodes.select("key", F.col("first").alias("component_id"))
     else:

@@ -454,6 +454,56 @@ def test_near_duplicates_in_a_dense_region(spark, monkeypatch):
     check_near(spark, list(enumerate(rows)))
 
 
+def near_by_matrix(texts):
+    """The least index of each text's component, by products of the shingles that two texts or more have."""
+    import numpy as np
+
+    sets = [set(zip(w, w[1:])) for w in map(str.split, texts)]
+    count = Counter(g for s in sets for g in s)
+    at = {g: k for k, g in enumerate(g for g, n in count.items() if n > 1)}
+    m = np.zeros((len(sets), len(at)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [at[g] for g in s if g in at]] = 1
+    both, n = (m @ m.T).astype(np.int64), np.array([len(s) for s in sets])
+    least = list(range(len(sets)))
+    near = 100 * both >= 80 * (n[:, None] + n - both)
+    for i in range(len(sets)):
+        if least[i] == i:
+            seen, front = {i}, [i]
+            while front:
+                new = set(np.nonzero(near[front].any(axis=0))[0].tolist()) - seen
+                seen |= new
+                front = list(new)
+            for j in seen:
+                least[j] = i
+    return least
+
+
+@pytest.mark.parametrize("chain", [False, True])
+def test_near_duplicates_in_an_unlinked_family(spark, monkeypatch, chain):
+    """Thousands of texts of similarity about 0.73 and a few pairs, or one chain, of 0.8 or more among them."""
+    monkeypatch.setattr(near_dup, "BLOCK", 512)
+    rng = random.Random(16)
+
+    def changed(t, k):
+        t = list(t)
+        for p in rng.sample(range(len(t)), k):
+            t[p] = f"x{rng.randint(0, 10**9)}"
+        return t
+
+    base = [f"w{k}" for k in range(120)]
+    family = [changed(base, 5) for _ in range(2000)]
+    if chain:
+        for _ in range(60):
+            family.append(changed(family[-1], 5))
+    else:
+        family += [changed(family[k], 5) for k in range(60)]
+    rng.shuffle(family)
+    texts = list(map(" ".join, family))
+    got = near_dup.set_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r["component_id"] for r in got.orderBy("doc_id").collect()] == near_by_matrix(texts)
+
+
 def test_near_duplicates_across_range_partitions(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "ROWS_PER_TASK", 60)
     rng = random.Random(15)
