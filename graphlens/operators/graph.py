@@ -82,6 +82,32 @@ def two_hop_counts(edges: DataFrame, queries: DataFrame, max_mid_degree: int) ->
     return queries.select("qid").join(paths.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").select("qid", F.coalesce("n", F.lit(0).cast("long")).alias("n_paths"))
 
 
+def safe_edges(edges: DataFrame, queries: DataFrame, inverses: DataFrame, end: str) -> DataFrame:
+    """(qid, head, relation, tail, via, other): the edges at one end of each query, either way, that are not of the asked relation or its inverses."""
+    near = incident(edges).select(F.col("entity").alias(end), F.col("relation").alias("via"), "other").distinct()
+    banned = inverses.select("relation", F.col("inverse").alias("via"))
+    j = queries.select("qid", "head", "relation", "tail").join(near, end).filter(F.col("via") != F.col("relation"))
+    return j.join(F.broadcast(banned), ["relation", "via"], "left_anti")  # at most relations squared
+
+
+def safe_paths(edges: DataFrame, queries: DataFrame, inverses: DataFrame, entities: DataFrame, k: int = 3, seed: str = "path") -> DataFrame:
+    """(qid, paths): up to k rendered chains head, middle, tail of edges in any direction, whatever the middle's degree.
+
+    Edges of the asked relation and its inverses are left out; of several last edges the first by hash is taken.
+    """
+    last = safe_edges(edges, queries, inverses, "tail").filter(F.col("other") != F.col("tail"))
+    last = last.groupBy("qid", F.col("other").alias("mid")).agg(F.min(F.struct(det_key(seed, "via").alias("h"), "via")).alias("x")).select("qid", "mid", F.col("x.via").alias("last"))
+    first = safe_edges(edges, queries, inverses, "head").filter((F.col("other") != F.col("head")) & (F.col("other") != F.col("tail")))
+    j = first.withColumnRenamed("other", "mid").join(last, ["qid", "mid"]).withColumn("h", det_key(seed, "qid", "via", "mid"))
+    few = first_per_group(j, ["qid"], ["h"], k)
+    for end in ("head", "mid", "tail"):
+        names = entities.select(F.col("id").alias(end), F.col("text").alias(f"{end}_text"))
+        few = few.join(names, end, "left").withColumn(f"{end}_text", F.coalesce(f"{end}_text", end))
+    few = few.withColumn("path", F.concat_ws(" ", "head_text", "via", "mid_text", "last", "tail_text"))
+    paths = few.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "path"))), lambda x: x["path"]), "; ").alias("paths"))
+    return queries.select("qid").join(paths, "qid", "left").select("qid", F.coalesce("paths", F.lit("")).alias("paths"))
+
+
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, limit: int, seed: str = "hop") -> DataFrame:
     """(entity, hop): what lies within so many steps, at most `limit` neighbours of each node, by hash."""
     near = incident(edges).select("entity", "other").distinct().withColumn("h", det_key(seed, "entity", "other"))

@@ -159,6 +159,12 @@ def _(spark, sf):
     return graph.two_hop_counts(base.split(spark, sf, "train"), base.with_qid(base.split(spark, sf, "test")), 20)
 
 
+@query("gr8_safe_paths")
+def _(spark, sf):
+    train = base.split(spark, sf, "train")
+    return graph.safe_paths(train, base.with_qid(base.split(spark, sf, "test")), graph.inverse_relations(train), base.entities(spark, sf))
+
+
 @query("gr9_leak_audit", "WITH e AS (SELECT head, tail FROM train UNION SELECT tail, head FROM train) SELECT relation, count(*) AS n_leaks FROM queries q WHERE EXISTS (SELECT 1 FROM e WHERE e.head = q.head AND e.tail = q.tail) GROUP BY relation")
 def _(spark, sf):
     q = base.with_qid(base.split(spark, sf, "test"))

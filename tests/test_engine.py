@@ -213,6 +213,16 @@ def test_stratified_sample_has_a_floor(spark):
     assert sampling.stratified_sample(t, 10, 8).count() == 10
 
 
+def test_safe_paths(spark):
+    edges = [("h", "r1", "hub"), ("t", "r2", "hub"), ("h", "ask", "m"), ("m", "r3", "t"), ("h", "inv", "n"), ("n", "r3", "t"), *[("hub", "r4", f"x{i}") for i in range(50)]]
+    t = spark.createDataFrame(edges, "head string, relation string, tail string")
+    q = spark.createDataFrame([("1", "h", "ask", "t"), ("2", "h", "ask", "none")], "qid string, head string, relation string, tail string")
+    inv = spark.createDataFrame([("ask", "inv")], "relation string, inverse string")
+    names = spark.createDataFrame([("hub", "The Hub")], "id string, text string")
+    got = {r["qid"]: r["paths"] for r in graph.safe_paths(t, q, inv, names).collect()}
+    assert got == {"1": "h r1 The Hub r2 t", "2": ""}
+
+
 def test_negatives(spark):
     t = toy(spark)
     known = {tuple(r) for r in t.collect()}
