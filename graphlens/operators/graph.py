@@ -62,6 +62,18 @@ def guarded_neighbours(edges: DataFrame, queries: DataFrame, inverses: DataFrame
     return few.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "other"))), lambda x: x["other"]), "|").alias("neighbours"))
 
 
+def safe_neighbours(edges: DataFrame, queries: DataFrame, inverses: DataFrame, entities: DataFrame, k: int, seed: str = "nbr") -> DataFrame:
+    """(qid, neighbours): the texts of up to k neighbours of each query's head, by hash, each text once.
+
+    Left out: every edge of the asked relation or its inverses, the head itself, and the gold tail by any relation.
+    """
+    j = safe_edges(edges, queries, inverses, "head").filter((F.col("other") != F.col("head")) & (F.col("other") != F.col("tail")))
+    names = entities.select(F.col("id").alias("other"), "text")
+    j = j.select("qid", "other").distinct().join(names, "other", "left").select("qid", F.coalesce("text", "other").alias("text")).distinct()
+    few = first_per_group(j.withColumn("h", det_key(seed, "qid", "text")), ["qid"], ["h"], k)
+    return few.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "text"))), lambda x: x["text"]), "|").alias("neighbours"))
+
+
 def leaks(edges: DataFrame, queries: DataFrame) -> DataFrame:
     """The queries whose answer is an edge of the evidence in either direction."""
     asked = queries.select("qid", "head", "tail")

@@ -154,6 +154,12 @@ def _(spark, sf):
     return graph.guarded_neighbours(train, base.with_qid(base.split(spark, sf, "test")), graph.inverse_relations(train), 3)
 
 
+@query("gr6_safe_neighbours")
+def _(spark, sf):
+    train = base.split(spark, sf, "train")
+    return graph.safe_neighbours(train, base.with_qid(base.split(spark, sf, "test")), graph.inverse_relations(train), base.entities(spark, sf), 3)
+
+
 @query("gr8_two_hop_paths", "WITH m AS (SELECT head FROM train GROUP BY head HAVING count(*) <= 20), s AS (SELECT head AS mid, tail FROM train SEMI JOIN m USING (head)), p AS (SELECT q.qid, count(*) AS n FROM queries q JOIN train a ON a.head = q.head JOIN s ON s.mid = a.tail AND s.tail = q.tail GROUP BY q.qid) SELECT qid, coalesce(n, 0) AS n_paths FROM queries LEFT JOIN p USING (qid)")
 def _(spark, sf):
     return graph.two_hop_counts(base.split(spark, sf, "train"), base.with_qid(base.split(spark, sf, "test")), 20)

@@ -213,6 +213,16 @@ def test_stratified_sample_has_a_floor(spark):
     assert sampling.stratified_sample(t, 10, 8).count() == 10
 
 
+def test_safe_neighbours(spark):
+    edges = [("h", "ask", "a"), ("b", "ask", "h"), ("h", "other", "t"), ("h", "loop", "h"), ("h", "r1", "c"), ("h", "r2", "c"), ("h", "r1", "d"), ("e", "inv", "h"), ("h", "r3", "f")]
+    t = spark.createDataFrame(edges, "head string, relation string, tail string")
+    q = spark.createDataFrame([("1", "h", "ask", "t")], "qid string, head string, relation string, tail string")
+    inv = spark.createDataFrame([("ask", "inv")], "relation string, inverse string")
+    names = spark.createDataFrame([("c", "Same"), ("d", "Same")], "id string, text string")
+    got = graph.safe_neighbours(t, q, inv, names, 2).first()["neighbours"]
+    assert sorted(got.split("|")) == ["Same", "f"]
+
+
 def test_safe_paths(spark):
     edges = [("h", "r1", "hub"), ("t", "r2", "hub"), ("h", "ask", "m"), ("m", "r3", "t"), ("h", "inv", "n"), ("n", "r3", "t"), *[("hub", "r4", f"x{i}") for i in range(50)]]
     t = spark.createDataFrame(edges, "head string, relation string, tail string")
