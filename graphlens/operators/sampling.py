@@ -86,6 +86,29 @@ def test_negatives(test: DataFrame, known: DataFrame, tries: int, seed: str = "t
     return best.select(*TRIPLE, "x.neg_head", "x.neg_tail", F.col("x.try").alias("try"))
 
 
+def whole_test_negatives(test: DataFrame, train: DataFrame, known: DataFrame, entities: DataFrame, tries: int = 60, seed: str = "tneg") -> DataFrame:
+    """(head, relation, tail, neg_head, neg_tail, try, accidental, skipped): every test triple, with its first good try.
+
+    Each try draws its side. A pool of fewer than two entities gives way to all entities. accidental counts the tries
+    before the good one that were known triples; skipped is 1, and the negative null, where no try is good.
+    """
+    pool = side_index(train).select("relation", "side", "idx", F.col("entity").alias("own"))
+    size = pool.groupBy("relation", "side").agg(F.count("*").alias("n"))
+    n = entities.agg(F.count("*")).first()[0]
+    t = test.select(*TRIPLE).distinct().withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    no = F.col("try").cast("string")
+    t = t.withColumn("side", F.when(det_number(seed + "-side", *TRIPLE, no) % 2 == 0, "head").otherwise("tail")).join(F.broadcast(size), ["relation", "side"], "left")  # two rows a relation
+    t = t.withColumn("tiny", F.coalesce("n", F.lit(0)) < 2).withColumn("idx", det_index(F.when(F.col("tiny"), F.lit(n)).otherwise(F.col("n")), seed, *TRIPLE, no))
+    own = t.filter(~F.col("tiny")).join(pool, ["relation", "side", "idx"]).select(*TRIPLE, "try", "side", F.col("own").alias("new"))
+    j = own.unionByName(t.filter("tiny").join(entities.select("idx", F.col("entity").alias("new")), "idx").select(*TRIPLE, "try", "side", "new"))
+    j = j.withColumn("neg_head", F.when(F.col("side") == "head", F.col("new")).otherwise(F.col("head"))).withColumn("neg_tail", F.when(F.col("side") == "tail", F.col("new")).otherwise(F.col("tail"))).filter(F.col("neg_head") != F.col("neg_tail"))
+    k = known.select(F.col("head").alias("neg_head"), "relation", F.col("tail").alias("neg_tail"), F.lit(True).alias("true")).distinct()
+    j = j.join(k, ["neg_head", "relation", "neg_tail"], "left")
+    best = j.groupBy(*TRIPLE).agg(F.min(F.when(F.col("true").isNull(), F.struct("try", "neg_head", "neg_tail"))).alias("x"), F.collect_list(F.when(F.col("true"), F.col("try"))).alias("hits"))
+    out = test.select(*TRIPLE).join(best, TRIPLE, "left").withColumn("end", F.coalesce("x.try", F.lit(tries)))
+    return out.select(*TRIPLE, "x.neg_head", "x.neg_tail", F.col("x.try").alias("try"), F.coalesce(F.size(F.filter("hits", lambda h: h < F.col("end"))), F.lit(0)).alias("accidental"), F.col("x").isNull().cast("int").alias("skipped"))
+
+
 def inductive_split(triples: DataFrame, share: float, seed: str = "ind") -> DataFrame:
     """Add part: train (both ends seen), query (head unseen), support (others that touch an unseen entity)."""
     unseen = lambda c: det_number(seed, c) % 10000 < int(share * 10000)

@@ -227,6 +227,12 @@ def _(spark, sf):
     return rounded(j.groupBy("relation").agg(F.count("*").alias("n"), F.avg((F.col("neg_tail").isNull() | F.col("k").isNotNull()).cast("double")).alias("unusable")))
 
 
+@query("sa9_whole_test_negatives")
+def _(spark, sf):
+    known = base.triples(spark, sf)
+    return sampling.whole_test_negatives(base.split(spark, sf, "test"), base.split(spark, sf, "train"), known, sampling.entity_index(known))
+
+
 @query("sa9_test_negatives", f"WITH s AS (SELECT DISTINCT relation, 'head' AS side, head AS new FROM triples UNION SELECT DISTINCT relation, 'tail', tail FROM triples), pool AS (SELECT *, row_number() OVER (PARTITION BY relation, side ORDER BY new) - 1 AS idx, count(*) OVER (PARTITION BY relation, side) AS n FROM s), size AS (SELECT DISTINCT relation, side, n FROM pool), t AS (SELECT *, CASE WHEN {number('tneg-side', *T)} % 2 = 0 THEN 'head' ELSE 'tail' END AS side FROM test), e AS (SELECT t.*, size.n, d.try FROM t JOIN size USING (relation, side), (SELECT unnest(range(0, {TRIES})) AS try) d), i AS (SELECT *, {number('tneg', *T, 'CAST(try AS VARCHAR)')} % n AS idx FROM e), j AS (SELECT i.*, CASE WHEN side = 'head' THEN new ELSE head END AS neg_head, CASE WHEN side = 'tail' THEN new ELSE tail END AS neg_tail FROM i JOIN pool USING (relation, side, idx)), ok AS (SELECT * FROM j WHERE neg_head <> neg_tail AND NOT EXISTS (SELECT 1 FROM triples k WHERE k.head = neg_head AND k.relation = j.relation AND k.tail = neg_tail)), r AS (SELECT *, row_number() OVER (PARTITION BY head, relation, tail ORDER BY try) AS k FROM ok) SELECT head, relation, tail, neg_head, neg_tail, CAST(try AS INTEGER) AS try FROM r WHERE k = 1")
 def _(spark, sf):
     return sampling.test_negatives(base.split(spark, sf, "test"), base.triples(spark, sf), TRIES)

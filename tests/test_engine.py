@@ -233,6 +233,16 @@ def test_safe_paths(spark):
     assert got == {"1": "h r1 The Hub r2 t", "2": ""}
 
 
+def test_whole_negatives(spark):
+    full = [(h, "full", t) for h in "ab" for t in "xy"]  # all pairs known: no negative
+    t = spark.createDataFrame([*full, ("a", "one", "z")], "head string, relation string, tail string")
+    got = {(r["head"], r["relation"], r["tail"]): r for r in sampling.whole_test_negatives(t, t, t, sampling.entity_index(t)).collect()}
+    assert len(got) == 5
+    assert all(got[x]["skipped"] == 1 and got[x]["neg_head"] is None and got[x]["accidental"] == 60 for x in full)
+    r = got["a", "one", "z"]
+    assert r["skipped"] == 0 and (r["neg_head"], r["neg_tail"]) != ("a", "z") and r["neg_head"] != r["neg_tail"]
+
+
 def test_negatives(spark):
     t = toy(spark)
     known = {tuple(r) for r in t.collect()}
