@@ -1,11 +1,16 @@
 """Language-model scores from a hashed maximum-entropy model with class-factored softmax.
 
-P(token | history) = P(class | history) * P(token | class). The class distribution is a softmax over
-CLASSES with hashed features of the history: the word before, the two words before (n-grams) and the
-word before those (skip features). It is trained by ROUNDS of gradient updates: each task of a round
-sends its observed minus expected feature counts, Spark sums them, and the new weights are broadcast.
-Together the rounds see every training token once. The class of a token is its own, for the SINGLES
-most frequent tokens, or else a band of its count; P(token | class) is a smoothed relative frequency.
+The hash of a token names its cell, one of CELLS, by LEVELS digits of WIDTH values: its class, its
+class within that, and so on. P(token | history) = P(digit | history) * P(next digit | history, digits
+before) * ... * P(token | cell). Each digit has a softmax of its own, with features of the history and
+of the digits before it: the word before, the two words before (n-grams) and the second word before
+alone (skip); within a cell tokens have smoothed relative frequencies. Weights are hashed into 2**bits
+numbers, one for about 2**SPARE training tokens (BITS bounds them, and so what is broadcast).
+
+Training is PASSES gradient updates, each over every training token: each task sends the expected
+counts of its blocks (the observed ones once), Spark sums them, and a weight moves along its gradient,
+observed minus expected, divided by TEMPLATES and by the logarithmic mean of both counts (the step of
+iterative scaling). Nothing depends on how the rows are laid out, but for rounding.
 
 Texts are cut into blocks of about BLOCK_TOKENS tokens as they are read. A block is one row of token
 numbers, local to it and packed, with one row for each of its distinct tokens (as a 96-bit hash); a
@@ -15,7 +20,8 @@ shuffled is the blocks' vocabularies, and no vocabulary is ever broadcast or col
 Defined results: null and empty texts have the end token only; without training documents N is 0,
 no token is known, and the base score follows its formula; rows that repeat a doc_id are scored and
 counted each; an empty table gives an empty result; texts of any length are scored whole (a text
-longer than a block is a block of its own).
+longer than a block is a block of its own); a null doc_id counts as the empty text in the split;
+other columns of the input, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -35,17 +41,24 @@ from graphlens.llm.common import LOWER_BYTES, bound_batches, discard, doc_part,
 #: The token after the last word; no word is empty.
 END = b""
 BLOCK_TOKENS = 6_000_000
-CLASSES, SINGLES = 16, 8
-FEATURE_BITS = 14
-FEATURES = 1 << FEATURE_BITS
+#: Blocks of a task, and tokens of a block, that the sort key has room for.
+TASK_BLOCKS, LID_BITS = 1 << 12, 27
+LEVELS, WIDTH = 3, 16
+CELLS = WIDTH**LEVELS
+#: Numbers of the first softmax of each level; a level has one for each value of the digits before.
+FIRST_NODE = [sum(WIDTH**k for k in range(level)) for level in range(LEVELS + 1)]
+#: Least and most bits of a weight's number, and training tokens for a weight, as a power of 2.
+BITS, SPARE = (20, 24), 6
 TEMPLATES = 3
-ROUNDS = 3
-#: Added to a feature's count in the denominator of its update.
-DAMPING = 5.0
-CHUNKS = 16
-SALTS = 32
-SLICE = 200_000
+PASSES = 3
+#: Added to observed and expected counts.
+SMOOTHING = 2.0
+#: Training tokens for each weight that a gradient task sends, and weights in one row of what it sends.
+TOKENS_PER_SENT, CHUNK = 4, 1 << 16
+#: Tokens whose softmax is computed at once.
+SLICE = 1 << 15
 START = np.uint64(0x51_7C_C1_B7_27_22_0A_95)
+M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 BLOCK = "block long, lid int, h long, g int, n long, docs array<long>, parts array<int>, lens array<int>, ids binary"
 NAMES = ["block", "lid", "h", "g", "n", "docs", "parts", "lens", "ids"]
@@ -76,7 +89,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal made, size
         if not docs:
             return
-        block, n = task << 16 | made, len(vocab)
+        block, n = task * TASK_BLOCKS + made, len(vocab)
+        if made >= TASK_BLOCKS or n >= 1 << LID_BITS or block >= 1 << (62 - LID_BITS):
+            raise ValueError("too many blocks or tokens for the sort key")
         ids = np.concatenate([i for _, _, i in docs])
         lens = np.array([len(i) for _, _, i in docs], np.int32)
         parts = np.array([p for _, p, _ in docs], np.int32)
@@ -104,40 +119,39 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _history(h: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Feature of each template for each token; h: token hashes of whole documents, lens: their tokens."""
-    m1, m2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-    begin = np.cumsum(lens) - lens
-    back = []
-    for k in (1, 2, 3):
-        x = np.concatenate([np.full(k, START), h[:-k]])[: len(h)]
-        for j in range(k):  # what lies before a document is the start mark
-            x[np.minimum(begin + j, len(h) - 1)[lens > j]] = START
-        back.append(x)
-    keys = (back[0] * m1, (back[0] * m1 ^ (back[1] + m2)) * m2, (back[1] * np.uint64(3) + back[2] * m2) * m1)
-    shift = np.uint64(64 - FEATURE_BITS)
-    return np.stack([((k ^ (k >> np.uint64(29))) * m2 >> shift).astype(np.int32) for k in keys])
-
-
-def _class_log_probs(w: np.ndarray, bias: np.ndarray, feats: np.ndarray) -> np.ndarray:
-    z = bias + w[feats[0]]
-    for f in feats[1:]:
-        z += w[f]
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _features(h: np.ndarray, since: np.ndarray) -> list[np.ndarray]:
+    """Hash of each template's history; h: token hashes, two before the first, since: tokens of its document before each."""
+    one, two = np.where(since >= 1, h[1:-1], START), np.where(since >= 2, h[:-2], START)
+    return [one * M1, (one * M1 ^ (two + M3)) * M2, (two ^ M3) * M2 + M1]
+
+
+def _cells(h: np.ndarray) -> np.ndarray:
+    return ((h ^ (h >> np.uint64(31))) * M2 >> np.uint64(40)).astype(np.int64) % CELLS
 
 
-def _band(c: np.ndarray, total: int) -> np.ndarray:
-    """Class of a token by its count, among those of no class of their own."""
-    bands = CLASSES - SINGLES
-    return SINGLES + np.minimum(bands - 1, np.floor(np.log2(c + 1) / np.log2(total + 2) * bands)).astype(np.int64)
+def _digit(cells: np.ndarray, level: int) -> np.ndarray:
+    return cells // WIDTH ** (LEVELS - 1 - level) % WIDTH
 
 
-def _classes(c: np.ndarray, h: np.ndarray, total: int, top: list[int]) -> np.ndarray:
-    k = _band(c, total)
-    for i, x in enumerate(top):
-        k[h == x] = i
-    return k
+def _node(cells: np.ndarray, level: int) -> np.ndarray:
+    """Number of the softmax that gives a cell's digit of a level."""
+    return FIRST_NODE[level] + cells // WIDTH ** (LEVELS - level)
+
+
+def _rows(feature: np.ndarray, node: np.ndarray, weights: int) -> np.ndarray:
+    """The row of WIDTH weights of each feature at its node."""
+    x = (feature ^ node.astype(np.uint64) * M3) * M1
+    return ((x ^ (x >> np.uint64(29))) * M2 >> np.uint64(64 - (weights // WIDTH).bit_length() + 1)).astype(np.int64)
+
+
+def _probs(w: np.ndarray, bias: np.ndarray, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    z = bias[node]
+    for r in rows:
+        z += w[r]
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
 
 
 READY = "block long, docs array<long>, parts array<int>, lens array<int>, ids binary, c binary, h binary, own binary"
@@ -172,103 +186,145 @@ def _vocabulary(b: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np
     return tuple(np.frombuffer(b.column(n)[row].as_buffer(), t) for n, t in (("c", "<i8"), ("h", "<i8"), ("own", "?")))
 
 
-def _slices(b: pa.RecordBatch, total: int, top: list[int]) -> Iterator[tuple[list, np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
-    """(doc ids, parts, lens, vocabulary arrays and token numbers) of whole documents, SLICE tokens or one document at a time."""
+def _slices(b: pa.RecordBatch, training: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray], dict[str, np.ndarray]]]:
+    """(row, document of each token, token numbers, features, vocabulary) of SLICE tokens at a time, of training documents only or of all."""
     for row in range(b.num_rows):
-        docs = b.column("docs")[row].as_py()
         parts, lens = (b.column(c)[row].values.to_numpy().astype(np.int64) for c in ("parts", "lens"))
         ids = unpack(b.column("ids")[row].as_py())
         c, h, _ = _vocabulary(b, row)
-        vocab = {"c": c, "h": h.view(np.uint64), "k": _classes(c, h, total, top)}
+        h = h.view(np.uint64)
+        vocab = {"c": c, "cell": _cells(h)}
         ends = np.cumsum(lens)
-        at = 0
-        while at < len(lens):
-            start = ends[at] - lens[at]
-            stop = max(at + 1, int(np.searchsorted(ends, start + SLICE, "right")))
-            yield docs[at:stop], parts[at:stop], lens[at:stop], vocab | {"ids": ids[start : ends[stop - 1]]}
-            at = stop
+        for lo in range(0, len(ids), SLICE):
+            hi = min(lo + SLICE, len(ids))
+            doc = np.searchsorted(ends, np.arange(lo, hi), "right")
+            before = np.concatenate([np.full(max(0, 2 - lo), START), h[ids[max(0, lo - 2) : hi]]])
+            feats = _features(before, np.arange(lo, hi) - (ends - lens)[doc])
+            here = ids[lo:hi]
+            if training:
+                use = parts[doc] != 1
+                doc, here, feats = doc[use], here[use], [f[use] for f in feats]
+            if len(here):
+                yield row, doc, here, feats, vocab
+
+
+def _summary_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the tokens counted for a block: their count and number in each cell."""
+    for b in batches:
+        for row in range(b.num_rows):
+            c, h, own = _vocabulary(b, row)
+            mine = own & (c > 0)
+            cell = _cells(h.view(np.uint64)[mine])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CELLS)), pa.array(np.bincount(cell, weights=c[mine], minlength=CELLS).astype(np.int64)), pa.array(np.bincount(cell, minlength=CELLS))], names=["cell", "c", "n"])
 
 
-def _summary_task(total: int):
-    """Of the tokens counted for a block: the most frequent ones (kind 1: hash, count), and the sum and number in each band (kind 0)."""
+def weight_bits(total: int) -> int:
+    return min(max(total.bit_length() - SPARE, BITS[0]), BITS[1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in range(b.num_rows):
-                c, h, own = _vocabulary(b, row)
-                mine = own & (c > 0)
-                c, h = c[mine], h[mine]
-                best = np.lexsort((h, -c))[:SINGLES]
-                k = _band(c, total)
-                sums, n = np.bincount(k, weights=c, minlength=CLASSES), np.bincount(k, minlength=CLASSES)
-                kinds = np.concatenate([np.ones(len(best), np.int32), np.zeros(CLASSES, np.int32)])
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate([h[best], np.arange(CLASSES)])), pa.array(np.concatenate([c[best], sums.astype(np.int64)])), pa.array(np.concatenate([np.ones(len(best), np.int64), n]))], names=["kind", "key", "c", "n"])
 
-    return run
+def biases(in_cell: np.ndarray) -> np.ndarray:
+    """Log relative frequency of each digit at each node, from the training tokens of the cells."""
+    out = np.zeros((FIRST_NODE[LEVELS], WIDTH), np.float32)
+    for level in range(LEVELS):
+        n = in_cell.reshape(WIDTH ** (level + 1), -1).sum(axis=1).reshape(-1, WIDTH) + 0.5
+        out[FIRST_NODE[level] : FIRST_NODE[level + 1]] = np.log(n / n.sum(axis=1, keepdims=True))
+    return out
+
+
+COUNTS = "chunk int, salt int, expected binary, observed binary"
 
 
-GRADIENT = "chunk int, salt int, g binary, n binary"
+def expected_counts(slices, w: np.ndarray, bias: np.ndarray, observe: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Sums over the tokens of the probabilities of every digit, and of the digits there are, by weight."""
+    flat = np.arange(WIDTH)
+    expected, observed = np.zeros(w.size), np.zeros(w.size) if observe else None
+    for _, _, ids, feats, x in slices:
+        cells = x["cell"][ids]
+        for level in range(LEVELS):
+            node, digit = _node(cells, level), _digit(cells, level)
+            rows = [_rows(f, node, w.size) for f in feats]
+            p = _probs(w, bias, node, rows).astype(np.float64).ravel()
+            for r in rows:
+                np.add.at(expected, (r[:, None] * WIDTH + flat).ravel(), p)
+                if observe:
+                    np.add.at(observed, r * WIDTH + digit, 1.0)
+    return expected, observed
 
 
-def _gradient_task(shared):
+def _counts_task(shared, salts: int, observe: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, bias, total, top = shared.value
-        grad, seen = np.zeros((FEATURES, CLASSES)), np.zeros(FEATURES)
-        some = False
-        for b in batches:
-            for _, parts, lens, x in _slices(b, total, top):
-                if not (parts != 1).any():
-                    continue
-                some = True
-                use = np.repeat(parts != 1, lens)
-                feats = _history(x["h"][x["ids"]], lens)[:, use]
-                k = x["k"][x["ids"][use]]
-                p = np.exp(_class_log_probs(w, bias, feats))
-                for f in feats:
-                    seen += np.bincount(f, minlength=FEATURES)
-                    grad += np.bincount(f.astype(np.int64) * CLASSES + k, minlength=FEATURES * CLASSES).reshape(grad.shape)
-                    for c in range(CLASSES):
-                        grad[:, c] -= np.bincount(f, weights=p[:, c], minlength=FEATURES)
-        if some:
-            salt = TaskContext.get().partitionId() % SALTS
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(np.full(CHUNKS, salt, np.int32)), pa.array([g.tobytes() for g in np.split(grad, CHUNKS)], pa.binary()), pa.array([s.tobytes() for s in np.split(seen, CHUNKS)], pa.binary())], names=["chunk", "salt", "g", "n"])
+        w, bias = shared.value
+        sums = expected_counts((s for b in batches for s in _slices(b, training=True)), w, bias, observe)
+        n = w.size // CHUNK
+        cut = [pa.array([part.astype(np.float32).tobytes() for part in np.split(x, n)], pa.binary()) if x is not None else pa.nulls(n, pa.binary()) for x in sums]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, TaskContext.get().partitionId() % salts, np.int32)), *cut], names=["chunk", "salt", "expected", "observed"])
 
     return run
 
 
 def _summed(group: pa.Table) -> pa.Table:
-    add = lambda c: np.add.reduce([np.frombuffer(x.as_buffer()) for x in group.column(c)]).tobytes()
-    return pa.table({"chunk": group.column("chunk")[:1], "salt": group.column("salt")[:1], "g": pa.array([add("g")], pa.binary()), "n": pa.array([add("n")], pa.binary())})
+    def add(name: str) -> pa.Array:
+        some = [np.frombuffer(x.as_buffer(), np.float32) for x in group.column(name) if x.is_valid]
+        return pa.array([np.add.reduce(some, dtype=np.float64).astype(np.float32).tobytes() if some else None], pa.binary())
+
+    return pa.table({"chunk": group.column("chunk")[:1], "salt": group.column("salt")[:1], "expected": add("expected"), "observed": add("observed")})
+
+
+def step(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """What is added to the weights: the gradient, observed - expected, over TEMPLATES times the logarithmic mean of both."""
+    return np.log((observed + SMOOTHING) / (expected + SMOOTHING)) / TEMPLATES
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        both = zip(b.column("observed"), b.column("expected"), strict=True)
+        steps = [step(*(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in r)).astype(np.float32).tobytes() for r in both]
+        yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(steps, pa.binary())], names=["chunk", "step"])
 
 
-def train(blocks: DataFrame, bias: np.ndarray, total: int, top: list[int]) -> np.ndarray:
-    """Class weights [feature, class] after ROUNDS of updates, each over its share of the blocks."""
+def train(blocks: DataFrame, bias: np.ndarray, total: int) -> np.ndarray:
+    """The weights, in rows of WIDTH, after PASSES updates over all training tokens."""
     sc = blocks.sparkSession.sparkContext
-    w = np.zeros((FEATURES, CLASSES), np.float32)
-    for r in range(ROUNDS):
-        mine = blocks.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == r)
-        shared = sc.broadcast((w, bias, total, top))
-        parts = mine.mapInArrow(_gradient_task(shared), GRADIENT).groupBy("chunk", "salt").applyInArrow(_summed, GRADIENT)
-        rows = parts.groupBy("chunk").applyInArrow(_summed, GRADIENT).collect()  # CHUNKS rows, the size of the weights
-        for x in rows:
-            at = slice(x["chunk"] * FEATURES // CHUNKS, (x["chunk"] + 1) * FEATURES // CHUNKS)
-            w[at] += (np.frombuffer(x["g"]).reshape(-1, CLASSES) / (np.frombuffer(x["n"])[:, None] + DAMPING)).astype(np.float32)
+    w = np.zeros((1 << weight_bits(total)) // WIDTH * WIDTH, np.float32).reshape(-1, WIDTH)
+    tasks = max(1, total // (TOKENS_PER_SENT * w.size))  # so that the counts sent stay a share of the input
+    salts = int(tasks**0.5) + 1
+    seen = None
+    for turn in range(PASSES):
+        shared = sc.broadcast((w, bias))
+        parts = blocks.coalesce(tasks).mapInArrow(_counts_task(shared, salts, turn == 0), COUNTS).groupBy("chunk", "salt").applyInArrow(_summed, COUNTS)
+        whole = parts.groupBy("chunk").applyInArrow(_summed, COUNTS)
+        if seen is None:
+            whole = seen = materialize(whole)
+        else:
+            whole = whole.drop("observed").join(seen.select("chunk", "observed"), "chunk")
+        for r in whole.select("chunk", "expected", "observed").mapInArrow(_steps, "chunk int, step binary").collect():  # the size of the weights
+            w.ravel()[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] += np.frombuffer(r["step"], np.float32)
+        shared.destroy()
+    discard(seen)
     return w
 
 
 def _score_task(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, bias, total, distinct, in_class, kinds, top = shared.value
+        w, bias, total, in_cell, kinds = shared.value
+        distinct = kinds.sum()
         for b in batches:
-            for docs, parts, lens, x in _slices(b, total, top):
-                ids, c, k = x["ids"], x["c"], x["k"]
+            sums = [np.zeros((3, len(b.column("lens")[row]))) for row in range(b.num_rows)]
+            for row, doc, ids, feats, x in _slices(b, training=False):
+                c, cells = x["c"][ids], x["cell"][ids]
+                logp = np.log10((c + 0.5) / (in_cell[cells] + 0.5 * (kinds[cells] + 1)))
+                for level in range(LEVELS):
+                    node = _node(cells, level)
+                    p = _probs(w, bias, node, [_rows(f, node, w.size) for f in feats])
+                    logp += np.log10(p[np.arange(len(ids)), _digit(cells, level)].astype(np.float64))
+                n = sums[row].shape[1]
                 base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-                given = np.log10((c + 0.5) / (in_class[k] + 0.5 * (kinds[k] + 1)))
-                feats = _history(x["h"][ids], lens)
-                logp = _class_log_probs(w, bias, feats)[np.arange(len(ids)), k[ids]] / np.log(10)
-                starts = np.cumsum(lens) - lens
-                sums = [np.add.reduceat(v, starts) for v in (base[ids], logp.astype(np.float64) + given[ids], (c[ids] > 0).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(parts == 1), pa.array(lens), pa.array(sums[2]), pa.array(np.full(len(lens), total)), pa.array(sums[0]), pa.array(sums[1])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                for at, v in enumerate((base, logp, (c > 0).astype(np.float64))):
+                    sums[row][at] += np.bincount(doc, weights=v, minlength=n)
+            for row, (base, logp, known) in enumerate(sums):
+                parts, lens = (b.column(k)[row].values.to_numpy().astype(np.int64) for k in ("parts", "lens"))
+                docs = pa.array(b.column("docs")[row].as_py(), pa.int64())
+                yield pa.RecordBatch.from_arrays([docs, pa.array(parts == 1), pa.array(lens), pa.array(known.astype(np.int64)), pa.array(np.full(len(lens), total)), pa.array(base), pa.array(logp)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -287,25 +343,17 @@ def score(docs: DataFrame) -> DataFrame:
     # empty lists rather than nulls: Arrow's list vectors fill up null rows again and again when batches are sized by bytes
     rows = rows.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (("docs", "array<bigint>"), ("parts", "array<int>"), ("lens", "array<int>"))})
     # one number for block and token, so that Spark's sort needs no more than its prefix; a block's texts come first
-    rows = rows.withColumn("at", F.shiftleft("block", 27) + F.coalesce(F.col("lid") + 1, F.lit(0)))
-    blocks = materialize(rows.repartition("block").sortWithinPartitions("at").mapInArrow(_assemble, READY))
+    rows = rows.withColumn("at", F.shiftleft("block", LID_BITS) + F.coalesce(F.col("lid") + 1, F.lit(0)))
+    rows = rows.repartition(max(1, texts.count()), "block").sortWithinPartitions("at")  # a partition for each block, about
+    blocks = materialize(rows.mapInArrow(_assemble, READY))
     discard(raw)
-    summary = blocks.select("c", "h", "own").mapInArrow(_summary_task(total), "kind int, key long, c long, n long")
-    summary = materialize(summary.groupBy("kind", "key").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
-    best = [(r["key"], r["c"]) for r in summary.filter("kind = 1").orderBy(F.desc("c"), "key").limit(SINGLES).collect()]
-    in_class, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in summary.filter("kind = 0").collect():  # CLASSES rows
-        in_class[r["key"]], kinds[r["key"]] = r["c"], r["n"]
-    distinct = int(kinds.sum())
-    for i, (_, c) in enumerate(best):
-        band = int(_band(np.array([c]), total)[0])
-        in_class[band] -= c
-        kinds[band] -= 1
-        in_class[i], kinds[i] = c, 1
-    top = [h for h, _ in best]
-    bias = np.log((in_class + 0.5) / (in_class + 0.5).sum()).astype(np.float32)
-    w = train(blocks, bias, total, top)
-    shared = blocks.sparkSession.sparkContext.broadcast((w, bias, total, distinct, in_class, kinds, top))
+    summary = blocks.select("c", "h", "own").mapInArrow(_summary_task, "cell long, c long, n long").groupBy("cell").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    in_cell, kinds = np.zeros(CELLS), np.zeros(CELLS)
+    for r in summary.collect():  # CELLS rows
+        in_cell[r["cell"]], kinds[r["cell"]] = r["c"], r["n"]
+    bias = biases(in_cell)
+    w = train(blocks, bias, total)
+    shared = blocks.sparkSession.sparkContext.broadcast((w, bias, total, in_cell, kinds))
     return blocks.mapInArrow(_score_task(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
