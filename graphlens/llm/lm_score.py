@@ -286,7 +286,7 @@ def train(blocks: DataFrame, bias: np.ndarray, total: int) -> np.ndarray:
     """The weights, in rows of WIDTH, after PASSES updates over all training tokens."""
     sc = blocks.sparkSession.sparkContext
     w = np.zeros((1 << weight_bits(total)) // WIDTH * WIDTH, np.float32).reshape(-1, WIDTH)
-    tasks = max(1, total // (TOKENS_PER_SENT * w.size))  # so that the counts sent stay a share of the input
+    tasks = max(sc.defaultParallelism, total // (TOKENS_PER_SENT * w.size))  # so that the counts sent stay a share of a large input
     salts = int(tasks**0.5) + 1
     seen = None
     for turn in range(PASSES):
