@@ -30,20 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import pyarrow.ipc  # noqa: F401
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import LOWER_BYTES, bound_batches, discard, doc_part, materialize, read_table
+from graphlens.llm.common import bound_batches, discard, doc_part, materialize, read_table
 
 #: The token after the last word; no word is empty.
 END = b""
-BLOCK_TOKENS = 6_000_000
+BLOCK_TOKENS = 3_000_000
 #: Blocks of a task, and tokens of a block, that the sort key has room for.
 TASK_BLOCKS, LID_BITS = 1 << 12, 27
-LEVELS, WIDTH = 3, 16
+LEVELS, WIDTH = 3, 8
 CELLS = WIDTH**LEVELS
 #: Numbers of the first softmax of each level; a level has one for each value of the digits before.
 FIRST_NODE = [sum(WIDTH**k for k in range(level)) for level in range(LEVELS + 1)]
@@ -56,16 +58,16 @@ SMOOTHING = 2.0
 #: Training tokens for each weight that a gradient task sends, and weights in one row of what it sends.
 TOKENS_PER_SENT, CHUNK = 4, 1 << 16
 #: Tokens whose softmax is computed at once.
-SLICE = 1 << 15
+SLICE = 1 << 13
 START = np.uint64(0x51_7C_C1_B7_27_22_0A_95)
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
-BLOCK = "block long, lid int, h long, g int, n long, docs array<long>, parts array<int>, lens array<int>, ids binary"
-NAMES = ["block", "lid", "h", "g", "n", "docs", "parts", "lens", "ids"]
+#: Logits are kept within these bounds, so that no sum of exponentials is 0 or infinite.
+LOGIT = 60.0
 
-
-def tokens(text: str | None) -> list[bytes]:
-    return [*(text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split(), END]
+#: A block's documents (body) come before its tokens in the order of `at`.
+BLOCK = "at long, h long, g int, n long, body binary"
+NAMES = ["at", "h", "g", "n", "body"]
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -78,55 +80,67 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: a block's documents as token numbers, and its distinct tokens with their training counts."""
-    task, made = TaskContext.get().partitionId(), 0
-    vocab: dict[bytes, int] = {}
-    docs: list[tuple[int | None, int, np.ndarray]] = []
-    size = 0
+def _words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, one after the other, and their number in each text."""
+    split = pa.compute.ascii_split_whitespace(pa.compute.fill_null(pa.compute.ascii_lower(text), ""))
+    flat, lens = split.flatten(), split.value_lengths().to_numpy()
+    some = pa.compute.greater(pa.compute.binary_length(flat), 0)
+    return flat.filter(some), np.bincount(np.repeat(np.arange(len(lens)), lens), weights=some.to_numpy(zero_copy_only=False), minlength=len(lens)).astype(np.int64)
+
+
+def _block(number: int, docs: tuple[pa.Array, ...], parts: tuple[np.ndarray, ...], words: tuple[pa.Array, ...], counts: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    """A row with a block's documents as token numbers, then one for each of its tokens with its training count."""
+    coded = pa.concat_arrays(words).dictionary_encode()
+    vocab = [*coded.dictionary.cast(pa.binary()).to_pylist(), END]
+    lens, parts, n = np.concatenate(counts) + 1, np.concatenate(parts), len(vocab)
+    ids = np.full(lens.sum(), n - 1)
+    ids[np.arange(len(coded)) + np.repeat(np.arange(len(lens)), lens - 1)] = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(-np.bincount(ids, minlength=n), kind="stable")  # frequent tokens get small numbers
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    ids = place[ids]
+    counts = np.bincount(ids[np.repeat(parts != 1, lens)], minlength=n)
+    body = pa.record_batch([pa.array([x], pa.list_(t)) for x, t in ((pa.concat_arrays(docs).to_pylist(), pa.int64()), (parts, pa.int32()), (lens, pa.int64()))] + [pa.array([pack(ids)], pa.binary())], names=["docs", "parts", "lens", "ids"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, body.schema) as out:
+        out.write_batch(body)
+    at = number << LID_BITS
+    if n >= (1 << LID_BITS) - 1 or at >= 1 << 62:
+        raise ValueError("too many blocks or tokens for the sort key")
+    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([0]), pa.array([0], pa.int32()), pa.array([0]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=NAMES)
+    keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, vocab)), ">u8").reshape(n, 2).astype(np.uint64)[order]
+    yield pa.RecordBatch.from_arrays([pa.array(at + 1 + np.arange(n)), pa.array(keys[:, 1].copy().view(np.int64)), pa.array((keys[:, 0] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(counts), pa.nulls(n, pa.binary())], names=NAMES)
+
+
+def _blocks(block_tokens: int):
+    """The rows of _block() for all blocks of a partition."""
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal made, size
-        if not docs:
-            return
-        block, n = task * TASK_BLOCKS + made, len(vocab)
-        if made >= TASK_BLOCKS or n >= 1 << LID_BITS or block >= 1 << (62 - LID_BITS):
-            raise ValueError("too many blocks or tokens for the sort key")
-        ids = np.concatenate([i for _, _, i in docs])
-        lens = np.array([len(i) for _, _, i in docs], np.int32)
-        parts = np.array([p for _, p, _ in docs], np.int32)
-        order = np.argsort(-np.bincount(ids, minlength=n), kind="stable")  # frequent tokens get small numbers
-        place = np.empty(n, np.int32)
-        place[order] = np.arange(n, dtype=np.int32)
-        counts = np.bincount(place[ids[np.repeat(parts != 1, lens)]], minlength=n)
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([block], types[0]), *(pa.nulls(1, t) for t in types[1:5]), pa.array([[d for d, _, _ in docs]], types[5]), pa.array([parts], types[6]), pa.array([lens], types[7]), pa.array([pack(place[ids])], types[8])], names=NAMES)
-        keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, vocab)), ">u8").reshape(n, 2).astype(np.uint64)[order]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(keys[:, 1].copy().view(np.int64)), pa.array((keys[:, 0] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(counts.astype(np.int64)), *(pa.nulls(n, t) for t in types[5:])], names=NAMES)
-        made += 1
-        size = 0
-        docs.clear()
-        vocab.clear()
-
-    number = lambda t: vocab.setdefault(t, len(vocab))
-    for b in batches:
-        for doc, part, text in zip(b.column("doc_id"), b.column("part"), b.column("text"), strict=True):
-            words = tokens(text.as_py())
-            docs.append((doc.as_py(), part.as_py(), np.fromiter(map(number, words), np.int32, len(words))))
-            size += len(words)
-            if size >= BLOCK_TOKENS:
-                yield from flush()
-    yield from flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, size = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []
+        for b in batches:
+            words, n = _words(b.column("text"))
+            held.append((b.column("doc_id"), b.column("part").to_numpy(zero_copy_only=False), words, n))
+            size += len(words) + len(n)
+            if size >= block_tokens:
+                if made == TASK_BLOCKS:
+                    raise ValueError("too many blocks of a task for the sort key")
+                yield from _block(task * TASK_BLOCKS + made, *zip(*held, strict=True))
+                held, made, size = [], made + 1, 0
+        if held:
+            yield from _block(task * TASK_BLOCKS + made, *zip(*held, strict=True))
+
+    return run
 
 
 def _features(h: np.ndarray, since: np.ndarray) -> list[np.ndarray]:
     """Hash of each template's history; h: token hashes, two before the first, since: tokens of its document before each."""
     one, two = np.where(since >= 1, h[1:-1], START), np.where(since >= 2, h[:-2], START)
-    return [one * M1, (one * M1 ^ (two + M3)) * M2, (two ^ M3) * M2 + M1]
+    return [one * M1, (one * M1 ^ (two + M3)) * M2, (two ^ M3) * M2]
 
 
 def _cells(h: np.ndarray) -> np.ndarray:
-    return ((h ^ (h >> np.uint64(31))) * M2 >> np.uint64(40)).astype(np.int64) % CELLS
+    return (h * M2 >> np.uint64(40)).astype(np.int64) % CELLS
 
 
 def _digit(cells: np.ndarray, level: int) -> np.ndarray:
@@ -140,69 +154,74 @@ def _node(cells: np.ndarray, level: int) -> np.ndarray:
 
 def _rows(feature: np.ndarray, node: np.ndarray, weights: int) -> np.ndarray:
     """The row of WIDTH weights of each feature at its node."""
-    x = (feature ^ node.astype(np.uint64) * M3) * M1
-    return ((x ^ (x >> np.uint64(29))) * M2 >> np.uint64(64 - (weights // WIDTH).bit_length() + 1)).astype(np.int64)
+    bits = (weights // WIDTH).bit_length() - 1
+    return ((feature ^ node.astype(np.uint64) * M3) * M1 >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _probs(w: np.ndarray, bias: np.ndarray, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     z = bias[node]
     for r in rows:
         z += w[r]
-    z -= z.max(axis=1, keepdims=True)
+    np.clip(z, -LOGIT, LOGIT, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ np.ones(WIDTH, np.float32))[:, None]
     return z
 
 
-READY = "block long, docs array<long>, parts array<int>, lens array<int>, ids binary, c binary, h binary, own binary"
+READY = "body binary, c binary, h binary, own binary"
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (block, lid), the block's texts first: one row for each block, with its vocabulary as packed arrays."""
-    texts, held = None, []
+    """Rows sorted by `at`: one row for each block, its documents and its vocabulary as packed arrays."""
+    body, held = None, []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if texts is not None:
-            c, h, own = (np.concatenate([x[i] for x in held]) if held else np.zeros(0, np.int64) for i in range(3))
-            packed = [pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((c, "<i8"), (h, "<i8"), (own, "?"))]
-            yield pa.RecordBatch.from_arrays([*texts, *packed], names=["block", "docs", "parts", "lens", "ids", "c", "h", "own"])
+        if body is not None:
+            c, h = (np.concatenate([x[i] for x in held]) for i in range(2))
+            packed = [pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((c >> 1, "<i8"), (h, "<i4"), (c & 1, "?"))]
+            yield pa.RecordBatch.from_arrays([body, *packed], names=["body", "c", "h", "own"])
 
     for b in batches:
-        starts = np.nonzero(b.column("lid").is_null().to_numpy(zero_copy_only=False))[0].tolist()
+        starts = np.nonzero(b.column("body").is_valid().to_numpy(zero_copy_only=False))[0].tolist()
         for lo, hi in zip([0, *starts], [*starts, b.num_rows], strict=True):
             if lo == hi:
                 continue
             if lo in starts:
                 yield from flush()
-                texts, held = [b.column(c).slice(lo, 1) for c in ("block", "docs", "parts", "lens", "ids")], []
+                body, held = pa.array([b.column("body")[lo].as_py()], pa.binary()), []
                 lo += 1
             if hi > lo:
-                held.append(tuple(b.column(c).slice(lo, hi - lo).to_numpy(zero_copy_only=False).copy() for c in ("c", "h", "own")))
+                held.append(tuple(b.column(x).slice(lo, hi - lo).to_numpy(zero_copy_only=False).copy() for x in ("c", "h")))
     yield from flush()
 
 
 def _vocabulary(b: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(counts, hashes, whether the token is counted for this block) by token number."""
-    return tuple(np.frombuffer(b.column(n)[row].as_buffer(), t) for n, t in (("c", "<i8"), ("h", "<i8"), ("own", "?")))
+    c, h, own = (np.frombuffer(b.column(n)[row].as_buffer(), t) for n, t in (("c", "<i8"), ("h", "<u4"), ("own", "?")))
+    return c, h.astype(np.uint64), own
+
+
+def _documents(b: pa.RecordBatch, row: int) -> dict:
+    """A block's document ids, parts, numbers of tokens, and packed token numbers."""
+    t = pa.ipc.open_stream(b.column("body")[row].as_buffer()).read_next_batch()
+    return {"docs": t.column("docs")[0].values, "parts": t.column("parts")[0].values.to_numpy(), "lens": t.column("lens")[0].values.to_numpy(), "ids": t.column("ids")[0].as_py()}
 
 
 def _slices(b: pa.RecordBatch, training: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray], dict[str, np.ndarray]]]:
     """(row, document of each token, token numbers, features, vocabulary) of SLICE tokens at a time, of training documents only or of all."""
     for row in range(b.num_rows):
-        parts, lens = (b.column(c)[row].values.to_numpy().astype(np.int64) for c in ("parts", "lens"))
-        ids = unpack(b.column("ids")[row].as_py())
+        d = _documents(b, row)
+        ids, lens = unpack(d["ids"]), d["lens"]
         c, h, _ = _vocabulary(b, row)
-        h = h.view(np.uint64)
         vocab = {"c": c, "cell": _cells(h)}
-        ends = np.cumsum(lens)
+        docs = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+        begin = np.cumsum(lens) - lens
         for lo in range(0, len(ids), SLICE):
-            hi = min(lo + SLICE, len(ids))
-            doc = np.searchsorted(ends, np.arange(lo, hi), "right")
-            before = np.concatenate([np.full(max(0, 2 - lo), START), h[ids[max(0, lo - 2) : hi]]])
-            feats = _features(before, np.arange(lo, hi) - (ends - lens)[doc])
-            here = ids[lo:hi]
+            here, doc = ids[lo : lo + SLICE], docs[lo : lo + SLICE]
+            before = np.concatenate([np.full(max(0, 2 - lo), START), h[ids[max(0, lo - 2) : lo + SLICE]]])
+            feats = _features(before, np.arange(lo, lo + len(here)) - begin[doc])
             if training:
-                use = parts[doc] != 1
+                use = d["parts"][doc] != 1
                 doc, here, feats = doc[use], here[use], [f[use] for f in feats]
             if len(here):
                 yield row, doc, here, feats, vocab
@@ -214,7 +233,7 @@ def _summary_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for row in range(b.num_rows):
             c, h, own = _vocabulary(b, row)
             mine = own & (c > 0)
-            cell = _cells(h.view(np.uint64)[mine])
+            cell = _cells(h[mine])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(CELLS)), pa.array(np.bincount(cell, weights=c[mine], minlength=CELLS).astype(np.int64)), pa.array(np.bincount(cell, minlength=CELLS))], names=["cell", "c", "n"])
 
 
@@ -309,7 +328,8 @@ def _score_task(shared):
         w, bias, total, in_cell, kinds = shared.value
         distinct = kinds.sum()
         for b in batches:
-            sums = [np.zeros((3, len(b.column("lens")[row]))) for row in range(b.num_rows)]
+            each = [_documents(b, row) for row in range(b.num_rows)]
+            sums = [np.zeros((3, len(d["lens"]))) for d in each]
             for row, doc, ids, feats, x in _slices(b, training=False):
                 c, cells = x["c"][ids], x["cell"][ids]
                 logp = np.log10((c + 0.5) / (in_cell[cells] + 0.5 * (kinds[cells] + 1)))
@@ -321,30 +341,25 @@ def _score_task(shared):
                 base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
                 for at, v in enumerate((base, logp, (c > 0).astype(np.float64))):
                     sums[row][at] += np.bincount(doc, weights=v, minlength=n)
-            for row, (base, logp, known) in enumerate(sums):
-                parts, lens = (b.column(k)[row].values.to_numpy().astype(np.int64) for k in ("parts", "lens"))
-                docs = pa.array(b.column("docs")[row].as_py(), pa.int64())
-                yield pa.RecordBatch.from_arrays([docs, pa.array(parts == 1), pa.array(lens), pa.array(known.astype(np.int64)), pa.array(np.full(len(lens), total)), pa.array(base), pa.array(logp)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            for d, (base, logp, known) in zip(each, sums, strict=True):
+                yield pa.RecordBatch.from_arrays([d["docs"], pa.array(d["parts"] == 1), pa.array(d["lens"]), pa.array(known.astype(np.int64)), pa.array(np.full(len(base), total)), pa.array(base), pa.array(logp)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each document."""
     src = docs.select("doc_id", doc_part(F.col("doc_id"), 5).cast("int").alias("part"), "text")
     bound_batches(docs.sparkSession)
-    raw = materialize(src.mapInArrow(_blocks, BLOCK))
-    vocab = raw.filter(F.col("lid").isNotNull()).select("block", "lid", "h", "g", "n")
+    raw = materialize(src.mapInArrow(_blocks(block_tokens), BLOCK))
+    vocab = raw.filter(F.col("body").isNull()).select("at", "h", "g", "n")
     total = vocab.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     same = Window.partitionBy("h", "g")  # one row for each block at most
-    summed = vocab.withColumns({"c": F.sum("n").over(same), "own": F.col("block") == F.min("block").over(same)})
-    texts = raw.filter(F.col("ids").isNotNull()).select("block", "lid", "docs", "parts", "lens", "ids")
-    rows = texts.unionByName(summed.select("block", "lid", "c", "h", "own"), allowMissingColumns=True)
-    # empty lists rather than nulls: Arrow's list vectors fill up null rows again and again when batches are sized by bytes
-    rows = rows.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (("docs", "array<bigint>"), ("parts", "array<int>"), ("lens", "array<int>"))})
-    # one number for block and token, so that Spark's sort needs no more than its prefix; a block's texts come first
-    rows = rows.withColumn("at", F.shiftleft("block", LID_BITS) + F.coalesce(F.col("lid") + 1, F.lit(0)))
-    rows = rows.repartition(max(1, texts.count()), "block").sortWithinPartitions("at")  # a partition for each block, about
+    own = F.col("at") == F.min("at").over(same)
+    summed = vocab.select("at", F.shiftright("h", 32).cast("int").alias("h"), (F.sum("n").over(same) * 2 + own.cast("int")).alias("c"), F.lit(None).cast("binary").alias("body"))
+    texts = raw.filter(F.col("body").isNotNull()).select("at", F.lit(0).alias("h"), F.lit(0).cast("long").alias("c"), "body")
+    # twice as many partitions as blocks, so that few hold several
+    rows = texts.unionByName(summed).repartition(2 * max(1, texts.count()), F.shiftright("at", LID_BITS)).sortWithinPartitions("at")
     blocks = materialize(rows.mapInArrow(_assemble, READY))
     discard(raw)
     summary = blocks.select("c", "h", "own").mapInArrow(_summary_task, "cell long, c long, n long").groupBy("cell").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
