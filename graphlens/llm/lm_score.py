@@ -50,7 +50,7 @@ CELLS = WIDTH**LEVELS
 #: Numbers of the first softmax of each level; a level has one for each value of the digits before.
 FIRST_NODE = [sum(WIDTH**k for k in range(level)) for level in range(LEVELS + 1)]
 #: Least and most bits of a weight's number, and training tokens for a weight, as a power of 2.
-BITS, SPARE = (20, 24), 6
+BITS, SPARE = (20, 24), 7
 TEMPLATES = 3
 PASSES = 3
 #: Added to observed and expected counts.
@@ -159,9 +159,9 @@ def _rows(feature: np.ndarray, node: np.ndarray, weights: int) -> np.ndarray:
 
 
 def _probs(w: np.ndarray, bias: np.ndarray, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = bias[node]
+    z = np.take(bias, node, axis=0)
     for r in rows:
-        z += w[r]
+        z += np.take(w, r, axis=0)
     np.clip(z, -LOGIT, LOGIT, out=z)
     np.exp(z, out=z)
     z /= (z @ np.ones(WIDTH, np.float32))[:, None]
@@ -255,16 +255,16 @@ COUNTS = "chunk int, salt int, expected binary, observed binary"
 
 def expected_counts(slices, w: np.ndarray, bias: np.ndarray, observe: bool) -> tuple[np.ndarray, np.ndarray | None]:
     """Sums over the tokens of the probabilities of every digit, and of the digits there are, by weight."""
-    flat = np.arange(WIDTH)
+    pairs = np.arange(WIDTH // 2)  # numbers are added two at a time, as the parts of complex ones
     expected, observed = np.zeros(w.size), np.zeros(w.size) if observe else None
     for _, _, ids, feats, x in slices:
         cells = x["cell"][ids]
         for level in range(LEVELS):
             node, digit = _node(cells, level), _digit(cells, level)
             rows = [_rows(f, node, w.size) for f in feats]
-            p = _probs(w, bias, node, rows).astype(np.float64).ravel()
+            p = _probs(w, bias, node, rows).astype(np.float64).ravel().view(np.complex128)
             for r in rows:
-                np.add.at(expected, (r[:, None] * WIDTH + flat).ravel(), p)
+                np.add.at(expected.view(np.complex128), (r[:, None] * (WIDTH // 2) + pairs).ravel(), p)
                 if observe:
                     np.add.at(observed, r * WIDTH + digit, 1.0)
     return expected, observed
