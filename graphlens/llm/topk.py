@@ -1,9 +1,11 @@
 """Exact top-k search by tiled matrix products.
 
-Queries are taken in blocks of at most BLOCK_BYTES, each block is broadcast, and every partition of
-the vectors (a shard) multiplies tiles of TILE_Q queries by TILE_C vectors, keeps the best k of each
-tile by partial selection, and merges them into one list per query. The lists of all shards are
-merged per query by a window whose per-partition limit prunes before the shuffle.
+Queries are cut into blocks of about BLOCK_BYTES and vectors into shards of about SHARD_BYTES, both by
+hash. Spark brings every block to every shard (a stated query set against all rows): the rows of a
+pair are sorted so that the queries come first, and the vectors stream past them in tiles of TILE_Q
+queries by TILE_C vectors. Each tile gives the best k by partial selection, each pair one list per
+query, and the lists of FAN shards at a time are merged until one is left: a tree. Nothing is
+collected or broadcast.
 
 Components become floor(256 * x) and scores are exact integers: products run in doubles while every
 sum stays below 2**50, else in unbounded integers, clipped to the range of a long.
@@ -12,25 +14,27 @@ Defined results: vectors that are null or hold a null or non-finite component, a
 vec_id, take no part; vectors are compared with those of their own length only; an id is never its
 own neighbour, and repeated rows of a query id are one query (the first vector in order), while
 repeated candidates count each; ties go to the smaller vec_id; a query with fewer candidates gets
-all of them.
+all of them; empty tables give an empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import read_table
+from graphlens.llm.common import bound_batches, read_table
 
 K = 5
 QUERY_EVERY = 50
 SCALE = 256.0
 BLOCK_BYTES = 32 << 20
+SHARD_BYTES = 256 << 20
+#: Lists that are merged at once.
+FAN = 16
 TILE_Q = 1024
 TILE_C = 2048
 SAFE = float(1 << 50)
@@ -40,14 +44,14 @@ NONE = np.iinfo(np.int64).min
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v) of the vectors that take part."""
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    v = vectors.select("vec_id", F.col("embedding").alias("v"))
     return v.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(finite)
 
 
 def _matrix(column: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(length, row numbers, matrix of quantised components) for each length of vector in the column."""
     lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     out = []
     for n in np.unique(lengths):
@@ -86,48 +90,82 @@ def tile_best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarr
     return np.broadcast_to(ids, s.shape), s
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score) of the best k for each query; both frames have vec_id and embedding."""
-    spark = vectors.sparkSession
+    bound_batches(vectors.sparkSession)
     q = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    size = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    blocks = max(1, -(-size["n"] * 8 * (size["d"] or 1) // BLOCK_BYTES))
     c = usable(vectors)
-    best = [c.mapInArrow(_shard(spark.sparkContext.broadcast(_block(q, b, blocks)), k), "query_id long, vec_id long, score long") for b in range(blocks)]
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return reduce(DataFrame.unionByName, best).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    many = lambda df, most: max(1, -(-(df.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0) * 8 // most))
+    blocks, shards = many(q, block_bytes), max(many(c, shard_bytes), vectors.sparkSession.sparkContext.defaultParallelism)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = q.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), each(shards).alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
+    rows = rows.unionByName(c.select(each(blocks).alias("block"), F.pmod(F.xxhash64("v", "vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("kind"), "vec_id", "v"))
+    rows = rows.repartition(blocks * shards, "block", "shard").sortWithinPartitions("block", "shard", "kind")
+    best = rows.mapInArrow(_pairs(k), "query_id long, part int, best array<struct<lost:bigint,vec_id:bigint>>")
+    while shards > 1:
+        part = F.floor(F.col("part") / FAN).cast("int").alias("part")
+        best = best.groupBy("query_id", part).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))  # FAN lists of k
+        shards = -(-shards // FAN)
+    top = best.select("query_id", F.posexplode("best").alias("at", "x"))
+    return top.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", (-F.col("x.lost")).alias("score"))
+
+
+class _Lists:
+    """The best k so far of the queries of one block in one shard."""
+
+    def __init__(self, k: int):
+        self.k, self.rows, self.by_length = k, [], None
+
+    def add(self, b: pa.RecordBatch) -> None:
+        self.rows.append(b)
+
+    def meet(self, b: pa.RecordBatch) -> None:
+        if self.by_length is None:
+            self.by_length = {}
+            if self.rows:
+                t = pa.Table.from_batches(self.rows).combine_chunks()
+                query_ids = t.column("vec_id").combine_chunks().to_numpy()
+                for n, rows, m in _matrix(t.column("v").combine_chunks()):
+                    self.by_length[n] = (query_ids[rows], m, np.full((len(rows), self.k), -NONE - 1), np.full((len(rows), self.k), NONE))
+        all_ids = b.column("vec_id").to_numpy(zero_copy_only=False)
+        for n, rows, c in _matrix(b.column("v")):
+            if n not in self.by_length:
+                continue
+            order = np.argsort(all_ids[rows], kind="stable")
+            ids, c = all_ids[rows][order], c[order]
+            query_ids, q, top_ids, top_scores = self.by_length[n]
+            for i in range(0, len(q), TILE_Q):
+                for j in range(0, len(c), TILE_C):
+                    t_ids, t_scores = tile_best(query_ids[i : i + TILE_Q], q[i : i + TILE_Q], ids[j : j + TILE_C], c[j : j + TILE_C], self.k)
+                    top_ids[i : i + TILE_Q], top_scores[i : i + TILE_Q] = merge(np.concatenate([top_ids[i : i + TILE_Q], t_ids], axis=1), np.concatenate([top_scores[i : i + TILE_Q], t_scores], axis=1), self.k)
+
+    def lists(self, shard: int) -> Iterator[pa.RecordBatch]:
+        for query_ids, _, ids, scores in (self.by_length or {}).values():
+            some = scores != NONE
+            pairs = pa.StructArray.from_arrays([pa.array(-scores[some]), pa.array(ids[some])], names=["lost", "vec_id"])
+            ends = np.concatenate([[0], np.cumsum(some.sum(axis=1))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(np.full(len(query_ids), shard, np.int32)), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["query_id", "part", "best"])
+
+
+def _pairs(k: int):
+    """Rows sorted by block, shard and kind: the lists of each pair of block and shard."""
 
-
-def _block(q: DataFrame, b: int, blocks: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """One block of queries, at most BLOCK_BYTES on average, as (ids, matrix) by length of vector."""
-    t = q.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
-    if not len(t):
-        return []
-    ids, v = t.column("vec_id").combine_chunks().to_numpy(), t.column("v").combine_chunks()
-    return [(ids[rows], m) for _, rows, m in _matrix(v)]
-
-
-def _shard(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_length = {m.shape[1]: (ids, m) for ids, m in shared.value}
-        best = {n: (np.full((len(ids), k), -NONE - 1), np.full((len(ids), k), NONE)) for n, (ids, m) in by_length.items()}
+        now, lists = None, _Lists(k)
         for b in batches:
-            all_ids = b.column("vec_id").to_numpy(zero_copy_only=False)
-            for n, rows, c in _matrix(b.column("v")):
-                if n not in by_length:
+            keys = [b.column(x).to_numpy(zero_copy_only=False) for x in ("block", "shard", "kind")]
+            edges = np.nonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in keys]))[0] + 1 if b.num_rows > 1 else []
+            for lo, hi in zip([0, *edges], [*edges, b.num_rows], strict=True):
+                if lo == hi:
                     continue
-                order = np.argsort(all_ids[rows], kind="stable")
-                ids, c = all_ids[rows][order], c[order]
-                query_ids, q = by_length[n]
-                top_ids, top_scores = best[n]
-                for i in range(0, len(q), TILE_Q):
-                    for j in range(0, len(c), TILE_C):
-                        t_ids, t_scores = tile_best(query_ids[i : i + TILE_Q], q[i : i + TILE_Q], ids[j : j + TILE_C], c[j : j + TILE_C], k)
-                        top_ids[i : i + TILE_Q], top_scores[i : i + TILE_Q] = merge(np.concatenate([top_ids[i : i + TILE_Q], t_ids], axis=1), np.concatenate([top_scores[i : i + TILE_Q], t_scores], axis=1), k)
-        for n, (top_ids, top_scores) in best.items():
-            some = top_scores != NONE
-            query = np.broadcast_to(by_length[n][0][:, None], some.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(query[some]), pa.array(top_ids[some]), pa.array(top_scores[some])], names=["query_id", "vec_id", "score"])
+                block, shard, kind = (int(x[lo]) for x in keys)
+                if (block, shard) != now:
+                    if now is not None:
+                        yield from lists.lists(now[1])
+                    now, lists = (block, shard), _Lists(k)
+                (lists.meet if kind else lists.add)(b.slice(lo, hi - lo))
+        if now is not None:
+            yield from lists.lists(now[1])
 
     return run
 
