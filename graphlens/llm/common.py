@@ -23,10 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir); a local one only where none is set."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphlens-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphlens-"))
     return sc.getCheckpointDir()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one made from it, that no column of df has."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name = "_" + name
+    return name
+
+
 #: Most bytes of text that Spark hands to a Python worker at once.
 ARROW_BYTES = 8 << 20
 
