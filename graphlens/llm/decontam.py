@@ -7,7 +7,9 @@ word, and the hit positions are merged per document. Only DataFrame functions ar
 
 Defined results: null and empty texts have no words, no hits and are not contaminated; null item
 ids name no item but their windows still hit; repeated document rows get the same result each;
-an empty benchmark gives no hits; documents of any length are scanned whole.
+an empty benchmark gives no hits, an empty table an empty result; documents of any length are scanned
+whole; with_contamination() replaces columns that have the names of its results, decontaminate() keeps
+every column.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import lower_ascii, read_table
+from graphlens.llm.common import fresh, lower_ascii, read_table
 
 WINDOW = 13
 #: A document is contaminated if so many hit words, times this, reach its words.
@@ -42,45 +44,56 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, n_hit, items) of the documents with a hit."""
+    """(doc_id, text_key, n_words, n_hit, items) of the documents with a hit."""
     grams = benchmark_windows(benchmark, window)
     sizes = {r["n"]: r["c"] for r in grams.groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most `window` rows
     if not sizes:
-        return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<bigint>").alias("items")).limit(0)
+        none = F.lit(0).cast("long")
+        return docs.select("doc_id", F.xxhash64("text").alias("text_key"), none.alias("n_words"), none.alias("n_hit"), F.array().cast("array<bigint>").alias("items")).limit(0)
     small = sum(sizes.values()) <= BROADCAST_WINDOWS
-    d = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
-    d = d.select("doc_id", "text_key", "w", F.posexplode("w").alias("pos", "word"))
+    whole = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
+    d = whole.select("doc_id", "text_key", "w", F.posexplode("w").alias("pos", "word"))
     found = []
     for n in sorted(sizes):
         key = F.xxhash64(*[F.get("w", F.col("pos") + k) for k in range(n)])
-        here = d.filter(F.col("pos") + n <= F.size("w")).select("doc_id", "text_key", "pos", key.alias("h"), F.col("w"))
+        here = d.filter(F.col("pos") + n <= F.size("w")).select("doc_id", "text_key", "pos", key.alias("h"), "w")
         g = grams.filter(F.col("n") == n).select(F.xxhash64(*[F.get("gram", F.lit(k)) for k in range(n)]).alias("gh"), "gram", "items")
         if small:  # the text's words stay in the row's buffer, no row is copied
-            hit = here.join(F.broadcast(g), F.col("h") == F.col("gh")).filter(F.slice("w", F.col("pos") + 1, F.lit(n)) == F.col("gram"))
-        else:  # rows are shuffled: with their own words only
-            hit = here.withColumn("w", F.slice("w", F.col("pos") + 1, F.lit(n))).join(g, (F.col("h") == F.col("gh")) & (F.col("w") == F.col("gram")))
-        found.append(hit.select("doc_id", "text_key", F.struct(F.col("pos").alias("s"), (F.col("pos") + n).alias("e")).alias("span"), "items"))
-    per_doc = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+            hit = here.join(F.broadcast(g), F.col("h") == F.col("gh"))
+        else:  # positions are shuffled with their hash only; what hits meets its text's words again
+            at = here.drop("w").join(g, F.col("h") == F.col("gh")).select(F.col("doc_id").alias("at_doc"), F.col("text_key").alias("at_key"), "pos", "gram", "items")
+            hit = whole.join(at, F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_key") == F.col("at_key")))
+        hit = hit.filter(F.slice("w", F.col("pos") + 1, F.lit(n)) == F.col("gram"))
+        found.append(hit.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), F.struct(F.col("pos").alias("s"), (F.col("pos") + n).alias("e")).alias("span"), "items"))
+    per_doc = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(a["end"], x["s"].cast("long")))).alias("n"), F.greatest(a["end"], x["e"].cast("long")).alias("end"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     n_hit = F.aggregate(F.array_sort("spans"), zero, step, lambda a: a["n"])
-    return per_doc.select("doc_id", "text_key", n_hit.alias("n_hit"), "items")
+    return per_doc.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), "items")
+
+
+def contaminated(n_hit: Column, n_words: Column, share: int) -> Column:
+    return (n_hit > 0) & (share * n_hit >= n_words)
 
 
 def with_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """Add n_words, n_hit, items and contaminated to documents."""
-    keep = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "contaminated")]
-    h = hits(docs, benchmark, window).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "n_hit", "items")
-    d = docs.select(*keep, F.xxhash64("text").alias("_text"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = d.join(h, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_key")), "left")
+    """Add n_words, n_hit, items and contaminated to documents; columns of these names are replaced."""
+    keep = [c for c in docs.columns if c.lower() not in ("n_words", "n_hit", "items", "contaminated")]
+    h = hits(docs, benchmark, window)
+    doc, key, text = (fresh(docs, c) for c in ("_doc", "_key", "_text"))
+    h = h.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), "n_hit", "items")
+    d = docs.select(*keep, F.xxhash64("text").alias(text), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    out = d.join(h, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(text) == F.col(key)), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<bigint>"))
-    return out.select(*keep, "n_words", n_hit.alias("n_hit"), items.alias("items"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select(*keep, "n_words", n_hit.alias("n_hit"), items.alias("items"), contaminated(n_hit, F.col("n_words"), share).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """The documents that are not contaminated, as they are."""
-    return with_contamination(docs, benchmark, window, share).filter(~F.col("contaminated")).select(*docs.columns)
+    """The documents that are not contaminated, as they are, whatever their other columns are called."""
+    doc, key = fresh(docs, "_doc"), fresh(docs, "_key")
+    bad = hits(docs, benchmark, window).filter(contaminated(F.col("n_hit"), F.col("n_words"), share)).select(F.col("doc_id").alias(doc), F.col("text_key").alias(key))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
