@@ -6,7 +6,7 @@ its probability. The draw depends on seed and doc_id only, so reruns agree.
 
 Defined results: null text counts no words and is emitted nothing from (size 0); a null source is
 a source of its own, last in order; repeated rows of one doc_id are mixed each, with the same
-draw; an empty table gives an empty result; extra columns pass through mix().
+draw; an empty table gives an empty result; extra columns pass through mix(), all but one named `copy`.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import fraction, materialize, read_table
+from graphlens.llm.common import fraction, fresh, materialize, read_table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -53,25 +53,27 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
     return s.select("source", "source_size", target.alias("target"))
 
 
-def with_copies(docs: DataFrame, seed: str = SEED, **weights) -> DataFrame:
-    """Add size, source_size, target and copies to documents."""
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    sized = docs.select(*keep, word_count(F.col("text")).alias("size"))
-    sizes = docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = materialize(source_targets(sizes, **weights).withColumnRenamed("source", "_source"))
+def with_copies(docs: DataFrame, seed: str = SEED, max_repeats: float = MAX_REPEATS, names: tuple[str, ...] = ("size", "source_size", "target", "copies"), **weights) -> DataFrame:
+    """Add size, source_size, target and copies to documents, under these names or others; columns of these names are replaced."""
+    size, source_size, target, copies = names
+    keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    sizes = docs.select("source", word_count(F.col("text")).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
+    key = fresh(docs, "_source")
+    t = source_targets(sizes, max_repeats=max_repeats, **weights).select(F.col("source").alias(key), F.col("source_size").alias(source_size), F.col("target").alias(target))
+    t = materialize(t)
     t = F.broadcast(t) if t.count() <= BROADCAST_SOURCES else t  # texts then stay where they are, and no source is one task
-    out = sized.join(t, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    rate = F.least(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)), F.lit(float(MAX_REPEATS)))
+    out = docs.select(*keep, word_count(F.col("text")).alias(size)).join(t, F.col("source").eqNullSafe(F.col(key)), "left").drop(key)
+    rate = F.least(F.coalesce(F.try_divide(F.col(target), F.col(source_size)), F.lit(0.0)), F.lit(float(max_repeats)))
     draw = fraction(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    copies = (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
-    return out.withColumn("copies", copies)
+    return out.withColumn(copies, (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long"))
 
 
 def mix(docs: DataFrame, seed: str = SEED, **weights) -> DataFrame:
-    """The mixed corpus: each document as often as it is taken, with `copy` counting from 0."""
-    out = with_copies(docs, seed, **weights)
-    out = out.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
-    return out.select(*docs.columns, "copy")
+    """The mixed corpus: each document as often as it is taken, with `copy` counting from 0; a column `copy` of the input is replaced."""
+    names = tuple(fresh(docs, n) for n in ("size", "source_size", "target", "copies"))
+    out = with_copies(docs, seed, names=names, **weights).filter(F.col(names[3]) > 0)
+    kept = [c for c in docs.columns if c.lower() != "copy"]
+    return out.select(*kept, F.explode(F.sequence(F.lit(0), (F.col(names[3]) - 1).cast("int"))).alias("copy"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

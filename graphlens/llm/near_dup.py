@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import LOWER_BYTES, bound_batches, discard, materialize, read_table
+from graphlens.llm.common import LOWER_BYTES, bound_batches, discard, fresh, materialize, read_table
 from graphlens.llm.components import connected_components
 
 SHINGLE = 2
@@ -567,8 +567,9 @@ def _sets(base: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The documents with the smallest doc_id of their component, as they are."""
-    kept = set_components(docs, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left_semi")
+    doc, key = fresh(docs, "_doc"), fresh(docs, "_key")
+    kept = set_components(docs, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left_semi")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

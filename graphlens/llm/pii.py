@@ -10,7 +10,8 @@ are the base kinds; iban (mod-97) is added to them.
 
 Defined results: null and empty texts have no spans; repeated rows get the same result each; spans
 of different kinds may overlap, and redact() then replaces the first kind listed; texts of any
-length are scanned whole.
+length are scanned whole; an empty table gives an empty result; find() replaces a column `pii`, other
+columns pass through both, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import read_table
+from graphlens.llm.common import fresh, read_table
 
 LOCAL = r"[A-Za-z0-9._%+-]"
 #: kind -> (pattern, characters without which a text has no match, words that raise the score)
@@ -102,11 +103,12 @@ def _pair_spans(kind: str):
 
 def find(docs: DataFrame) -> DataFrame:
     """Add `pii`, the spans of all kinds by start and kind; every span carries a score."""
-    keep = [c for c in docs.columns if c != "pii"]
-    out = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
+    keep = [c for c in docs.columns if c.lower() != "pii"]
+    text = fresh(docs, "_text")
+    out = docs.select(*keep, F.coalesce("text", F.lit("")).alias(text))
     spans = []
     for k in KINDS:
-        gaps, matches = pieces(k, F.col("_text"))
+        gaps, matches = pieces(k, F.col(text))
         spans.append(_let(F.struct(gaps.alias("g"), matches.alias("m")), _pair_spans(k)))
     return out.select(*keep, F.array_sort(F.concat(*spans)).alias("pii"))
 

@@ -118,6 +118,44 @@ def test_language_brute_force(docs):
         assert math.isclose(model[langs.index("fr"), bucket], math.log((n + language_id.SMOOTHING) / total))
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 1000])
+def test_language_pieces_lose_no_gram(chunk):
+    text = "Eins, zwei -- drei 4 vier;;fünf  \tsechs!"
+    whole = Counter(language_id.grams(" " + language_id.GAP.sub(" ", text.lower()) + "  ").tolist())
+    assert sum((Counter(language_id.grams(p).tolist()) for p in language_id.pieces(text, chunk)), Counter()) == whole
+
+
+def test_language_scores_brute_force(docs):
+    langs, model = language_id.train(docs)
+    texts = [r["text"] for r in docs.collect()]
+    pred, score = language_id.score_texts(texts, langs, model)
+    for text, p, s in zip(texts, pred, score, strict=True):
+        if not text or not re.search(r"[^\W\d_]", text):
+            assert (p, s) == ("und", 0.0)
+            continue
+        g = language_id.grams(" " + language_id.GAP.sub(" ", text.lower()) + "  ").tolist()
+        z = [float(row[language_id.BUCKETS]) + math.fsum(row[b] for b in g) for row in model]
+        assert p == langs[z.index(max(z))] and math.isclose(s, 1 / sum(math.exp(x - max(z)) for x in z), rel_tol=1e-6)
+
+
+CLASH = ["lang_pred", "score", "n_hit", "n_words", "items", "contaminated", "size", "source_size", "target", "copies", "_source", "_doc", "_key", "_text", "pii", "quality", "draw", "component_id"]
+
+
+def test_clashing_columns_keep_their_values(spark, docs):
+    """The operators that keep rows or multiply them leave every other column as it is."""
+    from pyspark.sql import functions as F
+
+    base = docs.select("doc_id", "text", "lang", "source", *[F.concat(F.lit(c + " "), F.xxhash64("text").cast("string")).alias(c) for c in CLASH])
+    rows = Counter(tuple(r) for r in base.collect())
+    bench = spark.createDataFrame([(1, rows.most_common(1)[0][0][1] or "x")], "item_id long, text string")
+    for out in (language_id.reject(base), decontam.decontaminate(base, bench), near_dup.deduplicate(base)):
+        assert out.columns == base.columns and not Counter(tuple(r) for r in out.collect()) - rows
+    assert pii.redact(base).select(*CLASH).exceptAll(base.select(*CLASH)).count() == 0
+    mixed = mixing.mix(base.withColumn("copy", F.lit("mine")))
+    assert mixed.columns == [*base.columns, "copy"] and {tuple(r)[:-1] for r in mixed.collect()} <= set(rows)
+    assert pii.find(base).drop("pii").exceptAll(base.drop("pii")).count() == 0
+
+
 def test_language_without_rows_or_labels(spark, empty):
     assert language_id.with_language(empty).count() == 0
     bare = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
@@ -181,12 +219,11 @@ def test_topk_brute_force(spark):
     assert got == want
 
 
-def test_topk_in_blocks_and_empty(spark, monkeypatch):
+def test_topk_in_blocks_and_empty(spark):
     df = spark.createDataFrame([(i, [float(i % 13), float(i % 7)]) for i in range(300)], "vec_id long, embedding array<float>")
     once = sorted(topk.search(df, df.filter("vec_id % 50 = 0")).collect())
-    monkeypatch.setattr(topk, "BLOCK_BYTES", 32)
-    assert sorted(topk.search(df, df.filter("vec_id % 50 = 0")).collect()) == once
-    assert topk.search(df.limit(0), df.limit(0)).count() == 0
+    assert sorted(topk.search(df, df.filter("vec_id % 50 = 0"), block_bytes=32, shard_bytes=64).collect()) == once  # two levels of merging
+    assert topk.search(df.limit(0), df.limit(0)).count() == 0 and topk.search(df, df.limit(0)).count() == 0
 
 
 # 5: repeated substrings
@@ -372,6 +409,37 @@ def test_quality_held_out(spark):
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
 
 
+def test_quality_brute_force(spark, monkeypatch):
+    """Dictionaries, sizes and the calibrated score, in plain Python."""
+    import zlib as z
+
+    import numpy as np
+    import zstandard
+
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 50) if i % 2 else " ".join(rng.choice(WORDS)[::-1] for _ in range(50))) for i in range(120)] + [(500, None)]
+    got = {r["doc_id"]: r["score"] for r in quality.with_quality(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")).collect()}
+    draw = lambda i: int(hashlib.md5(f"quality:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+    parts = {q: sorted((draw(i), i) for i, _ in rows if i % 2 == q and z.crc32(str(i).encode()) % 3 != 1) for q in (0, 1)}
+    text = {i: (t or "").encode() for i, t in rows}
+    dicts = {q: sorted(text[i] for n, (_, i) in enumerate(parts[q], 1) if n % 2 == 0 and text[i]) for q in (0, 1)}
+    packed = {q: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(quality.build_dictionary(dicts[q])), level=3, write_content_size=False, write_checksum=False, write_dict_id=False) for q in (0, 1)}
+
+    def diff(i):
+        good, bad = (len(packed[q].compress(text[i])) if text[i] else 0 for q in (1, 0))
+        return (bad - good) / (bad + good) if good + bad else 0.0
+
+    fit = [(diff(i), q) for q in (0, 1) for n, (_, i) in enumerate(parts[q], 1) if n % 2]
+    x, y = np.array([f for f, _ in fit]), np.array([q for _, q in fit], float)
+    mean, sd = x.mean(), x.std() + 1e-9
+    a = b = 0.0
+    for _ in range(20_000):  # plain gradient descent to the same optimum
+        p = 1 / (1 + np.exp(-(a + b * (x - mean) / sd)))
+        a, b = a - 2 * ((p - y).mean() + 1e-3 * a), b - 2 * (((p - y) * (x - mean) / sd).mean() + 1e-3 * b)
+    for i in text:
+        assert math.isclose(got[i], 1 / (1 + math.exp(-(a + b * (diff(i) - mean) / sd))), abs_tol=1e-4)
+
+
 def test_quality_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.with_quality(docs, none).collect()} == {0.5}

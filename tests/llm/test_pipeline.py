@@ -70,5 +70,25 @@ def test_stages(spark, folder):
 
 def test_run_gives_what_the_stages_give(spark, folder):
     sf, _ = folder
-    assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "text", "lang", "source", "n_chars", "copy"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    out = corpus_pipeline.run(spark, sf)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy"] == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
     assert crc(1, 3) in (0, 1, 2) and WORDS
+
+
+def test_extra_columns_with_clashing_names(spark, folder, tmp_path):
+    """More columns in documents come through every stage with their values, whatever their names."""
+    from pyspark.sql import functions as F
+
+    sf, _ = folder
+    more = ("score", "n_hit", "size", "copies", "target", "_doc", "_source", "component_id")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("*", *[F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(c) for c in more])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    plain = corpus_pipeline.run(spark, sf)
+    assert sorted(map(str, out.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in out.collect() for c in more)
