@@ -3,6 +3,11 @@
 Each stage works on all documents that the one before it kept and returns the columns of documents,
 but for the last, which adds the number of the copy. Stages are written to the shared folder in
 between, so a lost executor costs no more than the stage at hand.
+
+Defined results: null and empty texts and texts without letters have no language and go at the first
+stage; a null source or doc_id is a value of its own; repeated rows are kept or go together, but for the
+copies that the last stage adds; an empty table gives an empty result; texts of any length are whole;
+extra columns, whatever their names, come through unchanged, all but one named `copy`.
 """
 
 from __future__ import annotations
