@@ -8,7 +8,8 @@ laid out by labelled_pages(): layouts of many kinds, with the label of every blo
 
 Defined results: null and empty pages have an empty text; broken markup is read as far as it goes
 (an unfinished tag ends the page, unclosed elements end with their parent); repeated rows get the
-same result each; pages of any length are read whole.
+same result each; pages of any length are read whole; an empty table gives an empty result; extract()
+replaces columns named text and n_chars, other columns pass through.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from graphlens.llm.common import extended, read_table
+from graphlens.llm.common import extended, fresh, read_table
 
 TRAIN_PAGES = 600
 SEED = 11
@@ -41,6 +42,8 @@ ENDED = frozenset("p dt dd li option tr td th".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: An attribute without quotes at the end of a tag: a slash is its own.
+UNQUOTED = re.compile(r"=\s*[^\s\"']*/$")
 WORD_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Words of class, id and role that are told apart, by group.
@@ -48,7 +51,8 @@ HINTS = {
     "ad": "ad ads adv advert advertisement adsense banner sponsor sponsored promo promotion promoted doubleclick",
     "nav": "nav navigation navbar menu breadcrumb breadcrumbs pagination pager toc tabs",
     "side": "sidebar side aside widget rail complementary",
-    "related": "related recommended recommendations more trending popular teaser",
+    "related": "related recommended recommendations trending popular teaser",
+    "more": "more continue",
     "share": "share sharing social follow tags",
     "comment": "comment comments respond reply replies disqus discussion feedback",
     "foot": "footer foot contentinfo copyright legal colophon",
@@ -116,7 +120,7 @@ def leaf_blocks(page: str) -> list[tuple[str, list[str]]]:
                     pop()
                 pop()
             continue
-        if tag in VOID or attributes.endswith("/"):
+        if tag in VOID or attributes.endswith("/") and not UNQUOTED.search(attributes):
             continue
         if not inline and tag in ENDED or tag in ("div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "blockquote", "aside", "nav", "footer"):
             while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE and open_tags["p"] or stack[-1][0] == tag and tag in ENDED):
@@ -158,8 +162,13 @@ def block_features(text: str, linked: int, tag: str, marks: Counter[str]) -> lis
     if "in=article" in marks and marks["in=article"] > 0 or marks["in=main"] > 0 or marks["hint=main"] > 0:
         out.append("inside")
         out += [f"inside&{m}" for m in above if m.startswith("hint=")]
+        out += [f"inside&{m}&heading={tag[0] == 'h' and tag[1:].isdigit()}" for m in above if m in ("in=header", "in=footer")]
+        if marks["hint=more"] > 0:
+            out.append(f"inside&more&links={share}")
     else:
-        out.append(f"outside&words={size}")
+        out += [f"outside&words={size}", f"outside&tag={tag}"]
+        if not above:
+            out += [f"bare&tag={tag}", f"bare&links={share}"]
     return out
 
 
@@ -181,6 +190,8 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> Iterator[list[tupl
         return f"<{tag}>{mark if good else ''}{inner}" + ("" if tag == "p" and rng.random() < 0.3 else f"</{tag}>")
 
     def links(k: int) -> str:
+        if rng.random() < 0.3:
+            return rng.choice((" ", " | ", "")).join(f"<a href=/{i}>{prose(1, 3)}</a>" for i in range(k)) or prose(1, 3)
         return "<ul>" + "".join(f'<li><a href="/{i}">{prose(1, 3)}</a></li>' for i in range(k)) + "</ul>"
 
     def hinted(group: str, tags: tuple[str, ...] = ("div",)) -> tuple[str, str]:
@@ -192,16 +203,18 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> Iterator[list[tupl
         return pair[0] + "".join(inner) + pair[1]
 
     def noise() -> str:
-        kind = rng.choice(("ad", "side", "related", "share", "notice", "form", "nav", "aside", "plainform"))
+        kind = rng.choice(("ad", "side", "related", "more", "share", "notice", "form", "nav", "aside", "plainform"))
         if kind == "aside":
             return "<aside>" + block("p", 3, 50, False) + links(rng.randint(1, 4)) + "</aside>"
         if kind == "plainform":
             return "<form><label>" + prose(1, 4) + "</label><input><button>" + prose(1, 2) + "</button>" + block("p", 3, 20, False) + "</form>"
-        inner = {"nav": lambda: links(rng.randint(2, 7)), "share": lambda: links(3), "related": lambda: links(4) + block("p", 4, 20, False)}.get(kind, lambda: block(rng.choice(("p", "span", "div")), 2, 60, False))
+        inner = {"nav": lambda: links(rng.randint(2, 7)), "share": lambda: links(3), "more": lambda: f'<a href="/m">{prose(1, 4)}</a>' + links(rng.randint(0, 3)), "related": lambda: links(4) + block("p", 4, 20, False)}.get(kind, lambda: block(rng.choice(("p", "span", "div")), 2, 60, False))
         return wrapped(hinted(kind, ("div", "section", "aside")), inner())
 
-    def article() -> str:
+    def article(bare: bool) -> str:
         out = [block("h1", 3, 12, True)] if rng.random() < 0.85 else []
+        if out and not bare and rng.random() < 0.2:  # a title in the article's own header
+            out = ["<header>" + out[0] + (block("p", 3, 30, True) if rng.random() < 0.3 else "") + "</header>"]
         for _ in range(rng.choice((0, 1, 2, 3, 5, 8, 12))):
             x = rng.random()
             if x < 0.72:
@@ -214,23 +227,25 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> Iterator[list[tupl
                 out.append("<blockquote>" + block("p", 5, 40, True) + "</blockquote>")
             elif x < 0.93:
                 out.append("<table><tr>" + block("td", 1, 6, True) + block("td", 1, 6, True) + "</tr></table>")
-            elif x < 0.95:
+            elif x < 0.94:
                 out.append(block("pre", 5, 30, True))
+            elif x < 0.965:  # the rest of a text, behind a link to it
+                out.append(wrapped(hinted("more"), *(block("p", 1, 60, True) for _ in range(rng.randint(1, 3)))))
             else:
                 out.append(noise())
         return "".join(out)
 
     for _ in range(n):
         pair = rng.choice((("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), hinted("main", ("div", "section")), hinted("main", ("div", "article"))))
-        if rng.random() < 0.1:
-            pair = ("<div>", "</div>")
+        if (x := rng.random()) < 0.25:
+            pair = ("<div>", "</div>") if x < 0.1 else ("", "")
         page = ["<html><body>"]
         if rng.random() < 0.5:
             page.append(wrapped(rng.choice((("<header>", "</header>"), hinted("head"))), block(rng.choice(("p", "h1", "div")), 1, 10, False)))
         if rng.random() < 0.9:
-            page.append(wrapped(rng.choice((("<nav>", "</nav>"), hinted("nav"))), links(rng.randint(2, 9))))
+            page.append(wrapped(rng.choice((("<nav>", "</nav>"), hinted("nav"))), links(rng.choice((0, 1, 2, 3, 5, 7, 9)))))
         page += [noise() for _ in range(rng.randint(0, 3))]
-        page.append(wrapped(pair, article()))
+        page.append(wrapped(pair, article(pair[0] in ("", "<div>"))))
         page += [noise() for _ in range(rng.randint(0, 2))]
         if rng.random() < 0.5:
             page.append(wrapped(hinted("comment", ("div", "section")), *(wrapped(rng.choice((("<div>", "</div>"), ("<article>", "</article>"), hinted("comment"))), block("p", 2, 60, False)) for _ in range(rng.randint(1, 4)))))
@@ -310,14 +325,15 @@ def main_text(page: str | None, model: tuple[dict[str, float], tuple[float, floa
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
-    """Add text and n_chars to pages, in place of the html."""
+    """Add text and n_chars to pages, in place of the html and of columns of these names."""
     keep = [c for c in pages.columns if c not in (column, "text", "n_chars")]
     model = pages.sparkSession.sparkContext.broadcast(train())
-    src = pages.select(*keep, pages[column].alias("_html"))
+    source = fresh(pages, "_html")
+    src = pages.select(*keep, pages[column].alias(source))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x, model.value) for x in b.column("_html").to_pylist()]
+            texts = [main_text(x, model.value) for x in b.column(source).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, "text", "n_chars"])
 
     return src.mapInArrow(run, extended(pages.select(*keep), "text string, n_chars long"))

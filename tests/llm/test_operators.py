@@ -65,6 +65,18 @@ def test_html_pages():
     assert html_extract.main_text(page, model) == "Head & line First text of it. Second, longer text of the page. Same block"
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<nav><a href=/>Home</a></nav><article><header><h1>The title</h1></header><p>The first paragraph of this article is here for the reader.</p><p>Another one follows it.</p></article><footer>x</footer>", "The title The first paragraph of this article is here for the reader. Another one follows it."),
+    ("<nav><a href=/>Home</a><a href=/b>News</a></nav><h1>The title</h1><p>The first paragraph of this page is rather long and has many words, so that nobody can doubt that it is text.</p><p>More text.</p><footer>All rights reserved</footer>", "The title The first paragraph of this page is rather long and has many words, so that nobody can doubt that it is text. More text."),
+    ('<nav><a href=/>Home</a></nav><article><h1>T one</h1><p>The first paragraph of this article.</p><div class="read-more"><p>And here is the rest of the text, which one reads after a click.</p></div></article><footer>x</footer>', "T one The first paragraph of this article. And here is the rest of the text, which one reads after a click."),
+    ('<body><header><h1>Site name</h1></header><main><h1>Title</h1><p>Text here it is.</p><div class="more-stories"><ul><li><a href=/1>One story</a><li><a href=/2>Two story</a></ul></div></main></body>', "Title Text here it is."),
+    ('<div id="header"><p>Daily paper</p></div><div class="menu"><a href=/a>One</a> <a href=/b>Two</a></div><div class="post"><h2>A day out</h2><p>We went to the sea &amp; came back.</p><ul><li>bread</li><li>salt</li></ul></div><div class="sidebar"><p>Most read today and every day.</p></div><div id="disqus"><p>Nice post, thank you for it.</p></div>', "A day out We went to the sea & came back. bread salt"),
+    ('<main><section><h2>Part</h2><p>Some words are said here, and then some more.</p></section><form><label>Mail</label><button>Send</button></form></main><div class="cookie-banner"><p>We use cookies on this site.</p></div>', "Part Some words are said here, and then some more."),
+])
+def test_html_layouts(page, text):
+    assert html_extract.main_text(page, html_extract.train()) == text
+
+
 def test_html_held_out_blocks():
     weights, trans = html_extract.train()
     seen = wrong = 0
