@@ -159,3 +159,19 @@ def canonical_graph(spark: SparkSession, sf_dir: str) -> Graph:
     triples = canonical_split(canonical_triples(spark, sf_dir)).withColumns({"pos": F.lit(None).cast("long"), "label": F.lit(None).cast("int")})
     relations = spark.createDataFrame([(r, r) for r in RELATIONS], "id string, text string")
     return Graph("canonical", canonical_entities(spark, sf_dir), relations, triples)
+
+
+#: A line that gives a subject its class: with a fact number or without, names in full or short.
+TYPE_LINE = r"<(?:[^<>]*/)?([^<>/]+)>\s+(?:rdf:type|<[^<>]*#type>)\s+<(?:[^<>]*/)?([^<>/]+)>"
+
+
+def type_lines(lines: DataFrame) -> DataFrame:
+    """(subject, class) of the lines that have one, whatever their layout; other lines are left out."""
+    part = lambda i: F.regexp_extract("line", TYPE_LINE, i)
+    return lines.select(part(1).alias("subject"), part(2).alias("class")).filter("subject <> ''")
+
+
+def inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """(parent, file, bytes) of the files below a folder; contents are not read."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    return f.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("parent"), F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"))
