@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlens.functions.ordering import with_dense_offsets
+
 POINTS = 50
 
 
 def risk_coverage(df: DataFrame, points: int | None = POINTS) -> DataFrame:
     """(k, coverage, precision, risk) at about so many k, or at every k; rows by confidence, then id.
 
-    Confidences are counted first, so the ordered window has one row for each distinct confidence.
+    Rows are sorted by range and numbered with the sums of the partitions before: neither one confidence nor the
+    whole is one task.
     """
     n = df.agg(F.count("*")).first()[0]
-    g = df.groupBy("conf").agg(F.count("*").alias("m"), F.array_sort(F.collect_list(F.struct("id", "correct"))).alias("rows"), F.sum("correct").alias("c"))
-    before = Window.orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumns({"k0": F.coalesce(F.sum("m").over(before), F.lit(0)), "c0": F.coalesce(F.sum("c").over(before), F.lit(0))})
-    # running sums within a confidence
-    each = g.select("k0", "c0", F.posexplode("rows").alias("i", "row"), "conf")
-    inside = Window.partitionBy("conf").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    each = each.select((F.col("k0") + F.col("i") + 1).alias("k"), (F.col("c0") + F.sum("row.correct").over(inside)).alias("hits"))
+    order = F.struct((-F.col("conf")).alias("c"), F.col("id").alias("i"))
+    each = df.select("conf", "id", "correct", F.lit(1).alias("one")).withColumn("o", order)
+    each = with_dense_offsets(each, F.col("o"), "one", "correct")
+    each = each.select((F.col("before_one") + 1).alias("k"), (F.col("before_correct") + F.col("correct")).alias("hits"))
     if points is not None and n:
         m = min(points, n)
         at = sorted({int(1 + i * (n - 1) / (m - 1)) if m > 1 else 1 for i in range(m)})

@@ -137,7 +137,7 @@ def entropy(df: DataFrame, group: list[str], value: str, out: str = "entropy") -
     """Entropy in bits of `value` within each group."""
     n = df.groupBy(*group, value).agg(F.count("*").alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy(*group))
-    return n.withColumn("p", p).groupBy(*group).agg((-F.sum(F.col("p") * F.log2("p"))).alias(out))
+    return n.withColumn("p", p).groupBy(*group).agg((F.lit(0.0) - F.sum(F.col("p") * F.log2("p"))).alias(out))  # 0.0, never -0.0
 
 
 def touching_unseen(train: DataFrame, facts: DataFrame) -> DataFrame:

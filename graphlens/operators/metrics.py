@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlens.functions.ordering import with_dense_offsets
 from graphlens.functions.text import CATEGORIES, category
 
 #: Bin edges, ten equal steps as doubles of a running product.
@@ -106,19 +107,22 @@ def temperature(df: DataFrame, conf: str, correct: str, grid: list[float]) -> Da
 def auc(scored: DataFrame, score: str = "p_yes", *by: str) -> DataFrame:
     """Area under the curve by tie-averaged ranks; null for one class. Ties are summed before they are ranked."""
     g = scored.groupBy(*by, score).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = g.withColumn("won", F.col("p") * (below + F.col("q") / 2.0)).groupBy(*by).agg(F.sum("won").alias("won"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
+    if by:
+        below = F.coalesce(F.sum("q").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        g = g.withColumn("below", below)
+    else:
+        g = with_dense_offsets(g, F.asc(score), "q", name="below")
+    s = g.withColumn("won", F.col("p") * (F.col("below") + F.col("q") / 2.0)).groupBy(*by).agg(F.sum("won").alias("won"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
     return s.select(*by, "n_pos", "n_neg", F.try_divide("won", F.col("n_pos") * F.col("n_neg")).alias("auc"))
 
 
 def best_threshold(scored: DataFrame) -> DataFrame:
     """The score that, as a threshold, gives the best balanced accuracy; ties stay together, the highest wins."""
     g = scored.groupBy("p_yes").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("q"))
-    upto = Window.orderBy(F.desc("p_yes")).rowsBetween(Window.unboundedPreceding, 0)  # one row for each distinct score
-    everything = Window.partitionBy()
-    tpr = F.sum("p").over(upto) / F.sum("p").over(everything)
-    fpr = F.sum("q").over(upto) / F.sum("q").over(everything)
-    g = g.withColumn("balanced", (tpr + 1 - fpr) / 2)
+    total = g.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
+    g = with_dense_offsets(g, F.desc("p_yes"), "p", "q")
+    share = lambda c: F.try_divide(F.col(f"before_{c}") + F.col(c), F.lit(total[c]))
+    g = g.withColumn("balanced", (share("p") + 1 - share("q")) / 2)
     return g.agg(F.max(F.struct("balanced", "p_yes")).alias("x")).select(F.col("x.p_yes").alias("threshold"), F.col("x.balanced").alias("balanced_accuracy"))
 
 

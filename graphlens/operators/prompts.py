@@ -41,8 +41,9 @@ def lengths(df: DataFrame, text: str, *by: str) -> DataFrame:
 
 def exclusions(triples: DataFrame, k: int) -> DataFrame:
     """(head, relation, exclusions): the first k tails of each, in order; the asked tail may be among them."""
-    tails = F.slice(F.array_sort(F.collect_set("tail")), 1, k)
-    return triples.groupBy("head", "relation").agg(F.array_join(tails, "; ").alias("exclusions"))
+    first = F.row_number().over(Window.partitionBy("head", "relation").orderBy("tail"))
+    few = triples.select("head", "relation", "tail").distinct().withColumn("_k", first).filter(F.col("_k") <= k)  # limited before a list is made
+    return few.groupBy("head", "relation").agg(F.array_join(F.array_sort(F.collect_list("tail")), "; ").alias("exclusions"))
 
 
 # Questions in plain English, the first whose key the relation holds.

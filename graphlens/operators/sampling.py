@@ -40,8 +40,10 @@ def entity_index(triples: DataFrame) -> DataFrame:
 
 def side_index(triples: DataFrame) -> DataFrame:
     """(relation, side, idx, entity, n): the ends of each relation, numbered in order."""
-    w = Window.partitionBy("relation", "side")
-    return relation_sides(triples).withColumn("idx", (F.row_number().over(w.orderBy("entity")) - 1).cast("long")).withColumn("n", F.count("*").over(w))
+    every = with_dense_index(relation_sides(triples), "relation", "side", "entity", name="_at")
+    groups = every.groupBy("relation", "side").agg(F.min("_at").alias("_from"), F.count("*").alias("n"))
+    out = every.join(F.broadcast(groups), ["relation", "side"])  # two rows a relation
+    return out.select("relation", "side", (F.col("_at") - F.col("_from")).alias("idx"), "entity", "n")
 
 
 def random_negatives(triples: DataFrame, entities: DataFrame, seed: str = "neg") -> DataFrame:

@@ -49,10 +49,17 @@ def _(spark, sf):
     return types.one_class_each(c, F.when(F.col("class").startswith("p"), 0).otherwise(1))
 
 
+ATOM = "CASE p_partkey % 5 WHEN 0 THEN '<wordnet_' || replace(lower(p_name), ' ', '_') || '_1000' || (p_partkey % 100) || '>' WHEN 1 THEN '<wikicat_' || replace(p_name, ' ', '_') || '_parts_of_' || replace(p_type, ' ', '_') || '>' WHEN 2 THEN '<http://schema.org/' || replace(p_type, ' ', '_') || '>' WHEN 3 THEN '<wikicategory_' || replace(p_name, ' ', '_') || 'es>' ELSE replace(p_name, ' ', '_') END"
+
+
 @query("ty9_class_names")
 def _(spark, sf):
-    c = spark.createDataFrame([(i, x) for i, x in enumerate(CLASSES)], "id int, atom string")
-    return c.select("id", tx.class_name(F.col("atom")).alias("c")).select("id", "c.kind", "c.name")
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    joined = lambda c: F.replace(F.col(c), F.lit(" "), F.lit("_"))
+    k = F.col("p_partkey")
+    atom = F.when(k % 5 == 0, F.concat(F.lit("<wordnet_"), F.lower(joined("p_name")), F.lit("_1000"), (k % 100).cast("string"), F.lit(">"))).when(k % 5 == 1, F.concat(F.lit("<wikicat_"), joined("p_name"), F.lit("_parts_of_"), joined("p_type"), F.lit(">")))
+    atom = atom.when(k % 5 == 2, F.concat(F.lit("<http://schema.org/"), joined("p_type"), F.lit(">"))).when(k % 5 == 3, F.concat(F.lit("<wikicategory_"), joined("p_name"), F.lit("es>"))).otherwise(joined("p_name"))
+    return p.select("p_partkey", tx.class_name(atom).alias("c")).select("p_partkey", "c.kind", "c.name")
 
 
 @query("sc14_cell_names", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN 'S' || (o_orderkey % 5) END AS policy, CASE WHEN o_orderkey % 5 < 4 THEN CAST((o_orderkey % 3 + 1) * 100 AS INTEGER) END AS budget, CASE WHEN o_orderkey % 5 < 4 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'head' ELSE 'tail' END END AS direction FROM orders")

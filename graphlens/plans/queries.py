@@ -182,7 +182,7 @@ def _(spark, sf):
     return graph.touching_unseen(base.split(spark, sf, "train"), base.split(spark, sf, "valid"))
 
 
-@query("gr12_range_type_entropy", "WITH n AS (SELECT relation, regexp_extract(tail, '^([A-Za-z]+):', 1) AS t, count(*) AS n FROM triples GROUP BY ALL), p AS (SELECT relation, n / (sum(n) OVER (PARTITION BY relation))::DOUBLE AS p FROM n) SELECT relation, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY relation")
+@query("gr12_range_type_entropy", "WITH n AS (SELECT relation, regexp_extract(tail, '^([A-Za-z]+):', 1) AS t, count(*) AS n FROM triples GROUP BY ALL), p AS (SELECT relation, n / (sum(n) OVER (PARTITION BY relation))::DOUBLE AS p FROM n) SELECT relation, round(0.0::DOUBLE - sum(p * log2(p)), 6) AS entropy FROM p GROUP BY relation")
 def _(spark, sf):
     return rounded(graph.entropy(base.triples(spark, sf).withColumn("t", tx.id_prefix(F.col("tail"))), ["relation"], "t"))
 
@@ -340,7 +340,7 @@ def _(spark, sf):
     return base.labelled(spark, sf).groupBy("relation").agg(F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") != 1).alias("n_neg"))
 
 
-@query("ag6_type_entropy", "WITH n AS (SELECT type, count(*) AS n FROM types GROUP BY type), p AS (SELECT n / (SELECT sum(n) FROM n)::DOUBLE AS p FROM n) SELECT round(-sum(p * log2(p)), 6) AS entropy FROM p")
+@query("ag6_type_entropy", "WITH n AS (SELECT type, count(*) AS n FROM types GROUP BY type), p AS (SELECT n / (SELECT sum(n) FROM n)::DOUBLE AS p FROM n) SELECT round(0.0::DOUBLE - sum(p * log2(p)), 6) AS entropy FROM p")
 def _(spark, sf):
     return rounded(graph.entropy(types.induced_types(base.triples(spark, sf)), [], "type"))
 
@@ -365,10 +365,10 @@ def _(spark, sf):
 def answers(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet").filter(F.col("text").isNotNull())
     put = F.element_at(F.array(*[F.lit(x) for x in ("Yes, this is true. ", "No. ", "I don't know. ", "another ", "")]), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
-    return c.select("conv_id", "turn", F.concat(put, F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", "")).alias("answer"))
+    return c.select("conv_id", "turn", F.concat(put, F.regexp_replace("text", "[^ -~]", "")).alias("answer"))
 
 
-ANSWERS = "a AS (SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN 'Yes, this is true. ' WHEN 1 THEN 'No. ' WHEN 2 THEN 'I don''t know. ' WHEN 3 THEN 'another ' ELSE '' END || regexp_replace(substring(text, 1, 40), '[^ -~]', '', 'g') AS answer FROM conversations WHERE text IS NOT NULL)"
+ANSWERS = "a AS (SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN 'Yes, this is true. ' WHEN 1 THEN 'No. ' WHEN 2 THEN 'I don''t know. ' WHEN 3 THEN 'another ' ELSE '' END || regexp_replace(text, '[^ -~]', '', 'g') AS answer FROM conversations WHERE text IS NOT NULL)"
 YES = "(contains(answer, 'Yes') OR contains(answer, ' yes'))"
 MARKED = "(contains(answer, 'No') OR contains(answer, 'not') OR contains(answer, 'n''t') OR contains(answer, 'no'))"
 ALONE = "regexp_matches(answer, '(^|[^A-Za-z])(No|not|n''t|no)([^A-Za-z]|$)')"
@@ -505,9 +505,12 @@ def arms(spark, sf):
 ARMS = f"arm AS (SELECT relation, CAST((0.6::DOUBLE * {U.format(number('arm-a', *T))} + 0.4::DOUBLE * CAST(label = 1 AS DOUBLE) >= 0.5) = (label = 1) AS INTEGER) AS a, CAST((0.8::DOUBLE * {U.format(number('arm-b', *T))} + 0.2::DOUBLE * CAST(label = 1 AS DOUBLE) >= 0.5) = (label = 1) AS INTEGER) AS b FROM labelled)"
 
 
-@query("ag31_mcnemar", f"WITH {ARMS} SELECT count(*) FILTER (a = 1 AND b = 0) AS n10, count(*) FILTER (a = 0 AND b = 1) AS n01, round(coalesce(pow(abs(count(*) FILTER (a = 1 AND b = 0) - count(*) FILTER (a = 0 AND b = 1)) - 1, 2) / nullif(count(*) FILTER (a <> b), 0), 0), 6) AS chi2 FROM arm")
+TAIL = "list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2::DOUBLE))))"
+
+
+@query("ag31_mcnemar", f"WITH {ARMS}, c AS (SELECT relation, count(*) FILTER (a = 1 AND b = 0) AS n10, count(*) FILTER (a = 0 AND b = 1) AS n01 FROM arm GROUP BY relation), d AS (SELECT *, n10 + n01 AS n, least(n10, n01) AS k FROM c) SELECT relation, n10, n01, round(CASE WHEN n = 0 THEN 1 WHEN n <= {stats.EXACT_PAIRS} THEN least(1, 2 * {TAIL}) END, 6) AS p_exact, round(coalesce(pow(abs(n10 - n01) - 1, 2) / nullif(n, 0), 0), 6) AS chi2 FROM d")
 def _(spark, sf):
-    return rounded(stats.mcnemar(arms(spark, sf))).select("n10", "n01", "chi2")
+    return rounded(stats.mcnemar(arms(spark, sf), "relation"))
 
 
 @query("ag32_paired_t", f"WITH {ARMS}, s AS (SELECT relation, count(*) AS n, avg(a - b) AS mean_diff, stddev_samp(a - b) AS sd FROM arm GROUP BY relation) SELECT relation, n, round(mean_diff, 6) AS mean_diff, round(mean_diff * sqrt(n) / nullif(sd, 0), 6) AS t, round(mean_diff / nullif(sd, 0), 6) AS dz FROM s")
