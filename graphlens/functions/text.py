@@ -163,9 +163,14 @@ def singular(c: Column) -> Column:
     return F.when(F.endswith(c, F.lit("ss")) | (F.length(c) <= 3), c).otherwise(out)
 
 
+# Words that end the head of a category, and the forms of class names.
+PREPOSITIONS = "_(?:in|of|from|by|at|for|about|with|during)_"
+WORDNET_CLASS, SCHEMA_CLASS, WIKI_CLASS = r"^wordnet_([a-z][a-z_]*?)_[0-9]+$", r"^https?://(?:schema\.org|yago-knowledge\.org/schema)/(\w+)$", "^wikicat(?:egory)?_(.+)$"
+
+
 def category_head(c: Column) -> Column:
     """The head noun of a category: `English_male_film_actors` gives actor, `Cities_in_Texas` gives city."""
-    head = F.get(F.split(c, "_(?:in|of|from|by|at|for|about|with|during)_", 2), F.lit(0))
+    head = F.get(F.split(c, PREPOSITIONS, 2), F.lit(0))
     toks = F.filter(F.split(head, "_"), lambda t: (t != "") & ~t.rlike("^[0-9]+$"))
     keep = lambda t: ~(F.endswith(t, F.lit("ed")) | F.lower(t).isin(*ARTICLES))
     last = F.coalesce(F.element_at(F.filter(toks, keep), -1), F.get(toks, F.lit(0)))
@@ -176,8 +181,8 @@ def class_name(c: Column) -> Column:
     """(kind, name) of a class atom: wordnet, schema or wikicat; null if it is none."""
     v = F.regexp_replace(F.regexp_replace(strip(c), r"^\.+|\.+$", ""), "^[<>]+|[<>]+$", "")
     part = lambda p: F.nullif(F.regexp_extract(v, p, 1), F.lit(""))
-    wordnet, schema = part(r"^wordnet_([a-z][a-z_]*?)_[0-9]+$"), part(r"^https?://(?:schema\.org|yago-knowledge\.org/schema)/(\w+)$")
-    wiki = category_head(part("^wikicat(?:egory)?_(.+)$"))
+    wordnet, schema = part(WORDNET_CLASS), part(SCHEMA_CLASS)
+    wiki = category_head(part(WIKI_CLASS))
     pair = lambda k, n: F.struct(F.lit(k).alias("kind"), n.alias("name"))
     return F.when(wordnet.isNotNull(), pair("wordnet", wordnet)).when(schema.isNotNull(), pair("schema", F.lower(schema))).when(wiki.isNotNull(), pair("wikicat", wiki))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.functions.hashing import det_index, det_key, det_number
-from graphlens.functions.ordering import with_dense_index
+from graphlens.functions.ordering import checkpointed, with_dense_index
 from graphlens.operators.graph import degrees, relation_sides
 
 TRIPLE = ["head", "relation", "tail"]
@@ -122,19 +122,27 @@ def candidate_sets(queries: DataFrame, known: DataFrame, entities: DataFrame, n_
 
     Draw number d of a query is an index into the entities, so an equi-join fetches it: no cross
     join, and a query's candidates do not depend on the other queries. Twice as many are drawn as
-    are needed; a query that finds fewer keeps what it has.
+    are needed; a query that finds fewer is filled up with the entities from a place on that a hash
+    gives, in a ring: as many as cannot all be excluded, so only a query with too few others is short.
     """
     n = entities.agg(F.count("*")).first()[0]
     q = queries.select("qid", *TRIPLE)
-    d = q.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(2 * n_way - 1))))
-    d = d.withColumn("idx", det_index(F.lit(n), seed, "qid", F.col("draw").cast("string")))
-    d = d.join(entities.select("idx", F.col("entity").alias("candidate")), "idx")
-    d = d.groupBy("qid", *TRIPLE, "candidate").agg(F.min("draw").alias("draw"))
-    d = d.join(known.select("head", "relation", F.col("tail").alias("candidate")).distinct(), ["head", "relation", "candidate"], "left_anti")
-    d = d.filter(F.col("candidate") != F.col("tail"))
-    first = Window.partitionBy("qid").orderBy("draw")
-    others = d.withColumn("k", F.row_number().over(first)).filter(F.col("k") < n_way).select("qid", "head", "relation", "candidate", F.lit(0).alias("is_gold"))
-    return others.unionByName(q.select("qid", "head", "relation", F.col("tail").alias("candidate"), F.lit(1).alias("is_gold")))
+    known = known.select("head", "relation", F.col("tail").alias("candidate")).distinct()
+    fetched = lambda d: d.join(entities.select("idx", F.col("entity").alias("candidate")), "idx").filter(F.col("candidate") != F.col("tail")).join(known, ["head", "relation", "candidate"], "left_anti")
+    draws = F.transform(F.sequence(F.lit(0), F.lit(2 * n_way - 1)), lambda d: det_index(F.lit(n), seed, "qid", d.cast("string")))
+    d = fetched(q.select("*", F.posexplode(F.array_distinct(draws)).alias("draw", "idx")))
+    first = F.row_number().over(Window.partitionBy("qid").orderBy("draw"))
+    columns = ["qid", "head", "relation", "candidate"]
+    others = checkpointed(d.withColumn("k", first).filter(F.col("k") < n_way).select(*columns))
+    have = others.groupBy("qid").agg(F.count("*").alias("have"))
+    excluded = known.groupBy("head", "relation").agg(F.count("*").alias("excluded"))
+    short = q.join(have, "qid", "left").withColumn("need", n_way - 1 - F.coalesce("have", F.lit(0))).filter("need > 0").join(excluded, ["head", "relation"], "left")
+    steps = F.least(F.lit(n), F.col("need") + F.coalesce("excluded", F.lit(0)) + 2 * n_way + 1)
+    f = short.filter(F.lit(n) > 0).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), steps - 1)))
+    f = fetched(f.withColumn("idx", F.pmod(det_index(F.lit(n), seed + "-fill", "qid") + F.col("step"), F.lit(max(n, 1))))).join(others.select("qid", "candidate"), ["qid", "candidate"], "left_anti")
+    f = f.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("step"))).filter(F.col("k") <= F.col("need"))
+    gold = q.select("qid", "head", "relation", F.col("tail").alias("candidate"), F.lit(1).alias("is_gold"))
+    return others.unionByName(f.select(*columns)).withColumn("is_gold", F.lit(0)).unionByName(gold)
 
 
 def fingerprint(candidates: DataFrame) -> DataFrame:

@@ -114,7 +114,9 @@ CTES = {
     "draws": f"SELECT q.*, d.draw, {number('cand', 'qid', 'CAST(d.draw AS VARCHAR)')} % (SELECT count(*) FROM eidx) AS idx FROM queries q, (SELECT unnest(range(0, {2 * N_WAY})) AS draw) d",
     "drawn": "SELECT qid, head, relation, tail, entity AS candidate, min(draw) AS draw FROM draws JOIN eidx USING (idx) GROUP BY ALL",
     "others": "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY draw) AS k FROM drawn d WHERE candidate <> tail AND NOT EXISTS (SELECT 1 FROM triples t WHERE t.head = d.head AND t.relation = d.relation AND t.tail = d.candidate)",
-    "candidates": f"SELECT qid, head, relation, candidate, 0 AS is_gold FROM others WHERE k < {N_WAY} UNION ALL SELECT qid, head, relation, tail, 1 FROM queries",
+    "shorts": f"SELECT q.*, {N_WAY - 1} - coalesce(o.c, 0) AS need, coalesce(x.c, 0) AS excluded, {number('cand-fill', 'qid')} % (SELECT count(*) FROM eidx) AS start FROM queries q LEFT JOIN (SELECT qid, count(*) AS c FROM others WHERE k < {N_WAY} GROUP BY qid) o USING (qid) LEFT JOIN (SELECT head, relation, count(*) AS c FROM triples GROUP BY ALL) x USING (head, relation) WHERE coalesce(o.c, 0) < {N_WAY - 1}",
+    "fillers": f"SELECT *, row_number() OVER (PARTITION BY qid ORDER BY step) AS k FROM (SELECT f.*, e.entity AS candidate FROM (SELECT *, unnest(range(0, least((SELECT count(*) FROM eidx), need + excluded + {2 * N_WAY} + 1))) AS step FROM shorts) f JOIN eidx e ON e.idx = (f.start + f.step) % (SELECT count(*) FROM eidx)) r WHERE candidate <> tail AND NOT EXISTS (SELECT 1 FROM triples t WHERE t.head = r.head AND t.relation = r.relation AND t.tail = r.candidate) AND NOT EXISTS (SELECT 1 FROM others o WHERE o.k < {N_WAY} AND o.qid = r.qid AND o.candidate = r.candidate)",
+    "candidates": f"SELECT qid, head, relation, candidate, 0 AS is_gold FROM others WHERE k < {N_WAY} UNION ALL SELECT qid, head, relation, candidate, 0 FROM fillers WHERE k <= need UNION ALL SELECT qid, head, relation, tail, 1 FROM queries",
     "cscored": f"SELECT *, 0.6::DOUBLE * {U.format(number('rank', 'head', 'relation', 'candidate'))} + 0.4::DOUBLE * is_gold AS score FROM candidates",
     "ranks": "SELECT qid, relation, rank, n_way FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, candidate) AS rank, count(*) OVER (PARTITION BY qid) AS n_way FROM cscored) WHERE is_gold = 1",
     "degrees": "SELECT entity, count(*) FILTER (side = 'in') AS n_in, count(*) FILTER (side = 'out') AS n_out, count(*) AS degree FROM incident GROUP BY entity",

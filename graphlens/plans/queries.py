@@ -154,7 +154,10 @@ def _(spark, sf):
     return graph.guarded_neighbours(train, base.with_qid(base.split(spark, sf, "test")), graph.inverse_relations(train), 3)
 
 
-@query("gr6_safe_neighbours")
+SAFE = f"{INV.replace('triples', 'train')}, ni AS (SELECT DISTINCT entity, relation AS via, other FROM (SELECT relation, head AS entity, tail AS other FROM train UNION ALL SELECT relation, tail, head FROM train)), safe AS (SELECT q.qid, q.head, q.tail, ni.entity, via, other FROM queries q JOIN ni ON ni.entity IN (q.head, q.tail) WHERE via <> q.relation AND NOT EXISTS (SELECT 1 FROM inv WHERE inv.relation = q.relation AND inv.inverse = via))"
+
+
+@query("gr6_safe_neighbours", f"WITH {SAFE}, d AS (SELECT DISTINCT qid, coalesce(e.text, other) AS text FROM safe LEFT JOIN entities e ON e.id = other WHERE entity = head AND other <> head AND other <> tail), k AS (SELECT *, {key('nbr', 'qid', 'text')} AS h, row_number() OVER (PARTITION BY qid ORDER BY {key('nbr', 'qid', 'text')}) AS r FROM d) SELECT qid, string_agg(text, '|' ORDER BY h) AS neighbours FROM k WHERE r <= 3 GROUP BY qid")
 def _(spark, sf):
     train = base.split(spark, sf, "train")
     return graph.safe_neighbours(train, base.with_qid(base.split(spark, sf, "test")), graph.inverse_relations(train), base.entities(spark, sf), 3)
@@ -165,7 +168,7 @@ def _(spark, sf):
     return graph.two_hop_counts(base.split(spark, sf, "train"), base.with_qid(base.split(spark, sf, "test")), 20)
 
 
-@query("gr8_safe_paths")
+@query("gr8_safe_paths", f"WITH {SAFE}, la AS (SELECT qid, other AS mid, arg_min(via, {key('path', 'via')}) AS last FROM safe WHERE entity = tail AND other <> tail GROUP BY ALL), fi AS (SELECT qid, head, tail, via, other AS mid FROM safe WHERE entity = head AND other <> head AND other <> tail), j AS (SELECT *, {key('path', 'qid', 'via', 'mid')} AS h FROM fi JOIN la USING (qid, mid)), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY h) AS r FROM j), p AS (SELECT qid, string_agg(concat_ws(' ', coalesce(a.text, head), via, coalesce(m.text, mid), last, coalesce(b.text, tail)), '; ' ORDER BY h) AS paths FROM k LEFT JOIN entities a ON a.id = head LEFT JOIN entities m ON m.id = mid LEFT JOIN entities b ON b.id = tail WHERE r <= 3 GROUP BY qid) SELECT qid, coalesce(paths, '') AS paths FROM queries LEFT JOIN p USING (qid)")
 def _(spark, sf):
     train = base.split(spark, sf, "train")
     return graph.safe_paths(train, base.with_qid(base.split(spark, sf, "test")), graph.inverse_relations(train), base.entities(spark, sf))
@@ -227,7 +230,10 @@ def _(spark, sf):
     return rounded(j.groupBy("relation").agg(F.count("*").alias("n"), F.avg((F.col("neg_tail").isNull() | F.col("k").isNotNull()).cast("double")).alias("unusable")))
 
 
-@query("sa9_whole_test_negatives")
+TRIES60 = f"s AS (SELECT DISTINCT relation, 'head' AS side, head AS new FROM train UNION SELECT DISTINCT relation, 'tail', tail FROM train), pool AS (SELECT *, row_number() OVER (PARTITION BY relation, side ORDER BY new) - 1 AS idx FROM s), size AS (SELECT relation, side, count(*) AS n FROM pool GROUP BY ALL), t0 AS (SELECT test.*, try, CASE WHEN {number('tneg-side', *T, 'CAST(try AS VARCHAR)')} % 2 = 0 THEN 'head' ELSE 'tail' END AS side FROM test, (SELECT unnest(range(0, 60)) AS try)), t1 AS (SELECT t0.*, coalesce(n, 0) AS n FROM t0 LEFT JOIN size ON size.relation = t0.relation AND size.side = t0.side), t2 AS (SELECT *, {number('tneg', *T, 'CAST(try AS VARCHAR)')} % CASE WHEN n < 2 THEN (SELECT count(*) FROM eidx) ELSE n END AS idx FROM t1), tj AS (SELECT t2.*, pool.new FROM t2 JOIN pool ON pool.relation = t2.relation AND pool.side = t2.side AND pool.idx = t2.idx WHERE n >= 2 UNION ALL SELECT t2.*, e.entity FROM t2 JOIN eidx e ON e.idx = t2.idx WHERE n < 2), tg AS (SELECT *, CASE WHEN side = 'head' THEN new ELSE head END AS neg_head, CASE WHEN side = 'tail' THEN new ELSE tail END AS neg_tail FROM tj), tk AS (SELECT tg.*, EXISTS (SELECT 1 FROM triples k WHERE k.head = neg_head AND k.relation = tg.relation AND k.tail = neg_tail) AS known FROM tg WHERE neg_head <> neg_tail), best AS (SELECT head, relation, tail, min(try) FILTER (NOT known) AS try FROM tk GROUP BY ALL), acc AS (SELECT tk.head, tk.relation, tk.tail, count(*) AS accidental FROM tk JOIN best b ON b.head = tk.head AND b.relation = tk.relation AND b.tail = tk.tail WHERE known AND tk.try < coalesce(b.try, 60) GROUP BY ALL)"
+
+
+@query("sa9_whole_test_negatives", f"WITH {TRIES60} SELECT t.head, t.relation, t.tail, k.neg_head, k.neg_tail, b.try, coalesce(a.accidental, 0) AS accidental, CAST(b.try IS NULL AS INTEGER) AS skipped FROM test t LEFT JOIN best b ON b.head = t.head AND b.relation = t.relation AND b.tail = t.tail LEFT JOIN acc a ON a.head = t.head AND a.relation = t.relation AND a.tail = t.tail LEFT JOIN tk k ON k.head = t.head AND k.relation = t.relation AND k.tail = t.tail AND k.try = b.try")
 def _(spark, sf):
     known = base.triples(spark, sf)
     return sampling.whole_test_negatives(base.split(spark, sf, "test"), base.split(spark, sf, "train"), known, sampling.entity_index(known))
