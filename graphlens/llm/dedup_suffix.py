@@ -18,9 +18,13 @@ strings, and the rows sorted are (rank, rank of the longer string, position):
 A group is never gathered: sorted rows stream through the tasks, each task sends only the first of
 equal (string, context) pairs, and a string that is frequent within a task goes straight to step 3.
 
+Strings are compared by hashes: contexts by 64 bits of the GRAM-byte string and 64 of the context,
+LENGTH-byte strings by 128 bits and more, so that none is expected to be removed by chance.
+
 Defined results: null and empty texts have no bytes and the hash of nothing; a text shorter than
 LENGTH keeps all; documents come in the order of (doc_id, hash of the text), null ids first; rows
-that repeat both are one document and get the same result; texts of any length are taken whole.
+that repeat both are one document and get the same result; texts of any length are taken whole; an
+empty table gives an empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -56,6 +60,12 @@ _LIMIT = PIECE + 4 * LENGTH
 POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full(_LIMIT, BASE, np.uint64)]), dtype=np.uint64)
 INVERSE = np.cumprod(np.concatenate([[np.uint64(1)], np.full(_LIMIT, pow(BASE, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
 
+#: The same of a second hash, for strings that are ranked again.
+BYTE_2 = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BASE_2 = 0xC2B2AE3D27D4EB4F | 1
+POWER_2 = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * LENGTH, BASE_2, np.uint64)]), dtype=np.uint64)
+INVERSE_2 = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * LENGTH, pow(BASE_2, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
+
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -234,8 +244,8 @@ def _with_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield _batch(2, gs.values.to_numpy()[i : i + BATCH_POSITIONS], np.zeros(len(p)), np.full(len(p), doc.as_py()), np.full(len(p), th.as_py()), p, np.minimum(p + LENGTH, len(raw)), [context(raw, x) for x in p.tolist()])
 
 
-def _windows(ctx: list[bytes], before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, valid) of the LENGTH-byte strings around positions; column j is the string that starts LENGTH - GRAM - j bytes before."""
+def _windows(ctx: list[bytes], before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, second hash, valid) of the LENGTH-byte strings around positions; column j is the string that starts LENGTH - GRAM - j bytes before."""
     w, left = LENGTH - GRAM + 1, LENGTH - GRAM
     width = left + LENGTH
     m = np.zeros((len(ctx), width), np.uint8)
@@ -246,10 +256,12 @@ def _windows(ctx: list[bytes], before: np.ndarray) -> tuple[np.ndarray, np.ndarr
     col = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(shift, size)
     m[row, col] = flat
     p = np.zeros((len(ctx), width + 1), np.uint64)
-    np.cumsum(BYTE[m] * POWER[:width], axis=1, out=p[:, 1:])
-    h = _mix((p[:, LENGTH : LENGTH + w] - p[:, :w]) * INVERSE[:w])
+    hashes = []
+    for table, power, inverse in ((BYTE, POWER, INVERSE), (BYTE_2, POWER_2, INVERSE_2)):
+        np.cumsum(table[m] * power[:width], axis=1, out=p[:, 1:])
+        hashes.append(_mix((p[:, LENGTH : LENGTH + w] - p[:, :w]) * inverse[:w]))
     starts = np.arange(w)
-    return h, (starts >= shift[:, None]) & (starts + LENGTH <= (shift + size)[:, None])
+    return *hashes, (starts >= shift[:, None]) & (starts + LENGTH <= (shift + size)[:, None])
 
 
 def _spans(earlier: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -269,13 +281,13 @@ def _ranked_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not t.num_rows:
             return
         g, doc, th, pos = (t.column(x).to_numpy() for x in ("g", "doc", "th", "pos"))
-        h, ok = _windows(t.column("ctx").to_pylist(), np.minimum(pos, LENGTH - GRAM))
+        h, h2, ok = _windows(t.column("ctx").to_pylist(), np.minimum(pos, LENGTH - GRAM))
         key = _mix(h + _mix(g.astype(np.uint64))[:, None] * np.uint64(3) + np.arange(h.shape[1], dtype=np.uint64) * np.uint64(BASE))
         rows = np.broadcast_to(np.arange(len(g))[:, None], key.shape)[ok]
-        k = key[ok]
-        order = np.argsort(k, kind="stable")  # rows ascend within equal keys
-        k, rows = k[order], rows[order]
-        new = _runs(k)
+        k, k2 = key[ok], h2[ok]
+        order = np.lexsort((k2, k))  # stable: rows ascend within equal keys
+        k, k2, rows = k[order], k2[order], rows[order]
+        new = _runs(k, k2)
         first = rows[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))] if len(k) else rows
         again = (doc[rows] != doc[first]) | (th[rows] != th[first]) | (pos[rows] != pos[first])
         marked = np.zeros(ok.sum(), bool)
@@ -309,10 +321,10 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, b.num_rows, 2000):
             x = b.slice(at, 2000)
             pos = x.column("pos").to_numpy(zero_copy_only=False)
-            h, ok = _windows(x.column("ctx").to_pylist(), np.minimum(pos, LENGTH - GRAM))
+            h, h2, ok = _windows(x.column("ctx").to_pylist(), np.minimum(pos, LENGTH - GRAM))
             row, col = np.nonzero(ok)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([x.column("g").take(take), pa.array(h[ok].astype(np.int64)), x.column("doc").take(take), x.column("th").take(take), pa.array(pos[row] - (LENGTH - GRAM) + col)], names=["g", "h", "doc", "th", "start"])
+            yield pa.RecordBatch.from_arrays([x.column("g").take(take), pa.array(h[ok].astype(np.int64)), pa.array(h2[ok].astype(np.int64)), x.column("doc").take(take), x.column("th").take(take), pa.array(pos[row] - (LENGTH - GRAM) + col)], names=["g", "h", "h2", "doc", "th", "start"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,10 +369,10 @@ def covered_spans(docs: DataFrame) -> DataFrame:
     third = usual.repartition(tasks, "g").sortWithinPartitions("g", "doc", "th", "pos").mapInArrow(_ranked_again, ROW)
     spans = [x.filter("kind = 1").select("doc", "th", "pos", "end") for x in (second, third)]
     if some_hot:
-        rows = again.join(hot, "g", "left_semi").mapInArrow(_exploded, "g long, h long, doc long, th long, start long")
+        rows = again.join(hot, "g", "left_semi").mapInArrow(_exploded, "g long, h long, h2 long, doc long, th long, start long")
         here = F.struct("doc", "th", "start")
-        least = rows.groupBy("g", "h").agg(F.min(here).alias("first"))
-        spans.append(rows.join(least, ["g", "h"]).filter(here != F.col("first")).select("doc", "th", F.col("start").alias("pos"), (F.col("start") + LENGTH).alias("end")))
+        least = rows.groupBy("g", "h", "h2").agg(F.min(here).alias("first"))
+        spans.append(rows.join(least, ["g", "h", "h2"]).filter(here != F.col("first")).select("doc", "th", F.col("start").alias("pos"), (F.col("start") + LENGTH).alias("end")))
     every = spans[0]
     for x in spans[1:]:
         every = every.unionByName(x)
