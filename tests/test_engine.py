@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from graphlens.functions import text as tx
 from graphlens.functions.hashing import det_index, det_key
-from graphlens.functions.ordering import with_dense_index
-from graphlens.operators import abstention, audit, budget, graph, metrics, prompts, ranking, routing, sampling, stats, types
+from graphlens.functions.ordering import with_dense_index, with_dense_offsets
+from graphlens.operators import abstention, audit, budget, conditions, context, graph, metrics, prompts, ranking, reports, routing, sampling, stats, types
 from graphlens.sources import kg
 from graphlens.streaming import scores
 
@@ -337,3 +337,55 @@ def test_streams_agree_with_batches(spark, tmp_path):
     q.stop()
     want = df.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.max("value").alias("largest")).select(F.col("window.start").alias("start"), "event_type", "n", "largest")
     assert spark.table("windowed").select("start", "event_type", "n", "largest").exceptAll(want).count() == 0 and spark.table("windowed").count() == want.count()
+
+
+# ------------------------------------------------------------------ conditions, contexts, reports
+
+
+def test_conditions_refuse_what_they_do_not_know():
+    assert conditions.check_condition("S").names == "permuted"
+    with pytest.raises(ValueError, match="unknown condition"):
+        conditions.check_condition("Z")
+    conditions.check_flags({"types": True, "neighbours": False}, ["types"])
+    for flags, columns in (({"types": True}, []), ({"types": False}, ["types"])):
+        with pytest.raises(ValueError, match="types"):
+            conditions.check_flags(flags, columns)
+
+
+def test_context_leaves_the_answer_out(spark):
+    edges = spark.createDataFrame([("h", "r", "g"), ("h", "r", "x"), ("g", "back", "h"), ("h", "s", "y"), *[("hub", "r", f"t{i}") for i in range(50)]], "head string, relation string, tail string")
+    q = spark.createDataFrame([("1", "h", "r", "g"), ("2", "hub", "r", "t0"), ("3", "none", "r", "g")], "qid string, head string, relation string, tail string")
+    near = context.neighbours(edges, q, 3).collect()
+    assert [(r["via"], r["other"]) for r in sorted(near, key=lambda r: (r["qid"], r["place"])) if r["qid"] == "1"] == [("back", "g"), ("r", "x"), ("s", "y")]
+    assert [r["other"] for r in sorted(near, key=lambda r: r["place"]) if r["qid"] == "2"] == ["t1", "t10", "t11"]
+    leak = spark.createDataFrame([("back g; r x", "g"), ("r x", "g"), ("", "g")], "t string, gold string").select(context.leaking(F.col("t"), F.col("gold")).alias("x"))
+    assert [r["x"] for r in leak.collect()] == [True, False, False]
+
+
+def test_candidates_are_never_short(spark):
+    """A query with nearly all entities known still gets every other there is."""
+    ids = [f"e{i:02d}" for i in range(40)]
+    known = spark.createDataFrame([("h", "r", i) for i in ids[:33]] + [("k", "r", ids[0])], "head string, relation string, tail string")
+    q = spark.createDataFrame([("1", "h", "r", ids[0]), ("2", "k", "r", ids[0])], "qid string, head string, relation string, tail string")
+    entities = spark.createDataFrame(list(enumerate(ids)), "idx long, entity string")
+    got = sampling.candidate_sets(q, known, entities, 10).collect()
+    assert {r["candidate"] for r in got if r["qid"] == "1"} == {ids[0], *ids[33:]}
+    assert len({r["candidate"] for r in got if r["qid"] == "2"}) == 10 == sum(r["qid"] == "2" for r in got)
+
+
+def test_offsets_over_range_partitions(spark):
+    df = spark.createDataFrame([(i, i % 3, i % 5) for i in range(200)], "k int, a int, b int").repartition(7)
+    got = {r["k"]: (r["before_a"], r["before_b"]) for r in with_dense_offsets(df, F.desc("k"), "a", "b").collect()}
+    assert got == {k: (sum(i % 3 for i in range(k + 1, 200)), sum(i % 5 for i in range(k + 1, 200))) for k in range(200)}
+    assert with_dense_offsets(df.limit(0), F.desc("k"), "a").count() == 0
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([(1.0,), (-1.0,), (0.0,)], "x double")
+    verdict = [r["v"] for r in df.select(reports.interval_verdict(F.col("x") - 0.5, F.col("x") + 0.5).alias("v")).collect()]
+    assert verdict == ["better", "worse", "indistinguishable"]
+    assert one(spark.range(1).select(reports.detectable_from_n(F.lit(400)).alias("d")))["d"] == pytest.approx(0.042)
+    ranks = spark.createDataFrame([("real", 1, 2), ("permuted", 2, 2), ("anonymised", 2, 2)], "arm string, rank int, n_way int")
+    assert one(reports.mrr_terms(ranks)) == pytest.approx({"real": 1.0, "permuted": 0.5, "anonymised": 0.5, "chance": 0.75, "binding": 0.5, "names": 0.0, "residual": -0.25})
+    lines = spark.createDataFrame([("<id_1>\t<Anna>\trdf:type\t<wordnet_person_1>",), ("<http://x/Bo> <http://w3/ns#type> <http://schema.org/Person> .",), ("<Bo>\trdfs:label\tBo",), ("",)], "line string")
+    assert [tuple(r) for r in kg.type_lines(lines).collect()] == [("Anna", "wordnet_person_1"), ("Bo", "Person")]
