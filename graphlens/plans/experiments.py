@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from graphlens.functions import text as tx
 from graphlens.functions.hashing import det_key, det_number
-from graphlens.operators import conditions, context, graph, prompts, ranking, routing, sampling, types
+from graphlens.operators import budget, conditions, context, graph, prompts, ranking, routing, sampling, types
 from graphlens.plans import base
-from graphlens.plans.base import T, key, number
+from graphlens.plans.base import T, U, key, number
 from graphlens.plans.queries import ORACLE_SQL, PLANS, candidate_scores, features, query, rounded
 
 TRIPLE = sampling.TRIPLE
@@ -181,6 +181,77 @@ def _(spark, sf):
     return context.blocks(tests(spark, sf), base.split(spark, sf, "train"), base.entities(spark, sf), 3, 2)
 
 
+BUDGET = 12
+RANGE_TYPES = "rb AS (SELECT relation, 0.0::DOUBLE - sum(p * log2(p)) AS bits FROM (SELECT relation, n / (sum(n) OVER (PARTITION BY relation))::DOUBLE AS p FROM (SELECT t.relation, y.type, count(*) AS n FROM train t JOIN types y ON y.entity = t.tail GROUP BY ALL)) GROUP BY relation)"
+LABELS = "ew AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM entities), iw AS (SELECT id, max(ln((SELECT count(*) FROM entities) / df::DOUBLE)) AS idf FROM ew JOIN (SELECT w, count(*) AS df FROM ew GROUP BY w) USING (w) GROUP BY id), sn AS (SELECT lower(text) AS k, count(*) AS senses FROM entities GROUP BY 1), lab AS (SELECT e.id, len(list_filter(regexp_split_to_array(trim(e.text), '\\s+'), lambda x: x <> '')) AS words, iw.idf, sn.senses FROM entities e LEFT JOIN iw USING (id) LEFT JOIN sn ON sn.k = lower(e.text))"
+TRAITED = f"{BLOCKS}, {RANGE_TYPES}, {LABELS}, tb AS (SELECT b.*, coalesce(l.words >= 3, false) AS described, coalesce(l.words, 0) < 3 AS short, coalesce(rb.bits >= 2, false) AS diffuse, coalesce(rb.bits < 2, false) AS narrow, coalesce(l.idf < 2, false) AS general, coalesce(l.senses >= 3, false) AS ambiguous, l.words FROM blocks b JOIN queries q USING (qid) LEFT JOIN lab l ON l.id = q.head LEFT JOIN rb ON rb.relation = q.relation)"
+S1_WHY, S3_WHY = "CASE WHEN described THEN 'described' ELSE 'not described' END", "CASE WHEN short THEN 'short label' ELSE 'long label' END"
+S2_WHY = "CASE WHEN diffuse THEN 'range of many types' WHEN narrow THEN 'range of few types' ELSE 'range unknown' END"
+KIND_AT = f"(list_position({list(budget.KINDS)}, kind) - 1)"
+#: Priority and reason of each policy in SQL.
+POLICY_SQL = {
+    "S0": (f"-{KIND_AT}", "'kinds in fixed order'"),
+    "R": (U.format(number("policy", "kind", "target")), "'drawn by hash'"),
+    "S1": ("CASE kind WHEN 'neighbours' THEN if(described, 0.5, 3) WHEN 'entity_description' THEN if(described, 2.5, NULL) ELSE 1 END", S1_WHY),
+    "S2": ("CASE kind WHEN 'type_tag' THEN if(diffuse, 1, 3) WHEN 'neighbours' THEN if(diffuse, 2.5, 0.5) ELSE 1 END", S2_WHY),
+    "S3": ("CASE kind WHEN 'entity_description' THEN CASE WHEN NOT short THEN 3 WHEN words > 0 THEN 1 END WHEN 'neighbours' THEN if(short, 3, 0.5) ELSE 1 END", S3_WHY),
+    "S4": ("CASE kind WHEN 'neighbours' THEN 1 + if(described, 0, 1.5) + if(short, 1, 0) + if(diffuse, 1, 0) WHEN 'entity_description' THEN if(described, 3, NULL) WHEN 'type_tag' THEN if(narrow, 2, 0.8) ELSE 1 END", f"{S1_WHY} || ', ' || {S3_WHY} || ', ' || {S2_WHY}"),
+    "S5": ("CASE kind WHEN 'neighbours' THEN CASE WHEN ambiguous THEN 3.5 WHEN general THEN 0.5 ELSE 2.5 END WHEN 'entity_description' THEN CASE WHEN described THEN if(general, 1, 3) END WHEN 'demonstrations' THEN if(general OR described, 0.3, 2) WHEN 'type_tag' THEN if(general, 2.5, 1) ELSE 1 END", "CASE WHEN kind = 'neighbours' AND ambiguous THEN 'label of several senses' WHEN general THEN 'general label' ELSE 'specific label' END"),
+}
+JUDGED = f"{TRAITED}, jd AS (" + " UNION ALL ".join(f"SELECT qid, kind, target, tokens, '{p}' AS policy, CAST({value} AS DOUBLE) AS priority, {why} AS reason FROM tb" for p, (value, why) in POLICY_SQL.items()) + ")"
+
+
+def _filled_sql() -> str:
+    """The fold over the blocks of a query, one table for each place in the order: there are five kinds at most."""
+    out = f"{JUDGED}, pb AS (SELECT *, row_number() OVER (PARTITION BY qid, policy ORDER BY priority DESC, {KIND_AT}, target) AS k FROM jd WHERE priority IS NOT NULL), f0 AS (SELECT DISTINCT qid, policy, 0 AS spent, []::STRUCT(kind VARCHAR, tokens BIGINT)[] AS kept FROM jd)"
+    for i in range(1, 6):
+        room = f"{BUDGET} - s.spent"
+        n = f"CASE WHEN b.tokens <= {room} THEN b.tokens WHEN b.kind NOT IN {budget.ATOMIC} AND {room} > 0 THEN {room} ELSE 0 END"
+        out += f", n{i} AS (SELECT s.*, b.kind, coalesce(CASE WHEN {room} > 0 THEN {n} END, 0) AS n FROM f{i - 1} s LEFT JOIN pb b ON b.qid = s.qid AND b.policy = s.policy AND b.k = {i}), f{i} AS (SELECT qid, policy, spent + n AS spent, CASE WHEN n > 0 THEN list_append(kept, {{'kind': kind, 'tokens': CAST(n AS BIGINT)}}) ELSE kept END AS kept FROM n{i})"
+    return out
+
+
+FILLED = _filled_sql()
+
+
+def traited(spark, sf):
+    """The candidate blocks of the test queries with what the policies look at."""
+    q, train, e = tests(spark, sf), base.split(spark, sf, "train"), base.entities(spark, sf)
+    range_types = graph.entropy(train.join(types.induced_types(base.triples(spark, sf)).select(F.col("entity").alias("tail"), "type"), "tail"), ["relation"], "type", "bits")
+    labels = context.label_traits(e).withColumnRenamed("id", "head")
+    traits = q.select("qid", "head", "relation").join(labels, "head", "left").join(F.broadcast(range_types), "relation", "left").drop("head", "relation")  # one row a relation
+    return context.blocks(q, train, e, 3, 2).join(traits, "qid").withColumns({"described": F.col("words") >= budget.WORDS, "depth": F.lit(None).cast("int")})
+
+
+def filled(spark, sf, policies=budget.POLICIES):
+    return budget.allocated(traited(spark, sf), F.lit(BUDGET), policies)
+
+
+@query("ba3_policies", f"WITH {JUDGED} SELECT policy, kind, reason, count(*) AS n, count(*) FILTER (priority IS NULL) AS n_refused, round(min(priority), 6) AS lowest, round(max(priority), 6) AS highest FROM jd GROUP BY policy, kind, reason")
+def _(spark, sf):
+    j = budget.judged(traited(spark, sf))
+    return rounded(j.groupBy("policy", "kind", "reason").agg(F.count("*").alias("n"), F.count_if(F.col("priority").isNull()).alias("n_refused"), F.min("priority").alias("lowest"), F.max("priority").alias("highest")))
+
+
+@query("ba1_budget_fill", f"WITH {FILLED} SELECT qid, policy, CAST(spent AS BIGINT) AS spent, array_to_string(list_transform(kept, lambda x: x.kind || ':' || x.tokens), ',') AS kept FROM f5")
+def _(spark, sf):
+    return filled(spark, sf).select("qid", "policy", F.col("spent").cast("long").alias("spent"), F.array_join(F.transform("kept", lambda k: F.concat_ws(":", k["kind"], k["tokens"].cast("string"))), ",").alias("kept"))
+
+
+@query("ba5_spent_by_kind", f"WITH {FILLED}, u AS (SELECT policy, x.kind, x.tokens FROM (SELECT policy, unnest(kept) AS x FROM f5)) SELECT policy, kind, count(*) AS n_blocks, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(tokens) / ({BUDGET} * (SELECT count(*) FROM queries))::DOUBLE, 6) AS utilisation FROM u GROUP BY policy, kind")
+def _(spark, sf):
+    spent, n = budget.spent_by_kind(filled(spark, sf), "policy"), tests(spark, sf).agg(F.count("*")).scalar()
+    return rounded(spent.withColumn("utilisation", F.col("tokens") / (BUDGET * n)))
+
+
+@query("ba6_allocation_diff", f"WITH {FILLED}, s AS (SELECT qid, policy, array_to_string(list_transform(kept, lambda x: x.kind), ',') AS kinds FROM f5) SELECT a.policy AS a, b.policy AS b, a.kinds AS kinds_a, b.kinds AS kinds_b, count(*) AS n FROM s a JOIN s b ON a.qid = b.qid AND a.policy < b.policy AND a.kinds <> b.kinds GROUP BY ALL")
+def _(spark, sf):
+    f = filled(spark, sf).select("qid", "policy", F.array_join(F.transform("kept", lambda k: k["kind"]), ",").alias("kinds"))
+    sets = f.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("policy", "kinds"))).alias("s"))  # one for each policy
+    pairs = F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: (y["policy"] > x["policy"]) & (y["kinds"] != x["kinds"])), lambda y: F.struct(x["policy"].alias("a"), y["policy"].alias("b"), x["kinds"].alias("kinds_a"), y["kinds"].alias("kinds_b")))))
+    return sets.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b", "kinds_a", "kinds_b").agg(F.count("*").alias("n"))
+
+
 @query("gr4_evidence_colours", "WITH p AS (SELECT qid, candidate FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, candidate) AS k FROM cscored) WHERE k = 1), seen AS (SELECT head AS e FROM train UNION SELECT tail FROM train), rg AS (SELECT DISTINCT relation, tail FROM train) SELECT CASE WHEN p.candidate = q.tail THEN 'gold' WHEN rg.tail IS NOT NULL THEN 'in_range' WHEN seen.e IS NOT NULL THEN 'type_violation' ELSE 'oov' END AS colour, count(*) AS n FROM queries q JOIN p USING (qid) LEFT JOIN rg ON rg.relation = q.relation AND rg.tail = p.candidate LEFT JOIN seen ON seen.e = p.candidate GROUP BY 1")
 def _(spark, sf):
     top = candidate_scores(spark, sf).groupBy("qid").agg(F.min(F.struct((-F.col("score")).alias("s"), "candidate"))["candidate"].alias("predicted"))

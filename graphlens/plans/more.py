@@ -9,7 +9,7 @@ from graphlens.functions.hashing import det_number, unit
 from graphlens.operators import arms, audit, evidence, metrics, prompts, routing, sampling, stats, types
 from graphlens.plans import base
 from graphlens.plans.base import T, U, number
-from graphlens.plans.queries import ARMS, candidate_scores, candidates, features, filled, query, r6, rounded
+from graphlens.plans.queries import ARMS, candidate_scores, candidates, features, query, r6, rounded
 from graphlens.plans.queries import arms as two_arms
 
 # ------------------------------------------------------------------ identifiers and names
@@ -254,13 +254,6 @@ def _(spark, sf):
     return routing.faithfulness(features(spark, sf).filter("id = 'nation:1'"))
 
 
-@query("ba6_allocation_diff")
-def _(spark, sf):
-    f = filled(spark, sf).select("qid", "policy", F.array_join(F.transform("kept", lambda k: k["kind"]), ",").alias("kinds"))
-    a, b = (f.filter(F.col("policy") == p).select("qid", F.col("kinds").alias(p)) for p in ("S0", "S1"))
-    return a.join(b, "qid").filter(F.col("S0") != F.col("S1")).groupBy("S0", "S1").agg(F.count("*").alias("n"))
-
-
 @query("jo9_shared_queries", f"WITH {PR} SELECT count(*) AS n FROM (SELECT qid FROM pr WHERE rank <= 5 GROUP BY qid HAVING count(DISTINCT policy) = 3)")
 def _(spark, sf):
     r = policy_ranks(spark, sf).filter("rank <= 5").groupBy("qid").agg(F.count_distinct("policy").alias("n")).filter(F.col("n") == len(POLICIES))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions import text as tx
 from graphlens.functions.hashing import det_number, unit
-from graphlens.operators import abstention, audit, budget, graph, metrics, prompts, ranking, routing, sampling, stats, types
+from graphlens.operators import abstention, audit, graph, metrics, prompts, ranking, routing, sampling, stats, types
 from graphlens.plans import base
 from graphlens.plans.base import N_WAY, TRIES, T, U, key, number, sql
 from graphlens.sources.kg import canonical_graph, canonical_split
@@ -657,34 +657,6 @@ def _(spark, sf):
     return routing.faithfulness(features(spark, sf)).groupBy("action", "verdict").agg(F.count("*").alias("n"))
 
 
-def blocks(spark, sf):
-    """Test queries with four blocks of context each, and what policies look at."""
-    t = prompts.with_text(base.with_qid(base.split(spark, sf, "test")), base.entities(spark, sf))
-    block = lambda kind, text: F.struct(F.lit(kind).alias("kind"), F.col("head").alias("target"), text.alias("text"), F.size(F.split(text, " ")).alias("tokens"))
-    made = F.array(block("type_tag", tx.id_prefix(F.col("head"))), block("entity_description", F.concat_ws(" ", "head_text", F.lit("is a"), tx.id_prefix(F.col("head")))), block("neighbours", F.concat_ws(" ", "head", "tail", "relation", "head", "tail", "relation")), block("demonstrations", F.concat_ws(" ", F.lit("for example"), "relation", "tail_text")))
-    return t.select("qid", made.alias("made"), (det_number("described", "head") % 2 == 0).alias("described"), tx.n_label_words(F.col("head_text")).alias("words"), (det_number("bits", "relation") % 4).cast("double").alias("bits"), unit("draw", "qid").alias("draw"))
-
-
-def filled(spark, sf, most: int = 9):
-    b = blocks(spark, sf).withColumn("policy", F.explode(F.array(*[F.lit(p) for p in ("S0", "S1", "S2", "S3", "S4")])))
-
-    def with_priority(x: Column) -> Column:
-        p = F.coalesce(*[F.when(F.col("policy") == name, F.coalesce(budget.priority(name, x["kind"], F.col("described"), F.col("words"), F.col("bits"), F.col("draw")), F.lit(float("-inf")))) for name in ("S0", "S1", "S2", "S3", "S4")])
-        return F.struct(x["kind"].alias("kind"), x["target"].alias("target"), x["text"].alias("text"), x["tokens"].alias("tokens"), F.nullif(p, F.lit(float("-inf"))).alias("priority"))
-
-    return budget.fill(b.withColumn("blocks", F.transform("made", with_priority)), F.lit(most))
-
-
-@query("ba1_budget_fill")
-def _(spark, sf):
-    return filled(spark, sf).select("qid", "policy", "spent", F.array_join(F.transform("kept", lambda k: F.concat_ws(":", k["kind"], k["tokens"].cast("string"))), ",").alias("kept"))
-
-
-@query("ba5_spent_by_kind")
-def _(spark, sf):
-    return budget.spent_by_kind(filled(spark, sf), "policy")
-
-
 # ------------------------------------------------------------------ audits
 
 

@@ -311,6 +311,27 @@ def test_budget_is_never_overspent(spark, most):
         assert r["spent"] == 11
 
 
+TRAITED = "qid string, kind string, target string, text string, tokens int, described boolean, words int, bits double, depth int, idf double, senses long"
+
+
+def test_policies_give_priorities_and_reasons(spark):
+    rows = [("q", k, "t", "a b", 2, *traits) for k in budget.KINDS for traits in [(True, 3, 1.0, 3, None, 1), (False, 1, 2.5, 9, 5.0, 3), (None, None, None, None, None, None)]]
+    j = budget.judged(spark.createDataFrame(rows, TRAITED)).collect()
+    known = {(r["policy"], r["kind"], r["described"]): r["priority"] for r in j}
+    assert [known["S0", k, True] for k in budget.KINDS] == [0, -1, -2, -3, -4, -5] and all(r["reason"] for r in j)
+    assert known["S1", "neighbours", True] == 0.5 and known["S1", "entity_description", False] is None and known["S1", "exclusions", None] == 1
+    assert known["S2", "type_tag", True] == 3 and known["S2", "neighbours", False] == 2.5 and known["S2", "type_tag", None] == 3
+    assert known["S3", "entity_description", True] == 3 and known["S3", "entity_description", False] == 1 and known["S3", "entity_description", None] is None
+    assert known["S4", "neighbours", True] == 1 and known["S4", "neighbours", False] == 4.5 and known["S4", "type_tag", None] == 0.8
+    assert known["S5", "neighbours", False] == 3.5 and known["S5", "neighbours", True] == 0.5 and known["S5", "demonstrations", None] == 2 and known["S5", "type_tag", True] == 2.5
+    assert all(0 <= known["R", k, True] < 1 for k in budget.KINDS)
+    with pytest.raises(ValueError, match="unknown policy"):
+        budget.priority("S9")
+    filled = {r["policy"]: r for r in budget.allocated(spark.createDataFrame(rows[::3], TRAITED), F.lit(3)).collect()}
+    assert set(filled) == set(budget.POLICIES) and all(r["spent"] <= 3 for r in filled.values())
+    assert [k["kind"] for k in filled["S0"]["kept"]] == ["type_tag", "exclusions"] and budget.allocated(spark.createDataFrame([], TRAITED), F.lit(3)).count() == 0
+
+
 def test_audit_finds_planted_defects(spark):
     train = spark.createDataFrame([("a", "r", "b"), ("a", "r", "b"), ("b", "r", "b"), ("b", "s", "c")], "head string, relation string, tail string")
     test = spark.createDataFrame([("a", "r", "b", 1), ("b", "s", "c", -1), ("z", "t", "a", 1)], "head string, relation string, tail string, label int")
