@@ -50,15 +50,16 @@ def guarded_neighbours(edges: DataFrame, queries: DataFrame, inverses: DataFrame
     """(qid, neighbours): k neighbours of each query's head that do not give its tail away.
 
     Left out: edges to the gold tail by the asked relation or its inverses, and the query itself.
-    Neighbours are ordered by hash, so the choice is the same on every run.
+    Neighbours are ordered by hash of head and edge, so a hub is ranked once and not for each query: a query
+    leaves out whole relations and one edge, so the first k + 1 of each (head, relation) are enough.
     """
-    near = incident(edges).select(F.col("entity").alias("head"), F.col("relation").alias("via"), "other")
+    near = incident(edges).select(F.col("entity").alias("head"), F.col("relation").alias("via"), "other").distinct().withColumn("h", det_key(seed, "head", "via", "other"))
+    near = first_per_group(near, ["head", "via"], ["h"], k + 1)
     banned = inverses.select("relation", F.col("inverse").alias("via"))
     j = queries.select("qid", "head", "relation", "tail").join(near, "head")
     j = j.filter(~((F.col("other") == F.col("tail")) & (F.col("via") == F.col("relation"))))
     j = j.join(F.broadcast(banned), ["relation", "via"], "left_anti")  # at most relations squared
-    j = j.select("qid", "via", "other").distinct().withColumn("h", det_key(seed, "qid", "via", "other"))
-    few = first_per_group(j, ["qid"], ["h"], k)
+    few = first_per_group(j.select("qid", "other", "h").distinct(), ["qid"], ["h"], k)
     return few.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "other"))), lambda x: x["other"]), "|").alias("neighbours"))
 
 
@@ -66,11 +67,16 @@ def safe_neighbours(edges: DataFrame, queries: DataFrame, inverses: DataFrame, e
     """(qid, neighbours): the texts of up to k neighbours of each query's head, by hash, each text once.
 
     Left out: every edge of the asked relation or its inverses, the head itself, and the gold tail by any relation.
+    Texts are ranked once for each (head, relation): a query leaves out whole relations and one neighbour, and with
+    it at most one text, so the first k + 1 are enough.
     """
-    j = safe_edges(edges, queries, inverses, "head").filter((F.col("other") != F.col("head")) & (F.col("other") != F.col("tail")))
-    names = entities.select(F.col("id").alias("other"), "text")
-    j = j.select("qid", "other").distinct().join(names, "other", "left").select("qid", F.coalesce("text", "other").alias("text")).distinct()
-    few = first_per_group(j.withColumn("h", det_key(seed, "qid", "text")), ["qid"], ["h"], k)
+    near = incident(edges).select(F.col("entity").alias("head"), F.col("relation").alias("via"), "other").filter(F.col("other") != F.col("head"))
+    near = near.join(entities.select(F.col("id").alias("other"), "text"), "other", "left").groupBy("head", "via", F.coalesce("text", "other").alias("text")).agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
+    near = first_per_group(near.withColumn("h", det_key(seed, "head", "text")), ["head", "via"], ["h"], k + 1)
+    banned = inverses.select("relation", F.col("inverse").alias("via"))
+    j = queries.select("qid", "head", "relation", "tail").join(near, "head").filter((F.col("via") != F.col("relation")) & ((F.col("lo") != F.col("tail")) | (F.col("hi") != F.col("tail"))))
+    j = j.join(F.broadcast(banned), ["relation", "via"], "left_anti")  # at most relations squared
+    few = first_per_group(j.select("qid", "text", "h").distinct(), ["qid"], ["h"], k)
     return few.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "text"))), lambda x: x["text"]), "|").alias("neighbours"))
 
 
@@ -107,10 +113,12 @@ def safe_paths(edges: DataFrame, queries: DataFrame, inverses: DataFrame, entiti
 
     Edges of the asked relation and its inverses are left out; of several last edges the first by hash is taken.
     """
-    last = safe_edges(edges, queries, inverses, "tail").filter(F.col("other") != F.col("tail"))
-    last = last.groupBy("qid", F.col("other").alias("mid")).agg(F.min(F.struct(det_key(seed, "via").alias("h"), "via")).alias("x")).select("qid", "mid", F.col("x.via").alias("last"))
-    first = safe_edges(edges, queries, inverses, "head").filter((F.col("other") != F.col("head")) & (F.col("other") != F.col("tail")))
-    j = first.withColumnRenamed("other", "mid").join(last, ["qid", "mid"]).withColumn("h", det_key(seed, "qid", "via", "mid"))
+    near = incident(edges).select(F.col("entity").alias("tail"), F.col("relation").alias("last"), F.col("other").alias("mid")).distinct()
+    banned = inverses.select("relation", F.col("inverse").alias("last"))
+    first = safe_edges(edges, queries, inverses, "head").filter((F.col("other") != F.col("head")) & (F.col("other") != F.col("tail"))).withColumnRenamed("other", "mid")
+    j = first.join(near, ["mid", "tail"]).filter(F.col("last") != F.col("relation"))  # on both ends, so a hub at the tail is no hot key
+    j = j.join(F.broadcast(banned), ["relation", "last"], "left_anti")  # at most relations squared
+    j = j.groupBy("qid", "head", "tail", "via", "mid").agg(F.min_by("last", det_key(seed, "last")).alias("last")).withColumn("h", det_key(seed, "qid", "via", "mid"))
     few = first_per_group(j, ["qid"], ["h"], k)
     for end in ("head", "mid", "tail"):
         names = entities.select(F.col("id").alias(end), F.col("text").alias(f"{end}_text"))

@@ -148,7 +148,7 @@ def _(spark, sf):
     return rounded(graph.inverse_relations(base.triples(spark, sf)))
 
 
-@query("gr6_guarded_neighbours", f"WITH {INV.replace('triples', 'train')}, i AS (SELECT relation, head AS entity, tail AS other FROM train UNION ALL SELECT relation, tail, head FROM train), j AS (SELECT DISTINCT q.qid, i.relation AS via, i.other FROM queries q JOIN i ON i.entity = q.head WHERE NOT (i.other = q.tail AND i.relation = q.relation) AND NOT EXISTS (SELECT 1 FROM inv WHERE inv.relation = q.relation AND inv.inverse = i.relation)), k AS (SELECT *, {key('nbr', 'qid', 'via', 'other')} AS h, row_number() OVER (PARTITION BY qid ORDER BY {key('nbr', 'qid', 'via', 'other')}) AS r FROM j) SELECT qid, string_agg(other, '|' ORDER BY h) AS neighbours FROM k WHERE r <= 3 GROUP BY qid")
+@query("gr6_guarded_neighbours", f"WITH {INV.replace('triples', 'train')}, i AS (SELECT relation, head AS entity, tail AS other FROM train UNION ALL SELECT relation, tail, head FROM train), j AS (SELECT DISTINCT q.qid, q.head, i.relation AS via, i.other FROM queries q JOIN i ON i.entity = q.head WHERE NOT (i.other = q.tail AND i.relation = q.relation) AND NOT EXISTS (SELECT 1 FROM inv WHERE inv.relation = q.relation AND inv.inverse = i.relation)), k AS (SELECT *, {key('nbr', 'head', 'via', 'other')} AS h, row_number() OVER (PARTITION BY qid ORDER BY {key('nbr', 'head', 'via', 'other')}) AS r FROM j) SELECT qid, string_agg(other, '|' ORDER BY h) AS neighbours FROM k WHERE r <= 3 GROUP BY qid")
 def _(spark, sf):
     train = base.split(spark, sf, "train")
     return graph.guarded_neighbours(train, base.with_qid(base.split(spark, sf, "test")), graph.inverse_relations(train), 3)
@@ -157,7 +157,7 @@ def _(spark, sf):
 SAFE = f"{INV.replace('triples', 'train')}, ni AS (SELECT DISTINCT entity, relation AS via, other FROM (SELECT relation, head AS entity, tail AS other FROM train UNION ALL SELECT relation, tail, head FROM train)), safe AS (SELECT q.qid, q.head, q.tail, ni.entity, via, other FROM queries q JOIN ni ON ni.entity IN (q.head, q.tail) WHERE via <> q.relation AND NOT EXISTS (SELECT 1 FROM inv WHERE inv.relation = q.relation AND inv.inverse = via))"
 
 
-@query("gr6_safe_neighbours", f"WITH {SAFE}, d AS (SELECT DISTINCT qid, coalesce(e.text, other) AS text FROM safe LEFT JOIN entities e ON e.id = other WHERE entity = head AND other <> head AND other <> tail), k AS (SELECT *, {key('nbr', 'qid', 'text')} AS h, row_number() OVER (PARTITION BY qid ORDER BY {key('nbr', 'qid', 'text')}) AS r FROM d) SELECT qid, string_agg(text, '|' ORDER BY h) AS neighbours FROM k WHERE r <= 3 GROUP BY qid")
+@query("gr6_safe_neighbours", f"WITH {SAFE}, d AS (SELECT DISTINCT qid, head, coalesce(e.text, other) AS text FROM safe LEFT JOIN entities e ON e.id = other WHERE entity = head AND other <> head AND other <> tail), k AS (SELECT *, {key('nbr', 'head', 'text')} AS h, row_number() OVER (PARTITION BY qid ORDER BY {key('nbr', 'head', 'text')}) AS r FROM d) SELECT qid, string_agg(text, '|' ORDER BY h) AS neighbours FROM k WHERE r <= 3 GROUP BY qid")
 def _(spark, sf):
     train = base.split(spark, sf, "train")
     return graph.safe_neighbours(train, base.with_qid(base.split(spark, sf, "test")), graph.inverse_relations(train), base.entities(spark, sf), 3)
