@@ -111,6 +111,13 @@ def whole_test_negatives(test: DataFrame, train: DataFrame, known: DataFrame, en
     return out.select(*TRIPLE, "x.neg_head", "x.neg_tail", F.col("x.try").alias("try"), F.coalesce(F.size(F.filter("hits", lambda h: h < F.col("end"))), F.lit(0)).alias("accidental"), F.col("x").isNull().cast("int").alias("skipped"))
 
 
+def validation_part(rows: DataFrame, *key: str, share: float = 0.3, seed: str = "perm-split") -> DataFrame:
+    """Add part: the first floor(share * n) rows in the order of a hash of the key are validation, the rest test."""
+    ring = with_dense_index(rows.withColumn("_h", det_key(seed, *key)), "_h", *key, name="_i")
+    most = F.floor(ring.agg(F.count("*")).scalar() * share)
+    return ring.withColumn("part", F.when(F.col("_i") < most, "validation").otherwise("test")).drop("_h", "_i")
+
+
 def inductive_split(triples: DataFrame, share: float, seed: str = "ind") -> DataFrame:
     """Add part: train (both ends seen), query (head unseen), support (others that touch an unseen entity)."""
     unseen = lambda c: det_number(seed, c) % 10000 < int(share * 10000)

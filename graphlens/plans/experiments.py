@@ -99,6 +99,11 @@ def _(spark, sf):
     return rounded(d.orderBy("h").limit(30).drop("h"))
 
 
+@query("sa21_permutation_split", f"SELECT id, CASE WHEN row_number() OVER (ORDER BY {key('perm-split', 'id')}, id) <= floor((SELECT count(*) FROM scored) * 0.3) THEN 'validation' ELSE 'test' END AS part FROM scored")
+def _(spark, sf):
+    return sampling.validation_part(base.scored(spark, sf).select("id"), "id")
+
+
 @query("sa7_near_misses", f"WITH r AS (SELECT qid, candidate, is_gold, row_number() OVER (PARTITION BY qid ORDER BY score DESC, candidate) AS k FROM cscored), c AS (SELECT qid, candidate, row_number() OVER (PARTITION BY qid ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY qid) AS n FROM r WHERE k <= 20 AND is_gold = 0) SELECT qid, candidate AS near_miss FROM c WHERE i = {number('near', 'qid')} % n")
 def _(spark, sf):
     best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "candidate", "is_gold")))

@@ -9,7 +9,7 @@ from graphlens.functions.hashing import det_number, unit
 from graphlens.operators import arms, audit, evidence, metrics, prompts, routing, sampling, stats, types
 from graphlens.plans import base
 from graphlens.plans.base import T, U, number
-from graphlens.plans.queries import ARMS, candidate_scores, candidates, features, query, r6, rounded
+from graphlens.plans.queries import ARMS, FAITH, candidate_scores, candidates, features, query, r6, rounded
 from graphlens.plans.queries import arms as two_arms
 
 # ------------------------------------------------------------------ identifiers and names
@@ -52,7 +52,13 @@ def _(spark, sf):
 ATOM = "CASE p_partkey % 5 WHEN 0 THEN '<wordnet_' || replace(lower(p_name), ' ', '_') || '_1000' || (p_partkey % 100) || '>' WHEN 1 THEN '<wikicat_' || replace(p_name, ' ', '_') || '_parts_of_' || replace(p_type, ' ', '_') || '>' WHEN 2 THEN '<http://schema.org/' || replace(p_type, ' ', '_') || '>' WHEN 3 THEN '<wikicategory_' || replace(p_name, ' ', '_') || 'es>' ELSE replace(p_name, ' ', '_') END"
 
 
-@query("ty9_class_names")
+HEAD = "list_filter(string_split(regexp_split_to_array(wiki, '_(?:in|of|from|by|at|for|about|with|during)_')[1], '_'), lambda t: t <> '' AND NOT regexp_matches(t, '^[0-9]+$'))"
+LAST = "lower(coalesce(list_filter(toks, lambda t: NOT ends_with(t, 'ed') AND lower(t) NOT IN ('and', 'or', 'the', 'a', 'an'))[-1], toks[1]))"
+SINGULAR = "CASE WHEN ends_with(noun, 'ss') OR length(noun) <= 3 THEN noun " + " ".join(f"WHEN ends_with(noun, '{end}') THEN left(noun, length(noun) - {len(end)}) || '{put}'" for end, put in tx.PLURALS) + " ELSE noun END"
+CLASS_SQL = f"atoms AS (SELECT p_partkey, trim({ATOM}, '<>') AS v FROM part), cl AS (SELECT p_partkey, nullif(regexp_extract(v, '^wordnet_([a-z][a-z_]*?)_[0-9]+$', 1), '') AS wordnet, lower(nullif(regexp_extract(v, '^https?://(?:schema\\.org|yago-knowledge\\.org/schema)/(\\w+)$', 1), '')) AS schema_name, nullif(regexp_extract(v, '^wikicat(?:egory)?_(.+)$', 1), '') AS wiki FROM atoms), hd AS (SELECT *, {HEAD} AS toks FROM cl), nn AS (SELECT *, {LAST} AS noun FROM hd)"
+
+
+@query("ty9_class_names", f"WITH {CLASS_SQL}, nw AS (SELECT *, {SINGULAR} AS one FROM nn) SELECT p_partkey, CASE WHEN wordnet IS NOT NULL THEN 'wordnet' WHEN schema_name IS NOT NULL THEN 'schema' WHEN one IS NOT NULL THEN 'wikicat' END AS kind, coalesce(wordnet, schema_name, one) AS name FROM nw")
 def _(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
     joined = lambda c: F.replace(F.col(c), F.lit(" "), F.lit("_"))
@@ -249,9 +255,9 @@ def _(spark, sf):
     return e.join(F.broadcast(m), "event_type").select("event_id", F.round((F.col("value") - F.col("mean")) / (F.col("sd") + 1e-8), 5).alias("z"))  # one row a type
 
 
-@query("rt8_single_element_probe")
+@query("rt8_single_element_probe", f"WITH {FAITH} SELECT * FROM faith WHERE id = 'nation:1'")
 def _(spark, sf):
-    return routing.faithfulness(features(spark, sf).filter("id = 'nation:1'"))
+    return rounded(routing.faithfulness(features(spark, sf).filter("id = 'nation:1'")))
 
 
 @query("jo9_shared_queries", f"WITH {PR} SELECT count(*) AS n FROM (SELECT qid FROM pr WHERE rank <= 5 GROUP BY qid HAVING count(DISTINCT policy) = 3)")

@@ -480,7 +480,7 @@ def _(spark, sf):
     return rounded(metrics.temperature(base.scored(spark, sf), "conf", "correct", GRID))
 
 
-@query("ag23_isotonic")
+@query("ag23_isotonic", "WITH g AS (SELECT round(conf, 4) AS conf, sum(correct) AS s, count(*) AS m FROM scored GROUP BY 1), c AS (SELECT conf, s, m, row_number() OVER (ORDER BY conf) AS k, sum(s) OVER (ORDER BY conf) AS cs, sum(m) OVER (ORDER BY conf) AS cm FROM g), p AS (SELECT b.k, min((b.cs - a.cs + a.s) / (b.cm - a.cm + a.m)::DOUBLE) OVER (PARTITION BY a.k ORDER BY b.k DESC) AS low FROM c a JOIN c b ON b.k >= a.k) SELECT round(c.conf, 6) AS conf, round(max(low), 6) AS fit FROM p JOIN c USING (k) GROUP BY c.conf")
 def _(spark, sf):
     return rounded(stats.isotonic(base.scored(spark, sf), "conf", "correct"))
 
@@ -565,8 +565,7 @@ def _(spark, sf):
 @query("ag57_spearman", "WITH x AS (SELECT s.relation, s.p_yes, d.degree FROM scored s JOIN degrees d ON d.entity = s.tail), r AS (SELECT relation, rank() OVER (PARTITION BY relation ORDER BY p_yes) + (count(*) OVER (PARTITION BY relation, p_yes) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY relation ORDER BY degree) + (count(*) OVER (PARTITION BY relation, degree) - 1) / 2.0::DOUBLE AS b FROM x) SELECT relation, count(*) AS n, round(CASE WHEN count(*) >= 10 AND stddev_pop(b) > 0 THEN corr(a, b) END, 6) AS rho FROM r GROUP BY relation")
 def _(spark, sf):
     d = graph.degrees(base.triples(spark, sf)).select(F.col("entity").alias("tail"), "degree")
-    out = ranking.spearman(base.scored(spark, sf).join(d, "tail"), "p_yes", "degree", "relation")
-    return rounded(out.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho"))))
+    return rounded(ranking.spearman(base.scored(spark, sf).join(d, "tail"), "p_yes", "degree", "relation"))
 
 
 @query("ag61_fit_diagnosis", "WITH c AS (SELECT user_id AS run, event_id AS step, value AS loss FROM events), d AS (SELECT run, arg_min(loss, step) AS first, arg_max(loss, step) AS last, min(loss) AS least, max(step) AS last_step FROM c GROUP BY run), b AS (SELECT run, min(step) AS best_step FROM c JOIN d USING (run) WHERE loss = least GROUP BY run) SELECT run, round(first, 6) AS first, round(last, 6) AS last, round(least, 6) AS least, best_step, last_step, CASE WHEN last > least * 1.1::DOUBLE THEN 'overfit' WHEN last > first * 0.95::DOUBLE THEN 'underfit' ELSE 'good' END AS verdict FROM d JOIN b USING (run)")
@@ -652,7 +651,20 @@ def _(spark, sf):
     return rounded(routing.action_distribution(routing.routed(features(spark, sf))))
 
 
-@query("rt7_faithfulness")
+def _route_sql(changed: str = "", to: str = "") -> str:
+    """The action at the last level in SQL, with one feature changed."""
+    f = {name: f"({to})" if name == changed else name for name in ("kind", "looks_opaque", "ambiguity", "has_description", "quality_band", "degree_percentile")}
+    l3 = "CASE WHEN {kind} = 'relation' THEN 'relation_description' WHEN {looks_opaque} OR {ambiguity} > 3 THEN 'typed_neighbours' WHEN {has_description} AND {quality_band} = 'rich' THEN 'none' ELSE 'description_only' END".format(**f)
+    return f"CASE WHEN ({l3}) = 'none' AND {f['degree_percentile']} < 0.1 THEN 'typed_neighbours' WHEN ({l3}) = 'description_only' AND {f['degree_percentile']} > 0.9 AND {f['has_description']} THEN 'none' ELSE ({l3}) END"
+
+
+CITED = "CASE WHEN kind = 'relation' THEN ['kind'] WHEN looks_opaque THEN ['kind', 'looks_opaque'] WHEN ambiguity > 3 THEN ['kind', 'ambiguity'] WHEN has_description AND quality_band = 'rich' THEN CASE WHEN degree_percentile < 0.1 THEN ['kind', 'has_description', 'quality_band', 'degree_percentile'] ELSE ['kind', 'has_description', 'quality_band'] END WHEN degree_percentile > 0.9 AND has_description THEN ['kind', 'has_description', 'degree_percentile'] ELSE ['kind', 'quality_band'] END"
+CHANGES = {"kind": "CASE WHEN kind = 'entity' THEN 'relation' ELSE 'entity' END", "looks_opaque": "NOT looks_opaque", "ambiguity": "CASE WHEN ambiguity > 3 THEN 1 ELSE 10 END", "has_description": "NOT has_description", "quality_band": "CASE WHEN quality_band = 'rich' THEN 'poor' ELSE 'rich' END", "degree_percentile": "CASE WHEN degree_percentile > 0.9 THEN 0.05 ELSE 0.95 END"}
+FLIPS = " + ".join(f"CAST(list_contains(cited, '{name}') AND ({_route_sql(name, to)}) <> action AS BIGINT)" for name, to in CHANGES.items())
+FAITH = f"fa0 AS (SELECT *, {_route_sql()} AS action, {CITED} AS cited FROM features), fa1 AS (SELECT id, action, len(cited) AS n_cited, {FLIPS} AS n_flips FROM fa0), faith AS (SELECT *, CASE WHEN n_cited = 0 THEN 'none cited' WHEN n_flips = n_cited THEN 'faithful' WHEN n_flips > 0 THEN 'partially' ELSE 'unfaithful' END AS verdict FROM fa1)"
+
+
+@query("rt7_faithfulness", f"WITH {FAITH} SELECT action, verdict, count(*) AS n FROM faith GROUP BY action, verdict")
 def _(spark, sf):
     return routing.faithfulness(features(spark, sf)).groupBy("action", "verdict").agg(F.count("*").alias("n"))
 

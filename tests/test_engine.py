@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -311,6 +312,21 @@ def test_budget_is_never_overspent(spark, most):
         assert r["spent"] == 11
 
 
+def test_spearman_equals_ranks_by_hand(spark):
+    values = [("a", i % 7, (i * i) % 5) for i in range(60)] + [("b", i, -i) for i in range(12)] + [("few", 1, 2), ("flat", None, 1), (None, 1, 1)] + [("flat", 3, i) for i in range(11)]
+    got = {r["g"]: (r["n"], r["rho"]) for r in ranking.spearman(spark.createDataFrame(values, "g string, x int, y int"), "x", "y", "g").collect()}
+    xs = pd.DataFrame([v for v in values if v[0] == "a"], columns=["g", "x", "y"])
+    want = xs["x"].rank().corr(xs["y"].rank())
+    assert got["a"][0] == 60 and abs(got["a"][1] - want) < 1e-9
+    assert got["b"] == (12, pytest.approx(-1.0)) and got["few"] == (1, None) and got["flat"] == (11, None) and None not in got
+
+
+def test_validation_part_is_three_tenths(spark):
+    parts = [r["part"] for r in sampling.validation_part(spark.range(11).withColumn("idx", F.lit("kept")), "id").select("part").collect()]
+    assert parts.count("validation") == 3 and len(parts) == 11
+    assert sampling.validation_part(spark.range(0), "id").count() == 0
+
+
 TRAITED = "qid string, kind string, target string, text string, tokens int, described boolean, words int, bits double, depth int, idf double, senses long"
 
 
