@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlens.functions.ordering import with_dense_index
 from graphlens.operators import abstention, metrics
 
 #: The spread of a 0/1 outcome and the factor for 80 % power, when only n is known.
@@ -66,3 +67,15 @@ def mrr_terms(ranks: DataFrame) -> DataFrame:
     chance = ranks.agg(F.avg(F.aggregate(F.sequence(F.lit(1), F.col("n_way").cast("int")), F.lit(0.0), lambda a, i: a + 1 / i) / F.col("n_way")).alias("chance"))  # n_way is a parameter
     d = m.crossJoin(chance)  # one row each
     return d.withColumns({"binding": F.col("real") - F.col("permuted"), "names": F.col("permuted") - F.col("anonymised"), "residual": F.col("anonymised") - F.col("chance")})
+
+
+def markdown(table: DataFrame, order: str, columns: dict[str, str]) -> DataFrame:
+    """(place, line): a table as lines of Markdown, in the order of a column without ties; a null cell is empty.
+
+    Lines are numbered by range partitions, so a long table is written in parallel; an empty table is its head.
+    """
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns.values()]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    rows = with_dense_index(table.select(F.col(order).alias("_o"), line.alias("line")), "_o").select((F.col("idx") + 3).alias("place"), "line")
+    head = rows.sparkSession.createDataFrame([(1, f"| {' | '.join(columns)} |"), (2, f"|{'-|' * len(columns)}")], "place long, line string")
+    return head.unionByName(rows)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions import text as tx
 from graphlens.functions.hashing import det_key, det_number
-from graphlens.operators import budget, conditions, context, graph, prompts, ranking, routing, sampling, types
+from graphlens.operators import budget, conditions, context, graph, prompts, ranking, reports, routing, sampling, types
 from graphlens.plans import base
 from graphlens.plans.base import T, U, key, number
 from graphlens.plans.queries import ORACLE_SQL, PLANS, candidate_scores, features, query, rounded
@@ -104,6 +104,12 @@ def _(spark, sf):
     return sampling.validation_part(base.scored(spark, sf).select("id"), "id")
 
 
+@query("sk4_report_table", "WITH m AS (SELECT relation, count(*) AS n, count(*) FILTER (label = 1) AS positive FROM labelled GROUP BY relation) SELECT 1 AS place, '| Relation | Rows | Positive |' AS line UNION ALL SELECT 2, '|-|-|-|' UNION ALL SELECT 2 + row_number() OVER (ORDER BY relation), '| ' || relation || ' | ' || n || ' | ' || positive || ' |' FROM m")
+def _(spark, sf):
+    m = base.labelled(spark, sf).groupBy("relation").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positive"))
+    return reports.markdown(m, "relation", {"Relation": "relation", "Rows": "n", "Positive": "positive"})
+
+
 @query("sa7_near_misses", f"WITH r AS (SELECT qid, candidate, is_gold, row_number() OVER (PARTITION BY qid ORDER BY score DESC, candidate) AS k FROM cscored), c AS (SELECT qid, candidate, row_number() OVER (PARTITION BY qid ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY qid) AS n FROM r WHERE k <= 20 AND is_gold = 0) SELECT qid, candidate AS near_miss FROM c WHERE i = {number('near', 'qid')} % n")
 def _(spark, sf):
     best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "candidate", "is_gold")))

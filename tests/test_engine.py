@@ -321,6 +321,12 @@ def test_spearman_equals_ranks_by_hand(spark):
     assert got["b"] == (12, pytest.approx(-1.0)) and got["few"] == (1, None) and got["flat"] == (11, None) and None not in got
 
 
+def test_markdown_lines(spark):
+    t = spark.createDataFrame([("b", None), ("a", 2)], "k string, n int")
+    lines = [r["line"] for r in reports.markdown(t, "k", {"Key": "k", "N": "n"}).orderBy("place").collect()]
+    assert lines == ["| Key | N |", "|-|-|", "| a | 2 |", "| b |  |"] and reports.markdown(t.limit(0), "k", {"Key": "k", "N": "n"}).count() == 2
+
+
 def test_validation_part_is_three_tenths(spark):
     parts = [r["part"] for r in sampling.validation_part(spark.range(11).withColumn("idx", F.lit("kept")), "id").select("part").collect()]
     assert parts.count("validation") == 3 and len(parts) == 11
