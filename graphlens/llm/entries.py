@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphlens.llm import decontam, dedup_suffix, html_extract, language_id, lm_score, mixing, near_dup, pii, quality, topk
+from graphlens.llm import collocations, decontam, dedup_suffix, filter_audit, html_extract, language_id, lm_score, mixing, near_dup, pii, quality, token_counts, topk
 
 QUERIES = {
     "op1_extract_text": html_extract.op1_extract_text,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontaminate": decontam.op8_decontaminate,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_near_duplicates": near_dup.op10_near_duplicates,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_token_counts": token_counts.op13_token_counts,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op8_decontaminate": decontam.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
     "op10_near_duplicates": near_dup.OP10_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
