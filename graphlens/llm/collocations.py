@@ -34,7 +34,7 @@ LONGEST = 5
 #: Phrases reported for each language.
 TOP = 2000
 #: Bytes of text from which a block is full.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 #: Positions of candidates that share a bucket of the frequency sums.
 BUCKET_POSITIONS = 1 << 18
 #: Parts in which a language's phrases are ranked first.
