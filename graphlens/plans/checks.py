@@ -12,7 +12,7 @@ from graphlens.operators import audit, graph, metrics, reports, sampling, stats,
 from graphlens.plans import base
 from graphlens.plans.base import T, U, number
 
-from graphlens.plans.queries import ANSWERS, ARMS, BINS, BUCKET, CURVE, ORACLE_SQL, R, answers, candidate_scores, features, query, rounded
+from graphlens.plans.queries import ANSWERS, ARMS, BINS, BUCKET, CURVE, ORACLE_SQL, THREE, THREE_ARMS, R, answers, features, query, rounded, three_arms
 from graphlens.plans.queries import arms as two_arms
 
 
@@ -90,19 +90,11 @@ def _(spark, sf):
     return rounded(base.scored(spark, sf).groupBy("relation").agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy"), yes.alias("said_yes"), verdict.alias("verdict")))
 
 
-@query("ag45_bootstrap_interval")
+@query("ag53_mrr_terms", f"WITH {THREE_ARMS}, m AS (SELECT " + ", ".join(f'avg(1 / \"{k}\"::DOUBLE) AS \"{k}\"' for k in THREE) + ", avg(list_sum(list_transform(range(1, n_way + 1), lambda i: 1 / i::DOUBLE)) / n_way) AS chance FROM three) SELECT round(\"real\", 6) AS \"real\", round(permuted, 6) AS permuted, round(anonymised, 6) AS anonymised, round(chance, 6) AS chance, round(\"real\" - permuted, 6) AS binding, round(permuted - anonymised, 6) AS names, round(anonymised - chance, 6) AS residual FROM m")
 def _(spark, sf):
-    one = two_arms(spark, sf).select("relation", "a", F.lit(0).alias("b"))
-    return stats.paired_bootstrap(one, "relation").select("relation", "n", F.col("diff").alias("mean"), "lo", "hi")
-
-
-@query("ag53_mrr_terms", "WITH a AS (SELECT 'real' AS arm, rank, n_way FROM ranks UNION ALL SELECT 'permuted', least(n_way, rank + 2), n_way FROM ranks UNION ALL SELECT 'anonymised', least(n_way, rank + 4), n_way FROM ranks), m AS (SELECT avg(1 / rank::DOUBLE) FILTER (arm = 'real') AS real, avg(1 / rank::DOUBLE) FILTER (arm = 'permuted') AS permuted, avg(1 / rank::DOUBLE) FILTER (arm = 'anonymised') AS anonymised, avg(list_sum(list_transform(range(1, n_way + 1), lambda i: 1 / i::DOUBLE)) / n_way) AS chance FROM a) SELECT round(\"real\", 6) AS \"real\", round(permuted, 6) AS permuted, round(anonymised, 6) AS anonymised, round(chance, 6) AS chance, round(\"real\" - permuted, 6) AS binding, round(permuted - anonymised, 6) AS names, round(anonymised - chance, 6) AS residual FROM m")
-def _(spark, sf):
-    from graphlens.operators import ranking
-
-    r = ranking.gold_ranks(candidate_scores(spark, sf))
-    lost = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.least("n_way", F.col("rank") + k).alias("rank")) for a, k in (("real", 0), ("permuted", 2), ("anonymised", 4))]))
-    return rounded(reports.mrr_terms(r.select("n_way", lost.alias("x")).select("n_way", "x.*")))
+    r = three_arms(spark, sf)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("arm"), F.col(k).alias("rank")) for k in THREE]))
+    return rounded(reports.mrr_terms(r.select("n_way", each.alias("x")).select("n_way", "x.*")))
 
 
 @query("ag56_frozen_probe", f"WITH {ARMS}, m AS (SELECT relation, avg(a) AS a, avg(b) AS b FROM arm GROUP BY relation) SELECT round(max(a), 6) AS best_a, round(max(b), 6) AS best_b, round(max(a) - max(b), 6) AS gap FROM m")

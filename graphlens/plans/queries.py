@@ -480,7 +480,7 @@ def _(spark, sf):
     return rounded(metrics.temperature(base.scored(spark, sf), "conf", "correct", GRID))
 
 
-@query("ag23_isotonic", "WITH g AS (SELECT round(conf, 4) AS conf, sum(correct) AS s, count(*) AS m FROM scored GROUP BY 1), c AS (SELECT conf, s, m, row_number() OVER (ORDER BY conf) AS k, sum(s) OVER (ORDER BY conf) AS cs, sum(m) OVER (ORDER BY conf) AS cm FROM g), p AS (SELECT b.k, min((b.cs - a.cs + a.s) / (b.cm - a.cm + a.m)::DOUBLE) OVER (PARTITION BY a.k ORDER BY b.k DESC) AS low FROM c a JOIN c b ON b.k >= a.k) SELECT round(c.conf, 6) AS conf, round(max(low), 6) AS fit FROM p JOIN c USING (k) GROUP BY c.conf")
+@query("ag23_isotonic", "WITH g AS (SELECT conf, sum(correct) AS s, count(*) AS m FROM scored GROUP BY 1), c AS (SELECT conf, s, m, row_number() OVER (ORDER BY conf) AS k, sum(s) OVER (ORDER BY conf) AS cs, sum(m) OVER (ORDER BY conf) AS cm FROM g), p AS (SELECT b.k, min((b.cs - a.cs + a.s) / (b.cm - a.cm + a.m)::DOUBLE) OVER (PARTITION BY a.k ORDER BY b.k DESC) AS low FROM c a JOIN c b ON b.k >= a.k) SELECT round(c.conf, 6) AS conf, round(max(low), 6) AS fit FROM p JOIN c USING (k) GROUP BY c.k, c.conf")
 def _(spark, sf):
     return rounded(stats.isotonic(base.scored(spark, sf), "conf", "correct"))
 
@@ -514,14 +514,36 @@ ARMS = f"arm AS (SELECT relation, CAST((0.6::DOUBLE * {U.format(number('arm-a',
 TAIL = "list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2::DOUBLE))))"
 
 
-@query("ag31_mcnemar", f"WITH {ARMS}, c AS (SELECT relation, count(*) FILTER (a = 1 AND b = 0) AS n10, count(*) FILTER (a = 0 AND b = 1) AS n01 FROM arm GROUP BY relation), d AS (SELECT *, n10 + n01 AS n, least(n10, n01) AS k FROM c) SELECT relation, n10, n01, round(CASE WHEN n = 0 THEN 1 WHEN n <= {stats.EXACT_PAIRS} THEN least(1, 2 * {TAIL}) END, 6) AS p_exact, round(coalesce(pow(abs(n10 - n01) - 1, 2) / nullif(n, 0), 0), 6) AS chi2 FROM d")
+@query("ag31_mcnemar", f"WITH {ARMS}, c AS (SELECT relation, count(*) FILTER (a = 1 AND b = 0) AS n10, count(*) FILTER (a = 0 AND b = 1) AS n01 FROM arm GROUP BY relation), d AS (SELECT *, n10 + n01 AS n, least(n10, n01) AS k FROM c) SELECT relation, n10, n01, round(CASE WHEN n = 0 THEN 1 ELSE least(1, 2 * {TAIL}) END, 6) AS p_exact, round(coalesce(pow(abs(n10 - n01) - 1, 2) / nullif(n, 0), 0), 6) AS chi2 FROM d")
 def _(spark, sf):
     return rounded(stats.mcnemar(arms(spark, sf), "relation"))
 
 
-@query("ag32_paired_t", f"WITH {ARMS}, s AS (SELECT relation, count(*) AS n, avg(a - b) AS mean_diff, stddev_samp(a - b) AS sd FROM arm GROUP BY relation) SELECT relation, n, round(mean_diff, 6) AS mean_diff, round(mean_diff * sqrt(n) / nullif(sd, 0), 6) AS t, round(mean_diff / nullif(sd, 0), 6) AS dz FROM s")
+#: Two-sided p of Student's t in SQL: the density summed by Simpson's rule in u = atan(t / sqrt(freedom)).
+STUDENT = "list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(atan(abs(t) / sqrt(v)) * i / 2000.0::DOUBLE), v - 1))) * atan(abs(t) / sqrt(v)) / 6000 * 2 * exp(lgamma((v + 1) / 2.0::DOUBLE) - lgamma(v / 2.0::DOUBLE)) / sqrt(pi())"
+
+
+@query("ag32_paired_t", f"WITH {ARMS}, s AS (SELECT relation, count(*) AS n, avg(a - b) AS mean_diff, stddev_samp(a - b) AS sd FROM arm GROUP BY relation), x AS (SELECT relation, n, mean_diff, mean_diff * sqrt(n) / nullif(sd, 0) AS t, mean_diff / nullif(sd, 0) AS dz, n - 1 AS v FROM s) SELECT relation, n, round(mean_diff, 6) AS mean_diff, round(t, 6) AS t, round(dz, 6) AS dz, round(CASE WHEN v > 0 AND t IS NOT NULL THEN greatest(0, 1 - {STUDENT}) END, 5) AS p FROM x")
+def _(spark, sf):
+    return rounded(stats.paired_t(arms(spark, sf), "relation")).withColumn("p", F.round(F.greatest("p", F.lit(0.0)), 5))
+
+
+GAPS = f"gap AS (SELECT relation, round({U.format(number('gap-a', *T))} - 0.9::DOUBLE * {U.format(number('gap-b', *T))}, 2) AS d FROM labelled)"
+
+
+def gaps(spark, sf):
+    """Two arms of scores on the same triples, to two places, so that many differences are tied."""
+    d = F.round(unit("gap-a", *sampling.TRIPLE) - F.lit(0.9) * unit("gap-b", *sampling.TRIPLE), 2)
+    return base.labelled(spark, sf).select("relation", d.alias("a"), F.lit(0.0).alias("b"))
+
+
+@query("ag32_wilcoxon", f"""WITH {GAPS}, k AS (SELECT relation, abs(d) AS s, count(*) AS m, count(*) FILTER (d > 0) AS mp FROM gap WHERE d <> 0 GROUP BY ALL), r AS (SELECT *, sum(m) OVER (PARTITION BY relation ORDER BY s) - m + (m + 1) / 2.0::DOUBLE AS rank FROM k),
+  w AS (SELECT relation, CAST(sum(m) AS DOUBLE) AS n, sum(rank * mp) AS wp, sum(rank * (m - mp)) AS wm, sum(pow(m, 3) - m) AS ties FROM r GROUP BY relation), z AS (SELECT *, (wp - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM w),
+  p AS (SELECT *, CASE WHEN abs(z) >= 12 THEN 0 ELSE greatest(0, 1 - sqrt(2 / pi()) * abs(z) / 6000 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(z * i / 2000.0::DOUBLE, 2) / 2)))) END AS p FROM z), o AS (SELECT relation, count(*) FILTER (d = 0) AS n_zero FROM gap GROUP BY relation)
+  SELECT relation, CAST(n AS BIGINT) AS n, n_zero, round(wp, 6) AS w_plus, round(wm, 6) AS w_minus, round(p, 6) AS p FROM p JOIN o USING (relation) WHERE n > {stats.EXACT_RANKS}""")
 def _(spark, sf):
-    return rounded(stats.paired_t(arms(spark, sf), "relation"))
+    """Relations of more differences than an exact test takes; the tests hold the exact one."""
+    return rounded(stats.signed_rank(gaps(spark, sf), "relation").filter(F.col("n") > stats.EXACT_RANKS))
 
 
 @query("ag35_seed_variance", f"WITH {ARMS}, s AS (SELECT relation, count(*) AS n, avg(a) AS mean, coalesce(stddev_samp(a), 0) AS sd FROM arm GROUP BY relation) SELECT relation, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sd / sqrt(n), 6) AS sem, round(mean - 1.96::DOUBLE * (sd / sqrt(n)), 6) AS lo, round(mean + 1.96::DOUBLE * (sd / sqrt(n)), 6) AS hi FROM s")
@@ -545,14 +567,76 @@ def _(spark, sf):
     return rounded(metrics.sampled_agreement(c))
 
 
-@query("ag46_paired_bootstrap")
+#: Resamples of the bootstrap queries.
+DRAWS = 400
+
+
+def boot_sql(kinds: str, values: list[str]) -> str:
+    """CTEs kinds, boots (grp, draw, n, values): the Poisson resamples; `kinds` selects grp, the values and m."""
+    name = ", ".join(["'boot'", "CAST(draw AS VARCHAR)", "grp", *[f"CAST(CAST(round({v} * 1e6::DOUBLE) AS BIGINT) AS VARCHAR)" for v in values]])
+    at = lambda i: f"((CAST(('0x' || substr(h, {i}, 13))::BIGINT AS DOUBLE) + 0.5) / 4503599627370496.0::DOUBLE)"
+    sums = ", ".join(f"sum(w * {v}) AS {v}" for v in values)
+    return f"""kinds AS ({kinds}), cdf AS (SELECT m, j, sum(exp(-m + j * ln(m) - lgamma(j + 1))) OVER (PARTITION BY m ORDER BY j) AS upto FROM (SELECT DISTINCT m FROM kinds WHERE m <= {stats.SMALL_COUNT}), (SELECT unnest(range(0, 121)) AS j)),
+  picks AS (SELECT *, sha256(concat_ws('|', {name})) AS h FROM kinds, (SELECT unnest(range(0, {DRAWS})) AS draw)),
+  weights AS (SELECT d.*, CASE WHEN m <= {stats.SMALL_COUNT} THEN (SELECT count(*) FROM cdf WHERE cdf.m = d.m AND cdf.j < 120 AND {at(1)} > cdf.upto) ELSE greatest(0, floor(m + sqrt(m) * sqrt(-2 * ln({at(1)})) * cos(2 * pi() * {at(14)}) + 0.5::DOUBLE)) END AS w FROM picks d),
+  boots AS (SELECT grp, draw, sum(w) AS n, {sums} FROM weights GROUP BY grp, draw)"""
+
+
+_ARM_KINDS = "SELECT relation AS grp, a, b, count(*) AS m FROM arm GROUP BY ALL"
+
+
+@query("ag45_bootstrap_interval", f"""WITH {ARMS}, {boot_sql("SELECT relation AS grp, a, 0 AS b, count(*) AS m FROM arm GROUP BY ALL", ["a", "b"])}, v AS (SELECT grp, list(round(a / n, 12) ORDER BY round(a / n, 12)) AS v FROM boots WHERE n > 0 GROUP BY grp)
+  SELECT grp AS relation, n, round(mean, 6) AS mean, round(v[{int(0.025 * DRAWS) + 1}], 6) AS lo, round(v[least(len(v), {int(0.975 * DRAWS) + 1})], 6) AS hi FROM (SELECT grp, CAST(sum(m) AS BIGINT) AS n, sum(a * m) / sum(m)::DOUBLE AS mean FROM kinds GROUP BY grp) JOIN v USING (grp)""")
+def _(spark, sf):
+    one = arms(spark, sf).select("relation", "a", F.lit(0).alias("b"))
+    return rounded(stats.paired_bootstrap(one, "relation", DRAWS).select("relation", "n", F.col("diff").alias("mean"), "lo", "hi"))
+
+
+@query("ag46_paired_bootstrap", f"""WITH {ARMS}, {boot_sql(_ARM_KINDS, ["a", "b"])}, v AS (SELECT grp, list(round((a - b) / n, 12) ORDER BY round((a - b) / n, 12)) AS v FROM boots WHERE n > 0 GROUP BY grp),
+  r AS (SELECT grp, CAST(sum(m) AS BIGINT) AS n, sum((a - b) * m) / sum(m)::DOUBLE AS diff, CAST(coalesce(sum(m) FILTER (a > b), 0) AS BIGINT) AS better, CAST(coalesce(sum(m) FILTER (a < b), 0) AS BIGINT) AS worse, CAST(coalesce(sum(m) FILTER (a = b), 0) AS BIGINT) AS tied FROM kinds GROUP BY grp),
+  x AS (SELECT *, v[{int(0.025 * DRAWS) + 1}] AS lo, v[least(len(v), {int(0.975 * DRAWS) + 1})] AS hi, least(1, 2 * least(len(list_filter(v, lambda x: x <= 0)), len(list_filter(v, lambda x: x >= 0))) / len(v)::DOUBLE) AS p FROM r JOIN v USING (grp))
+  SELECT grp AS relation, n, round(diff, 6) AS diff, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 6) AS p, better, worse, tied, CASE WHEN lo > 0 THEN 'better' WHEN hi < 0 THEN 'worse' ELSE 'indistinguishable' END AS verdict FROM x""")
 def _(spark, sf):
-    return rounded(stats.verdict(stats.paired_bootstrap(arms(spark, sf), "relation")))
+    return rounded(stats.verdict(stats.paired_bootstrap(arms(spark, sf), "relation", DRAWS)))
 
 
-@query("ag48_detectable_effect", f"WITH {ARMS}, s AS (SELECT relation, count(*) AS n, stddev_samp(a) AS sd FROM arm GROUP BY relation) SELECT relation, n, round(sd, 6) AS sd, round(2.8015852::DOUBLE * sd / sqrt(n), 6) AS mde FROM s")
+@query("ag48_detectable_effect", f"WITH {ARMS}, s AS (SELECT relation, count(*) AS n, stddev_samp(a) AS sd FROM arm GROUP BY relation) SELECT relation, n, round(sd, 6) AS sd, round(2.8015852::DOUBLE * sd / sqrt(n), 6) AS mde, round(sd / sqrt(n), 6) AS sem, CAST(CASE WHEN sd > 0 THEN ceil(pow(2.8015852::DOUBLE * sd / 0.02::DOUBLE, 2)) ELSE 0 END AS BIGINT) AS n_for_effect FROM s")
 def _(spark, sf):
-    return rounded(stats.detectable(arms(spark, sf), "a", "relation"))
+    return rounded(stats.detectable(arms(spark, sf), "a", "relation", effect=0.02))
+
+
+# three arms of ranks on the same queries: real names, permuted ones, none
+
+THREE = {"real": ("rank", 0.4), "permuted": ("rank-s", 0.25), "anonymised": ("rank-b", 0.1)}
+
+
+def three_arms(spark, sf):
+    """(qid, relation, n_way, real, permuted, anonymised): the gold's rank among the same candidates in each arm."""
+    c = candidates(spark, sf)
+    scores = {k: F.lit(1 - lean) * unit(salt, "head", "relation", "candidate") + F.lit(lean) * F.col("is_gold") for k, (salt, lean) in THREE.items()}
+    c = c.withColumns({f"_{k}": v for k, v in scores.items()})
+    gold = F.max_by(F.struct("candidate", *[f"_{k}" for k in THREE]), "is_gold")
+    sets = c.groupBy("qid", "relation").agg(F.collect_list(F.struct("candidate", *[f"_{k}" for k in THREE])).alias("c"), gold.alias("g"))
+    before = lambda k: lambda x: (x[f"_{k}"] > F.col(f"g._{k}")) | ((x[f"_{k}"] == F.col(f"g._{k}")) & (x["candidate"] < F.col("g.candidate")))
+    return sets.select("qid", "relation", F.size("c").alias("n_way"), *[(F.size(F.filter("c", before(k))) + 1).alias(k) for k in THREE])
+
+
+THREE_ARMS = "three0 AS (SELECT c.*, " + ", ".join(f"{1 - lean}::DOUBLE * {U.format(number(salt, 'head', 'relation', 'candidate'))} + {lean}::DOUBLE * is_gold AS s_{k}" for k, (salt, lean) in THREE.items()) + " FROM candidates c), three AS (SELECT c.qid, c.relation, count(*) AS n_way, " + ", ".join(f"count(*) FILTER (c.s_{k} > g.s_{k} OR (c.s_{k} = g.s_{k} AND c.candidate < g.candidate)) + 1 AS {k}" for k in THREE) + " FROM three0 c JOIN three0 g ON g.qid = c.qid AND g.is_gold = 1 GROUP BY ALL)"
+SHARES = {"binding": ("real", "permuted"), "readability": ("permuted", "anonymised"), "residual": ("anonymised", None), "memorisation": ("real", "anonymised")}
+CHANCE = sum(1 / i for i in range(1, N_WAY + 1)) / N_WAY
+
+
+@query("ag47_share_bootstrap", f"""WITH {THREE_ARMS}, {boot_sql('SELECT relation AS grp, 1.0::DOUBLE / "real" AS "real", 1.0::DOUBLE / permuted AS permuted, 1.0::DOUBLE / anonymised AS anonymised, count(*) AS m FROM three GROUP BY ALL', ['"real"', "permuted", "anonymised"])},
+  total AS (SELECT grp, CAST(sum(m) AS BIGINT) AS n, sum(m * "real") AS "real", sum(m * permuted) AS permuted, sum(m * anonymised) AS anonymised FROM kinds GROUP BY grp),
+  shares AS (SELECT unnest(['binding', 'readability', 'residual', 'memorisation']) AS share), part AS (SELECT grp, draw, share, n, (CASE share WHEN 'binding' THEN "real" - permuted WHEN 'readability' THEN permuted - anonymised WHEN 'residual' THEN anonymised - {CHANCE}::DOUBLE * n ELSE "real" - anonymised END) / nullif("real" - {CHANCE}::DOUBLE * n, 0) AS v FROM (SELECT grp, draw, n, "real", permuted, anonymised FROM boots UNION ALL SELECT grp, -1, n, "real", permuted, anonymised FROM total), shares),
+  v AS (SELECT grp, share, list(round(v, 12) ORDER BY round(v, 12)) FILTER (draw >= 0 AND v IS NOT NULL) AS v, max(n) FILTER (draw = -1) AS n, max(v) FILTER (draw = -1) AS estimate FROM part GROUP BY grp, share)
+  SELECT grp AS relation, CAST(n AS BIGINT) AS n, share, round(estimate, 6) AS estimate, round(v[{int(0.025 * DRAWS) + 1}], 6) AS lo, round(v[least(len(v), {int(0.975 * DRAWS) + 1})], 6) AS hi FROM v""")
+def _(spark, sf):
+    """Shares of MRR above chance, each with the interval of resamples that its numerator and denominator share."""
+    rows = three_arms(spark, sf).select("relation", *[(1 / F.col(k)).alias(k) for k in THREE])
+    chance = F.lit(CHANCE) * F.col("n")
+    shares = {k: (F.col(a) - (F.col(b) if b else chance), F.col("real") - chance) for k, (a, b) in SHARES.items()}
+    return rounded(stats.share_bootstrap(rows, "relation", shares, list(THREE), DRAWS))
 
 
 @query("ag55_degree_regression", "SELECT round(regr_slope(p_yes, log10(d.degree)), 6) AS slope, round(regr_intercept(p_yes, log10(d.degree)), 6) AS intercept, round(regr_r2(p_yes, log10(d.degree)), 6) AS r2 FROM scored s JOIN degrees d ON d.entity = s.tail")
