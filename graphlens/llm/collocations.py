@@ -16,7 +16,9 @@ other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphlens.functions.ordering import with_dense_index
 from graphlens.llm.common import LOWER, UPPER, bound_batches, discard, materialize, read_table
 
 #: A phrase is a candidate from this frequency on.
@@ -44,14 +45,42 @@ PIECE_END = ".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans((UPPER + "\t" + PIECE_END).encode(), (LOWER + " ").encode() + b"\n" * len(PIECE_END))
 _BREAK = b"\n"
 
-INDEX = "block long, langs array<string>, words array<binary>, counts array<int>, positions binary"
-STATE = "block long, phrases binary, lengths binary, positions binary, words binary, word_lengths binary, word_positions binary"
+#: Rows that blocks and buckets exchange; binary columns hold packed numbers, or words joined by line ends.
+INDEX = "block long, n_words long, words binary, counts binary, positions binary"
+STATE = "block long, n_positions long, phrases binary, lengths binary, positions binary, words binary, word_lengths binary, word_positions binary"
+WORD_SUMS = "bucket int, block long, words binary, codes binary, counts binary"
 SUMS = "bucket int, block long, keys binary, counts binary"
 FOUND = "block long, keys binary, ids binary, totals binary"
 
 
-def _array(value, kind) -> np.ndarray:
-    return np.frombuffer(value, kind)
+def pack(numbers: np.ndarray) -> bytes:
+    """Differences, byte by byte, compressed: lists of positions and sorted keys take few bytes each."""
+    steps = np.diff(numbers, prepend=numbers.dtype.type(0))
+    planes = steps.view(np.uint8).reshape(len(numbers), numbers.dtype.itemsize).T.tobytes()
+    return len(numbers).to_bytes(8, "little") + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
+
+
+def unpack(value: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(value[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(value[8:], n * size, "zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel(), dtype=kind)
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    """Words with their language: neither holds a line end."""
+    whole = b"\n".join(words)
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, "zstd", asbytes=True)
+
+
+def unpack_words(value: bytes) -> list[bytes]:
+    return pa.decompress(value[8:], int.from_bytes(value[:8], "little"), "zstd", asbytes=True).split(b"\n")
+
+
+def named(word: bytes, lang: str) -> bytes:
+    """A word with its language, which is in hexadecimal, as it may hold any character; a word holds no blank."""
+    return word + b" " + lang.encode().hex().encode()
 
 
 def _rows(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
@@ -82,19 +111,18 @@ def inverted(codes: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.n
     return codes[starts], np.diff(starts, append=len(codes)).astype(np.int32), positions.astype(np.int32)
 
 
-def index_block(by_lang: dict[str, list[str]]) -> tuple[list[str], list[bytes], np.ndarray, np.ndarray]:
-    """The languages and words of a block, the lengths of their lists, and the lists one after the other."""
-    langs, words, lengths, positions, offset = [], [], [], [], 0
+def index_block(by_lang: dict[str, list[str]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of a block with their languages, the lengths of their lists, and the lists one after the other."""
+    words, lengths, positions, offset = [], [], [], 0
     for lang in sorted(by_lang):
         codes, vocabulary = split_words(by_lang[lang])
         at = np.flatnonzero(codes >= 0)
         _, n, lists = inverted(codes[at], at + offset)
-        langs += [lang] * len(vocabulary)
-        words += vocabulary
+        words += [named(w, lang) for w in vocabulary]
         lengths.append(n)
         positions.append(lists)
         offset += len(codes) + 1
-    return langs, words, np.concatenate([np.zeros(0, np.int32), *lengths]), np.concatenate([np.zeros(0, np.int32), *positions])
+    return words, np.concatenate([np.zeros(0, np.int32), *lengths]), np.concatenate([np.zeros(0, np.int32), *positions])
 
 
 def _indexer(schema: pa.Schema, block_bytes: int):
@@ -104,8 +132,8 @@ def _indexer(schema: pa.Schema, block_bytes: int):
         number, held, size = TaskContext.get().partitionId() << 24, {}, 0
 
         def flush():
-            langs, words, counts, positions = index_block(held)
-            return _rows(schema, {"block": [number], "langs": [langs], "words": [words], "counts": [counts.tolist()], "positions": [positions.tobytes()]})
+            words, counts, positions = index_block(held)
+            return _rows(schema, {"block": [number], "n_words": [len(words)], "words": [pack_words(words)], "counts": [pack(counts)], "positions": [pack(positions)]})
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -120,33 +148,118 @@ def _indexer(schema: pa.Schema, block_bytes: int):
     return run
 
 
+def by_bucket(bucket: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of each bucket, in order."""
+    order = np.argsort(bucket, kind="stable")
+    return (p for p in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(p))
+
+
+def _sent(schema: pa.Schema, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, 256)):
+        yield _rows(schema, dict(zip(schema.names, zip(*some, strict=True), strict=True)))
+
+
+def _word_sums(schema: pa.Schema, buckets: int):
+    """The lengths of a block's word lists, bucket by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["n_words"]:
+                    words, counts = unpack_words(row["words"]), unpack(row["counts"], np.int32)
+                    bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int32)
+                    yield from _sent(schema, ((int(bucket[p[0]]), row["block"], pack_words([words[i] for i in p.tolist()]), pack(p.astype(np.int32)), pack(counts[p])) for p in by_bucket(bucket)))
+
+    return run
+
+
+def _word_totals(schema: pa.Schema, least: int, buckets: int):
+    """Frequencies of a bucket's words over all blocks.
+
+    Rows: the frequent words with their numbers and frequencies (block null), the languages with all their words
+    counted (block -1), and for each block the codes and numbers of its frequent words.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = [unpack_words(x.as_py()) for x in table["words"]]
+        every = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
+        at, words = every.indices.to_numpy(), every.dictionary.to_pylist()
+        totals = np.zeros(len(words), np.int64)
+        np.add.at(totals, at, np.concatenate([unpack(x.as_py(), np.int32) for x in table["counts"]]))
+        known = np.flatnonzero(totals >= least)
+        ids = np.full(len(words), -1, np.int64)
+        ids[known] = np.arange(len(known), dtype=np.int64) * buckets + table["bucket"][0].as_py()
+        langs: dict[bytes, int] = {}
+        for w, n in zip(words, totals.tolist(), strict=True):
+            lang = w[w.index(b" ") :]
+            langs[lang] = langs.get(lang, 0) + n
+        rows = [(-1, pack_words(list(langs)), None, pack(np.array(list(langs.values()), np.int64)))]
+        if len(known):
+            rows.append((None, pack_words([words[i] for i in known.tolist()]), pack(ids[known]), pack(totals[known])))
+        start = 0
+        for block, mine, codes in zip(table["block"].to_pylist(), lists, table["codes"], strict=True):
+            own = ids[at[start : start + len(mine)]]
+            start += len(mine)
+            if (own >= 0).any():
+                rows.append((block, pack(unpack(codes.as_py(), np.int32)[own >= 0]), pack(own[own >= 0]), None))
+        return pa.Table.from_batches(list(_sent(schema, iter(rows))))
+
+    return run
+
+
+def _unpacked_words(schema: pa.Schema):
+    """Packed words as rows: a number (null for a language), the language, the word, a count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = [w.split(b" ") for w in unpack_words(row["keys"])]
+                ids = unpack(row["ids"], np.int64).tolist() if row["ids"] else [None] * len(words)
+                yield _rows(schema, {"id": ids, "lang": [bytes.fromhex(x.decode()).decode() for _, x in words], "word": [w.decode() for w, _ in words], "f": unpack(row["totals"], np.int64)})
+
+    return run
+
+
+def _state(schema: pa.Schema, block: int, phrases: tuple, words: tuple) -> pa.Table:
+    """A row of inverted lists: those of the phrases, and the postings of words that can still be adjacent."""
+    lists = [pack(x) for kinds, lengths, positions in (phrases, words) for x in (kinds.astype(np.int64), lengths, positions)]
+    return pa.Table.from_batches([_rows(schema, {k: [v] for k, v in zip(schema.names, [block, len(phrases[2]), *lists], strict=True)})])
+
+
+def _both(right: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All keys and numbers that buckets sent to a block, by key."""
+    keys, ids = (np.concatenate([unpack(x.as_py(), k) for x in right[c]]) for c, k in (("keys", kind), ("ids", np.int64)))
+    order = np.argsort(keys)
+    return keys[order], ids[order]
+
+
 def _first_state(schema: pa.Schema):
     """The block's lists of frequent words, under the numbers that these have in the whole table."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        lengths, positions = np.array(left["counts"][0].as_py(), np.int64), _array(left["positions"][0].as_py(), np.int32)
-        codes, ids = right["code"].to_numpy(), right["id"].to_numpy()
+        row = left.to_pylist()[0]
+        lengths, positions = unpack(row["counts"], np.int32), unpack(row["positions"], np.int32)
+        codes, ids = _both(right, np.int32)
         number = np.full(len(lengths), -1, np.int64)
         number[codes] = ids
         each = np.repeat(number, lengths)
-        kinds, n, lists = inverted(each[each >= 0], positions[each >= 0])
-        lists = [kinds.astype(np.int64).tobytes(), n.tobytes(), lists.tobytes()]
-        return pa.Table.from_batches([_rows(schema, {k: [v] for k, v in zip(schema.names, [left["block"][0].as_py(), *lists, *lists], strict=True)})])
+        lists = inverted(each[each >= 0], positions[each >= 0])
+        return _state(schema, row["block"], lists, lists)
 
     return run
 
 
 def extend(state: dict, k: int, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Occurrences of k-1 frequent words, merged with the postings of the adjacent words: (start, key, word)."""
-    start = _array(state["positions"], np.int32)
-    word_positions, words = _array(state["word_positions"], np.int32), np.repeat(_array(state["words"], np.int64), _array(state["word_lengths"], np.int32))
+    start = unpack(state["positions"], np.int32)
+    word_positions, words = unpack(state["word_positions"], np.int32), np.repeat(unpack(state["words"], np.int64), unpack(state["word_lengths"], np.int32))
     after = np.full(int(max(start.max(initial=-1), word_positions.max(initial=-1))) + k + 1, -1, np.int64)
     after[word_positions] = words
     word = after[start + (k - 1)]
     hit = word >= 0
-    phrase = np.repeat(_array(state["phrases"], np.int64), _array(state["lengths"], np.int32))[hit]
+    phrase = np.repeat(unpack(state["phrases"], np.int64), unpack(state["lengths"], np.int32))[hit]
     if len(phrase) and int(phrase.max()) >= (1 << 62) // n_words:
         raise OverflowError("numbers of phrases and words together pass 62 bits")
     return start[hit], phrase * n_words + word[hit], word[hit]
@@ -164,22 +277,17 @@ def _candidates(schema: pa.Schema, k: int, n_words: int, buckets: int):
             for state in batch.to_pylist():
                 keys, counts = np.unique(extend(state, k, n_words)[1], return_counts=True)
                 bucket = bucket_of(keys, buckets)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                parts = [p for p in np.split(order, cuts) if len(p)]
-                for some in (parts[i : i + 256] for i in range(0, len(parts), 256)):
-                    yield _rows(schema, {"bucket": [int(bucket[p[0]]) for p in some], "block": [state["block"]] * len(some), "keys": [keys[p].tobytes() for p in some], "counts": [counts[p].astype(np.int32).tobytes() for p in some]})
+                yield from _sent(schema, ((int(bucket[p[0]]), state["block"], pack(keys[p]), pack(counts[p].astype(np.int32))) for p in by_bucket(bucket)))
 
     return run
 
 
 def _totals(schema: pa.Schema, least: int, buckets: int):
-    """Frequencies of a bucket's keys over all blocks; those that reach the least are numbered and sent to their blocks."""
+    """Frequencies of a bucket's keys over all blocks; those that reach the least are numbered (block null) and sent to their blocks."""
 
     def run(table: pa.Table) -> pa.Table:
-        blocks = table["block"].to_pylist()
-        lists = [_array(x.as_py(), np.int64) for x in table["keys"]]
-        every, counts = np.concatenate(lists), np.concatenate([_array(x.as_py(), np.int32) for x in table["counts"]]).astype(np.int64)
+        lists = [unpack(x.as_py(), np.int64) for x in table["keys"]]
+        every, counts = np.concatenate(lists), np.concatenate([unpack(x.as_py(), np.int32) for x in table["counts"]]).astype(np.int64)
         order = np.argsort(every, kind="stable")
         keys, first = np.unique(every[order], return_index=True)
         totals = np.add.reduceat(counts[order], first)
@@ -187,14 +295,13 @@ def _totals(schema: pa.Schema, least: int, buckets: int):
         if not len(keys):
             return schema.empty_table()
         ids = np.arange(len(keys), dtype=np.int64) * buckets + table["bucket"][0].as_py()
-        out = {"block": [None], "keys": [keys.tobytes()], "ids": [ids.tobytes()], "totals": [totals.tobytes()]}
-        for block, mine in zip(blocks, lists, strict=True):
+        rows = [(None, pack(keys), pack(ids), pack(totals))]
+        for block, mine in zip(table["block"].to_pylist(), lists, strict=True):
             at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
             at = at[keys[at] == mine]
             if len(at):
-                for name, value in (("block", block), ("keys", keys[at].tobytes()), ("ids", ids[at].tobytes()), ("totals", None)):
-                    out[name].append(value)
-        return pa.Table.from_batches([_rows(schema, out)])
+                rows.append((block, pack(keys[at]), pack(ids[at]), None))
+        return pa.Table.from_batches(list(_sent(schema, iter(rows))))
 
     return run
 
@@ -207,14 +314,11 @@ def _next_state(schema: pa.Schema, k: int, n_words: int):
             return schema.empty_table()
         state = left.to_pylist()[0]
         start, key, word = extend(state, k, n_words)
-        keys, ids = (np.concatenate([_array(x.as_py(), np.int64) for x in right[c]]) for c in ("keys", "ids"))
-        order = np.argsort(keys)
-        keys, ids = keys[order], ids[order]
+        keys, ids = _both(right, np.int64)
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         hit = keys[at] == key
         start, number, word = start[hit], ids[at[hit]], word[hit]
-        lists = [*inverted(number, start), *inverted(word, start + (k - 1))]  # the last words: a longer phrase must end in them
-        return pa.Table.from_batches([_rows(schema, {"block": [state["block"]]} | {n: [v.tobytes()] for n, v in zip(schema.names[1:], lists, strict=True)})])
+        return _state(schema, state["block"], inverted(number, start), inverted(word, start + (k - 1)))  # a longer phrase must end in a last word of these
 
     return run
 
@@ -223,8 +327,8 @@ def _unpacked(schema: pa.Schema, n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys = _array(row["keys"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(_array(row["ids"], np.int64)), pa.array(keys // n_words), pa.array(keys % n_words), pa.array(_array(row["totals"], np.int64))], schema=schema)
+                keys = unpack(row["keys"], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(unpack(row["ids"], np.int64)), pa.array(keys // n_words), pa.array(keys % n_words), pa.array(unpack(row["totals"], np.int64))], schema=schema)
 
     return run
 
@@ -242,20 +346,20 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_
     bound_batches(spark)
     some = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").filter(F.octet_length("text") > 0)
     index = materialize(some.mapInArrow(_indexer(_schema(INDEX), block_bytes), INDEX))
-    entry = F.explode(F.transform(F.arrays_zip("langs", "words", "counts"), lambda x, i: F.struct(i.alias("code"), x["langs"].alias("lang"), x["words"].alias("word"), x["counts"].alias("n"))))
-    vocabulary = index.select("block", entry.alias("e")).select("block", "e.*")
-    words = materialize(vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("f")))
-    n_all = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    known = materialize(with_dense_index(words.filter(F.col("f") >= least), "lang", "word", name="id"))
-    n_words = max(1, known.count())
-    codes = vocabulary.join(known.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("at"), "code", "id")
-    state = materialize(index.select("block", "counts", "positions").groupBy("block").cogroup(codes.groupBy("at")).applyInArrow(_first_state(_schema(STATE)), STATE))
-    level = known.select("id", "lang", F.lit(1).alias("k"), F.col("word").cast("string").alias("phrase"), "f")
+    buckets = 2 * (index.agg(F.sum("n_words").alias("n")).first()["n"] or 0) // bucket_positions + 1
+    found = index.select("block", "n_words", "words", "counts").mapInArrow(_word_sums(_schema(WORD_SUMS), buckets), WORD_SUMS).groupBy("bucket")
+    found = materialize(found.applyInArrow(_word_totals(_schema(FOUND), least, buckets), FOUND))
+    words = "id long, lang string, word string, f long"
+    unpacked = lambda rows: found.filter(rows).select("keys", "ids", "totals").mapInArrow(_unpacked_words(_schema(words)), words)
+    n_all = materialize(unpacked("block = -1").groupBy("lang").agg(F.sum("f").alias("n")))
+    known = materialize(unpacked("block IS NULL"))
+    n_words = (known.agg(F.max("id").alias("n")).first()["n"] or 0) + 1
+    state = materialize(index.select("block", "counts", "positions").groupBy("block").cogroup(found.filter("block >= 0").groupBy("block")).applyInArrow(_first_state(_schema(STATE)), STATE))
+    level = known.select("id", "lang", F.lit(1).alias("k"), F.col("word").alias("phrase"), "f")
     levels, last = [level], level.select("id", F.col("phrase").alias("word"))
     old = index
     for k in range(2, longest + 1):
-        held = state.agg(F.sum(F.octet_length("positions")).alias("n")).first()["n"] or 0
-        buckets = held // 4 // bucket_positions + 1
+        buckets = (state.agg(F.sum("n_positions").alias("n")).first()["n"] or 0) // bucket_positions + 1
         sums = state.mapInArrow(_candidates(_schema(SUMS), k, n_words, buckets), SUMS)
         found = materialize(sums.groupBy("bucket").applyInArrow(_totals(_schema(FOUND), least, buckets), FOUND))
         numbers = found.filter(F.col("block").isNull()).select("keys", "ids", "totals").mapInArrow(_unpacked(_schema("id long, phrase_id long, word_id long, f long"), n_words), "id long, phrase_id long, word_id long, f long")
