@@ -196,3 +196,14 @@ def cell_name(c: Column) -> Column:
 def p_yes_share(p_yes: Column, p_no: Column) -> Column:
     s = p_yes + p_no
     return p_yes / F.when(s == 0, 1.0).otherwise(s)
+
+
+def answer_name(text: Column) -> Column:
+    """A name as answers are compared: up to the first comma, white space as one blank, without points or blanks at the ends, in lower case."""
+    first = F.regexp_replace(F.split(text, ",")[0], r"\s+", " ")
+    return F.lower(F.regexp_replace(first, r"^[ .]+|[ .]+$", ""))
+
+
+def same_answer(reply: Column, gold: Column) -> Column:
+    """Whether a reply names the gold answer; an empty reply never does."""
+    return (answer_name(reply) == answer_name(gold)) & (answer_name(reply) != "")

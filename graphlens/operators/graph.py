@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.functions.hashing import det_key
+from graphlens.operators.joins import meet
 
 
 def incident(edges: DataFrame) -> DataFrame:
@@ -88,54 +89,57 @@ def leaks(edges: DataFrame, queries: DataFrame) -> DataFrame:
     return asked.join(there.unionByName(back).distinct(), ["head", "tail"], "left_semi")
 
 
-def two_hop_counts(edges: DataFrame, queries: DataFrame, max_mid_degree: int) -> DataFrame:
-    """(qid, n_paths) over middle nodes of a degree up to max_mid_degree, both ends directed out.
+def two_hop_counts(edges: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, n_paths): directed paths of two edges from each query's head to its tail, through any middle.
 
-    A path of two steps through a hub says little and multiplies rows; the bound is part of the query.
+    Equal queries are counted once, and each is opened at its end of smaller degree.
     """
-    mids = edges.groupBy("head").agg(F.count("*").alias("d")).filter(F.col("d") <= max_mid_degree).select("head")
-    second = edges.join(mids, "head", "left_semi").select(F.col("head").alias("mid"), F.col("tail").alias("tail"))
-    first = edges.select("head", F.col("tail").alias("mid"))
-    paths = queries.select("qid", "head", "tail").join(first, "head").join(second, ["mid", "tail"])
-    return queries.select("qid").join(paths.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").select("qid", F.coalesce("n", F.lit(0).cast("long")).alias("n_paths"))
-
-
-def safe_edges(edges: DataFrame, queries: DataFrame, inverses: DataFrame, end: str) -> DataFrame:
-    """(qid, head, relation, tail, via, other): the edges at one end of each query, either way, that are not of the asked relation or its inverses."""
-    near = incident(edges).select(F.col("entity").alias(end), F.col("relation").alias("via"), "other").distinct()
-    banned = inverses.select("relation", F.col("inverse").alias("via"))
-    j = queries.select("qid", "head", "relation", "tail").join(near, end).filter(F.col("via") != F.col("relation"))
-    return j.join(F.broadcast(banned), ["relation", "via"], "left_anti")  # at most relations squared
+    w = edges.groupBy("head", "tail").agg(F.count("*").alias("w"))
+    pairs = queries.select("head", "tail").distinct()
+    paths = meet(pairs, w.select("head", F.col("tail").alias("mid"), F.col("w").alias("a")), w.select("tail", F.col("head").alias("mid"), F.col("w").alias("b")))
+    n = paths.groupBy("head", "tail").agg(F.sum(F.col("a") * F.col("b")).alias("n"))
+    return queries.select("qid", "head", "tail").join(n, ["head", "tail"], "left").select("qid", F.coalesce("n", F.lit(0).cast("long")).alias("n_paths"))
 
 
 def safe_paths(edges: DataFrame, queries: DataFrame, inverses: DataFrame, entities: DataFrame, k: int = 3, seed: str = "path") -> DataFrame:
     """(qid, paths): up to k rendered chains head, middle, tail of edges in any direction, whatever the middle's degree.
 
     Edges of the asked relation and its inverses are left out; of several last edges the first by hash is taken.
+    Each pair of ends is opened at the one of smaller degree.
     """
-    near = incident(edges).select(F.col("entity").alias("tail"), F.col("relation").alias("last"), F.col("other").alias("mid")).distinct()
-    banned = inverses.select("relation", F.col("inverse").alias("last"))
-    first = safe_edges(edges, queries, inverses, "head").filter((F.col("other") != F.col("head")) & (F.col("other") != F.col("tail"))).withColumnRenamed("other", "mid")
-    j = first.join(near, ["mid", "tail"]).filter(F.col("last") != F.col("relation"))  # on both ends, so a hub at the tail is no hot key
-    j = j.join(F.broadcast(banned), ["relation", "last"], "left_anti")  # at most relations squared
+    near = incident(edges).select("entity", "relation", "other").distinct()
+    banned = inverses.select("relation", F.col("inverse").alias("banned")).unionByName(queries.select("relation", F.col("relation").alias("banned")).distinct())
+    banned = F.broadcast(banned.distinct())  # at most relations squared
+    q = queries.select("qid", "head", "relation", "tail")
+    end = lambda name, via: near.filter(F.col("entity") != F.col("other")).select(F.col("entity").alias(name), F.col("relation").alias(via), F.col("other").alias("mid"))
+    chains = meet(q.select("head", "tail").distinct(), end("head", "via"), end("tail", "last")).filter((F.col("mid") != F.col("tail")) & (F.col("mid") != F.col("head")))
+    j = q.join(chains, ["head", "tail"])
+    for c in ("via", "last"):
+        j = j.join(banned.withColumnRenamed("banned", c), ["relation", c], "left_anti")
     j = j.groupBy("qid", "head", "tail", "via", "mid").agg(F.min_by("last", det_key(seed, "last")).alias("last")).withColumn("h", det_key(seed, "qid", "via", "mid"))
     few = first_per_group(j, ["qid"], ["h"], k)
-    for end in ("head", "mid", "tail"):
-        names = entities.select(F.col("id").alias(end), F.col("text").alias(f"{end}_text"))
-        few = few.join(names, end, "left").withColumn(f"{end}_text", F.coalesce(f"{end}_text", end))
+    for end_of in ("head", "mid", "tail"):
+        names = entities.select(F.col("id").alias(end_of), F.col("text").alias(f"{end_of}_text"))
+        few = few.join(names, end_of, "left").withColumn(f"{end_of}_text", F.coalesce(f"{end_of}_text", end_of))
     few = few.withColumn("path", F.concat_ws(" ", "head_text", "via", "mid_text", "last", "tail_text"))
     paths = few.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "path"))), lambda x: x["path"]), "; ").alias("paths"))
     return queries.select("qid").join(paths, "qid", "left").select("qid", F.coalesce("paths", F.lit("")).alias("paths"))
 
 
-def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, limit: int, seed: str = "hop") -> DataFrame:
-    """(entity, hop): what lies within so many steps, at most `limit` neighbours of each node, by hash."""
+def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, limit: int, seed: str = "hop", frontier: int | None = None) -> DataFrame:
+    """(entity, hop): what lies within so many steps, at most `limit` neighbours of each node, by hash.
+
+    With `frontier`, only so many of the nodes of a step, by hash, are the start of the next one; all are reported.
+    """
     near = incident(edges).select("entity", "other").distinct().withColumn("h", det_key(seed, "entity", "other"))
     near = first_per_group(near, ["entity"], ["h"], limit).select("entity", "other")
     seen = seeds.select("entity").distinct().withColumn("hop", F.lit(0))
     front = seen
     for hop in range(1, hops + 1):
-        reached = front.join(near, "entity").select(F.col("other").alias("entity")).distinct().join(seen, "entity", "left_anti")
+        start = front.select("entity")
+        if frontier is not None and hop > 1:
+            start = start.withColumn("h", det_key(seed, "entity")).orderBy("h", "entity").limit(frontier).select("entity")
+        reached = start.join(near, "entity").select(F.col("other").alias("entity")).distinct().join(seen, "entity", "left_anti")
         front = reached.withColumn("hop", F.lit(hop))
         seen = seen.unionByName(front)
     return seen

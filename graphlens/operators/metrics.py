@@ -87,6 +87,34 @@ def calibration_error(df: DataFrame, conf: str, correct: str, *by: str, edges=ED
     return e.join(brier, list(by)) if by else e.crossJoin(brier)  # one row each
 
 
+def subtotals(df: DataFrame, first: str, second: str, conf: str = "conf", correct: str = "correct") -> DataFrame:
+    """(first, second, level, n, accuracy, conf) by both columns, by each, and overall, from one scan.
+
+    level is the grouping id: 0 for both, 1 for the first alone, 2 for the second alone, 3 overall; `all` stands
+    for what a row sums over, and a null value is its own group.
+    """
+    g = df.groupingSets([[F.col(first), F.col(second)], [F.col(first)], [F.col(second)], []], F.col(first), F.col(second))
+    g = g.agg(F.grouping_id().alias("level"), F.grouping(first).alias("_a"), F.grouping(second).alias("_b"), F.count("*").alias("n"), F.avg(correct).alias("accuracy"), F.avg(conf).alias("conf"))
+    name = lambda c, flag: F.when(F.col(flag) == 1, "all").otherwise(F.col(c)).alias(c)
+    return g.select(name(first, "_a"), name(second, "_b"), "level", "n", "accuracy", "conf")
+
+
+def calibration_subtotals(df: DataFrame, conf: str, correct: str, by: str, least: int, edges=EDGES) -> DataFrame:
+    """(by, n, ece, mce, brier) of each group of at least so many rows, and of all rows (`all`), from one scan.
+
+    Rows are summed by group and bin, and by bin alone, with grouping sets; the rest works on these few sums.
+    """
+    hit = F.col(correct).cast("double")
+    binned = df.withColumn("bin", bin_of(F.col(conf), edges)).withColumns({"_hit": hit, "_gap": F.pow(F.col(conf) - hit, F.lit(2))})
+    g = binned.groupingSets([[F.col(by), F.col("bin")], [F.col("bin")]], F.col(by), F.col("bin"))
+    g = g.agg(F.grouping(by).alias("_all"), F.count("*").alias("n"), F.sum(conf).alias("c"), F.sum("_hit").alias("h"), F.sum("_gap").alias("q"))
+    gap = F.abs(F.col("h") - F.col("c")) / F.col("n")
+    name = F.when(F.col("_all") == 1, "all").otherwise(F.col(by))
+    inside = F.col("bin").isNotNull()
+    out = g.groupBy(name.alias(by), "_all").agg(F.sum("n").alias("n"), (F.sum(F.when(inside, F.col("n") * gap)) / F.sum(F.when(inside, F.col("n")))).alias("ece"), F.max(F.when(inside, gap)).alias("mce"), (F.sum("q") / F.sum("n")).alias("brier"))
+    return out.filter((F.col("_all") == 1) | (F.col("n") >= least)).drop("_all")
+
+
 def temperature(df: DataFrame, conf: str, correct: str, grid: list[float]) -> DataFrame:
     """(temperature, nll): the temperature on the grid with the least mean negative log likelihood, the first on ties.
 

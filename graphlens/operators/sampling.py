@@ -60,16 +60,31 @@ def random_negatives(triples: DataFrame, entities: DataFrame, seed: str = "neg")
     return j.select("head", "relation", "tail", "side", F.when(F.col("side") == "head", F.col("put")).otherwise(F.col("head")).alias("neg_head"), F.when(F.col("side") == "tail", F.col("put")).otherwise(F.col("tail")).alias("neg_tail"))
 
 
-def typed_negatives(triples: DataFrame, known: DataFrame, seed: str = "typed") -> DataFrame:
-    """Each triple with another tail of its relation's range; null where the range has no other."""
-    pool = side_index(known).filter("side = 'tail'").select("relation", "idx", F.col("entity").alias("new"))
-    size = pool.groupBy("relation").agg(F.count("*").alias("n"))
+#: Most pool entries that are broadcast (some 100 bytes each); larger pools are met by salted keys.
+BROADCAST_POOL, POOL_SALTS = 200_000, 32
+
+
+def fetch(rows: DataFrame, pool: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join many rows with a pool on keys of which a few can hold most rows: by broadcast, or with the pool in each of POOL_SALTS salts."""
+    if pool.count() <= BROADCAST_POOL:
+        return rows.join(F.broadcast(pool), keys, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*TRIPLE), F.lit(POOL_SALTS)).cast("int"))
+    return salted.join(pool.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(POOL_SALTS - 1)))), [*keys, "_salt"], how).drop("_salt")
+
+
+def typed_negatives(triples: DataFrame, known: DataFrame, seed: str = "typed", many: int | None = None) -> DataFrame:
+    """Each triple with another tail of its relation's range; null where the range has no other. With `many`, so many draws, numbered in `draw`."""
+    pool = checkpointed(side_index(known).filter("side = 'tail'").select("relation", "idx", F.col("entity").alias("new")))
+    size = F.broadcast(pool.groupBy("relation").agg(F.count("*").alias("n")))  # one row a relation
     gold = pool.select("relation", F.col("new").alias("tail"), F.col("idx").alias("gold"))
-    t = triples.select(*TRIPLE).join(size, "relation", "left").join(gold, ["relation", "tail"], "left")
+    t = fetch(triples.select(*TRIPLE).join(size, "relation", "left"), gold, ["relation", "tail"], "left")
+    draw = [] if many is None else [F.col("draw").cast("string")]
+    if many is not None:
+        t = t.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
     others = F.col("n") - F.when(F.col("gold").isNotNull(), 1).otherwise(0)
-    pick = det_index(others, seed, *TRIPLE)
-    t = t.withColumn("idx", pick + F.when(F.col("gold").isNotNull() & (pick >= F.col("gold")), 1).otherwise(0))
-    return t.join(pool, ["relation", "idx"], "left").select(*TRIPLE, F.col("new").alias("neg_tail"))
+    t = t.withColumn("pick", det_index(others, seed, *TRIPLE, *draw))
+    t = t.withColumn("idx", F.col("pick") + F.when(F.col("gold").isNotNull() & (F.col("pick") >= F.col("gold")), 1).otherwise(0))
+    return fetch(t, pool, ["relation", "idx"], "left").select(*TRIPLE, F.col("new").alias("neg_tail"), *([] if many is None else ["draw"]))
 
 
 def test_negatives(test: DataFrame, known: DataFrame, tries: int, seed: str = "tneg") -> DataFrame:
@@ -80,7 +95,7 @@ def test_negatives(test: DataFrame, known: DataFrame, tries: int, seed: str = "t
     t = test.select(*TRIPLE).withColumn("side", side).join(F.broadcast(size), ["relation", "side"])  # two rows a relation
     t = t.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
     t = t.withColumn("idx", det_index(F.col("n"), seed, *TRIPLE, F.col("try").cast("string")))
-    j = t.join(pool, ["relation", "side", "idx"])
+    j = fetch(t, checkpointed(pool), ["relation", "side", "idx"])
     j = j.withColumn("neg_head", F.when(F.col("side") == "head", F.col("new")).otherwise(F.col("head"))).withColumn("neg_tail", F.when(F.col("side") == "tail", F.col("new")).otherwise(F.col("tail")))
     k = known.select(F.col("head").alias("neg_head"), "relation", F.col("tail").alias("neg_tail")).distinct()
     ok = j.filter(F.col("neg_head") != F.col("neg_tail")).join(k, ["neg_head", "relation", "neg_tail"], "left_anti")
@@ -94,14 +109,14 @@ def whole_test_negatives(test: DataFrame, train: DataFrame, known: DataFrame, en
     Each try draws its side. A pool of fewer than two entities gives way to all entities. accidental counts the tries
     before the good one that were known triples; skipped is 1, and the negative null, where no try is good.
     """
-    pool = side_index(train).select("relation", "side", "idx", F.col("entity").alias("own"))
+    pool = checkpointed(side_index(train).select("relation", "side", "idx", F.col("entity").alias("own")))
     size = pool.groupBy("relation", "side").agg(F.count("*").alias("n"))
     n = entities.agg(F.count("*")).first()[0]
     t = test.select(*TRIPLE).distinct().withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
     no = F.col("try").cast("string")
     t = t.withColumn("side", F.when(det_number(seed + "-side", *TRIPLE, no) % 2 == 0, "head").otherwise("tail")).join(F.broadcast(size), ["relation", "side"], "left")  # two rows a relation
     t = t.withColumn("tiny", F.coalesce("n", F.lit(0)) < 2).withColumn("idx", det_index(F.when(F.col("tiny"), F.lit(n)).otherwise(F.col("n")), seed, *TRIPLE, no))
-    own = t.filter(~F.col("tiny")).join(pool, ["relation", "side", "idx"]).select(*TRIPLE, "try", "side", F.col("own").alias("new"))
+    own = fetch(t.filter(~F.col("tiny")), pool, ["relation", "side", "idx"]).select(*TRIPLE, "try", "side", F.col("own").alias("new"))
     j = own.unionByName(t.filter("tiny").join(entities.select("idx", F.col("entity").alias("new")), "idx").select(*TRIPLE, "try", "side", "new"))
     j = j.withColumn("neg_head", F.when(F.col("side") == "head", F.col("new")).otherwise(F.col("head"))).withColumn("neg_tail", F.when(F.col("side") == "tail", F.col("new")).otherwise(F.col("tail"))).filter(F.col("neg_head") != F.col("neg_tail"))
     k = known.select(F.col("head").alias("neg_head"), "relation", F.col("tail").alias("neg_tail"), F.lit(True).alias("true")).distinct()
@@ -152,6 +167,21 @@ def candidate_sets(queries: DataFrame, known: DataFrame, entities: DataFrame, n_
     return others.unionByName(f.select(*columns)).withColumn("is_gold", F.lit(0)).unionByName(gold)
 
 
+def relation_candidates(queries: DataFrame, relations: DataFrame, cap: int, seed: str = "relcand") -> DataFrame:
+    """(qid, candidate): all relations where there are no more than the cap, else the gold one and others by a hash of the query.
+
+    The names are a catalogue: up to 1,000 go to the driver and become an array that each query orders in its row;
+    more raise an error, as candidate_sets() draws from catalogues of any size.
+    """
+    names = [r[0] for r in relations.select("relation").distinct().orderBy("relation").limit(max(cap, 1000) + 1).collect()]
+    if len(names) <= cap:
+        return queries.select("qid", F.explode(F.array(*map(F.lit, names))).alias("candidate")) if names else queries.select("qid", F.lit("").alias("candidate")).limit(0)
+    if len(names) > 1000:
+        raise ValueError("more than 1,000 relations: draw candidates with candidate_sets()")
+    every = F.transform(F.array(*map(F.lit, names)), lambda r: F.struct((r != F.col("relation")).alias("other"), det_key(seed, "qid", r).alias("h"), r.alias("r")))
+    return queries.select("qid", F.explode(F.transform(F.slice(F.array_sort(every), 1, cap), lambda x: x["r"])).alias("candidate"))
+
+
 def fingerprint(candidates: DataFrame) -> DataFrame:
     """(n_queries, fingerprint): sums of hashes, so that the order of rows and tasks does not matter."""
     per_query = candidates.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("candidate")), ",").alias("c"))

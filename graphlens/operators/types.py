@@ -49,8 +49,8 @@ def modal_tail_types(train: DataFrame, types: DataFrame) -> DataFrame:
     return first_per_group(n, ["relation"], [F.desc("n"), "type"], 1).select("relation", F.col("type").alias("modal"))
 
 
-def tag_leak(train: DataFrame, labelled: DataFrame, types: DataFrame) -> DataFrame:
-    """(rule, fires_pos, fires_neg, accuracy, vacuous): how well a type tag alone answers.
+def tag_leak(train: DataFrame, labelled: DataFrame, types: DataFrame, *by: str) -> DataFrame:
+    """(rule, fires_pos, fires_neg, accuracy, vacuous), also by columns of the labelled triples: how well a type tag alone answers.
 
     MODAL: the tail's type is its relation's most frequent one in training. RANGE: the tail was seen
     as one. A rule that fires over 98 % or under 2 % in both classes says nothing.
@@ -59,9 +59,9 @@ def tag_leak(train: DataFrame, labelled: DataFrame, types: DataFrame) -> DataFra
     seen = train.select("relation", "tail").distinct().withColumn("in_range", F.lit(1))
     j = labelled.join(types.withColumnRenamed("entity", "tail"), "tail", "left").join(F.broadcast(modal), "relation", "left").join(seen, ["relation", "tail"], "left")
     fires = F.explode(F.array(F.struct(F.lit("MODAL").alias("rule"), F.coalesce(F.col("type") == F.col("modal"), F.lit(False)).alias("fires")), F.struct(F.lit("RANGE").alias("rule"), F.col("in_range").isNotNull().alias("fires"))))
-    r = j.select("label", fires.alias("x")).select("label", "x.rule", "x.fires")
+    r = j.select(*by, "label", fires.alias("x")).select(*by, "label", "x.rule", "x.fires")
     true = F.col("label") == 1
-    out = r.groupBy("rule").agg(F.avg(F.when(true, F.col("fires").cast("double"))).alias("fires_pos"), F.avg(F.when(~true, F.col("fires").cast("double"))).alias("fires_neg"), F.avg((F.col("fires") == true).cast("double")).alias("accuracy"))
+    out = r.groupBy(*by, "rule").agg(F.avg(F.when(true, F.col("fires").cast("double"))).alias("fires_pos"), F.avg(F.when(~true, F.col("fires").cast("double"))).alias("fires_neg"), F.avg((F.col("fires") == true).cast("double")).alias("accuracy"))
     flat = lambda lo, hi: F.coalesce((F.col("fires_pos") > hi) & (F.col("fires_neg") > hi) | (F.col("fires_pos") < lo) & (F.col("fires_neg") < lo), F.lit(True))
     out = out.withColumn("vacuous", flat(0.02, 0.98))
     return out.withColumn("verdict", F.when(F.col("vacuous"), "vacuous").when(F.col("accuracy") < 0.55, "clean").when(F.col("accuracy") < 0.75, "material").otherwise("leak"))

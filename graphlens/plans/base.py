@@ -31,7 +31,8 @@ def graph_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def triples(spark: SparkSession, sf: str) -> DataFrame:
-    return graph_of(spark, sf).drop("split")
+    """All triples, from the sources: no split is drawn and nothing is cached for them."""
+    return canonical_triples(spark, sf)
 
 
 def split(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -137,6 +138,10 @@ CTES = {
 
 
 
+#: Tables that are dear to make and read several times.
+DEAR = ("triples", "kg", "train", "test", "ring", "labelled", "eidx", "drawn", "others", "candidates", "cscored")
+
+
 def _named(name: str, body: str) -> bool:
     return bool(re.search(rf"(?<!')\b{name}\b(?!')", body))
 
@@ -159,7 +164,7 @@ def sql(body: str) -> str:
         if _named(name, body):
             add(name)
     own = body.strip()
-    head = ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
+    head = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in DEAR else ''}({CTES[n]})" for n in order)
     if not order:
         return own
     return f"WITH {head},\n{own[5:]}" if own.upper().startswith("WITH ") else f"WITH {head}\n{own}"

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from graphlens.functions import text as tx
 from graphlens.functions.hashing import det_key, det_number
-from graphlens.operators import budget, conditions, context, graph, prompts, ranking, reports, routing, sampling, types
+from graphlens.operators import budget, conditions, context, graph, joins, prompts, ranking, reports, routing, sampling, types
 from graphlens.plans import base
 from graphlens.plans.base import T, U, key, number
-from graphlens.plans.queries import ORACLE_SQL, PLANS, candidate_scores, features, query, rounded
+from graphlens.plans.queries import BARE_SQL, INV, ORACLE_SQL, PLANS, SAFE, TYPED, candidate_scores, features, query, rounded
 
 TRIPLE = sampling.TRIPLE
 O = ORACLE_SQL  # noqa: E741  SQL of other queries, taken as subqueries
@@ -30,22 +30,28 @@ PRE = "regexp_extract({}, '^([A-Za-z]+):', 1)"
 # ------------------------------------------------------------------ conditions, grids and training sets
 
 
+#: Negatives of a triple under condition E.
+MANY = 6
+MANY_SQL = f"many AS (SELECT tn.*, j, CASE WHEN n - 1 > 0 THEN {number('typed-many', *T, 'CAST(j AS VARCHAR)')} % (n - 1) END AS pick FROM tn, (SELECT unnest(range(0, {MANY})) AS j)), many_neg AS (SELECT many.head, many.relation, p.new AS tail FROM many JOIN pool p ON p.relation = many.relation AND p.idx = many.pick + CASE WHEN many.pick >= many.gold THEN 1 ELSE 0 END)"
+
+
 def _condition_sql() -> str:
-    parts = []
-    for names, table in (("real", "entities"), ("anonymous", "anon"), ("permuted", "perm")):
-        for kind in ("random", "typed"):
-            for letter, c in conditions.CONDITIONS.items():
-                if (c.names, c.negatives) == (names, kind):
-                    show = lambda e: f"coalesce({e}.text, x.{'head' if e == 'h' else 'tail'})" + (f" || ' (' || {PRE.format('x.head' if e == 'h' else 'x.tail')} || ')'" if c.tags else "")  # noqa: B023, E731
-                    parts.append(f"SELECT '{letter}' AS condition, x.head, x.relation, x.tail, x.label, 'Is this true: ' || {show('h')} || ' ' || x.relation || ' ' || {show('t')} || '?' AS prompt FROM (SELECT head, relation, tail, 1 AS label FROM test UNION ALL SELECT head, relation, tail, -1 FROM {kind}_neg) x LEFT JOIN {table} h ON h.id = x.head LEFT JOIN {table} t ON t.id = x.tail")
-    return f"WITH random_neg AS (SELECT neg_head AS head, relation, neg_tail AS tail FROM ({O['sa5_random_negatives']})), typed_neg AS (SELECT head, relation, neg_tail AS tail FROM ({O['sa6_typed_negatives']}) WHERE neg_tail IS NOT NULL), anon AS ({O['pr1_anonymise']}), perm AS ({O['pr2_permute']}) " + " UNION ALL ".join(parts)
+    """Rows of each kind of negatives once, named in three ways once, then shown under every condition."""
+    letters = ", ".join(f"('{k}', '{c.names}', {str(c.tags).lower()}, '{c.negatives}')" for k, c in conditions.CONDITIONS.items())
+    show = lambda e: f"CASE names WHEN 'real' THEN coalesce({e}e.text, {e}) WHEN 'anonymous' THEN coalesce({e}a.text, {e}) ELSE coalesce({e}p.text, {e}) END || CASE WHEN tags THEN ' (' || {PRE.format(e)} || ')' ELSE '' END"
+    joins_of = " ".join(f"LEFT JOIN {t} {e}{t[0]} ON {e}{t[0]}.id = r.{e}" for e in ("head", "tail") for t in ("entities", "anon", "perm"))
+    return f"""WITH {TYPED}, {MANY_SQL}, random_neg AS ({BARE_SQL['sa5_random_negatives']}), anon AS ({BARE_SQL['pr1_anonymise']}), perm AS ({BARE_SQL['pr2_permute']}),
+  negs AS (SELECT 'random' AS kind, neg_head AS head, relation, neg_tail AS tail FROM random_neg UNION ALL SELECT 'typed', head, relation, neg_tail FROM typed WHERE neg_tail IS NOT NULL UNION ALL SELECT 'typed_many', head, relation, tail FROM many_neg),
+  rows AS (SELECT kind, head, relation, tail, 1 AS label FROM test, (SELECT DISTINCT kind FROM negs) UNION ALL SELECT kind, head, relation, tail, -1 FROM negs), c(condition, names, tags, kind) AS (VALUES {letters})
+  SELECT condition, head, relation, tail, label, 'Is this true: ' || {show('head')} || ' ' || relation || ' ' || {show('tail')} || '?' AS prompt FROM rows r {joins_of} JOIN c ON c.kind = r.kind"""
 
 
 def instances(spark, sf):
     test, known = base.split(spark, sf, "test"), base.triples(spark, sf)
     random = sampling.random_negatives(test, sampling.entity_index(known)).select(F.col("neg_head").alias("head"), "relation", F.col("neg_tail").alias("tail"))
     typed = sampling.typed_negatives(test, known).filter(F.col("neg_tail").isNotNull()).select("head", "relation", F.col("neg_tail").alias("tail"))
-    return conditions.instances(test, {"random": random, "typed": typed}, base.entities(spark, sf))
+    many = sampling.typed_negatives(test, known, "typed-many", MANY).filter(F.col("neg_tail").isNotNull()).select("head", "relation", F.col("neg_tail").alias("tail"))
+    return conditions.instances(test, {"random": random, "typed": typed, "typed_many": many}, base.entities(spark, sf))
 
 
 query("sa16_conditions", _condition_sql())(instances)
@@ -57,19 +63,22 @@ def _(spark, sf):
     return rounded(instances(spark, sf).groupBy("condition").agg(F.count("*").alias("n"), F.avg((F.col("label") == 1).cast("double")).alias("positive_rate"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY length(prompt))").cast("long").alias("p50"), F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY length(prompt))").cast("long").alias("p99"), F.count_if(n == 0).alias("n_empty")))
 
 
-@query("se8_condition_pairs", f"WITH i AS ({_condition_sql()}), s AS (SELECT condition, count(*) AS n, CAST(sum({number('sig', 'head', 'relation', 'tail', 'CAST(label AS VARCHAR)')} % 1000003) AS BIGINT) AS sig FROM i GROUP BY condition) SELECT a.condition AS a, b.condition AS b, a.n AS n_a, b.n AS n_b, a.n = b.n AND a.sig = b.sig AS aligned FROM s a JOIN s b ON a.condition < b.condition")
+@query("se8_condition_pairs", f"WITH i AS MATERIALIZED ({_condition_sql()}), r AS (SELECT *, {number('row', 'head', 'relation', 'tail', 'CAST(label AS VARCHAR)')} AS id FROM i), s AS (SELECT condition, count(*) AS n, CAST(sum(id % 1000003) AS BIGINT) AS sig FROM r GROUP BY condition), u AS (SELECT condition, id, count(*) AS m, min(prompt) AS prompt FROM r GROUP BY ALL), p AS (SELECT a.condition AS a, b.condition AS b, sum(least(a.m, b.m)) AS n_both, count(*) FILTER (a.prompt = b.prompt) AS n_same FROM u a JOIN u b ON a.id = b.id AND a.condition < b.condition GROUP BY ALL) SELECT x.condition AS a, y.condition AS b, x.n AS n_a, y.n AS n_b, x.n = y.n AND x.sig = y.sig AS aligned, CAST(coalesce(p.n_both, 0) AS BIGINT) AS n_both, coalesce(p.n_same, 0) AS n_same_prompt FROM s x JOIN s y ON x.condition < y.condition LEFT JOIN p ON p.a = x.condition AND p.b = y.condition")
 def _(spark, sf):
-    s = instances(spark, sf).groupBy("condition").agg(F.count("*").alias("n"), F.sum(det_number("sig", *TRIPLE, F.col("label").cast("string")) % 1000003).alias("sig"))
-    a, b = (s.select(F.col("condition").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    j = a.join(F.broadcast(b), F.col("a") < F.col("b"))  # one row a condition
-    return j.select("a", "b", "n_a", "n_b", ((F.col("n_a") == F.col("n_b")) & (F.col("sig_a") == F.col("sig_b"))).alias("aligned"))
+    """Pairs of conditions: same signature of the rows, how many rows they share, and how many of these show the same prompt."""
+    rows = instances(spark, sf).withColumn("id", det_number("row", *TRIPLE, F.col("label").cast("string")))
+    return rounded(conditions.aligned(rows))
+
+
+TAG_FLOORS = f"WITH pt AS (SELECT DISTINCT entity, {PRE.format('entity')} AS type FROM ents), n AS (SELECT relation, type, count(*) AS n FROM train t JOIN pt ON pt.entity = t.tail GROUP BY ALL), m AS (SELECT relation, type AS modal FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY n DESC, type) AS k FROM n) WHERE k = 1), tr AS (SELECT DISTINCT relation, tail FROM train), j AS (SELECT l.relation, l.label, coalesce(pt.type = m.modal, false) AS f1, tr.tail IS NOT NULL AS f2 FROM labelled l LEFT JOIN pt ON pt.entity = l.tail LEFT JOIN m ON m.relation = l.relation LEFT JOIN tr ON tr.relation = l.relation AND tr.tail = l.tail), r AS (SELECT relation, 'MODAL' AS rule, label, f1 AS fires FROM j UNION ALL SELECT relation, 'RANGE', label, f2 FROM j), o AS (SELECT relation, rule, avg(CAST(fires AS DOUBLE)) FILTER (label = 1) AS fp, avg(CAST(fires AS DOUBLE)) FILTER (label <> 1) AS fn, avg(CAST(fires = (label = 1) AS DOUBLE)) AS accuracy FROM r GROUP BY ALL), floors AS (SELECT *, coalesce(fp > 0.98 AND fn > 0.98 OR fp < 0.02 AND fn < 0.02, true) AS vacuous FROM o)"
 
 
-@query("se14_leak_gate", "WITH f AS (SELECT relation, greatest(avg(CAST(label = 1 AS DOUBLE)), 1 - avg(CAST(label = 1 AS DOUBLE))) AS floor FROM labelled GROUP BY relation), c(condition, tags) AS (VALUES ('A', false), ('B', false), ('C', true), ('D', true), ('G', true), ('S', false)) SELECT condition, relation, round(floor, 6) AS floor FROM f, c WHERE tags AND floor >= 0.55")
+@query("se14_leak_gate", TAG_FLOORS + ", c(condition, tags) AS (VALUES " + ", ".join(f"('{k}', {str(c.tags).lower()})" for k, c in conditions.CONDITIONS.items()) + ") SELECT condition, relation, rule, round(accuracy, 6) AS floor FROM floors, c WHERE tags AND NOT vacuous AND accuracy >= 0.55")
 def _(spark, sf):
-    f = base.labelled(spark, sf).groupBy("relation").agg(F.avg((F.col("label") == 1).cast("double")).alias("p")).select("relation", F.greatest("p", 1 - F.col("p")).alias("floor"))
-    letters = F.explode(F.array(*[F.lit(x) for x, c in conditions.CONDITIONS.items() if c.tags]))
-    return rounded(f.filter(F.col("floor") >= 0.55).select(letters.alias("condition"), "relation", "floor"))
+    """Conditions that show type tags are blocked on the relations where a tag alone answers well."""
+    e = base.triples(spark, sf).select(F.explode(F.array("head", "tail")).alias("id")).distinct().withColumn("text", F.lit(""))
+    floors = types.tag_leak(base.split(spark, sf, "train"), base.labelled(spark, sf), types.types_by_identifier(e), "relation")
+    return rounded(conditions.blocked(floors))
 
 
 POLICIES, BUDGETS, DIRECTIONS = ("S0", "R", "S1", "S2", "S3", "S4"), (100, 200, 400), ("tail", "head")
@@ -156,29 +165,70 @@ def _(spark, sf):
     return rounded(v.groupBy("feature").agg(F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), F.stddev_pop("x").alias("sd"), (F.min("x") == F.max("x")).alias("constant")))
 
 
-NEAR = "inc AS (SELECT DISTINCT entity AS head, relation AS via, other FROM (SELECT relation, head AS entity, tail AS other FROM train UNION ALL SELECT relation, tail, head FROM train)), nb AS (SELECT qid, via, other, row_number() OVER (PARTITION BY qid ORDER BY via, other) AS place FROM queries q JOIN inc USING (head) WHERE NOT (via = q.relation AND other = q.tail)), nbt AS (SELECT qid, string_agg(via || ' ' || other, '; ' ORDER BY place) AS text FROM nb WHERE place <= 3 GROUP BY qid)"
+NEAR = INV.replace("triples", "train") + ", inc AS (SELECT DISTINCT entity AS head, relation AS via, other FROM (SELECT relation, head AS entity, tail AS other FROM train UNION ALL SELECT relation, tail, head FROM train)), nb AS (SELECT qid, via, other, row_number() OVER (PARTITION BY qid ORDER BY via, other) AS place FROM queries q JOIN inc USING (head) WHERE other <> q.tail AND NOT EXISTS (SELECT 1 FROM inv WHERE inv.relation = q.relation AND inv.inverse = via)), nbt AS (SELECT qid, string_agg(via || ' ' || other, '; ' ORDER BY place) AS text FROM nb WHERE place <= 3 GROUP BY qid)"
+
+
+def near(spark, sf):
+    train = base.split(spark, sf, "train")
+    return context.neighbours(train, tests(spark, sf), 3, graph.inverse_relations(train))
 
 
 @query("gr11_context_neighbours", f"WITH {NEAR} SELECT qid, via, other, place FROM nb WHERE place <= 3")
 def _(spark, sf):
-    return rounded(context.neighbours(base.split(spark, sf, "train"), tests(spark, sf), 3))
+    return rounded(near(spark, sf))
 
 
 @query("gr7_neighbour_block", f"WITH {NEAR} SELECT qid, text FROM nbt")
 def _(spark, sf):
-    return context.neighbour_text(context.neighbours(base.split(spark, sf, "train"), tests(spark, sf), 3))
+    return context.neighbour_text(near(spark, sf))
+
+
+def _variant_sql() -> str:
+    lead = {"demonstrations": "'Other triples using ' || relation || ': ' || demonstrations", "meaning": "meaning", "neighbours": "'Known facts: ' || neighbours", "paths": "'Known connections: ' || paths"}
+
+    def prompt(on: tuple[str, ...]) -> str:
+        tag = lambda e: f"{e}_text" + (f" || ' [' || {PRE.format(e)} || ']'" if "types" in on else "")
+        parts = [f"CASE WHEN {b} <> '' THEN {x} || '.' END" for b, x in lead.items() if b in on]
+        parts.append(f"'Is this true: ' || {tag('head')} || ' ' || relation || ' ' || {tag('tail')} || '?'")
+        return "concat_ws(' ', " + ", ".join([*parts, *([f"'{conditions.STRUCTURAL_INSTRUCTION}'"] if "instruction" in on else [])]) + ")"
+
+    paths = BARE_SQL["gr8_safe_paths"]
+    made = " UNION ALL ".join(f"SELECT head, relation, tail, '{v}' AS variant, {prompt(on)} AS prompt FROM shown" for v, on in conditions.VARIANTS.items())
+    return f"WITH {NEAR}, {EXAMPLES}, pa AS MATERIALIZED ({paths}), shown AS MATERIALIZED (SELECT q.*, coalesce(a.text, q.head) AS head_text, coalesce(b.text, q.tail) AS tail_text, ex.text AS demonstrations, {MEANING.replace('CASE relation', 'CASE q.relation').replace('|| relation ||', '|| q.relation ||')} AS meaning, nbt.text AS neighbours, pa.paths FROM queries q LEFT JOIN entities a ON a.id = q.head LEFT JOIN entities b ON b.id = q.tail LEFT JOIN ex ON ex.relation = q.relation LEFT JOIN nbt ON nbt.qid = q.qid LEFT JOIN pa ON pa.qid = q.qid) {made}"
+
+
+def variants(spark, sf):
+    """The test triples under P0 to P7, with everything that the variants show."""
+    q, train, e = tests(spark, sf), base.split(spark, sf, "train"), base.entities(spark, sf)
+    inverses = graph.inverse_relations(train)
+    rows = prompts.with_text(q, e).join(F.broadcast(context.examples(train, 2).withColumnRenamed("text", "demonstrations")), "relation", "left")  # one row a relation
+    rows = rows.join(context.neighbour_text(near(spark, sf)).withColumnRenamed("text", "neighbours"), "qid", "left").join(graph.safe_paths(train, q, inverses, e), "qid", "left")
+    return conditions.variant_prompts(rows.withColumn("meaning", context.relation_text(F.col("relation"))))
 
 
 @query("gr14_leak_assertion", f"WITH {NEAR} SELECT q.relation, count(*) AS n, count(*) FILTER (len(list_filter(string_split(nbt.text, ';'), lambda s: ends_with(trim(s), q.tail))) > 0) AS n_leaking FROM nbt JOIN queries q USING (qid) GROUP BY q.relation")
 def _(spark, sf):
     q = tests(spark, sf)
-    t = context.neighbour_text(context.neighbours(base.split(spark, sf, "train"), q, 3)).join(q, "qid")
+    t = context.neighbour_text(near(spark, sf)).join(q, "qid")
     return t.groupBy("relation").agg(F.count("*").alias("n"), F.count_if(context.leaking(F.col("text"), F.col("tail"))).alias("n_leaking"))
 
 
 MEANING = "CASE relation " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in context.RELATION_TEXTS.items()) + " ELSE 'the relation ' || relation || ' holds between the two' END"
 
 
+query("pt6_prompt_variants", _variant_sql())(variants)
+
+
+@query("ag66_context_coverage", f"WITH v AS MATERIALIZED ({_variant_sql()}), p AS (SELECT head, relation, tail, prompt FROM v WHERE variant = 'P0') SELECT variant, count(*) AS n, round(avg(CAST(v.prompt <> p.prompt AS DOUBLE)), 6) AS coverage, avg(CAST(v.prompt <> p.prompt AS DOUBLE)) >= 0.5 AS usable FROM v JOIN p USING (head, relation, tail) GROUP BY variant")
+def _(spark, sf):
+    """How many prompts of each variant show anything beyond the plain question; below half a variant is not usable."""
+    v = variants(spark, sf)
+    set_of = v.groupBy(*TRIPLE).agg(F.max(F.when(F.col("variant") == "P0", F.col("prompt"))).alias("plain"), F.collect_list(F.struct("variant", "prompt")).alias("v"))  # eight rows a triple
+    each = set_of.select("plain", F.explode("v").alias("x")).select("x.variant", (F.col("x.prompt") != F.col("plain")).cast("double").alias("shows"))
+    g = each.groupBy("variant").agg(F.count("*").alias("n"), F.avg("shows").alias("coverage"))
+    return rounded(g.withColumn("usable", F.col("coverage") >= 0.5))
+
+
 @query("gr15_relation_text", f"SELECT DISTINCT relation, {MEANING} AS text FROM triples")
 def _(spark, sf):
     return base.triples(spark, sf).select("relation").distinct().select("relation", context.relation_text(F.col("relation")).alias("text"))
@@ -189,7 +239,7 @@ BLOCKS = f"{NEAR}, {EXAMPLES}, bl AS (SELECT qid, 'type_tag' AS kind, head AS ta
 
 @query("gr13_candidate_blocks", f"WITH {BLOCKS} SELECT qid, kind, target, text, tokens FROM blocks")
 def _(spark, sf):
-    return context.blocks(tests(spark, sf), base.split(spark, sf, "train"), base.entities(spark, sf), 3, 2)
+    return context.blocks(tests(spark, sf), base.split(spark, sf, "train"), base.entities(spark, sf), 3, 2, graph.inverse_relations(base.split(spark, sf, "train")))
 
 
 BUDGET = 12
@@ -231,7 +281,7 @@ def traited(spark, sf):
     range_types = graph.entropy(train.join(types.induced_types(base.triples(spark, sf)).select(F.col("entity").alias("tail"), "type"), "tail"), ["relation"], "type", "bits")
     labels = context.label_traits(e).withColumnRenamed("id", "head")
     traits = q.select("qid", "head", "relation").join(labels, "head", "left").join(F.broadcast(range_types), "relation", "left").drop("head", "relation")  # one row a relation
-    return context.blocks(q, train, e, 3, 2).join(traits, "qid").withColumns({"described": F.col("words") >= budget.WORDS, "depth": F.lit(None).cast("int")})
+    return context.blocks(q, train, e, 3, 2, graph.inverse_relations(train)).join(traits, "qid").withColumns({"described": F.col("words") >= budget.WORDS, "depth": F.lit(None).cast("int")})
 
 
 def filled(spark, sf, policies=budget.POLICIES):
@@ -255,6 +305,15 @@ def _(spark, sf):
     return rounded(spent.withColumn("utilisation", F.col("tokens") / (BUDGET * n)))
 
 
+@query("mp1_token_map", f"WITH {FILLED}, m AS (SELECT policy, map_from_entries(list_transform(kept, lambda x: struct_pack(k := x.kind, v := CAST(x.tokens AS BIGINT)))) AS m FROM f5) SELECT policy, count(*) AS n, CAST(sum(coalesce(list_sum(map_values(m)), 0)) AS BIGINT) AS spent, CAST(sum(coalesce(m['neighbours'], 0)) AS BIGINT) AS on_neighbours, CAST(sum(coalesce(m['nothing'], 7)) AS BIGINT) AS on_nothing, CAST(sum(cardinality(m)) AS BIGINT) AS kinds FROM m GROUP BY policy")
+def _(spark, sf):
+    """Each allocation as a map of tokens by kind: looked up with a default for kinds that it lacks, and summed."""
+    m = filled(spark, sf).select("policy", F.map_from_entries(F.transform("kept", lambda x: F.struct(x["kind"], x["tokens"].cast("long")))).alias("m"))
+    got = lambda k, default: F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(default).cast("long"))
+    spent = F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rounded(m.groupBy("policy").agg(F.count("*").alias("n"), F.sum(spent).alias("spent"), F.sum(got("neighbours", 0)).alias("on_neighbours"), F.sum(got("nothing", 7)).alias("on_nothing"), F.sum(F.size("m")).alias("kinds")))
+
+
 @query("ba6_allocation_diff", f"WITH {FILLED}, s AS (SELECT qid, policy, array_to_string(list_transform(kept, lambda x: x.kind), ',') AS kinds FROM f5) SELECT a.policy AS a, b.policy AS b, a.kinds AS kinds_a, b.kinds AS kinds_b, count(*) AS n FROM s a JOIN s b ON a.qid = b.qid AND a.policy < b.policy AND a.kinds <> b.kinds GROUP BY ALL")
 def _(spark, sf):
     f = filled(spark, sf).select("qid", "policy", F.array_join(F.transform("kept", lambda k: k["kind"]), ",").alias("kinds"))
@@ -302,11 +361,18 @@ def _(spark, sf):
 PROVIDERS = (("", "other"), ("customer:", "people"), ("customer:1", "early"), ("part:", "goods"), ("order:", "orders"))
 
 
-@query("ty11_provider_dispatch", "WITH p(prefix, provider) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PROVIDERS) + ") SELECT provider, count(*) AS n FROM (SELECT entity, arg_max(provider, length(prefix)) AS provider FROM ents JOIN p ON starts_with(entity, prefix) GROUP BY entity) GROUP BY provider")
+OWN_PREFIX = "SELECT substr(entity, 1, length(entity) - 1) AS prefix, 'own:' || substr(entity, 1, length(entity) - 1) AS provider FROM ents WHERE {} % 4 = 0".format(number("prefix", "entity"))
+
+
+@query("ty11_provider_dispatch", "WITH p AS (SELECT prefix, min(provider) AS provider FROM (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PROVIDERS) + f") v(prefix, provider) UNION ALL {OWN_PREFIX}) GROUP BY prefix), k AS (SELECT DISTINCT length(prefix) AS n FROM p), x AS (SELECT entity, arg_max(p.provider, k.n) AS provider, max(k.n) AS n FROM ents JOIN k ON length(entity) >= k.n JOIN p ON p.prefix = substr(entity, 1, k.n) GROUP BY entity) SELECT provider, n AS prefix_length, count(*) AS n FROM x GROUP BY ALL")
 def _(spark, sf):
+    """Providers by a table of prefixes: some of kinds of entities, and one of every fourth entity's id without its last character."""
     e = base.triples(spark, sf).select(F.explode(F.array("head", "tail")).alias("id")).distinct()
-    found = F.array(*[F.when(F.startswith("id", F.lit(a)), F.struct(F.lit(len(a)).alias("k"), F.lit(b).alias("p"))) for a, b in PROVIDERS])
-    return e.groupBy(F.array_max(found)["p"].alias("provider")).agg(F.count("*").alias("n"))
+    own = F.expr("substring(id, 1, length(id) - 1)")
+    table = e.filter(det_number("prefix", "id") % 4 == 0).select(own.alias("prefix"), F.concat(F.lit("own:"), own).alias("value"))
+    table = table.unionByName(spark.createDataFrame(PROVIDERS, "prefix string, value string"))
+    best = joins.longest_prefix(e, table)
+    return best.groupBy(F.col("value").alias("provider"), F.length("prefix").cast("long").alias("prefix_length")).agg(F.count("*").alias("n"))
 
 
 @query("ty14_type_invariance", f"WITH a AS (SELECT id, {PRE.format('id')} AS type FROM ({O['pr1_anonymise']})), b AS (SELECT id, {PRE.format('id')} AS type FROM ({O['pr2_permute']})), e AS (SELECT id, {PRE.format('id')} AS type FROM entities) SELECT 'anonymised' AS variant, count(*) AS n, count(*) FILTER (a.type IS DISTINCT FROM e.type) AS n_changed FROM e FULL JOIN a USING (id) UNION ALL SELECT 'permuted', count(*), count(*) FILTER (b.type IS DISTINCT FROM e.type) FROM e FULL JOIN b USING (id)")
@@ -337,20 +403,38 @@ def _(spark, sf):
     return kg.type_lines(c.select(line.otherwise(F.concat(F.lit("<customer_"), k, F.lit(">"), tab, F.lit("rdfs:label"), tab, "c_name")).alias("line")))
 
 
-@query("sc15_dataset_of_run", "WITH r AS (SELECT DISTINCT 'ch1-' || relation || '-' || ['A', 'B', 'C'][length(relation) % 3 + 1] AS run FROM triples) SELECT run, regexp_extract(run, '^ch[0-9]+-(.+)-[A-Z][0-9]*$', 1) AS dataset FROM r")
+RUN_STEMS = f"stems AS (SELECT DISTINCT concat_ws('-', 'ch1rank', relation, tail, 'S' || ({number('arm', *T)} % 5), 's' || ({number('seed', *T)} % 3)) AS stem, relation, tail FROM test)"
+
+
+def run_stems(spark, sf):
+    """Names of result files: chapter, relation, answer, arm and seed of each test triple."""
+    arm, seed = (F.concat(F.lit("Ss"[i]), (det_number(s, *TRIPLE) % n).cast("string")) for i, (s, n) in enumerate((("arm", 5), ("seed", 3))))
+    return base.split(spark, sf, "test").select(F.concat_ws("-", F.lit("ch1rank"), "relation", "tail", arm, seed).alias("stem"), "relation", "tail").distinct()
+
+
+#: Parts of a run's name: the chapter, the data set, the arm, the seed; a name without these has none.
+RUN_NAME = r"^(ch[0-9]+[a-z]*)-(.+)-(S[0-9])-s([0-9]+)$"
+
+
+@query("sc15_dataset_of_run", f"WITH {RUN_STEMS}, r AS (SELECT stem AS run FROM stems UNION SELECT tail FROM stems) SELECT run, nullif(regexp_extract(run, '{RUN_NAME}', 2), '') AS dataset, nullif(regexp_extract(run, '{RUN_NAME}', 3), '') AS arm, CAST(nullif(regexp_extract(run, '{RUN_NAME}', 4), '') AS BIGINT) AS seed FROM r")
 def _(spark, sf):
-    r = base.triples(spark, sf).select("relation").distinct()
-    run = F.concat(F.lit("ch1-"), "relation", F.lit("-"), F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), F.length("relation") % 3 + 1))
-    return r.select(run.alias("run")).withColumn("dataset", F.regexp_extract("run", "^ch[0-9]+-(.+)-[A-Z][0-9]*$", 1))
+    """The parts of run names, among them names that are none."""
+    stems = run_stems(spark, sf)
+    r = stems.select(F.col("stem").alias("run")).unionByName(stems.select(F.col("tail").alias("run"))).distinct()
+    part = lambda i: F.nullif(F.regexp_extract("run", RUN_NAME, i), F.lit(""))
+    return r.select("run", part(2).alias("dataset"), part(3).alias("arm"), part(4).cast("long").alias("seed"))
 
 
-@query("sc17_results_of_run", "WITH r AS (SELECT DISTINCT relation FROM triples), f AS (SELECT relation || '_v' || i AS stem, i, CASE i % 2 WHEN 0 THEN 'OVERFIT at step 3' ELSE 'good fit' END AS verdict FROM r, range(0, 3) t(i)) SELECT r.relation, arg_max(stem, stem) AS stem, CASE WHEN contains(upper(arg_max(verdict, stem)), 'OVERFIT') THEN 'over' WHEN contains(upper(arg_max(verdict, stem)), 'UNDERFIT') THEN 'under' ELSE 'ok' END AS fit FROM r JOIN f ON contains(f.stem, r.relation) GROUP BY r.relation")
+@query("sc17_results_of_run", f"WITH {RUN_STEMS}, r AS (SELECT DISTINCT relation || '-' || tail AS run FROM stems), f AS (SELECT DISTINCT stem, CASE {number('fit', 'stem')} % 3 WHEN 0 THEN 'OVERFIT at step 3' WHEN 1 THEN 'Underfit' ELSE 'good fit' END AS verdict FROM stems) SELECT run, count(*) AS n, max(stem) AS stem, CASE WHEN contains(upper(arg_max(verdict, stem)), 'OVERFIT') THEN 'over' WHEN contains(upper(arg_max(verdict, stem)), 'UNDERFIT') THEN 'under' ELSE 'ok' END AS fit FROM r JOIN f ON contains(f.stem, r.run) GROUP BY run")
 def _(spark, sf):
-    r = base.triples(spark, sf).select("relation").distinct()
-    files = r.select("relation", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select(F.concat("relation", F.lit("_v"), F.col("i").cast("string")).alias("stem"), F.when(F.col("i") % 2 == 0, "OVERFIT at step 3").otherwise("good fit").alias("verdict"))
-    j = r.join(F.broadcast(files), F.contains(F.col("stem"), F.col("relation")))  # a few rows a run
-    v = F.upper(F.max_by("verdict", "stem"))
-    return j.groupBy("relation").agg(F.max("stem").alias("stem"), F.when(F.contains(v, F.lit("OVERFIT")), "over").when(F.contains(v, F.lit("UNDERFIT")), "under").otherwise("ok").alias("fit"))
+    """Result files whose name contains a run's: also those of runs whose name goes on. The last file counts."""
+    stems = run_stems(spark, sf)
+    names = stems.select(F.concat_ws("-", "relation", "tail").alias("name")).distinct()
+    j = joins.contained(names, stems.select(F.col("stem").alias("text")))
+    verdict = F.element_at(F.array(F.lit("OVERFIT at step 3"), F.lit("Underfit"), F.lit("good fit")), (det_number("fit", "text") % 3 + 1).cast("int"))
+    v = F.upper(F.max_by("verdict", "text"))
+    fit = F.when(F.contains(v, F.lit("OVERFIT")), "over").when(F.contains(v, F.lit("UNDERFIT")), "under").otherwise("ok")
+    return j.withColumn("verdict", verdict).groupBy(F.col("name").alias("run")).agg(F.count("*").alias("n"), F.max("text").alias("stem"), fit.alias("fit"))
 
 
 @query("st15_run_ids", "SELECT relation, split, concat_ws('-', 'ch1', relation, split, CAST(count(*) AS VARCHAR)) AS run FROM kg GROUP BY relation, split")

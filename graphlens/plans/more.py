@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from graphlens.functions import text as tx
 from graphlens.functions.hashing import det_number, unit
-from graphlens.operators import arms, audit, evidence, metrics, prompts, routing, sampling, stats, types
+from graphlens.operators import arms, audit, evidence, metrics, prompts, reports, routing, sampling, stats, types
 from graphlens.plans import base
-from graphlens.plans.base import T, U, number
-from graphlens.plans.queries import ARMS, FAITH, candidate_scores, candidates, features, query, r6, rounded
+from graphlens.plans.base import T, U, key, number
+from graphlens.plans.queries import ARMS, BARE_SQL, FAITH, candidate_scores, candidates, features, query, r6, rounded
 from graphlens.plans.queries import arms as two_arms
 
 # ------------------------------------------------------------------ identifiers and names
@@ -156,8 +156,13 @@ def _(spark, sf):
 
 @query("sa14_relation_candidates", "SELECT q.qid, r.relation AS candidate FROM queries q, (SELECT DISTINCT relation FROM triples) r")
 def _(spark, sf):
-    rel = base.triples(spark, sf).select(F.col("relation").alias("candidate")).distinct()
-    return base.with_qid(base.split(spark, sf, "test")).select("qid").crossJoin(F.broadcast(rel))  # all relations, a fixed few
+    return sampling.relation_candidates(base.with_qid(base.split(spark, sf, "test")), base.triples(spark, sf).select("relation").distinct(), 100)
+
+
+@query("sa14_capped_candidates", f"WITH x AS (SELECT q.qid, r.relation AS candidate, r.relation = q.relation AS gold, {key('relcand', 'q.qid', 'r.relation')} AS h FROM queries q, (SELECT DISTINCT relation FROM triples) r), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY gold DESC, h) AS k FROM x) SELECT qid, candidate FROM k WHERE k <= 4")
+def _(spark, sf):
+    """More relations than the cap of four: the gold one, and others by a hash of the query."""
+    return sampling.relation_candidates(base.with_qid(base.split(spark, sf, "test")), base.triples(spark, sf).select("relation").distinct(), 4)
 
 
 @query("se9_candidate_audit", "WITH c AS (SELECT qid, count(*) AS n, sum(is_gold) AS g, count(*) FILTER (is_gold = 0 AND EXISTS (SELECT 1 FROM triples t WHERE t.head = candidates.head AND t.relation = candidates.relation AND t.tail = candidates.candidate)) AS bad FROM candidates GROUP BY qid) SELECT count(*) AS n_queries, min(n) AS least, max(n) AS most, count(*) FILTER (g <> 1) AS without_gold, CAST(sum(bad) AS BIGINT) AS contaminated FROM c")
@@ -224,10 +229,23 @@ def _(spark, sf):
     return rounded(arms.data_axis(p))
 
 
-@query("ag33_bonferroni", f"WITH {ARMS}, c AS (SELECT relation, avg(a - b) AS d FROM arm GROUP BY relation), p AS (SELECT relation, abs(d) AS p FROM c) SELECT relation, round(p, 6) AS p, round(least(1, p * count(*) OVER ()), 6) AS p_adjusted FROM p")
+@query("ag33_bonferroni", f"WITH t AS ({BARE_SQL['ag31_mcnemar']}) SELECT relation, p_exact AS p, round(least(1, p_exact * count(*) OVER ()), 6) AS p_adjusted, least(1, p_exact * count(*) OVER ()) < 0.05 AS significant FROM t")
 def _(spark, sf):
-    c = two_arms(spark, sf).groupBy("relation").agg(F.abs(F.avg(F.col("a") - F.col("b"))).alias("p"))
-    return rounded(stats.bonferroni(c))
+    """The exact McNemar p of each relation, corrected for their number."""
+    t = rounded(stats.mcnemar(two_arms(spark, sf), "relation")).select("relation", F.col("p_exact").alias("p"))
+    return rounded(stats.bonferroni(t).withColumn("significant", F.col("p_adjusted") < 0.05))
+
+
+@query("ag18_confusion_summary", "WITH p AS (SELECT relation AS gold, CASE WHEN correct = 1 THEN relation ELSE 'contains' END AS pred FROM scored), k AS (SELECT gold AS class FROM p UNION SELECT pred FROM p), c AS (SELECT class, (SELECT count(*) FROM p WHERE gold = class) AS support, (SELECT count(*) FROM p WHERE pred = class) AS predicted, (SELECT count(*) FROM p WHERE gold = class AND pred = class) AS hit FROM k), f AS (SELECT *, coalesce(2.0::DOUBLE * hit / nullif(support + predicted, 0), 0) AS f1 FROM c), t AS (SELECT gold, pred, count(*) AS n FROM p WHERE gold <> pred GROUP BY ALL ORDER BY n DESC, gold, pred LIMIT 1) SELECT round((SELECT avg(CAST(gold = pred AS DOUBLE)) FROM p), 6) AS accuracy, round(avg(f1) FILTER (support > 0), 6) AS macro_f1, round(2.0::DOUBLE * sum(hit) / (sum(support) + sum(predicted)), 6) AS micro_f1, count(*) FILTER (support > 0) AS n_observed, (SELECT gold FROM t) AS top_gold, (SELECT pred FROM t) AS top_pred, (SELECT n FROM t) AS top_n FROM f")
+def _(spark, sf):
+    s = base.scored(spark, sf).select(F.col("relation").alias("gold"), F.when(F.col("correct") == 1, F.col("relation")).otherwise("contains").alias("pred"))
+    return rounded(reports.confusion_summary(s, "gold", "pred"))
+
+
+@query("ag62_forgetting", "WITH e AS (SELECT event_type AS method, exp(sum(value * (event_id % 7 + 1)) / sum(event_id % 7 + 1) / 100) AS perplexity FROM events GROUP BY event_type), b AS (SELECT perplexity AS base FROM e WHERE method = 'view') SELECT method, round(perplexity, 6) AS perplexity, round(perplexity - base, 6) AS delta, round((perplexity - base) / base, 6) AS relative, CASE WHEN perplexity - base <= 0.05 * base THEN 'preserved' WHEN perplexity - base <= 0.25 * base THEN 'degraded' ELSE 'substantial forgetting' END AS reading FROM e, b WHERE method <> 'view'")
+def _(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("method"), (F.col("value") / 100).alias("nll"), (F.col("event_id") % 7 + 1).alias("w"))
+    return rounded(reports.forgetting(metrics.perplexity(e, "nll", "w", "method"), "view"))
 
 
 @query("ag62_perplexity", "SELECT event_type, round(exp(sum(value * (event_id % 7 + 1)) / sum(event_id % 7 + 1) / 100), 6) AS perplexity FROM events GROUP BY event_type")
@@ -281,6 +299,14 @@ def _(spark, sf):
     return s.groupBy(F.least(F.lit(4), F.floor(F.col("s") * 80)).cast("long").alias("depth")).agg(F.count("*").alias("n"))
 
 
+@query("ag58_shape", "WITH w AS (SELECT DISTINCT id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS t FROM entities), d AS (SELECT t, count(*) AS df FROM w GROUP BY t), s AS (SELECT id, avg(1.0::DOUBLE / (df + 1)) AS s FROM w JOIN d USING (t) GROUP BY id), h AS (SELECT least(4, floor(s * 80)) AS depth, count(*) AS n FROM s GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, count(*) AS buckets, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy, round(max(n) / sum(n)::DOUBLE, 6) AS top_share FROM h")
+def _(spark, sf):
+    """Entropy and the share of the largest bucket of the depths."""
+    w = base.entities(spark, sf).select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("t")).distinct()
+    s = w.join(w.groupBy("t").agg(F.count("*").alias("df")), "t").groupBy("id").agg(F.avg(1 / (F.col("df") + 1)).alias("s"))
+    return rounded(reports.shape(s.groupBy(F.least(F.lit(4), F.floor(F.col("s") * 80)).alias("depth")).agg(F.count("*").alias("n"))))
+
+
 @query("ag59_projected_vectors", f"SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: CAST(embedding[i] AS DOUBLE) * ({U.format(number('dir', 'CAST(i AS VARCHAR)'))} - 0.5::DOUBLE))), 6) AS p FROM embeddings")
 def _(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")

@@ -16,13 +16,15 @@ from graphlens.sources.kg import canonical_graph, canonical_split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The SQL of a query without the tables that it names: for use within other SQL, which then makes them once.
+BARE_SQL: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None):
     def add(f):
         QUERIES[name] = f
         if oracle:
-            ORACLE_SQL[name] = sql(oracle)
+            ORACLE_SQL[name], BARE_SQL[name] = sql(oracle), oracle
         return f
 
     return add
@@ -140,6 +142,12 @@ def _(spark, sf):
     return graph.k_hop(t, t.filter("relation = 'basedIn'").select(F.col("head").alias("entity")), 2, 3)
 
 
+@query("gr3_frontier_limit", f"WITH {NEAR}, s AS (SELECT DISTINCT head AS entity FROM triples WHERE relation = 'basedIn'), h1 AS (SELECT DISTINCT other AS entity FROM s JOIN n USING (entity) WHERE other NOT IN (SELECT entity FROM s)), f1 AS (SELECT entity FROM h1 ORDER BY {key('hop', 'entity')}, entity LIMIT 5), h2 AS (SELECT DISTINCT other AS entity FROM f1 JOIN n USING (entity) WHERE other NOT IN (SELECT entity FROM s UNION ALL SELECT entity FROM h1)) SELECT entity, 0 AS hop FROM s UNION ALL SELECT entity, 1 FROM h1 UNION ALL SELECT entity, 2 FROM h2")
+def _(spark, sf):
+    t = base.triples(spark, sf)
+    return graph.k_hop(t, t.filter("relation = 'basedIn'").select(F.col("head").alias("entity")), 2, 3, frontier=5)
+
+
 INV = "sup AS (SELECT relation, count(*) AS s FROM triples GROUP BY relation), back AS (SELECT DISTINCT tail AS head, head AS tail, relation AS inverse FROM triples), co AS (SELECT relation, inverse, count(*) AS n FROM triples JOIN back USING (head, tail) GROUP BY ALL), rate AS (SELECT relation, inverse, CAST(n AS DOUBLE) / s AS rate FROM co JOIN sup USING (relation) WHERE s >= 100), inv AS (SELECT a.relation, a.inverse, a.rate, b.rate AS rate_back FROM rate a JOIN rate b ON a.relation = b.inverse AND a.inverse = b.relation WHERE a.rate >= 0.5 AND b.rate >= 0.5)"
 
 
@@ -163,9 +171,9 @@ def _(spark, sf):
     return graph.safe_neighbours(train, base.with_qid(base.split(spark, sf, "test")), graph.inverse_relations(train), base.entities(spark, sf), 3)
 
 
-@query("gr8_two_hop_paths", "WITH m AS (SELECT head FROM train GROUP BY head HAVING count(*) <= 20), s AS (SELECT head AS mid, tail FROM train SEMI JOIN m USING (head)), p AS (SELECT q.qid, count(*) AS n FROM queries q JOIN train a ON a.head = q.head JOIN s ON s.mid = a.tail AND s.tail = q.tail GROUP BY q.qid) SELECT qid, coalesce(n, 0) AS n_paths FROM queries LEFT JOIN p USING (qid)")
+@query("gr8_two_hop_paths", "WITH p AS (SELECT q.qid, count(*) AS n FROM queries q JOIN train a ON a.head = q.head JOIN train s ON s.head = a.tail AND s.tail = q.tail GROUP BY q.qid) SELECT qid, coalesce(n, 0) AS n_paths FROM queries LEFT JOIN p USING (qid)")
 def _(spark, sf):
-    return graph.two_hop_counts(base.split(spark, sf, "train"), base.with_qid(base.split(spark, sf, "test")), 20)
+    return graph.two_hop_counts(base.split(spark, sf, "train"), base.with_qid(base.split(spark, sf, "test")))
 
 
 @query("gr8_safe_paths", f"WITH {SAFE}, la AS (SELECT qid, other AS mid, arg_min(via, {key('path', 'via')}) AS last FROM safe WHERE entity = tail AND other <> tail GROUP BY ALL), fi AS (SELECT qid, head, tail, via, other AS mid FROM safe WHERE entity = head AND other <> head AND other <> tail), j AS (SELECT *, {key('path', 'qid', 'via', 'mid')} AS h FROM fi JOIN la USING (qid, mid)), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY h) AS r FROM j), p AS (SELECT qid, string_agg(concat_ws(' ', coalesce(a.text, head), via, coalesce(m.text, mid), last, coalesce(b.text, tail)), '; ' ORDER BY h) AS paths FROM k LEFT JOIN entities a ON a.id = head LEFT JOIN entities m ON m.id = mid LEFT JOIN entities b ON b.id = tail WHERE r <= 3 GROUP BY qid) SELECT qid, coalesce(paths, '') AS paths FROM queries LEFT JOIN p USING (qid)")
@@ -239,9 +247,11 @@ def _(spark, sf):
     return sampling.whole_test_negatives(base.split(spark, sf, "test"), base.split(spark, sf, "train"), known, sampling.entity_index(known))
 
 
-@query("sa9_test_negatives", f"WITH s AS (SELECT DISTINCT relation, 'head' AS side, head AS new FROM triples UNION SELECT DISTINCT relation, 'tail', tail FROM triples), pool AS (SELECT *, row_number() OVER (PARTITION BY relation, side ORDER BY new) - 1 AS idx, count(*) OVER (PARTITION BY relation, side) AS n FROM s), size AS (SELECT DISTINCT relation, side, n FROM pool), t AS (SELECT *, CASE WHEN {number('tneg-side', *T)} % 2 = 0 THEN 'head' ELSE 'tail' END AS side FROM test), e AS (SELECT t.*, size.n, d.try FROM t JOIN size USING (relation, side), (SELECT unnest(range(0, {TRIES})) AS try) d), i AS (SELECT *, {number('tneg', *T, 'CAST(try AS VARCHAR)')} % n AS idx FROM e), j AS (SELECT i.*, CASE WHEN side = 'head' THEN new ELSE head END AS neg_head, CASE WHEN side = 'tail' THEN new ELSE tail END AS neg_tail FROM i JOIN pool USING (relation, side, idx)), ok AS (SELECT * FROM j WHERE neg_head <> neg_tail AND NOT EXISTS (SELECT 1 FROM triples k WHERE k.head = neg_head AND k.relation = j.relation AND k.tail = neg_tail)), r AS (SELECT *, row_number() OVER (PARTITION BY head, relation, tail ORDER BY try) AS k FROM ok) SELECT head, relation, tail, neg_head, neg_tail, CAST(try AS INTEGER) AS try FROM r WHERE k = 1")
+@query("sa9_test_negatives", f"WITH {TRIES60} SELECT t.head, t.relation, t.tail, k.neg_head, k.neg_tail, b.try FROM test t LEFT JOIN best b ON b.head = t.head AND b.relation = t.relation AND b.tail = t.tail LEFT JOIN tk k ON k.head = t.head AND k.relation = t.relation AND k.tail = t.tail AND k.try = b.try")
 def _(spark, sf):
-    return sampling.test_negatives(base.split(spark, sf, "test"), base.triples(spark, sf), TRIES)
+    """One negative for every test triple: the first of 60 tries that is no known triple."""
+    known = base.triples(spark, sf)
+    return sampling.whole_test_negatives(base.split(spark, sf, "test"), base.split(spark, sf, "train"), known, sampling.entity_index(known)).drop("accidental", "skipped")
 
 
 @query("sa11_inductive_split", f"WITH u AS (SELECT head, relation, tail, {number('ind', 'head')} % 10000 < 1000 AS uh, {number('ind', 'tail')} % 10000 < 1000 AS ut FROM triples) SELECT relation, CASE WHEN NOT uh AND NOT ut THEN 'train' WHEN uh THEN 'query' ELSE 'support' END AS part, count(*) AS n FROM u GROUP BY ALL")
