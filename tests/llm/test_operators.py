@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from graphlens.llm import components, decontam, dedup_suffix, html_extract, language_id, lm_score, mixing, near_dup, pii, quality, topk
@@ -77,6 +78,60 @@ def test_html_layouts(page, text):
     assert html_extract.main_text(page, html_extract.train()) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<div class="post-header-image-on"><article><h1>T</h1><p>One text here.</p></article></div>', "T One text here."),
+    ('<div class="story-header-wrap"><div class="story"><h1>T</h1><p>One text here.</p><p>More of it.</p></div></div>', "T One text here. More of it."),
+    ('<article class="post popular-science"><h1>T one</h1><p>First of it is here.</p><p>Second of it.</p></article>', "T one First of it is here. Second of it."),
+    ('<article><h1>T one</h1><p>First of it is here.</p><div class="entry-comments"><p>I liked it very much.</p><p>Me too.</p></div></article>', "T one First of it is here."),
+    ('<article><div class="banner"><h1>The title</h1></div><p>First of it is here.</p></article>', "The title First of it is here."),
+    ('<article><h1>T</h1><p>Text one.</p><div class="post-share"><a href=x>Share</a></div><div class="article-footer"><p>Filed under stuff</p></div></article>', "T Text one."),
+    ('<main><article><h1>T</h1><p>Text one.</p></article><section id="comments"><article class="comment"><div class="comment-body"><p>Nice text, friend.</p></div></article></section></main>', "T Text one."),
+    ('<body class="has-sidebar"><div id="wrapper" class="has-sidebar"><div id="content"><h1>T</h1><p>Text one is this.</p><p>And two.</p></div><div id="sidebar"><div class="content"><p>Old stuff of the year that was.</p></div></div></div></body>', "T Text one is this. And two."),
+    ('<div class="container"><div class="header"><div class="container"><p>Daily paper</p></div></div><div class="article-body"><p>Text one is this.</p></div></div>', "Text one is this."),
+])
+def test_html_places_of_hints(page, text):
+    assert html_extract.main_text(page, html_extract.train()) == text
+
+
+def test_html_an_article_is_never_empty():
+    """Whatever wraps an <article> that is not a list of comments, links or teasers, and whatever its own classes say."""
+    model = html_extract.train()
+    words = [w for g in ("head", "foot", "ad", "nav", "side", "related", "share", "notice", "form", "meta") for w in html_extract.HINTS[g].split()]
+    lost = []
+    for w in words:
+        for around, own in ((f"post-{w}-on", ""), (f"has-{w}", ""), (f"story-{w}-wrap", ""), ("", f"post {w}-stuff"), ("", f"post tag-{w}")):
+            page = f'<div class="{around}"><article class="{own}"><h1>Title of it</h1><p>The first paragraph is here, for all who read.</p><p>Another one.</p></article></div>'
+            if html_extract.main_text(page, model) != "Title of it The first paragraph is here, for all who read. Another one.":
+                lost.append((around, own))
+    assert not lost
+
+
+def test_html_gradient_brute_force():
+    """Differences of the log likelihood, summed over all paths of a page."""
+    rng = np.random.default_rng(3)
+    pages = [[(rng.choice(list("abcd"), rng.integers(1, 4), replace=False).tolist(), int(rng.integers(2))) for _ in range(k)] for k in (1, 3, 4)]
+    names, rows, cols, y = html_extract.design(pages)
+    w, trans = rng.normal(size=len(names)), rng.normal(size=(2, 2))
+
+    def likelihood(w, trans):
+        out = 0.0
+        for p in pages:
+            value = lambda s: sum(sum(w[names[f]] for f in fs) for (fs, _), x in zip(p, s) if x) + sum(trans[a, b] for a, b in zip(s, s[1:]))  # noqa: B023, E731
+            out += value([x for _, x in p]) - np.logaddexp.reduce([value([i >> k & 1 for k in range(len(p))]) for i in range(1 << len(p))])
+        return out
+
+    grad_w, grad_t = html_extract.gradient(w, trans, rows, cols, y)
+    for value, grad in ((w, grad_w), (trans, grad_t)):
+        for at in np.ndindex(value.shape):
+            old = value[at]
+            value[at] = old + 1e-6
+            up = likelihood(w, trans)
+            value[at] = old - 1e-6
+            down = likelihood(w, trans)
+            value[at] = old
+            assert math.isclose((up - down) / 2e-6, grad[at], abs_tol=1e-6)
+
+
 def test_html_held_out_blocks():
     weights, trans = html_extract.train()
     seen = wrong = 0
