@@ -71,7 +71,7 @@ def training_docs(docs: DataFrame, per_language: int = TRAIN_DOCS) -> DataFrame:
     draw = fraction(F.lit("lang:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     first = Window.partitionBy("lang").orderBy("draw", "doc_id")
     # a language's rows are thinned by the same hash to about twice the number before they are ordered, so that no language is one large task
-    share = known.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count("*") + 1e-3).alias("share")).withColumnRenamed("lang", "_lang")
+    share = known.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count("*")).alias("share")).withColumnRenamed("lang", "_lang")
     ids = known.select("doc_id", "lang", draw.alias("draw")).join(F.broadcast(share), F.col("lang") == F.col("_lang")).filter(F.col("draw") < F.col("share"))  # one row a language
     ids = ids.select("doc_id", "lang", "draw").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
     chosen = ids.select("doc_id").distinct()  # bounded by per_language and the number of languages

@@ -82,7 +82,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = DICT_DOCS + CALIBRA
     lab = lab.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("draw", fraction(F.lit(SEED), F.col("doc_id").cast("string")))
     lab = materialize(lab)
     # a label's rows are thinned by the same hash to about twice the number before they are ordered, so that no label is one large task
-    share = lab.groupBy(F.col("quality").alias("_q")).agg((F.lit(2.0 * most) / F.count("*") + 1e-3).alias("share"))
+    share = lab.groupBy(F.col("quality").alias("_q")).agg((F.lit(2.0 * most) / F.count("*")).alias("share"))
     lab = lab.join(F.broadcast(share), F.col("quality") == F.col("_q")).filter(F.col("draw") < F.col("share"))  # two rows
     lab = lab.select("doc_id", "quality", "draw", F.row_number().over(Window.partitionBy("quality").orderBy("draw", "doc_id")).alias("n"))
     lab = lab.filter(F.col("n") <= most).withColumn("part", (F.col("n") % 2).cast("int"))
