@@ -31,10 +31,14 @@ from graphlens.llm.common import bound_batches, read_table
 K = 5
 QUERY_EVERY = 50
 SCALE = 256.0
-BLOCK_BYTES = 32 << 20
+#: All vectors are shuffled once for each block of queries, so blocks are as large as a worker can hold.
+BLOCK_BYTES = 128 << 20
 SHARD_BYTES = 256 << 20
 #: Lists that are merged at once.
 FAN = 16
+#: Most partitions of the pairs of blocks and shards. Shards are streamed and need no memory of their own, so that
+#: fewer and larger ones do as well; with more blocks than this a task takes several pairs one after the other.
+MAX_PARTITIONS = 20_000
 TILE_Q = 1024
 TILE_C = 2048
 SAFE = float(1 << 50)
@@ -90,6 +94,12 @@ def tile_best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarr
     return np.broadcast_to(ids, s.shape), s
 
 
+def pair_plan(blocks: int, shards: int) -> tuple[int, int]:
+    """(shards, partitions) for so many blocks and wished shards: at most MAX_PARTITIONS, with a partition a pair where they suffice."""
+    shards = max(1, min(shards, MAX_PARTITIONS // blocks))
+    return shards, min(blocks * shards, MAX_PARTITIONS)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score) of the best k for each query; both frames have vec_id and embedding."""
     bound_batches(vectors.sparkSession)
@@ -97,10 +107,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, block_bytes: int
     c = usable(vectors)
     many = lambda df, most: max(1, -(-(df.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0) * 8 // most))
     blocks, shards = many(q, block_bytes), max(many(c, shard_bytes), vectors.sparkSession.sparkContext.defaultParallelism)
+    shards, partitions = pair_plan(blocks, shards)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = q.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), each(shards).alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
     rows = rows.unionByName(c.select(each(blocks).alias("block"), F.pmod(F.xxhash64("v", "vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("kind"), "vec_id", "v"))
-    rows = rows.repartition(blocks * shards, "block", "shard").sortWithinPartitions("block", "shard", "kind")
+    rows = rows.repartition(partitions, "block", "shard").sortWithinPartitions("block", "shard", "kind")
     best = rows.mapInArrow(_pairs(k), "query_id long, part int, best array<struct<lost:bigint,vec_id:bigint>>")
     while shards > 1:
         part = F.floor(F.col("part") / FAN).cast("int").alias("part")
