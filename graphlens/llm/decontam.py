@@ -1,9 +1,9 @@
 """Benchmark decontamination with a broadcast hash set of normalised n-grams.
 
 Each benchmark item gives windows of 13 consecutive words (an item of fewer words is one window).
-Window hashes are broadcast when their size is within BROADCAST_WINDOWS, else Spark joins them by
-shuffle; each document position hashes its own window in generated code, hits are verified word by
-word, and the hit positions are merged per document. Only DataFrame functions are used.
+Window hashes are broadcast when their number is within BROADCAST_WINDOWS, else Spark joins them by
+shuffle; each document position hashes its own windows of all lengths in generated code, hits are
+verified word by word, the hit positions are merged per document, and item ids (of any type) join last. Only DataFrame functions are used.
 
 Defined results: null and empty texts have no words, no hits and are not contaminated; null item
 ids name no item but their windows still hit; repeated document rows get the same result each;
@@ -14,12 +14,10 @@ every column.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import fresh, lower_ascii, read_table
+from graphlens.llm.common import fresh, lower_ascii, materialize, read_table
 
 WINDOW = 13
 #: A document is contaminated if so many hit words, times this, reach its words.
@@ -36,42 +34,53 @@ def words(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(n, gram, items): distinct windows with their length and the ids of the items that hold them."""
+    """(n, gram, item_id), distinct: the windows of each item with their length."""
     w = benchmark.select(F.col("item_id"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     w = w.withColumn("n", F.least(F.size("w"), F.lit(window)))
     w = w.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)))
-    return w.groupBy("n", F.slice("w", F.col("at"), F.col("n")).alias("gram")).agg(F.collect_set("item_id").alias("items"))
+    return w.select("n", F.slice("w", F.col("at"), F.col("n")).alias("gram"), "item_id").distinct()
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, n_words, n_hit, items) of the documents with a hit."""
-    grams = benchmark_windows(benchmark, window)
+    """(doc_id, text_key, n_words, n_hit, items) of the documents with a hit.
+
+    Documents are read once: each position hashes the windows of all lengths that the benchmark has. Items meet
+    windows only after the hits are known.
+    """
+    named = materialize(benchmark_windows(benchmark, window))
+    grams = materialize(named.select("n", "gram").distinct())
     sizes = {r["n"]: r["c"] for r in grams.groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most `window` rows
+    whole = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
     if not sizes:
         none = F.lit(0).cast("long")
-        return docs.select("doc_id", F.xxhash64("text").alias("text_key"), none.alias("n_words"), none.alias("n_hit"), F.array().cast("array<bigint>").alias("items")).limit(0)
-    small = sum(sizes.values()) <= BROADCAST_WINDOWS
-    whole = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
+        return docs.select("doc_id", F.xxhash64("text").alias("text_key"), none.alias("n_words"), none.alias("n_hit"), F.array().cast(_ids(benchmark)).alias("items")).limit(0)
     d = whole.select("doc_id", "text_key", "w", F.posexplode("w").alias("pos", "word"))
-    found = []
-    for n in sorted(sizes):
-        key = F.xxhash64(*[F.get("w", F.col("pos") + k) for k in range(n)])
-        here = d.filter(F.col("pos") + n <= F.size("w")).select("doc_id", "text_key", "pos", key.alias("h"), "w")
-        g = grams.filter(F.col("n") == n).select(F.xxhash64(*[F.get("gram", F.lit(k)) for k in range(n)]).alias("gh"), "gram", "items")
-        if small:  # the text's words stay in the row's buffer, no row is copied
-            hit = here.join(F.broadcast(g), F.col("h") == F.col("gh"))
-        else:  # positions are shuffled with their hash only; what hits meets its text's words again
-            at = here.drop("w").join(g, F.col("h") == F.col("gh")).select(F.col("doc_id").alias("at_doc"), F.col("text_key").alias("at_key"), "pos", "gram", "items")
-            hit = whole.join(at, F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_key") == F.col("at_key")))
-        hit = hit.filter(F.slice("w", F.col("pos") + 1, F.lit(n)) == F.col("gram"))
-        found.append(hit.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), F.struct(F.col("pos").alias("s"), (F.col("pos") + n).alias("e")).alias("span"), "items"))
-    per_doc = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    hashed = lambda list_of, at, n: F.xxhash64(F.lit(n), *[F.get(list_of, at + k) for k in range(n)])
+    each = F.array(*[F.when(F.col("pos") + n <= F.size("w"), F.struct(F.lit(n).alias("n"), hashed("w", F.col("pos"), n).alias("h"))) for n in sorted(sizes)])
+    here = d.select("doc_id", "text_key", "w", "pos", F.explode(each).alias("x")).filter("x IS NOT NULL").select("doc_id", "text_key", "w", "pos", "x.n", "x.h")
+    of_gram = F.coalesce(*[F.when(F.col("n") == n, hashed("gram", F.lit(0), n)) for n in sorted(sizes)])
+    g = grams.select(of_gram.alias("gh"), "gram")
+    if sum(sizes.values()) <= BROADCAST_WINDOWS:  # the text's words stay in the row's buffer, no row is copied
+        hit = here.join(F.broadcast(g), F.col("h") == F.col("gh"))
+    else:  # positions are shuffled with their hash only; what hits meets its text's words again
+        at = here.drop("w").join(g, F.col("h") == F.col("gh")).select(F.col("doc_id").alias("at_doc"), F.col("text_key").alias("at_key"), "pos", "n", "gram")
+        hit = whole.join(at, F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_key") == F.col("at_key")))
+    hit = hit.filter(F.slice("w", F.col("pos") + 1, F.col("n")) == F.col("gram"))
+    hit = materialize(hit.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), F.struct(F.col("pos").alias("s"), (F.col("pos") + F.col("n")).alias("e")).alias("span"), "n", "gram"))
+    items = hit.select("doc_id", "text_key", "n", "gram").distinct().join(named.filter("item_id IS NOT NULL"), ["n", "gram"]).groupBy(F.col("doc_id").alias("i_doc"), F.col("text_key").alias("i_key")).agg(F.collect_set("item_id").alias("items"))
+    per_doc = hit.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"))
+    per_doc = per_doc.join(items, F.col("doc_id").eqNullSafe(F.col("i_doc")) & (F.col("text_key") == F.col("i_key")), "left")
+    per_doc = per_doc.withColumn("items", F.coalesce("items", F.array().cast(_ids(benchmark))))
     step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(a["end"], x["s"].cast("long")))).alias("n"), F.greatest(a["end"], x["e"].cast("long")).alias("end"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     n_hit = F.aggregate(F.array_sort("spans"), zero, step, lambda a: a["n"])
     return per_doc.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), "items")
 
 
+def _ids(benchmark: DataFrame) -> str:
+    return f"array<{benchmark.schema['item_id'].dataType.simpleString()}>"
+
+
 def contaminated(n_hit: Column, n_words: Column, share: int) -> Column:
     return (n_hit > 0) & (share * n_hit >= n_words)
 
@@ -85,7 +94,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     d = docs.select(*keep, F.xxhash64("text").alias(text), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = d.join(h, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(text) == F.col(key)), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    items = F.coalesce("items", F.array().cast("array<bigint>"))
+    items = F.coalesce("items", F.array().cast(_ids(benchmark)))
     return out.select(*keep, "n_words", n_hit.alias("n_hit"), items.alias("items"), contaminated(n_hit, F.col("n_words"), share).alias("contaminated"))
 
 

@@ -286,6 +286,47 @@ def test_topk_brute_force(spark):
     assert got == want
 
 
+def test_topk_plan_is_bounded(spark, monkeypatch):
+    for blocks, shards in ((1, 1), (3, 8), (10**4, 10**4), (1, 10**7), (10**6, 400)):
+        n, partitions = topk.pair_plan(blocks, shards)
+        assert 1 <= n <= shards and 1 <= partitions <= topk.MAX_PARTITIONS and partitions <= blocks * n
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(300)], "vec_id long, embedding array<double>")
+    once = sorted(topk.search(df, df.filter("vec_id % 50 = 0")).collect())
+    monkeypatch.setattr(topk, "MAX_PARTITIONS", 4)  # several pairs in a task
+    assert sorted(topk.search(df, df.filter("vec_id % 50 = 0"), block_bytes=64, shard_bytes=64).collect()) == once
+
+
+def test_decontamination_of_string_ids(spark):
+    long = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([("b", long), ("a", long), ("c", "two words"), (None, "one")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"x {long} y"), (2, "has two words here"), (3, "one"), (4, "none at all"), (5, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], sorted(r["items"])) for r in decontam.with_contamination(docs, bench).collect()}
+    assert got == {1: (20, ["a", "b"]), 2: (2, ["c"]), 3: (1, []), 4: (0, []), 5: (0, [])}
+
+
+def test_near_duplicates_just_above_the_bound(spark):
+    """Pairs of similarity 0.80 to 0.83, each in words of its own: the forest and its sketches lose none of them."""
+    rng, rows, want = random.Random(6), [], []
+    for i in range(400):
+        base = [f"p{i}w{k}" for k in range(rng.randint(60, 140))]
+        other = list(base)
+        a = set(zip(base, base[1:], strict=False))
+        while True:
+            k = rng.randrange(len(other))
+            tried = [*other[:k], f"q{i}x{rng.random()}", *other[k + 1 :]]
+            b = set(zip(tried, tried[1:], strict=False))
+            if 100 * len(a & b) < 80 * len(a | b):
+                break
+            other = tried
+        b = set(zip(other, other[1:], strict=False))
+        if 100 * len(a & b) <= 83 * len(a | b):
+            rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+            want.append(2 * i)
+    kept = {r["doc_id"] for r in near_dup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 250 and kept == set(want)
+
+
 def test_topk_in_blocks_and_empty(spark):
     df = spark.createDataFrame([(i, [float(i % 13), float(i % 7)]) for i in range(300)], "vec_id long, embedding array<float>")
     once = sorted(topk.search(df, df.filter("vec_id % 50 = 0")).collect())
