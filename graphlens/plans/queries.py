@@ -490,7 +490,13 @@ def _(spark, sf):
     return rounded(metrics.temperature(base.scored(spark, sf), "conf", "correct", GRID))
 
 
-@query("ag23_isotonic", "WITH g AS (SELECT conf, sum(correct) AS s, count(*) AS m FROM scored GROUP BY 1), c AS (SELECT conf, s, m, row_number() OVER (ORDER BY conf) AS k, sum(s) OVER (ORDER BY conf) AS cs, sum(m) OVER (ORDER BY conf) AS cm FROM g), p AS (SELECT b.k, min((b.cs - a.cs + a.s) / (b.cm - a.cm + a.m)::DOUBLE) OVER (PARTITION BY a.k ORDER BY b.k DESC) AS low FROM c a JOIN c b ON b.k >= a.k) SELECT round(c.conf, 6) AS conf, round(max(low), 6) AS fit FROM p JOIN c USING (k) GROUP BY c.k, c.conf")
+def _pooled_sql(source: str, by: str, out: str) -> str:
+    """Pooling in SQL, for rows (k, s, m) in groups: the largest of the smallest means of runs that begin before and end after."""
+    return f"{out}_c AS MATERIALIZED (SELECT *, sum(s) OVER w AS cs, sum(m) OVER w AS cm FROM {source} WINDOW w AS (PARTITION BY {by} ORDER BY k)), {out}_p AS (SELECT b.k, min((b.cs - a.cs + a.s) / (b.cm - a.cm + a.m)::DOUBLE) OVER (PARTITION BY a.k ORDER BY b.k DESC) AS low FROM {out}_c a JOIN {out}_c b ON b.{by} = a.{by} AND b.k >= a.k), {out} AS MATERIALIZED (SELECT c.*, x.fit FROM {out}_c c JOIN (SELECT k, max(low) AS fit FROM {out}_p GROUP BY k) x USING (k))"
+
+
+# runs of 100 confidences are pooled on their own first, then their blocks together
+@query("ag23_isotonic", f"WITH g AS (SELECT conf, sum(correct) AS s, count(*) AS m FROM scored GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY conf) AS k FROM g), r0 AS MATERIALIZED (SELECT *, (k - 1) // 100 AS run FROM r), {_pooled_sql('r0', 'run', 'one')}, blocks AS MATERIALIZED (SELECT run, fit AS own, min(k) AS k, sum(s) AS s, sum(m) AS m, 0 AS whole FROM one GROUP BY run, fit), {_pooled_sql('blocks', 'whole', 'two')} SELECT round(one.conf, 6) AS conf, round(two.fit, 6) AS fit FROM one JOIN two ON two.run = one.run AND two.own = one.fit")
 def _(spark, sf):
     return rounded(stats.isotonic(base.scored(spark, sf), "conf", "correct"))
 
@@ -538,13 +544,13 @@ def _(spark, sf):
     return rounded(stats.paired_t(arms(spark, sf), "relation")).withColumn("p", F.round(F.greatest("p", F.lit(0.0)), 5))
 
 
-GAPS = f"gap AS (SELECT relation, round({U.format(number('gap-a', *T))} - 0.9::DOUBLE * {U.format(number('gap-b', *T))}, 2) AS d FROM labelled)"
+GAPS = f"gap AS (SELECT relation, floor((10 * ({number('gap-a', *T)} % 10000) - 9 * ({number('gap-b', *T)} % 10000)) / 1000.0::DOUBLE) AS d FROM labelled)"
 
 
 def gaps(spark, sf):
-    """Two arms of scores on the same triples, to two places, so that many differences are tied."""
-    d = F.round(unit("gap-a", *sampling.TRIPLE) - F.lit(0.9) * unit("gap-b", *sampling.TRIPLE), 2)
-    return base.labelled(spark, sf).select("relation", d.alias("a"), F.lit(0.0).alias("b"))
+    """Two arms of scores on the same triples, in whole hundredths, so that many differences are tied."""
+    d = F.floor((10 * (det_number("gap-a", *sampling.TRIPLE) % 10000) - 9 * (det_number("gap-b", *sampling.TRIPLE) % 10000)) / F.lit(1000.0))
+    return base.labelled(spark, sf).select("relation", d.alias("a"), F.lit(0).alias("b"))
 
 
 @query("ag32_wilcoxon", f"""WITH {GAPS}, k AS (SELECT relation, abs(d) AS s, count(*) AS m, count(*) FILTER (d > 0) AS mp FROM gap WHERE d <> 0 GROUP BY ALL), r AS (SELECT *, sum(m) OVER (PARTITION BY relation ORDER BY s) - m + (m + 1) / 2.0::DOUBLE AS rank FROM k),

@@ -133,7 +133,8 @@ def test_isotonic_shapes(spark, rows):
 
 def test_poisson_counts(spark):
     for m in (1, 7, 30, 31, 5000):
-        df = spark.range(20_000).select(stats.poisson(F.lit(m), F.sha2(F.concat(F.lit(f"{m}|"), F.col("id").cast("string")), 256)).cast("double").alias("w"))
+        h = F.sha2(F.concat(F.lit(f"{m}|"), F.col("id").cast("string")), 256)
+        df = spark.range(20_000).select(stats.poisson(F.lit(m), stats.uniform(h, 1), stats.uniform(h, 14)).cast("double").alias("w"))
         r = df.agg(F.avg("w").alias("mean"), F.var_samp("w").alias("var")).first()
         assert abs(r["mean"] - m) < 4 * math.sqrt(m / 20_000) and abs(r["var"] / m - 1) < 0.06
 
