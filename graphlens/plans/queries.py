@@ -216,7 +216,7 @@ def _(spark, sf):
     return sampling.entity_subset(base.triples(spark, sf), 500)
 
 
-@query("sa5_random_negatives", f"WITH n AS (SELECT count(*) AS n FROM eidx), t AS (SELECT *, CASE WHEN {number('neg-side', *T)} % 2 = 0 THEN 'head' ELSE 'tail' END AS side, {number('neg', *T)} % (SELECT n FROM n) AS idx FROM test), j AS (SELECT t.*, a.entity AS new, b.entity AS nxt FROM t JOIN eidx a ON a.idx = t.idx JOIN eidx b ON b.idx = (t.idx + 1) % (SELECT n FROM n)), p AS (SELECT *, CASE WHEN new = CASE WHEN side = 'head' THEN head ELSE tail END THEN nxt ELSE new END AS put FROM j) SELECT head, relation, tail, side, CASE WHEN side = 'head' THEN put ELSE head END AS neg_head, CASE WHEN side = 'tail' THEN put ELSE tail END AS neg_tail FROM p")
+@query("sa5_random_negatives", f"WITH n AS (SELECT count(*) AS n FROM eidx), t AS (SELECT test.*, CASE WHEN {number('neg-side', *T)} % 2 = 0 THEN 'head' ELSE 'tail' END AS side, {number('neg', *T)} % n.n AS idx, ({number('neg', *T)} % n.n + 1) % n.n AS after FROM test, n), j AS (SELECT t.*, a.entity AS new, b.entity AS nxt FROM t JOIN eidx a ON a.idx = t.idx JOIN eidx b ON b.idx = t.after), p AS (SELECT *, CASE WHEN new = CASE WHEN side = 'head' THEN head ELSE tail END THEN nxt ELSE new END AS put FROM j) SELECT head, relation, tail, side, CASE WHEN side = 'head' THEN put ELSE head END AS neg_head, CASE WHEN side = 'tail' THEN put ELSE tail END AS neg_tail FROM p")
 def _(spark, sf):
     return sampling.random_negatives(base.split(spark, sf, "test"), sampling.entity_index(base.triples(spark, sf)))
 
