@@ -14,8 +14,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> (node, component), component being the smallest node that can be reached.
 
     Null ends and self-links say nothing and are left out; nodes without a link don't appear.
-    Every round groups by node with partial minima, so a node with many links is no hot task:
-    each link row is updated by a join on its larger or smaller end.
+    Every round groups by node with partial minima and joins these back to the links; the links of a node
+    with many are split by Spark's handling of skewed joins (adaptive execution has to be on). A graph that
+    has not settled after MAX_ROUNDS rounds raises; rounds grow with the logarithm of the longest chain.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("u") != F.col("v"))).distinct()
     now, count = materialize(e), None

@@ -77,7 +77,7 @@ class TokenHashes(dict):
     """64-bit hash of each token, kept for the tokens seen lately."""
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[token] = h = xxhash.xxh3_64_intdigest(token)
         return h
