@@ -1,4 +1,6 @@
-"""Duplicate substrings of at least LENGTH bytes, by distributed prefix doubling over sampled positions.
+"""Duplicate substrings of at least LENGTH bytes, by ranks of sampled positions at growing lengths.
+
+This is not prefix doubling over all positions, as the README says with figures.
 
 Ranking every byte position in Spark would sort about one row for each byte of the corpus at every
 offset; here the positions are sampled first without losing a repeat. Ranks are names of equal
