@@ -24,6 +24,9 @@ def graph_of(spark: SparkSession, sf: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf)
     df = _kept.get(key)
     if df is None:
+        for other in _kept.values():  # one graph at a time
+            other.unpersist()
+        _kept.clear()
         df = _kept[key] = canonical_split(canonical_triples(spark, sf))
     if not df.storageLevel.useMemory:
         df.persist()

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from graphlens.functions import text as tx
 from graphlens.functions.hashing import det_number, unit
 from graphlens.functions.ordering import with_dense_index
-from graphlens.operators import audit, graph, metrics, probes, reports, sampling, types
+from graphlens.operators import audit, graph, metrics, probes, ranking, reports, sampling, types
 from graphlens.plans import base
 from graphlens.plans.base import T, U, number
 
-from graphlens.plans.queries import ANSWERS, ARMS, BINS, BUCKET, CURVE, ORACLE_SQL, THREE, THREE_ARMS, R, answers, features, query, rounded, three_arms
+from graphlens.plans.queries import ANSWERS, ARMS, BINS, BUCKET, CURVE, ORACLE_SQL, THREE, THREE_ARMS, R, answers, candidate_scores, features, query, rounded, three_arms
 from graphlens.plans.queries import arms as two_arms
 
 
@@ -90,6 +90,13 @@ def _(spark, sf):
     return rounded(metrics.subtotals(f, "bucket", "relation"))
 
 
+@query("ag14_subtotals", "WITH seen AS (SELECT head AS e FROM train UNION SELECT tail FROM train), b AS (SELECT qid, CASE (CAST(head IN (SELECT e FROM seen) AS INTEGER) + CAST(tail IN (SELECT e FROM seen) AS INTEGER)) WHEN 2 THEN 'both' WHEN 1 THEN 'one' ELSE 'neither' END AS bucket FROM queries), x AS (SELECT r.*, bucket FROM ranks r JOIN b USING (qid)) SELECT CASE WHEN grouping(bucket) = 0 THEN bucket ELSE 'all' END AS bucket, CASE WHEN grouping(relation) = 0 THEN relation ELSE 'all' END AS relation, CAST(grouping(bucket, relation) AS BIGINT) AS level, count(*) AS n, round(avg(1.0::DOUBLE / rank), 6) AS mrr, round(avg(CAST(rank <= 1 AS DOUBLE)), 6) AS hits_1 FROM x GROUP BY GROUPING SETS ((bucket, relation), (bucket), (relation), ())")
+def _(spark, sf):
+    """Ranks by familiarity and relation, of each alone, and overall, from one scan."""
+    q = audit.familiarity(base.split(spark, sf, "train"), base.with_qid(base.split(spark, sf, "test"))).select("qid", "bucket")
+    return rounded(ranking.ranking_subtotals(ranking.gold_ranks(candidate_scores(spark, sf)).join(q, "qid"), "bucket", "relation"))
+
+
 @query("ag38_rescored_verdicts", "SELECT relation, count(*) AS n, round(avg(correct), 6) AS accuracy, round(avg(CAST(p_yes >= 0.5 AS DOUBLE)), 6) AS said_yes, CASE WHEN greatest(avg(CAST(p_yes >= 0.5 AS DOUBLE)), 1 - avg(CAST(p_yes >= 0.5 AS DOUBLE))) > 0.95 THEN 'degenerate' WHEN avg(correct) > 0.5 THEN 'above chance' ELSE 'at chance' END AS verdict FROM scored GROUP BY relation")
 def _(spark, sf):
     yes = F.avg((F.col("p_yes") >= 0.5).cast("double"))

@@ -11,7 +11,7 @@ from graphlens.functions import text as tx
 from graphlens.functions.hashing import det_number, unit
 from graphlens.operators import abstention, audit, graph, metrics, prompts, ranking, routing, sampling, stats, types
 from graphlens.plans import base
-from graphlens.plans.base import N_WAY, TRIES, T, U, key, number, sql
+from graphlens.plans.base import N_WAY, T, U, key, number, sql
 from graphlens.sources.kg import canonical_graph, canonical_split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
