@@ -355,7 +355,6 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_
     known = materialize(unpacked("block IS NULL"))
     n_words = (known.agg(F.max("id").alias("n")).first()["n"] or 0) + 1
     state = materialize(index.select("block", "counts", "positions").groupBy("block").cogroup(found.filter("block >= 0").groupBy("block")).applyInArrow(_first_state(_schema(STATE)), STATE))
-    discard(found)
     level = known.select("id", "lang", F.lit(1).alias("k"), F.col("word").alias("phrase"), "f")
     levels, last = [level], level.select("id", F.col("phrase").alias("word"))
     old = index
@@ -369,11 +368,9 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_
         levels.append(level)
         discard(old)
         if k == longest or not level.count():
-            discard(state)
-            discard(found)
             break
-        old, state = state, materialize(state.groupBy("block").cogroup(found.filter(F.col("block").isNotNull()).groupBy("block")).applyInArrow(_next_state(_schema(STATE), k, n_words), STATE))
-        discard(found)
+        old = state
+        state = materialize(state.groupBy("block").cogroup(found.filter(F.col("block").isNotNull()).groupBy("block")).applyInArrow(_next_state(_schema(STATE), k, n_words), STATE))
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
