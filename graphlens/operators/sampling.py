@@ -139,32 +139,50 @@ def inductive_split(triples: DataFrame, share: float, seed: str = "ind") -> Data
     return triples.withColumn("part", F.when(~unseen("head") & ~unseen("tail"), "train").when(unseen("head"), "query").otherwise("support"))
 
 
+#: Draws beyond the wanted ones of a first pass; as few draws are known triples, few queries need the second.
+SPARE_DRAWS = 2
+
+
 def candidate_sets(queries: DataFrame, known: DataFrame, entities: DataFrame, n_way: int, seed: str = "cand") -> DataFrame:
     """(qid, candidate, is_gold): each query's gold tail and n_way - 1 others that are not known to be true.
 
     Draw number d of a query is an index into the entities, so an equi-join fetches it: no cross
-    join, and a query's candidates do not depend on the other queries. Twice as many are drawn as
-    are needed; a query that finds fewer is filled up with the entities from a place on that a hash
-    gives, in a ring: as many as cannot all be excluded, so only a query with too few others is short.
+    join, and a query's candidates do not depend on the other queries. A query's own are the first n_way - 1
+    good ones of 2 * n_way draws, but the last of these are made only where the first do not do. A query that
+    still finds fewer is filled up with the entities from a place on that a hash gives, in a ring: as many as
+    cannot all be excluded, so only a query with too few others is short. Equal queries count once.
     """
-    n = entities.agg(F.count("*")).first()[0]
+    n, need, most = entities.agg(F.count("*")).first()[0], n_way - 1, 2 * n_way
     q = queries.select("qid", *TRIPLE)
     known = known.select("head", "relation", F.col("tail").alias("candidate")).distinct()
-    fetched = lambda d: d.join(entities.select("idx", F.col("entity").alias("candidate")), "idx").filter(F.col("candidate") != F.col("tail")).join(known, ["head", "relation", "candidate"], "left_anti")
-    draws = F.transform(F.sequence(F.lit(0), F.lit(2 * n_way - 1)), lambda d: det_index(F.lit(n), seed, "qid", d.cast("string")))
-    d = fetched(q.select("*", F.posexplode(F.array_distinct(draws)).alias("draw", "idx")))
-    first = F.row_number().over(Window.partitionBy("qid").orderBy("draw"))
-    columns = ["qid", "head", "relation", "candidate"]
-    others = checkpointed(d.withColumn("k", first).filter(F.col("k") < n_way).select(*columns))
-    have = others.groupBy("qid").agg(F.count("*").alias("have"))
-    excluded = known.groupBy("head", "relation").agg(F.count("*").alias("excluded"))
-    short = q.join(have, "qid", "left").withColumn("need", n_way - 1 - F.coalesce("have", F.lit(0))).filter("need > 0").join(excluded, ["head", "relation"], "left")
-    steps = F.least(F.lit(n), F.col("need") + F.coalesce("excluded", F.lit(0)) + 2 * n_way + 1)
+    at = entities.select("idx", F.col("entity").alias("candidate"))
+
+    def drawn(q: DataFrame, draws: int) -> DataFrame:
+        """Each query with its good candidates in the order of draws, one row a query."""
+        own = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: det_index(F.lit(n), seed, "qid", d.cast("string")))
+        d = q.select("*", F.posexplode(F.array_distinct(own)).alias("draw", "idx")).join(at, "idx", "left")
+        d = d.join(known.withColumn("true", F.lit(True)), ["head", "relation", "candidate"], "left")
+        good = F.when(F.col("true").isNull() & (F.col("candidate") != F.col("tail")), F.struct("draw", "candidate"))
+        return d.groupBy("qid", *TRIPLE).agg(F.slice(F.array_sort(F.collect_set(good)), 1, need)["candidate"].alias("others"))
+
+    first = min(need + SPARE_DRAWS, most)
+    each = F.concat(F.transform("others", lambda c: F.struct(c.alias("candidate"), F.lit(0).alias("is_gold"))), F.array(F.struct(F.col("tail").alias("candidate"), F.lit(1).alias("is_gold"))))
+    listed = lambda sets: sets.select("qid", "head", "relation", F.explode(each).alias("x")).select("qid", "head", "relation", "x.*")
+    sets = checkpointed(drawn(q, first))
+    few = sets.filter(F.size("others") < need).select("qid", *TRIPLE)
+    if few.isEmpty():
+        return listed(sets)
+    again = checkpointed(drawn(few, most))
+    short = again.withColumn("need", need - F.size("others")).filter("need > 0")
+    excluded = known.join(short.select("head", "relation").distinct(), ["head", "relation"], "left_semi").groupBy("head", "relation").agg(F.count("*").alias("excluded"))
+    short = short.join(excluded, ["head", "relation"], "left")
+    steps = F.least(F.lit(n), F.col("need") + F.coalesce("excluded", F.lit(0)) + most + 1)
     f = short.filter(F.lit(n) > 0).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), steps - 1)))
-    f = fetched(f.withColumn("idx", F.pmod(det_index(F.lit(n), seed + "-fill", "qid") + F.col("step"), F.lit(max(n, 1))))).join(others.select("qid", "candidate"), ["qid", "candidate"], "left_anti")
+    f = f.withColumn("idx", F.pmod(det_index(F.lit(n), seed + "-fill", "qid") + F.col("step"), F.lit(max(n, 1)))).join(at, "idx")
+    f = f.filter((F.col("candidate") != F.col("tail")) & ~F.array_contains("others", F.col("candidate"))).join(known, ["head", "relation", "candidate"], "left_anti")
     f = f.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("step"))).filter(F.col("k") <= F.col("need"))
-    gold = q.select("qid", "head", "relation", F.col("tail").alias("candidate"), F.lit(1).alias("is_gold"))
-    return others.unionByName(f.select(*columns)).withColumn("is_gold", F.lit(0)).unionByName(gold)
+    done = listed(sets.filter(F.size("others") == need).unionByName(again))
+    return done.unionByName(f.select("qid", "head", "relation", "candidate").withColumn("is_gold", F.lit(0)))
 
 
 def relation_candidates(queries: DataFrame, relations: DataFrame, cap: int, seed: str = "relcand") -> DataFrame:

@@ -260,7 +260,7 @@ def _(spark, sf):
 
 
 def candidates(spark, sf):
-    t = base.triples(spark, sf)
+    t = base.graph_of(spark, sf).drop("split")
     return sampling.candidate_sets(base.with_qid(base.split(spark, sf, "test")), t, sampling.entity_index(t), N_WAY)
 
 
