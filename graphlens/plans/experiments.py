@@ -219,6 +219,28 @@ MEANING = "CASE relation " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in conte
 query("pt6_prompt_variants", _variant_sql())(variants)
 
 
+#: The blocks that variants switch on; the rows of the query have no column for paths.
+SWITCHED = ("demonstrations", "meaning", "neighbours", "paths")
+
+
+def _flag_sql() -> str:
+    cells = ", ".join(f"('{v}', '{b}', {str(b in on).lower()}, {str(b != 'paths').lower()})" for v, on in conditions.VARIANTS.items() for b in SWITCHED)
+    return f"""WITH {NEAR}, {EXAMPLES}, shown AS MATERIALIZED (SELECT q.qid, ex.text AS demonstrations, {MEANING.replace('CASE relation', 'CASE q.relation').replace('|| relation ||', '|| q.relation ||')} AS meaning, nbt.text AS neighbours FROM queries q LEFT JOIN ex ON ex.relation = q.relation LEFT JOIN nbt ON nbt.qid = q.qid),
+  f AS (SELECT count(*) AS n, count(*) FILTER (demonstrations <> '') AS demonstrations, count(*) FILTER (meaning <> '') AS meaning, count(*) FILTER (neighbours <> '') AS neighbours FROM shown),
+  c AS (SELECT variant, block, asked, known, n, CASE block WHEN 'demonstrations' THEN demonstrations WHEN 'meaning' THEN meaning WHEN 'neighbours' THEN neighbours ELSE 0 END AS n_filled FROM f, (VALUES {cells}) v(variant, block, asked, known)),
+  m AS (SELECT *, CASE WHEN asked THEN n - n_filled ELSE 0 END AS n_missing, CASE WHEN asked THEN 0 ELSE n_filled END AS n_unused FROM c)
+  SELECT variant, block, asked, n, n_filled, n_missing, n_unused, CASE WHEN asked AND NOT known THEN 'no_column' WHEN n_missing > 0 THEN 'missing' WHEN n_unused > 0 THEN 'unused' ELSE 'ok' END AS status FROM m"""
+
+
+@query("pt4_flag_audit", _flag_sql())
+def _(spark, sf):
+    """Which variants find what they switch on, and which blocks are there for nothing, over all test triples."""
+    q, train = tests(spark, sf), base.split(spark, sf, "train")
+    rows = q.join(F.broadcast(context.examples(train, 2).withColumnRenamed("text", "demonstrations")), "relation", "left")  # one row a relation
+    rows = rows.join(context.neighbour_text(near(spark, sf)).withColumnRenamed("text", "neighbours"), "qid", "left")
+    return conditions.flag_audit(rows.withColumn("meaning", context.relation_text(F.col("relation"))), SWITCHED)
+
+
 @query("ag66_context_coverage", f"WITH v AS MATERIALIZED ({_variant_sql()}), p AS (SELECT head, relation, tail, prompt FROM v WHERE variant = 'P0') SELECT variant, count(*) AS n, round(avg(CAST(v.prompt <> p.prompt AS DOUBLE)), 6) AS coverage, avg(CAST(v.prompt <> p.prompt AS DOUBLE)) >= 0.5 AS usable FROM v JOIN p USING (head, relation, tail) GROUP BY variant")
 def _(spark, sf):
     """How many prompts of each variant show anything beyond the plain question; below half a variant is not usable."""

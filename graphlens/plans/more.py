@@ -58,6 +58,19 @@ SINGULAR = "CASE WHEN ends_with(noun, 'ss') OR length(noun) <= 3 THEN noun " + "
 CLASS_SQL = f"atoms AS (SELECT p_partkey, trim({ATOM}, '<>') AS v FROM part), cl AS (SELECT p_partkey, nullif(regexp_extract(v, '^wordnet_([a-z][a-z_]*?)_[0-9]+$', 1), '') AS wordnet, lower(nullif(regexp_extract(v, '^https?://(?:schema\\.org|yago-knowledge\\.org/schema)/(\\w+)$', 1), '')) AS schema_name, nullif(regexp_extract(v, '^wikicat(?:egory)?_(.+)$', 1), '') AS wiki FROM atoms), hd AS (SELECT *, {HEAD} AS toks FROM cl), nn AS (SELECT *, {LAST} AS noun FROM hd)"
 
 
+WIKI = "replace(p_name || CASE p_partkey % 4 WHEN 0 THEN 's by ' || p_brand WHEN 1 THEN ' classes_in_' || p_type WHEN 2 THEN ' bodies used_with_' || p_brand ELSE ' and ' || (1900 + p_size) END, ' ', '_')"
+
+
+@query("st13_head_nouns", f"WITH w AS (SELECT {WIKI} AS wiki, count(*) AS n FROM part GROUP BY 1), hd AS (SELECT *, {HEAD} AS toks FROM w), nn AS (SELECT *, {LAST} AS noun FROM hd) SELECT wiki AS category, n, {SINGULAR} AS head FROM nn")
+def _(spark, sf):
+    """The head noun, in the singular, of each category: names with a preposition, a participle, a year or a conjunction at the end."""
+    k = F.col("p_partkey") % 4
+    more = F.when(k == 0, F.concat(F.lit("s by "), "p_brand")).when(k == 1, F.concat(F.lit(" classes_in_"), "p_type")).when(k == 2, F.concat(F.lit(" bodies used_with_"), "p_brand"))
+    more = more.otherwise(F.concat(F.lit(" and "), (F.col("p_size") + 1900).cast("string")))
+    c = spark.read.parquet(f"{sf}/part.parquet").groupBy(F.replace(F.concat("p_name", more), F.lit(" "), F.lit("_")).alias("category")).agg(F.count("*").alias("n"))
+    return c.select("category", "n", tx.category_head(F.col("category")).alias("head"))
+
+
 @query("ty9_class_names", f"WITH {CLASS_SQL}, nw AS (SELECT *, {SINGULAR} AS one FROM nn) SELECT p_partkey, CASE WHEN wordnet IS NOT NULL THEN 'wordnet' WHEN schema_name IS NOT NULL THEN 'schema' WHEN one IS NOT NULL THEN 'wikicat' END AS kind, coalesce(wordnet, schema_name, one) AS name FROM nw")
 def _(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")

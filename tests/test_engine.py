@@ -395,6 +395,37 @@ def test_conditions_refuse_what_they_do_not_know():
             conditions.check_flags(flags, columns)
 
 
+def test_flag_audit_tells_missing_unused_and_unknown_blocks(spark):
+    rows = spark.createDataFrame([("a", "x", None), ("b", "", None), ("c", None, "y")], "head string, meaning string, neighbours string")
+    got = {(r["variant"], r["block"]): (r["asked"], r["n"], r["n_filled"], r["n_missing"], r["n_unused"], r["status"]) for r in conditions.flag_audit(rows, ("meaning", "neighbours", "paths")).collect()}
+    assert len(got) == 3 * len(conditions.VARIANTS)
+    assert got["P5", "meaning"] == (True, 3, 1, 2, 0, "missing") and got["P6", "meaning"] == (False, 3, 1, 0, 1, "unused")
+    assert got["P7", "paths"] == (True, 3, 0, 3, 0, "no_column") and got["P0", "paths"] == (False, 3, 0, 0, 0, "ok")
+    none = conditions.flag_audit(rows.limit(0), ("meaning",)).collect()
+    assert {(r["n"], r["status"]) for r in none} == {(0, "ok")}
+
+
+def test_candidates_after_a_second_pass_are_as_without_one(spark):
+    """Heads that know most entities need the later draws and the fill; the rows equal plain loops over all draws."""
+    names = [f"e{i:02d}" for i in range(30)]
+    entities = spark.createDataFrame(list(enumerate(names)), "idx long, entity string")
+    facts = [("hub", "r", x) for x in names[:22]] + [("thin", "r", "e05")] + [("whole", "r", x) for x in names]
+    known = spark.createDataFrame(facts, "head string, relation string, tail string")
+    asked = [(f"q{i}", h, "r", "e05") for i, h in enumerate(["hub", "thin", "whole", "thin"])]
+    queries = spark.createDataFrame(asked + asked[:1], "qid string, head string, relation string, tail string")
+    rows = sampling.candidate_sets(queries, known, entities, 6).collect()
+    number = lambda *p: int(__import__("hashlib").sha256("|".join(p).encode()).hexdigest()[:15], 16)
+    want, true = set(), set(facts)
+    for qid, head, relation, tail in asked:
+        mine = []
+        places = [number("cand", qid, str(d)) % 30 for d in range(12)] + [(number("cand-fill", qid) + s) % 30 for s in range(30)]
+        for x in (names[i] for i in places):
+            if x != tail and x not in mine and (head, relation, x) not in true and len(mine) < 5:
+                mine.append(x)
+        want |= {(qid, x, 0) for x in mine} | {(qid, tail, 1)}
+    assert len(rows) == len(want) and {(r["qid"], r["candidate"], r["is_gold"]) for r in rows} == want
+
+
 def test_context_leaves_the_answer_out(spark):
     edges = spark.createDataFrame([("h", "r", "g"), ("h", "r", "x"), ("g", "back", "h"), ("h", "s", "y"), *[("hub", "r", f"t{i}") for i in range(50)]], "head string, relation string, tail string")
     q = spark.createDataFrame([("1", "h", "r", "g"), ("2", "hub", "r", "t0"), ("3", "none", "r", "g")], "qid string, head string, relation string, tail string")
