@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from graphlens.plans import files
 from graphlens.sources import kg
 from graphlens.sources.lines import scan_lines, split_bytes
 
@@ -92,3 +93,18 @@ def test_result_files_round_trip(spark, tmp_path):
     assert all(r["config"]["seed"] == "7" and r["env"]["spark"] == spark.version for r in got.values())
     with pytest.raises(ValueError, match="more than one"):
         kg.write_result_files(df.unionAll(df), str(tmp_path / "twice"), {})
+
+
+def test_splits_grow_with_what_is_written(spark):
+    """A split of fixed size made a task of each 2 KB of a large table."""
+    seen = []
+
+    def back(path):
+        df = spark.read.text(path)
+        seen.append(df.rdd.getNumPartitions())
+        return df
+
+    for n in (200, 60_000):
+        rows = spark.range(n).select(F.format_string("line %040d", "id").alias("value"))
+        assert files.round_trip(spark, lambda path, rows=rows: rows.write.text(path), back).distinct().count() == n
+    assert 4 < seen[0] <= 12 and 200 < seen[1] <= files.SPLITS + 8  # 4 files
