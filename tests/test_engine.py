@@ -1,5 +1,6 @@
 """Operators of the engine: known values, properties, files on disk, and planted defects."""
 
+import hashlib
 import math
 
 import pandas as pd
@@ -463,3 +464,48 @@ def test_reports(spark):
     assert one(reports.mrr_terms(ranks)) == pytest.approx({"real": 1.0, "permuted": 0.5, "anonymised": 0.5, "chance": 0.75, "binding": 0.5, "names": 0.0, "residual": -0.25})
     lines = spark.createDataFrame([("<id_1>\t<Anna>\trdf:type\t<wordnet_person_1>",), ("<http://x/Bo> <http://w3/ns#type> <http://schema.org/Person> .",), ("<Bo>\trdfs:label\tBo",), ("",)], "line string")
     assert [tuple(r) for r in kg.type_lines(lines).collect()] == [("Anna", "wordnet_person_1"), ("Bo", "Person")]
+
+
+# ------------------------------------------------------------------ work that grows no faster than the input
+
+
+def test_stratified_sample_limits_before_the_shuffle(spark):
+    rows = [(f"h{i % 40}", "many" if i % 50 else "few", f"t{i % 7}") for i in range(900)]  # with copies
+    df = spark.createDataFrame(rows, "head string, relation string, tail string")
+    got = sampling.stratified_sample(df, 300, 60)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    h = sorted((hashlib.sha256("|".join(("strat", *r)).encode()).hexdigest(), r) for r in rows)
+    floor = [x for rel in ("many", "few") for x in [y for y in h if y[1][1] == rel][:60]]
+    rest = h.copy()
+    for x in floor:
+        rest.remove(x)
+    want = sorted(x[1] for x in (sorted(floor) + rest)[:300])
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_whole_test_negatives_try_again_only_where_needed(spark, monkeypatch):
+    t = spark.createDataFrame([(f"h{i}", "r", f"t{i % 90}") for i in range(300)], "head string, relation string, tail string")
+    made, real = [], sampling.fetch
+
+    def counted(rows, *args):
+        made.append(rows.count())
+        return real(rows, *args)
+
+    monkeypatch.setattr(sampling, "fetch", counted)
+    got = sorted(map(tuple, sampling.whole_test_negatives(t, t, t, sampling.entity_index(t)).collect()), key=str)
+    assert sum(made) < 5 * 300  # 60 tries of each before
+    monkeypatch.setattr(sampling, "FIRST_TRIES", ())
+    assert got == sorted(map(tuple, sampling.whole_test_negatives(t, t, t, sampling.entity_index(t)).collect()), key=str) and len(got) == 300
+
+
+def test_k_hop_orders_neighbours_of_its_front_only(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"n{i}", "r", f"n{i + 1}") for i in range(500)], "head string, relation string, tail string")
+    made, real = [], graph.first_per_group
+
+    def counted(df, *args):
+        made.append(df.count())
+        return real(df, *args)
+
+    monkeypatch.setattr(graph, "first_per_group", counted)
+    got = {(r["entity"], r["hop"]) for r in graph.k_hop(edges, spark.createDataFrame([("n5",)], "entity string"), 2, 9).collect()}
+    assert got == {("n5", 0), ("n4", 1), ("n6", 1), ("n3", 2), ("n7", 2)} and sum(made) < 20  # 1,000 before
