@@ -509,3 +509,17 @@ def test_k_hop_orders_neighbours_of_its_front_only(spark, monkeypatch):
     monkeypatch.setattr(graph, "first_per_group", counted)
     got = {(r["entity"], r["hop"]) for r in graph.k_hop(edges, spark.createDataFrame([("n5",)], "entity string"), 2, 9).collect()}
     assert got == {("n5", 0), ("n4", 1), ("n6", 1), ("n3", 2), ("n7", 2)} and sum(made) < 20  # 1,000 before
+
+
+def test_candidates_travel_as_hashes_and_lists(spark):
+    """Known triples are found by hashes and compared in full, nulls never match, and a query's candidates are one row."""
+    known = spark.createDataFrame([(f"h{i % 7}", "r", f"t{i % 11}") for i in range(60)] + [("h0", None, "t0")], "head string, relation string, tail string")
+    rows = spark.createDataFrame([(f"h{i % 9}", r, f"t{i % 13}") for i in range(100) for r in ("r", "s", None)], "head string, relation string, tail string")
+    want = sorted(map(tuple, rows.join(known, ["head", "relation", "tail"], "left_semi").collect()))
+    assert want and sorted(map(tuple, sampling.known_among(rows, known, "head", "relation", "tail").collect())) == want
+    q = known.filter("relation = 'r'").distinct().withColumn("qid", F.concat_ws("|", "head", "tail"))
+    lists = sampling.candidate_lists(q.unionByName(q.limit(3)), known, sampling.entity_index(known), 6)
+    assert lists.count() == q.count() == lists.filter(F.size("others") == 5).count()
+    sets = sampling.with_gold(lists).withColumn("c", F.transform("c", lambda x: F.struct(F.length(x["candidate"]).alias("score"), x["candidate"].alias("candidate"), x["is_gold"].alias("is_gold"))))
+    rows = sets.select("qid", "relation", F.explode("c").alias("x")).select("qid", "relation", "x.*")
+    assert sorted(map(tuple, ranking.gold_ranks_of_sets(sets).collect())) == sorted(map(tuple, ranking.gold_ranks(rows).collect()))
