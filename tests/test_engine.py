@@ -523,3 +523,19 @@ def test_candidates_travel_as_hashes_and_lists(spark):
     sets = sampling.with_gold(lists).withColumn("c", F.transform("c", lambda x: F.struct(F.length(x["candidate"]).alias("score"), x["candidate"].alias("candidate"), x["is_gold"].alias("is_gold"))))
     rows = sets.select("qid", "relation", F.explode("c").alias("x")).select("qid", "relation", "x.*")
     assert sorted(map(tuple, ranking.gold_ranks_of_sets(sets).collect())) == sorted(map(tuple, ranking.gold_ranks(rows).collect()))
+
+
+def test_neighbours_and_blocks_stay_in_the_row_of_a_query(spark):
+    """Copies of an edge take no place of another neighbour, and the sets hold what the rows do."""
+    edges = spark.createDataFrame([("h", "r", "a"), ("h", "r", "a"), ("h", "r", "b"), ("h", "r", "c"), ("c", "r", "h"), ("b", "inv", "h"), ("a", "inv", "h"), ("h", "h2", "h")], "head string, relation string, tail string")
+    q = spark.createDataFrame([("1", "h", "r", "b"), ("2", "none", "r", "b")], "qid string, head string, relation string, tail string")
+    sets = {r["qid"]: [tuple(x) for x in r["near"]] for r in context.near_sets(edges, q, 4).collect()}
+    assert sets == {"1": [("h2", "h"), ("inv", "a"), ("inv", "b"), ("r", "a")], "2": []}
+    inverses = spark.createDataFrame([("r", "inv")], "relation string, inverse string")
+    assert {r["qid"]: [tuple(x) for x in r["near"]] for r in context.near_sets(edges, q, 4, inverses).collect()}["1"] == [("h2", "h"), ("r", "a"), ("r", "c")]
+    entities = spark.createDataFrame([("h", "one two"), ("h", "three")], "id string, text string")
+    got = sorted((r["qid"], r["kind"], r["text"], r["tokens"]) for r in context.blocks(q, edges, entities, 4, 1, inverses).collect())
+    assert [x[1] for x in got if x[0] == "2"] == ["demonstrations", "relation_description", "type_tag"] and [x[2:] for x in got if x[:2] == ("1", "entity_description")] == [("one two", 2), ("three", 1)]
+    # by the join of edges with those that go back: (h r a) twice and (h r b) with inv, (h r c) with (c r h), the loop with itself
+    back = {(r["relation"], r["inverse"]): (round(r["rate"], 6), round(r["rate_back"], 6)) for r in graph.inverse_relations(edges, 1, 0).collect()}
+    assert back == {("r", "inv"): (0.6, 1.0), ("inv", "r"): (1.0, 0.6), ("r", "r"): (0.4, 0.4), ("h2", "h2"): (1.0, 1.0)}
