@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphlens.functions import text as tx
 from graphlens.functions.hashing import det_index, det_key
 from graphlens.functions.ordering import with_dense_index, with_dense_offsets
-from graphlens.operators import abstention, audit, budget, conditions, context, graph, metrics, prompts, ranking, reports, routing, sampling, stats, types
+from graphlens.operators import abstention, audit, budget, conditions, context, graph, joins, metrics, prompts, ranking, reports, routing, sampling, stats, types
 from graphlens.sources import kg
 from graphlens.streaming import scores
 
@@ -539,3 +539,14 @@ def test_neighbours_and_blocks_stay_in_the_row_of_a_query(spark):
     # by the join of edges with those that go back: (h r a) twice and (h r b) with inv, (h r c) with (c r h), the loop with itself
     back = {(r["relation"], r["inverse"]): (round(r["rate"], 6), round(r["rate_back"], 6)) for r in graph.inverse_relations(edges, 1, 0).collect()}
     assert back == {("r", "inv"): (0.6, 1.0), ("inv", "r"): (1.0, 0.6), ("r", "r"): (0.4, 0.4), ("h2", "h2"): (1.0, 1.0)}
+
+
+def test_chains_by_one_join(spark):
+    """Chains between ends are those of a plain self-join, copies of an edge and hubs included."""
+    edges = [(f"n{i % 5}", "rs"[i % 2], f"n{(i * 3 + 1) % 17}") for i in range(40)] + [("hub", "r", f"n{i}") for i in range(17)] + [("hub", "r", "n1")] * 3
+    df = spark.createDataFrame([(*x,) for h, r, t in edges for x in ((h, r, t), (t, r, h)) if h != t], "entity string, relation string, other string")
+    pairs = [("n0", "n1"), ("hub", "n3"), ("n3", "hub"), ("n16", "n2"), ("n1", "nobody")]
+    rows = set(map(tuple, df.collect()))
+    want = sorted({(h, t, via, m, last) for h, t in pairs for e, via, m in rows if e == h for x, last, y in rows if x == t and y == m})
+    got = [tuple(r) for r in joins.meet_any(spark.createDataFrame(pairs, "head string, tail string"), df, least=5).select("head", "tail", "via", "mid", "last").distinct().collect()]
+    assert want and sorted(got) == want
