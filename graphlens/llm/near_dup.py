@@ -6,10 +6,11 @@ candidates are its WINDOW predecessors that share the longest prefixes with it,
 at least: the depth adapts to the region, shallow where it is sparse, deep where it is dense. A
 4-bit sketch of the signature screens candidates; full sets confirm links.
 
-Confirmed links join nodes into components, so candidates inside a component need no check. A first
-pass over the orders takes the best FIRST candidates of each node and order, and of these, as in
-Boruvka's method, each node's best before the rest. A second pass, over the nodes of which it left
-candidates out, takes every candidate between different components, so none is dropped. Regions
+Confirmed links join nodes into components, so candidates inside a component need no check. An early
+pass over EARLY of the orders takes the best candidate of each node and order, which makes a chain of
+each dense group, and of these, as in Boruvka's method, each node's best is confirmed before the rest.
+A pass over all orders then takes every candidate between different components, so none is dropped.
+Groups denser than the window are named by their prefix, not node by node. Regions
 denser than the window are then sorted again with only a few nodes of each component left (the dense
 groups thinned out), which links most of what a component's own nodes have kept apart. At last the
 groups that share MIN_DEPTH levels and are larger than the window are finished exactly: all their
@@ -44,6 +45,8 @@ SIMILARITY = (80, 100)
 TREES, LEVELS = 16, 8
 HASHES = TREES * LEVELS
 MIN_DEPTH = 3
+#: Bits of a row's first four levels that are below MIN_DEPTH.
+PREFIX = np.int64(16 * (4 - MIN_DEPTH))
 WINDOW = 20
 #: A pair whose sketches agree less than this share below the threshold's expectation is no candidate (over 4 standard deviations).
 SLACK = 0.17
@@ -59,8 +62,8 @@ RICH = 8
 SALTS = 32
 #: Shingles that a tile multiplies at once.
 COLUMNS = 2048
-#: Candidates of a node in each order that the first pass takes.
-FIRST = 2
+#: Orders of the early pass, which takes one candidate of a node in each.
+EARLY = 4
 #: Most node ids that are broadcast to pick out texts; beyond it Spark joins by shuffle.
 BROADCAST_NODES = 500_000
 CHUNK = 4096
@@ -130,20 +133,20 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.array(orders, pa.binary())], names=["doc_id", "text_key", "n_shingles", "key", "sketch", "orders"])
 
 
-def _orders(nodes: DataFrame) -> DataFrame:
-    """(tree, k0, k1, key, comp, sketch): one row for each node and tree, sorted over range partitions."""
+def _orders(nodes: DataFrame, trees: int) -> DataFrame:
+    """(tree, k0, k1, key, comp, sketch): one row for each node and each of the first trees, sorted over range partitions."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
-            k = np.frombuffer(b"".join(b.column("orders").to_pylist()), ">i8").reshape(n * TREES, 2).astype(np.int64)
-            each = pa.array(np.repeat(np.arange(n), TREES))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), *(b.column(c).take(each) for c in ("key", "comp", "sketch"))], names=["tree", "k0", "k1", "key", "comp", "sketch"])
+            k = np.frombuffer(b"".join(b.column("orders").to_pylist()), ">i8").reshape(n, TREES, 2)[:, :trees].astype(np.int64).reshape(-1, 2)
+            each = pa.array(np.repeat(np.arange(n), trees))
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), *(b.column(c).take(each) for c in ("key", "comp", "sketch"))], names=["tree", "k0", "k1", "key", "comp", "sketch"])
 
     rows = nodes.select("key", "comp", "sketch", "orders").mapInArrow(cut, "tree int, k0 long, k1 long, key binary, comp binary, sketch binary")
-    tasks = max(1, -(-nodes.count() * TREES // ROWS_PER_TASK))
+    tasks = max(1, -(-nodes.count() * trees // ROWS_PER_TASK))
     by = ["tree", "k0", "k1", "key"]
     return rows.repartitionByRange(tasks, *by).sortWithinPartitions(*by)
 
@@ -153,17 +156,16 @@ NAMES = ["a", "b", "agree", "part", "tree", "k0", "k1", "key", "comp", "sketch"]
 
 
 def _neighbours(tree: np.ndarray, k0: np.ndarray, comp: np.ndarray, sketches: np.ndarray, least: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows i, rows j, agreements) of the candidates i before j in different components, and the rows that
-    have more: those beyond the window, and those of candidates beyond the best `most` of a row j."""
+    """(rows i, rows j, agreements) of the candidates i before j in different components, the best `most` of a row j,
+    and rows of the groups that reach beyond the window, one at least of each."""
     left, right, agree = [], [], []
-    dense = np.zeros(len(k0), bool)
-    shift = np.int64(16 * (4 - MIN_DEPTH))
+    wide = np.zeros(0, np.int64)
     for o in range(1, min(WINDOW, len(k0) - 1) + 1):
-        at = np.nonzero((tree[o:] == tree[:-o]) & ((k0[o:] ^ k0[:-o]) >> shift == 0))[0]
+        at = np.nonzero((tree[o:] == tree[:-o]) & ((k0[o:] ^ k0[:-o]) >> PREFIX == 0))[0]
         if not len(at):
             break
         if o == WINDOW:
-            dense[at] = dense[at + o] = True
+            wide = at
         at = at[(comp[at] != comp[at + o]).any(axis=1)]
         for c in range(0, len(at), 1 << 16):
             i = at[c : c + (1 << 16)]
@@ -174,20 +176,19 @@ def _neighbours(tree: np.ndarray, k0: np.ndarray, comp: np.ndarray, sketches: np
             agree.append(n[keep])
     if not left:
         none = np.zeros(0, np.int64)
-        return none, none, none, dense
+        return none, none, none, wide
     i, j, n = map(np.concatenate, (left, right, agree))
     if most is not None and len(i):
         order = np.lexsort((-i, -n, j))
         i, j, n = i[order], j[order], n[order]
         start = np.maximum.accumulate(np.where(np.concatenate([[True], j[1:] != j[:-1]]), np.arange(len(j)), 0))
-        over = np.arange(len(j)) - start >= most
-        dense[i[over]] = dense[j[over]] = True
-        i, j, n = i[~over], j[~over], n[~over]
-    return i, j, n, dense
+        few = np.arange(len(j)) - start < most
+        i, j, n = i[few], j[few], n[few]
+    return i, j, n, wide
 
 
 def _candidates(least: int, most: int | None):
-    """Candidates of a range partition, its dense nodes, and the rows at its ends for _across()."""
+    """Candidates of a range partition, its dense groups, and the rows at its ends for _across()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -223,35 +224,66 @@ def _halves(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _emit(t: pa.Table, least: int, most: int | None) -> Iterator[pa.RecordBatch]:
-    tree = t.column("tree").to_numpy().astype(np.int64)
+    tree = own = t.column("tree").to_numpy().astype(np.int64)
     if "part" in t.column_names:
         tree = tree + t.column("part").to_numpy().astype(np.int64) * TREES
     keys = np.array(t.column("key").to_pylist(), object)
     sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-    left, right, agree, dense = _neighbours(tree, t.column("k0").to_numpy(), _halves(t.column("comp")), sketches, least, most)
+    k0 = t.column("k0").to_numpy()
+    left, right, agree, wide = _neighbours(tree, k0, _halves(t.column("comp")), sketches, least, most)
     pairs = {(x, y) if x < y else (y, x): m for x, y, m in zip(keys[left], keys[right], agree.tolist(), strict=True) if x != y}
     a, b = [p[0] for p in pairs], [p[1] for p in pairs]
-    thick = sorted(set(keys[dense].tolist()) - {x for p in pairs for x in p})  # those of a pair are known by it
-    n = len(a) + len(thick)
-    cols = [pa.array(a + thick, pa.binary()), pa.array(b + [None] * len(thick), pa.binary()), pa.array([*pairs.values(), *[None] * len(thick)], pa.int32())]
-    rest = [pa.nulls(n, x) for x in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+    groups = sorted(set(zip(own[wide].tolist(), (k0[wide] >> PREFIX).tolist(), strict=True)))
+    n, g = len(a), len(groups)
+    cols = [pa.array(a + [None] * g, pa.binary()), pa.array(b + [None] * g, pa.binary()), pa.array([*pairs.values(), *[None] * g], pa.int32()), pa.nulls(n + g, pa.int32())]
+    named = [pa.array([None] * n + [x[c] for x in groups], kind) for c, kind in enumerate((pa.int32(), pa.int64()))]
+    rest = [*named, *(pa.nulls(n + g, x) for x in (pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
     yield pa.RecordBatch.from_arrays([*cols, *rest], names=NAMES)
 
 
-def candidates(nodes: DataFrame, comp: DataFrame | None, least: int, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """((a, b, agree) with a < b in different components, the nodes that have one or may have more)."""
+def _prefixes(nodes: DataFrame, kinds: str) -> DataFrame:
+    """(tree, prefix, ..): one row for each node and tree, with its first MIN_DEPTH levels and the columns of the kinds."""
+    names = [x.split()[0] for x in kinds.split(", ")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            k = np.frombuffer(b"".join(b.column("orders").to_pylist()), ">i8").reshape(n * TREES, 2)[:, 0].astype(np.int64) >> PREFIX
+            each = pa.array(np.repeat(np.arange(n), TREES))
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), pa.array(k), *(b.column(c).take(each) for c in names)], names=["tree", "prefix", *names])
+
+    return nodes.select(*names, "orders").mapInArrow(cut, f"tree int, prefix long, {kinds}")
+
+
+def candidates(nodes: DataFrame, comp: DataFrame | None, least: int, most: int | None = None, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+    """((a, b, agree) with a < b in different components, the nodes that have one or may have more), by the first trees.
+
+    With `most`, the best so many of a node in each tree; what it leaves out is for a later call.
+    """
     if comp is None:
         named = nodes.withColumn("comp", F.col("key"))
     else:
         named = nodes.join(comp.select(F.col("node").alias("key"), F.col("component").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    found = materialize(_orders(named).mapInArrow(_candidates(least, most), OUT))
+    found = materialize(_orders(named, trees).mapInArrow(_candidates(least, most), OUT))
     ends = found.filter(F.col("part").isNotNull()).select(*NAMES[3:])
     across = ends.repartition("part").sortWithinPartitions("part", "tree", "k0", "k1", "key").mapInArrow(_across(least, most), OUT)
-    both = found.filter(F.col("a").isNotNull()).select("a", "b", "agree").unionByName(across.filter(F.col("a").isNotNull()).select("a", "b", "agree"))
-    both = materialize(both.groupBy("a", "b").agg(F.max("agree").alias("agree")))
+    each = ["a", "b", "tree", "k0"]
+    both = found.filter(F.col("part").isNull()).select(*each, "agree").unionByName(across.select(*each, "agree"))
+    both = materialize(both.groupBy(*each).agg(F.max("agree").alias("agree")))
     discard(found)
-    pairs = both.filter(F.col("b").isNotNull())
-    return pairs, both.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    pairs = both.filter(F.col("a").isNotNull()).select("a", "b", "agree")
+    dense = _ends(pairs)
+    groups = both.filter(F.col("a").isNull()).select("tree", F.col("k0").alias("prefix"))
+    if n := groups.count():
+        few = F.broadcast(groups) if n <= BROADCAST_NODES else groups
+        dense = dense.unionByName(_prefixes(nodes, "key binary").join(few, ["tree", "prefix"], "left_semi").select("key"))
+    return pairs, dense.distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -310,6 +342,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, comp: DataFrame | None, similarit
     return comp if good.isEmpty() else _renamed(comp, good)
 
 
+def _linked_best(pairs: DataFrame, sets: DataFrame, comp: DataFrame | None, similarity: tuple[int, int]) -> DataFrame | None:
+    """As _linked(), each node's best pair before the rest, of which only those that are still between components are confirmed."""
+    best = materialize(_best(pairs))
+    comp = _linked(best, sets, comp, similarity)
+    return _linked(_between(pairs.join(best, ["a", "b"], "left_anti"), comp), sets, comp, similarity)
+
+
 def _planes(sketches: np.ndarray) -> np.ndarray:
     """The four bit planes of each sketch, as (4, words, rows)."""
     n = len(sketches)
@@ -429,21 +468,12 @@ def _dense_rows(nodes: DataFrame, open_: DataFrame, comp: DataFrame | None) -> D
     """(tree, prefix, pure, part, c, key, sketch): the open nodes of groups that share MIN_DEPTH levels, have more nodes than
     the window and several components. A component of a block or more has blocks of its own, with itself as pure."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            k = np.frombuffer(b"".join(b.column("orders").to_pylist()), ">i8").reshape(n * TREES, 2)[:, 0].astype(np.int64) >> np.int64(16 * (4 - MIN_DEPTH))
-            each = pa.array(np.repeat(np.arange(n), TREES))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), pa.array(k), *(b.column(c).take(each) for c in ("key", "c", "sketch", "open"))], names=["tree", "prefix", "key", "c", "sketch", "open"])
-
     if comp is None:
         named = nodes.withColumn("component", F.col("key"))
     else:
         named = nodes.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = named.join(open_.select("key", F.lit(True).alias("open")), "key", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    rows = materialize(named.select("key", F.xxhash64("component").alias("c"), "sketch", "orders", "open").mapInArrow(cut, "tree int, prefix long, key binary, c long, sketch binary, open boolean"))
+    rows = materialize(_prefixes(named.withColumn("c", F.xxhash64("component")), "key binary, c long, sketch binary, open boolean"))
     group = ["tree", "prefix"]
     each = materialize(rows.groupBy(*group, "c").agg(F.count("*").alias("all"), F.count_if("open").alias("n")))
     sizes = each.groupBy(*group).agg(F.sum("all").alias("size"), F.count_if(F.col("n") > 0).alias("comps"), F.sum(F.when(F.col("n") < BLOCK, F.col("n"))).alias("rest")).filter((F.col("size") > WINDOW) & (F.col("comps") > 1))
@@ -504,33 +534,29 @@ def set_components(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
     nodes = materialize(full.groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("sketch").alias("sketch"), F.first("orders").alias("orders")))
     share = similarity[0] / similarity[1] - SLACK
     least = int(HASHES * (share + (1 - share) / 16))
-    pairs, dense = candidates(nodes, None, least, FIRST)
+    pairs, _ = candidates(nodes, None, least, 1, EARLY)
     sets = _sets_of(base, nodes, pairs, None)
-    best = materialize(_best(pairs))
-    comp = _linked(best, sets, None, similarity)
-    comp = _linked(_between(pairs.join(best, ["a", "b"], "left_anti"), comp), sets, comp, similarity)
-    wide = None
+    comp = _linked_best(pairs, sets, None, similarity)
+    here = wide = nodes
     for turn in range(1 + MAX_THINNINGS):
-        here = dense
         if turn:
-            if comp is None:
+            if comp is None or dense.isEmpty():
                 break
             named = dense.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
             few = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("key")))
-            here = materialize(named.withColumn("n", few).filter(F.col("n") <= HUBS).select("key"))
-            if here.count() > 0.9 * dense.count():
+            thin = materialize(named.withColumn("n", few).filter(F.col("n") <= HUBS).select("key"))
+            if thin.count() > 0.9 * dense.count():
                 break
-        elif dense.isEmpty():
-            break
-        more, dense = candidates(nodes.join(here, "key", "left_semi"), comp, least)
-        wide = wide or (here, dense)
+            here = nodes.join(thin, "key", "left_semi")
+        more, dense = candidates(here, comp, least)
+        dense = materialize(dense)
+        wide = wide if turn else dense
         more = materialize(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
         if not more.isEmpty():
             sets = _sets_of(base, nodes, more, sets)
             pairs = pairs.unionByName(more)
-            comp = _linked(more, sets, comp, similarity)
-    if wide is not None:
-        comp = _finished(base, nodes.join(wide[0], "key", "left_semi"), wide[1], pairs, sets, comp, least, similarity)
+            comp = _linked_best(more, sets, comp, similarity)
+    comp = _finished(base, nodes.join(wide, "key", "left_semi"), wide, pairs, sets, comp, least, similarity)
     if comp is None:
         named = nodes.select("key", F.col("first").alias("component_id"))
     else:

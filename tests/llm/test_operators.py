@@ -704,6 +704,28 @@ def test_near_duplicates_in_a_dense_region(spark, monkeypatch):
     check_near(spark, list(enumerate(rows)))
 
 
+def test_near_duplicates_of_one_family_make_few_candidates(spark, monkeypatch):
+    """Copies of one text are linked by a few orders; the others name their groups, and no candidates inside a component."""
+    made = []
+
+    def counted(df, real=near_dup.materialize):
+        out = real(df)
+        if out.columns == near_dup.NAMES:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", counted)
+    rng = random.Random(17)
+    rows = []
+    for _ in range(400):
+        t = [f"w{k}" for k in range(120)]
+        for k in rng.sample(range(120), 2):
+            t[k] = f"x{rng.randint(0, 10**9)}"
+        rows.append(" ".join(t))
+    check_near(spark, list(enumerate(rows)))
+    assert made and sum(made) < 8 * len(rows)  # two in each of 16 orders before
+
+
 def near_by_matrix(texts):
     """The least index of each text's component, by products of the shingles that two texts or more have."""
     import numpy as np
