@@ -26,21 +26,25 @@ def quality_band(opaque: Column, words: Column, described: Column, ambiguity: Co
 
 def degree_percentiles(edges: DataFrame) -> DataFrame:
     """(entity, degree, degree_percentile): share of entities of a smaller degree; degrees are counted before they are ranked."""
-    d = degrees(edges).select("entity", "degree")
+    return percentiles(degrees(edges).select("entity", "degree"))
+
+
+def percentiles(d: DataFrame) -> DataFrame:
+    """(entity, degree, degree_percentile) from (entity, degree)."""
     n = d.groupBy("degree").agg(F.count("*").alias("m"))
     below = F.coalesce(F.sum("m").over(Window.orderBy("degree").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     share = n.select("degree", (below / F.sum("m").over(Window.partitionBy())).alias("degree_percentile"))
     return d.join(share, "degree").select("entity", "degree", "degree_percentile")
 
 
-def element_features(entities: DataFrame, types: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row for each entity; those without edges have degree 0 and percentile 0."""
+def element_features(entities: DataFrame, types: DataFrame, edges: DataFrame, degree: DataFrame | None = None) -> DataFrame:
+    """One row for each entity; those without edges have degree 0 and percentile 0. Edges are not counted again where (entity, degree) is given."""
     text = F.coalesce("text", F.lit(""))
     name = strip(before_comma(text))
     e = entities.select("id", text.alias("text"), name.alias("name"))
     shared = e.groupBy(F.lower(strip(F.col("text"))).alias("_key")).agg(F.count("*").alias("ambiguity"))
     f = e.withColumn("_key", F.lower("name")).join(shared, "_key", "left").drop("_key")
-    f = f.join(types.withColumnRenamed("entity", "id"), "id", "left").join(degree_percentiles(edges).withColumnRenamed("entity", "id"), "id", "left")
+    f = f.join(types.withColumnRenamed("entity", "id"), "id", "left").join((degree_percentiles(edges) if degree is None else percentiles(degree)).withColumnRenamed("entity", "id"), "id", "left")
     f = f.select(
         "id", F.lit("entity").alias("kind"), F.coalesce("type", F.lit(OTHER)).alias("semantic_type"), F.length("name").alias("label_len_chars"),
         F.when(F.col("name") == "", 0).otherwise(F.size(F.split("name", r"\s+"))).alias("label_len_words"), n_label_words(F.col("name")).alias("n_alpha_words"), looks_opaque(F.col("name")).alias("looks_opaque"),

@@ -218,3 +218,30 @@ def test_pools_by_salt(spark, monkeypatch):
     want = sorted(map(tuple, sampling.typed_negatives(known, known).collect()))
     monkeypatch.setattr(sampling, "BROADCAST_POOL", 0)
     assert sorted(map(tuple, sampling.typed_negatives(known, known).collect())) == want
+
+
+def test_features_from_one_count_of_the_edges(spark):
+    from graphlens.operators import routing, types
+
+    edges = spark.createDataFrame([("a", "r", "b"), ("a", "r", "c"), ("a", "s", "b"), ("b", "s", "c")], "head string, relation string, tail string")
+    s = types.signatures(edges)
+    assert {r["entity"]: (r["degree"], [(-x["m"], x["sig"]) for x in r["sigs"]]) for r in s.collect()} == {"a": (3, [(2, "r::out"), (1, "s::out")]), "b": (3, [(1, "r::in"), (1, "s::in"), (1, "s::out")]), "c": (2, [(1, "r::in"), (1, "s::in")])}
+    assert {tuple(r) for r in types.types_of(s, 64, 2).collect()} == {("a", "OTHER"), ("b", "r::in"), ("c", "r::in")}
+    ents = spark.createDataFrame([("a", "Aa, x"), ("z", None)], "id string, text string")
+    want, got = routing.element_features(ents, types.types_of(s), edges), routing.element_features(ents, types.types_of(s), edges, s.select("entity", "degree"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_tail_pool_numbers_tails_alone(spark):
+    known = spark.createDataFrame([("a", "r", "b"), ("a", "r", "c"), ("b", "s", "c"), ("c", "r", "d")], "head string, relation string, tail string")
+    want = sampling.side_index(known).filter("side = 'tail'").select("relation", "idx", "entity")
+    pool = sampling.tail_pool(known)
+    assert sorted(map(tuple, pool.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, sampling.typed_negatives(known, known, pool=pool).collect())) == sorted(map(tuple, sampling.typed_negatives(known, known).collect()))
+
+
+def test_condition_rows_are_made_once(spark):
+    rows = spark.range(6).selectExpr("if(id % 2 = 0, 'A', 'B') AS condition", "id div 2 AS id", "if(id < 4, 'x', concat('p', id)) AS prompt")
+    out = conditions.aligned(rows)
+    assert [tuple(r) for r in out.collect()] == [("A", "B", 3, 3, True, 3, 2)]
+    assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()  # all from one table by id
