@@ -3,8 +3,11 @@
 Every distinct shingle set is a node. TREES signature orders of LEVELS 16-bit min-hashes each are
 sorted by Spark (range partitions, so that no key and no group is one task). In each order a node's
 candidates are its WINDOW predecessors that share the longest prefixes with it, of MIN_DEPTH levels
-at least: the depth adapts to the region, shallow where it is sparse, deep where it is dense. A
-4-bit sketch of the signature screens candidates; full sets confirm links.
+at least: the depth adapts to the region, shallow where it is sparse, deep where it is dense.
+Candidates are screened, and full sets confirm links. Sets of up to PARITY_MOST shingles hold the
+parities of PARITY_BITS buckets of shingles: each parity that differs takes a shingle of one set
+alone, so two sets are left out only if they cannot be similar. Longer sets are screened by 4-bit
+sketches of their signatures.
 
 Confirmed links join nodes into components, so candidates inside a component need no check. An early
 pass over EARLY of the orders takes the best candidate of each node and order, which makes a chain of
@@ -50,6 +53,11 @@ PREFIX = np.int64(16 * (4 - MIN_DEPTH))
 WINDOW = 20
 #: A pair whose sketches agree less than this share below the threshold's expectation is no candidate (over 4 standard deviations).
 SLACK = 0.17
+#: Buckets of the parities, and most shingles of a set that has them; near it a set has a sketch, too.
+PARITY_BITS, PARITY_MOST = 512, 1000
+#: 8-byte words of a screen: the set's size, its parities, its sketch.
+WORDS = 1 + PARITY_BITS // 64 + HASHES // 16
+PARITY, SKETCH = slice(1, 1 + PARITY_BITS // 64), slice(1 + PARITY_BITS // 64, WORDS)
 ROWS_PER_TASK = 40_000
 #: Nodes of each component that stay when a dense region is thinned, to link most of it cheaply; _finished() takes the rest.
 HUBS = 4
@@ -72,8 +80,8 @@ _rng = np.random.default_rng(20240607)
 XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 ODD = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Number of equal 4-bit halves in the bytes whose exclusive-or is the index.
-EQUAL_HALVES = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
+#: The lowest bit of each 4 bits.
+LOWEST = np.uint64(0x1111111111111111)
 
 
 class TokenHashes(dict):
@@ -113,28 +121,75 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = TokenHashes()
-    for b in batches:
-        keys, counts, sketches, orders = [], [], [], []
-        for text in b.column("text").to_pylist():
-            s = shingle_set(text, hashes)
-            counts.append(len(s))
-            if not len(s):
-                keys.append(None)
-                sketches.append(None)
-                orders.append(None)
-                continue
-            keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-            sig = signature(s)
-            low = (sig & np.uint32(15)).astype(np.uint8)
-            sketches.append((low[0::2] | low[1::2] << 4).tobytes())
-            orders.append((sig >> np.uint32(16)).astype(">u2").tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.array(orders, pa.binary())], names=["doc_id", "text_key", "n_shingles", "key", "sketch", "orders"])
+def screen(shingles: np.ndarray, sig: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """WORDS numbers: the size, the parities of a set of up to PARITY_MOST shingles, the sketch of one that may be similar to a larger one."""
+    out = np.zeros(WORDS, np.uint64)
+    out[0] = len(shingles)
+    if len(shingles) <= PARITY_MOST:
+        odd = np.bincount((shingles % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+        out[PARITY] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    if similarity[1] * len(shingles) >= similarity[0] * PARITY_MOST:
+        low = (sig & np.uint32(15)).astype(np.uint8)
+        out[SKETCH] = (low[0::2] | low[1::2] << 4).view(np.uint64)
+    return out
+
+
+def _sketched(similarity: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TokenHashes()
+        for b in batches:
+            keys, counts, screens, orders = [], [], [], []
+            for text in b.column("text").to_pylist():
+                s = shingle_set(text, hashes)
+                counts.append(len(s))
+                if not len(s):
+                    keys.append(None)
+                    screens.append(None)
+                    orders.append(None)
+                    continue
+                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sig = signature(s)
+                screens.append(screen(s, sig, similarity).tobytes())
+                orders.append((sig >> np.uint32(16)).astype(">u2").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(screens, pa.binary()), pa.array(orders, pa.binary())], names=["doc_id", "text_key", "n_shingles", "key", "screen", "orders"])
+
+    return run
+
+
+def _least(similarity: tuple[int, int]) -> int:
+    """Fewest agreements of two sketches that make a candidate."""
+    share = similarity[0] / similarity[1] - SLACK
+    return int(HASHES * (share + (1 - share) / 16))
+
+
+def _similarities(x: np.ndarray, y: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """For each two rows of screens their similarity as the screens tell it, in thousandths; -1 for no candidate."""
+    num, den = similarity
+    nx, ny = x[:, 0].astype(np.int64), y[:, 0].astype(np.int64)
+    low, high = np.minimum(nx, ny), np.maximum(nx, ny)
+    out = np.full(len(x), -1, np.int32)
+    fit = den * low >= num * high
+    at = np.nonzero(fit & (high <= PARITY_MOST))[0]
+    if len(at):
+        odd = np.bitwise_count(x[at, PARITY] ^ y[at, PARITY]).sum(axis=1, dtype=np.int64)
+        both = nx[at] + ny[at]
+        keep = odd * (den + num) <= both * (den - num)
+        at, odd, both = at[keep], odd[keep], both[keep]
+        differ = np.minimum(-PARITY_BITS / 2 * np.log1p(-2 * np.minimum(odd, PARITY_BITS // 2 - 1) / PARITY_BITS), both)
+        out[at] = 1000 * (both - differ) / (both + differ)
+    at = np.nonzero(fit & (high > PARITY_MOST))[0]
+    if len(at):
+        d = x[at, SKETCH] ^ y[at, SKETCH]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        n = HASHES - np.bitwise_count(d & LOWEST).sum(axis=1, dtype=np.int64)
+        keep = n >= _least(similarity)
+        out[at[keep]] = 1000 * (16 * n[keep] / HASHES - 1) / 15
+    return out
 
 
 def _orders(nodes: DataFrame, trees: int) -> DataFrame:
-    """(tree, k0, k1, key, comp, sketch): one row for each node and each of the first trees, sorted over range partitions."""
+    """(tree, k0, k1, key, comp, screen): one row for each node and each of the first trees, sorted over range partitions."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,19 +198,19 @@ def _orders(nodes: DataFrame, trees: int) -> DataFrame:
                 continue
             k = np.frombuffer(b"".join(b.column("orders").to_pylist()), ">i8").reshape(n, TREES, 2)[:, :trees].astype(np.int64).reshape(-1, 2)
             each = pa.array(np.repeat(np.arange(n), trees))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), *(b.column(c).take(each) for c in ("key", "comp", "sketch"))], names=["tree", "k0", "k1", "key", "comp", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), *(b.column(c).take(each) for c in ("key", "comp", "screen"))], names=["tree", "k0", "k1", "key", "comp", "screen"])
 
-    rows = nodes.select("key", "comp", "sketch", "orders").mapInArrow(cut, "tree int, k0 long, k1 long, key binary, comp binary, sketch binary")
+    rows = nodes.select("key", "comp", "screen", "orders").mapInArrow(cut, "tree int, k0 long, k1 long, key binary, comp binary, screen binary")
     tasks = max(1, -(-nodes.count() * trees // ROWS_PER_TASK))
     by = ["tree", "k0", "k1", "key"]
     return rows.repartitionByRange(tasks, *by).sortWithinPartitions(*by)
 
 
-OUT = "a binary, b binary, agree int, part int, tree int, k0 long, k1 long, key binary, comp binary, sketch binary"
-NAMES = ["a", "b", "agree", "part", "tree", "k0", "k1", "key", "comp", "sketch"]
+OUT = "a binary, b binary, agree int, part int, tree int, k0 long, k1 long, key binary, comp binary, screen binary"
+NAMES = ["a", "b", "agree", "part", "tree", "k0", "k1", "key", "comp", "screen"]
 
 
-def _neighbours(tree: np.ndarray, k0: np.ndarray, comp: np.ndarray, sketches: np.ndarray, least: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _neighbours(tree: np.ndarray, k0: np.ndarray, comp: np.ndarray, screens: np.ndarray, similarity: tuple[int, int], most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rows i, rows j, agreements) of the candidates i before j in different components, the best `most` of a row j,
     and rows of the groups that reach beyond the window, one at least of each."""
     left, right, agree = [], [], []
@@ -169,8 +224,8 @@ def _neighbours(tree: np.ndarray, k0: np.ndarray, comp: np.ndarray, sketches: np
         at = at[(comp[at] != comp[at + o]).any(axis=1)]
         for c in range(0, len(at), 1 << 16):
             i = at[c : c + (1 << 16)]
-            n = EQUAL_HALVES[sketches[i] ^ sketches[i + o]].sum(axis=1, dtype=np.int32)
-            keep = n >= least
+            n = _similarities(screens[i], screens[i + o], similarity)
+            keep = n >= 0
             left.append(i[keep])
             right.append(i[keep] + o)
             agree.append(n[keep])
@@ -187,7 +242,7 @@ def _neighbours(tree: np.ndarray, k0: np.ndarray, comp: np.ndarray, sketches: np
     return i, j, n, wide
 
 
-def _candidates(least: int, most: int | None):
+def _candidates(similarity: tuple[int, int], most: int | None):
     """Candidates of a range partition, its dense groups, and the rows at its ends for _across()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +251,7 @@ def _candidates(least: int, most: int | None):
             return
         t = pa.Table.from_batches(got)
         part = TaskContext.get().partitionId()
-        yield from _emit(t, least, most)
+        yield from _emit(t, similarity, most)
         n, w = t.num_rows, min(WINDOW, t.num_rows)
         for rows, p in ((t.slice(0, w), part - 1), (t.slice(n - w, w), part)):
             rows = rows.combine_chunks()
@@ -207,13 +262,13 @@ def _candidates(least: int, most: int | None):
     return run
 
 
-def _across(least: int, most: int | None):
+def _across(similarity: tuple[int, int], most: int | None):
     """Candidates between the last rows of a range partition and the first of the next; whole parts in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if sum(b.num_rows for b in got):
-            yield from _emit(pa.Table.from_batches(got), least, most)
+            yield from _emit(pa.Table.from_batches(got), similarity, most)
 
     return run
 
@@ -223,14 +278,14 @@ def _halves(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, 2)
 
 
-def _emit(t: pa.Table, least: int, most: int | None) -> Iterator[pa.RecordBatch]:
+def _emit(t: pa.Table, similarity: tuple[int, int], most: int | None) -> Iterator[pa.RecordBatch]:
     tree = own = t.column("tree").to_numpy().astype(np.int64)
     if "part" in t.column_names:
         tree = tree + t.column("part").to_numpy().astype(np.int64) * TREES
     keys = np.array(t.column("key").to_pylist(), object)
-    sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    screens = np.frombuffer(b"".join(t.column("screen").to_pylist()), np.uint64).reshape(-1, WORDS)
     k0 = t.column("k0").to_numpy()
-    left, right, agree, wide = _neighbours(tree, k0, _halves(t.column("comp")), sketches, least, most)
+    left, right, agree, wide = _neighbours(tree, k0, _halves(t.column("comp")), screens, similarity, most)
     pairs = {(x, y) if x < y else (y, x): m for x, y, m in zip(keys[left], keys[right], agree.tolist(), strict=True) if x != y}
     a, b = [p[0] for p in pairs], [p[1] for p in pairs]
     groups = sorted(set(zip(own[wide].tolist(), (k0[wide] >> PREFIX).tolist(), strict=True)))
@@ -257,7 +312,7 @@ def _prefixes(nodes: DataFrame, kinds: str) -> DataFrame:
     return nodes.select(*names, "orders").mapInArrow(cut, f"tree int, prefix long, {kinds}")
 
 
-def candidates(nodes: DataFrame, comp: DataFrame | None, least: int, most: int | None = None, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+def candidates(nodes: DataFrame, comp: DataFrame | None, similarity: tuple[int, int], most: int | None = None, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
     """((a, b, agree) with a < b in different components, the nodes that have one or may have more), by the first trees.
 
     With `most`, the best so many of a node in each tree; what it leaves out is for a later call.
@@ -266,9 +321,9 @@ def candidates(nodes: DataFrame, comp: DataFrame | None, least: int, most: int |
         named = nodes.withColumn("comp", F.col("key"))
     else:
         named = nodes.join(comp.select(F.col("node").alias("key"), F.col("component").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    found = materialize(_orders(named, trees).mapInArrow(_candidates(least, most), OUT))
+    found = materialize(_orders(named, trees).mapInArrow(_candidates(similarity, most), OUT))
     ends = found.filter(F.col("part").isNotNull()).select(*NAMES[3:])
-    across = ends.repartition("part").sortWithinPartitions("part", "tree", "k0", "k1", "key").mapInArrow(_across(least, most), OUT)
+    across = ends.repartition("part").sortWithinPartitions("part", "tree", "k0", "k1", "key").mapInArrow(_across(similarity, most), OUT)
     each = ["a", "b", "tree", "k0"]
     both = found.filter(F.col("part").isNull()).select(*each, "agree").unionByName(across.select(*each, "agree"))
     both = materialize(both.groupBy(*each).agg(F.max("agree").alias("agree")))
@@ -353,22 +408,35 @@ def _planes(sketches: np.ndarray) -> np.ndarray:
     """The four bit planes of each sketch, as (4, words, rows)."""
     n = len(sketches)
     bits = np.unpackbits(sketches, axis=1).reshape(n, HASHES, 4)
-    return np.packbits(bits.transpose(0, 2, 1), axis=2).view(np.uint64).transpose(1, 2, 0).copy()
+    return np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2)).view(np.uint64).transpose(1, 2, 0).copy()
 
 
-def _agreeing(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray, least: int, half: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i of x and j of y in different components whose sketches agree enough; i < j if x and y are one block."""
-    px, py = _planes(x), _planes(y)
+def _agreeing(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray, similarity: tuple[int, int], half: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i of x and j of y in different components that their screens make candidates, as in _similarities(); i < j if x and y are one block."""
+    num, den = similarity
+    nx, ny = x[:, 0].astype(np.int64), y[:, 0].astype(np.int64)
+    any_short, any_long = min(nx.min(), ny.min()) <= PARITY_MOST, max(nx.max(), ny.max()) > PARITY_MOST
+    odd_x, odd_y = x[:, PARITY], y[:, PARITY].T.copy()
+    px, py = (_planes(np.ascontiguousarray(s[:, SKETCH]).view(np.uint8)) for s in (x, y)) if any_long else (None, None)
     left, right = [], []
     for at in range(0, len(x), 128):
         end = min(at + 128, len(x))
-        differ = np.zeros((end - at, len(y)), np.uint16)
-        for w in range(px.shape[1]):
-            d = px[0, w, at:end, None] ^ py[0, w]
-            for bit in range(1, 4):
-                d |= px[bit, w, at:end, None] ^ py[bit, w]
-            differ += np.bitwise_count(d)
-        keep = (differ <= HASHES - least) & (cx[at:end, None] != cy)
+        n = nx[at:end, None]
+        high = np.maximum(n, ny)
+        keep = (cx[at:end, None] != cy) & (den * np.minimum(n, ny) >= num * high)
+        if any_short:
+            odd = np.zeros(keep.shape, np.uint16)
+            for w in range(odd_x.shape[1]):
+                odd += np.bitwise_count(odd_x[at:end, w, None] ^ odd_y[w])
+            keep &= (high > PARITY_MOST) | (odd.astype(np.int64) * (den + num) <= (n + ny) * (den - num))
+        if any_long:
+            differ = np.zeros(keep.shape, np.uint16)
+            for w in range(px.shape[1]):
+                d = px[0, w, at:end, None] ^ py[0, w]
+                for bit in range(1, 4):
+                    d |= px[bit, w, at:end, None] ^ py[bit, w]
+                differ += np.bitwise_count(d)
+            keep &= (high <= PARITY_MOST) | (differ <= HASHES - _least(similarity))
         if half:
             keep &= np.arange(at, end)[:, None] < np.arange(len(y))
         i, j = np.nonzero(keep)
@@ -427,7 +495,7 @@ def _joins(ca: np.ndarray, cb: np.ndarray) -> list[int]:
 TILES = "a binary, b binary, tree int, prefix long, x int, y int"
 
 
-def _screened(least: int):
+def _screened(similarity: tuple[int, int]):
     """(a, b) of the tiles with few candidates; (tree, prefix, x, y) of those with many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,8 +503,8 @@ def _screened(least: int):
             for r in b.to_pylist():
                 half = r["x"] == r["y"]
                 kx, ky = r["kx"], r["ky"]
-                sx, sy = (np.frombuffer(b"".join(r[c]), np.uint8).reshape(-1, HASHES // 2) for c in ("sx", "sy"))
-                i, j = _agreeing(sx, sy, np.array(r["cx"]), np.array(r["cy"]), least, half)
+                sx, sy = (np.frombuffer(b"".join(r[c]), np.uint64).reshape(-1, WORDS) for c in ("sx", "sy"))
+                i, j = _agreeing(sx, sy, np.array(r["cx"]), np.array(r["cy"]), similarity, half)
                 rich = len(i) > RICH * (len(kx) + len(ky))
                 pairs = [] if rich else [(min(p), max(p)) for p in zip((kx[m] for m in i), (ky[m] for m in j), strict=True)]
                 n = len(pairs) + rich
@@ -465,7 +533,7 @@ def _settled(similarity: tuple[int, int]):
 
 
 def _dense_rows(nodes: DataFrame, open_: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """(tree, prefix, pure, part, c, key, sketch): the open nodes of groups that share MIN_DEPTH levels, have more nodes than
+    """(tree, prefix, pure, part, c, key, screen): the open nodes of groups that share MIN_DEPTH levels, have more nodes than
     the window and several components. A component of a block or more has blocks of its own, with itself as pure."""
 
     if comp is None:
@@ -473,7 +541,7 @@ def _dense_rows(nodes: DataFrame, open_: DataFrame, comp: DataFrame | None) -> D
     else:
         named = nodes.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = named.join(open_.select("key", F.lit(True).alias("open")), "key", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    rows = materialize(_prefixes(named.withColumn("c", F.xxhash64("component")), "key binary, c long, sketch binary, open boolean"))
+    rows = materialize(_prefixes(named.withColumn("c", F.xxhash64("component")), "key binary, c long, screen binary, open boolean"))
     group = ["tree", "prefix"]
     each = materialize(rows.groupBy(*group, "c").agg(F.count("*").alias("all"), F.count_if("open").alias("n")))
     sizes = each.groupBy(*group).agg(F.sum("all").alias("size"), F.count_if(F.col("n") > 0).alias("comps"), F.sum(F.when(F.col("n") < BLOCK, F.col("n"))).alias("rest")).filter((F.col("size") > WINDOW) & (F.col("comps") > 1))
@@ -485,14 +553,14 @@ def _dense_rows(nodes: DataFrame, open_: DataFrame, comp: DataFrame | None) -> D
     spread = lambda n: F.pmod(F.xxhash64(F.lit(1), "key"), n)
     # mixed blocks first; those of a large component after them, told apart by the component
     own = F.col("own").isNotNull()
-    return j.withColumn("pure", F.when(own, F.col("c"))).withColumn("part", F.when(own, spread(parts(F.col("own")))).otherwise(spread(parts(F.col("rest"))))).select(*group, "pure", "part", "c", "key", "sketch")
+    return j.withColumn("pure", F.when(own, F.col("c"))).withColumn("part", F.when(own, spread(parts(F.col("own")))).otherwise(spread(parts(F.col("rest"))))).select(*group, "pure", "part", "c", "key", "screen")
 
 
-def _finished(base: DataFrame, nodes: DataFrame, open_: DataFrame, pairs: DataFrame, sets: DataFrame | None, comp: DataFrame | None, least: int, similarity: tuple[int, int]) -> DataFrame | None:
+def _finished(base: DataFrame, nodes: DataFrame, open_: DataFrame, pairs: DataFrame, sets: DataFrame | None, comp: DataFrame | None, similarity: tuple[int, int]) -> DataFrame | None:
     """The components after all pairs of the dense groups between different components have been compared."""
     group = ["tree", "prefix"]
     rows = materialize(_dense_rows(nodes, open_, comp))
-    packed = materialize(rows.groupBy(*group, "pure", "part").agg(F.collect_list(F.struct("key", "c", "sketch")).alias("r")))
+    packed = materialize(rows.groupBy(*group, "pure", "part").agg(F.collect_list(F.struct("key", "c", "screen")).alias("r")))
     if packed.isEmpty():
         return comp
     # few rows a group: one for each block
@@ -506,7 +574,7 @@ def _finished(base: DataFrame, nodes: DataFrame, open_: DataFrame, pairs: DataFr
         side = lambda e: blocks.select(*group, F.col("block").alias(e), F.col("r.key").alias(f"k{e}"), F.col("r.c").alias(f"c{e}"), F.col(f"r.{field}").alias(f"s{e}"))
         return tiles.join(side("x"), [*group, "x"]).join(side("y"), [*group, "y"]).select(*group, "x", "y", "kx", "cx", "sx", "ky", "cy", "sy")
 
-    found = materialize(filled(tiles, blocks, "sketch").mapInArrow(_screened(least), TILES))
+    found = materialize(filled(tiles, blocks, "screen").mapInArrow(_screened(similarity), TILES))
     few = materialize(found.filter(F.col("a").isNotNull()).select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     rich = found.filter(F.col("a").isNull()).select(*group, "x", "y")
     links = None
@@ -529,12 +597,10 @@ def set_components(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
     """(doc_id, text_key, n_shingles, component_id), one row for each row of documents."""
     bound_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    rows = materialize(base.mapInArrow(_sketched, "doc_id long, text_key long, n_shingles long, key binary, sketch binary, orders binary"))
+    rows = materialize(base.mapInArrow(_sketched(similarity), "doc_id long, text_key long, n_shingles long, key binary, screen binary, orders binary"))
     full = rows.filter(F.col("key").isNotNull())
-    nodes = materialize(full.groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("sketch").alias("sketch"), F.first("orders").alias("orders")))
-    share = similarity[0] / similarity[1] - SLACK
-    least = int(HASHES * (share + (1 - share) / 16))
-    pairs, _ = candidates(nodes, None, least, 1, EARLY)
+    nodes = materialize(full.groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("screen").alias("screen"), F.first("orders").alias("orders")))
+    pairs, _ = candidates(nodes, None, similarity, 1, EARLY)
     sets = _sets_of(base, nodes, pairs, None)
     comp = _linked_best(pairs, sets, None, similarity)
     here = wide = nodes
@@ -548,7 +614,7 @@ def set_components(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
             if thin.count() > 0.9 * dense.count():
                 break
             here = nodes.join(thin, "key", "left_semi")
-        more, dense = candidates(here, comp, least)
+        more, dense = candidates(here, comp, similarity)
         dense = materialize(dense)
         wide = wide if turn else dense
         more = materialize(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
@@ -556,7 +622,7 @@ def set_components(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
             sets = _sets_of(base, nodes, more, sets)
             pairs = pairs.unionByName(more)
             comp = _linked_best(more, sets, comp, similarity)
-    comp = _finished(base, nodes.join(wide, "key", "left_semi"), wide, pairs, sets, comp, least, similarity)
+    comp = _finished(base, nodes.join(wide, "key", "left_semi"), wide, pairs, sets, comp, similarity)
     if comp is None:
         named = nodes.select("key", F.col("first").alias("component_id"))
     else:

@@ -726,6 +726,49 @@ def test_near_duplicates_of_one_family_make_few_candidates(spark, monkeypatch):
     assert made and sum(made) < 8 * len(rows)  # two in each of 16 orders before
 
 
+def test_near_duplicates_below_the_bound_are_screened_out(spark, monkeypatch):
+    """Texts of similarity about 0.7 to each other: their screens leave few pairs, where sketches left nearly all of a window."""
+    made = []
+
+    def counted(df, real=near_dup.materialize):
+        out = real(df)
+        if out.columns == near_dup.NAMES:
+            made.append(out.filter("a IS NOT NULL").count())
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", counted)
+    rng = random.Random(18)
+    rows = []
+    for _ in range(300):
+        t = [f"w{k}" for k in range(120)]
+        for k in rng.sample(range(120), 6):
+            t[k] = f"x{rng.randint(0, 10**9)}"
+        rows.append(" ".join(t))
+    check_near(spark, list(enumerate(rows)))
+    assert made and sum(made) < 4 * len(rows)
+
+
+def test_screens_keep_every_similar_pair():
+    """Sets of all sizes, those near PARITY_MOST too: no pair of 0.8 or more is lost, in rows or in tiles, and a far one is."""
+    import numpy as np
+
+    rng = np.random.default_rng(19)
+    for n in (1, 2, 5, 40, 300, 790, 850, 990, 1000, 1010, 1200, 5000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False))
+            gone = int(rng.integers(0, n // 9 + 1))
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 64, max(0, n // 9 - gone), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            near = 100 * both >= 80 * (len(a) + len(b) - both)
+            far = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            x, y, z = (near_dup.screen(s, near_dup.signature(s), (80, 100))[None] for s in (a, b, far))
+            for other, want in ((y, near), (z, False)):
+                found = near_dup._similarities(x, other, (80, 100))[0] >= 0
+                i, _ = near_dup._agreeing(x, other, np.array([1]), np.array([2]), (80, 100), False)
+                assert found == (len(i) == 1) and (found or not want)
+                assert not (found and other is z and n > 2)
+
+
 def near_by_matrix(texts):
     """The least index of each text's component, by products of the shingles that two texts or more have."""
     import numpy as np
