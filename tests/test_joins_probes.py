@@ -77,6 +77,22 @@ def test_contained_names(spark):
     assert joins.contained(spark.createDataFrame([], "name string"), spark.createDataFrame([("x",)], "text string")).count() == 0
 
 
+def test_longest_prefix_of_most_ids_is_not_one_key(spark, monkeypatch):
+    """Short prefixes that most ids start with are met by broadcast; the same results when only some are, or none."""
+    ids = [f"k:{i}" for i in range(300)] + ["", "z"]
+    table = [("", "all"), ("k:", "k"), ("k:1", "one"), ("k:1", "a"), *((f"k:{i}", f"own{i}") for i in range(10, 60))]
+    df, pf = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(table, "prefix string, value string")
+    want = {i: max((p for p, _ in table if i.startswith(p)), key=len) for i in ids}
+    for most in (joins.BROADCAST_PREFIXES, 2, 0):
+        monkeypatch.setattr(joins, "BROADCAST_PREFIXES", most)
+        out = joins.longest_prefix(df, pf)
+        if most > 2:
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert "strategy=broadcast" in plan
+        got = {r["id"]: (r["prefix"], r["value"]) for r in out.collect()}
+        assert {i: p for i, (p, _) in got.items()} == want and all(v == min(x for q, x in table if q == p) for p, v in got.values())
+
+
 def test_longest_prefix(spark):
     rng = random.Random(4)
     word = lambda k: "".join(rng.choice("ab") for _ in range(k))
