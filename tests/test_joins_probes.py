@@ -261,3 +261,16 @@ def test_condition_rows_are_made_once(spark):
     out = conditions.aligned(rows)
     assert [tuple(r) for r in out.collect()] == [("A", "B", 3, 3, True, 3, 2)]
     assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()  # all from one table by id
+
+
+def test_audits_count_in_one_pass_over_triples_and_ends(spark):
+    """Leaks of an inductive split and of a test, each counted with its copies; a triple with a null is no leak."""
+    from graphlens.operators import audit
+
+    rows = [("a", "r", "b", "train"), ("b", "r", "c", "train"), ("a", "r", "c", "query"), ("x", "s", "b", "query"), ("x", "s", "b", "query"), ("x", "r", "y", "query"), ("b", "r", "z", "support")]
+    got = {r["check"]: r["n"] for r in audit.inductive_checks(spark.createDataFrame(rows, "head string, relation string, tail string, part string")).collect()}
+    assert got == {"query_heads_seen": 1, "query_tails_orphan": 1, "relations_unknown": 1, "fully_seen": 1, "duplicates": 1}
+    train = spark.createDataFrame([("a", "r", "b"), ("a", "r", "b"), (None, "r", "b")], "head string, relation string, tail string")
+    test = spark.createDataFrame([("a", "r", "b", 1), ("a", "r", "b", 1), ("a", "r", "b", -1), (None, "r", "b", 1), ("q", "r", "b", None)], "head string, relation string, tail string, label int")
+    out = audit.audit(train, test, spark.createDataFrame([("a", "A")], "id string, text string"))
+    assert {r["check"]: r["n"] for r in out.collect()} == {"duplicate_triples": 1, "test_in_train": 2, "negatives_in_train": 1, "entities_without_text": 2, "test_entities_unseen": 2, "test_relations_unseen": 0, "self_loops": 0, "blank_texts": 0}
