@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions import text as tx
 from graphlens.functions.hashing import det_number, unit
-from graphlens.functions.ordering import with_dense_index
+from graphlens.functions.ordering import checkpointed, with_dense_index
 from graphlens.operators import audit, graph, metrics, probes, ranking, reports, sampling, types
 from graphlens.plans import base
 from graphlens.plans.base import T, U, number
@@ -224,17 +224,8 @@ UNSEEN = f"u AS (SELECT head, relation, tail, {number('ind', 'head')} % 10000 <
 
 @query("se10_inductive_checks", f"WITH {UNSEEN} SELECT 'query_heads_seen' AS \"check\", count(*) AS n FROM w WHERE part = 'query' AND head IN (SELECT e FROM tr) UNION ALL SELECT 'relations_unknown', count(DISTINCT relation) FROM w WHERE part = 'query' AND relation NOT IN (SELECT relation FROM w WHERE part = 'train') UNION ALL SELECT 'fully_seen', count(*) FROM w WHERE part <> 'train' AND head IN (SELECT e FROM tr) AND tail IN (SELECT e FROM tr) UNION ALL SELECT 'query_tails_orphan', count(*) FROM w WHERE part = 'query' AND tail NOT IN (SELECT e FROM tr) UNION ALL SELECT 'duplicates', count(*) - count(DISTINCT (head, relation, tail)) FROM w")
 def _(spark, sf):
-    w = sampling.inductive_split(base.triples(spark, sf), 0.1)
-    train, q = w.filter("part = 'train'"), w.filter("part = 'query'")
-    seen = audit.ends(train).distinct()
-    seen = seen.toDF("e")
-    has = lambda df, end: df.join(seen.withColumnRenamed("e", end), end, "left_semi")
-    one = lambda df, name, n=None: df.agg(F.lit(name).alias("check"), (n if n is not None else F.count("*")).alias("n"))
-    out = one(has(q, "head"), "query_heads_seen")
-    out = out.unionByName(one(q.select("relation").distinct().join(train.select("relation").distinct(), "relation", "left_anti"), "relations_unknown"))
-    out = out.unionByName(one(has(has(w.filter("part <> 'train'"), "head"), "tail"), "fully_seen"))
-    out = out.unionByName(one(q.join(seen.withColumnRenamed("e", "tail"), "tail", "left_anti"), "query_tails_orphan"))
-    return out.unionByName(one(w.groupBy(*TRIPLE).agg((F.count("*") - 1).alias("m")), "duplicates", F.coalesce(F.sum("m"), F.lit(0).cast("long"))))
+    w = checkpointed(sampling.inductive_split(base.triples(spark, sf), 0.1))  # read five times
+    return audit.inductive_checks(w)
 
 
 @query("se13_completeness", f"WITH x AS (SELECT split, {number('hole', *T)} % 40 AS k FROM kg) SELECT split, count(*) AS n, false AS empty, count(*) FILTER (k = 0) AS n_short, count(*) FILTER (k = 1) AS n_blank, count(*) FILTER (k NOT IN (0, 1, 3)) AS n_unlabelled FROM x GROUP BY split UNION ALL SELECT 'extra', 0, true, 0, 0, 0")
