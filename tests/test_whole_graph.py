@@ -1,5 +1,6 @@
 """Graph queries over all neighbours: nothing is capped, and what is shuffled stays in the row of a query."""
 
+import hashlib
 from pathlib import Path
 
 import pytest
@@ -31,3 +32,32 @@ def test_two_hop_query_has_no_cap(spark):
         hops |= dict.fromkeys(front, hop)
     got = {r["entity"]: r["hop"] for r in entry.queries()["gr3_two_hop_neighbourhood"](spark, SF).collect()}
     assert got == hops and "row_number" not in entry.oracle_sql()["gr3_two_hop_neighbourhood"]
+
+
+def test_inverses_shuffle_edges_once(spark):
+    edges = spark.createDataFrame([("a", "r", "b"), ("a", "r", "b"), ("b", "s", "a"), ("c", "r", "c"), ("a", "r", "d")], EDGE)
+    out = graph.inverse_relations(edges, 1, 0)
+    assert "hashpartitioning(lo" not in out._jdf.queryExecution().executedPlan().toString()  # twice before: now counted once, then read
+    # the copies of (a r b) meet s each, s meets r once, the loop meets itself
+    assert {(r["relation"], r["inverse"]): (r["rate"], r["rate_back"]) for r in out.collect()} == {("r", "s"): (0.5, 1.0), ("s", "r"): (1.0, 0.5), ("r", "r"): (0.25, 0.25)}
+
+
+def by_query(frame):
+    return "hashpartitioning(qid" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_guarded_neighbours_stay_in_a_row(spark):
+    rows = [("h", f"r{i % 3}", f"t{i}") for i in range(30)] + [(f"t{i}", "back", "h") for i in range(9)] + [("h", "r1", "t1")] * 2
+    edges = spark.createDataFrame(rows, EDGE)
+    asked = [(f"{i}", "h", f"r{i % 4}", f"t{i}") for i in range(12)] + [("0", "h", "r0", "t0"), ("x", "alone", "r0", "t0")]
+    queries = spark.createDataFrame(asked, "qid string, " + EDGE)
+    banned = {("r0", "back"), ("r0", "r2"), ("r1", "r0")}
+    out = graph.guarded_neighbours(edges, queries, spark.createDataFrame(sorted(banned), "relation string, inverse string"), 4)
+    near = {(h, r, t) for h, r, t in rows} | {(t, r, h) for h, r, t in rows}
+    key = lambda *parts: hashlib.sha256("|".join(parts).encode()).hexdigest()
+    want = {}
+    for qid, h, r, t in asked:
+        kept = sorted((key("nbr", h, via, o), o) for e, via, o in near if e == h and not (o == t and via == r) and (r, via) not in banned)[:4]
+        want |= {qid: "|".join(o for _, o in kept)} if kept else {}
+    got = [tuple(x) for x in out.collect()]
+    assert sorted(got) == sorted(want.items()) and not by_query(out)
