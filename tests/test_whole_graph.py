@@ -61,3 +61,19 @@ def test_guarded_neighbours_stay_in_a_row(spark):
         want |= {qid: "|".join(o for _, o in kept)} if kept else {}
     got = [tuple(x) for x in out.collect()]
     assert sorted(got) == sorted(want.items()) and not by_query(out)
+
+
+def test_safe_neighbours_stay_in_a_row(spark):
+    """Texts that several neighbours share, the gold tail among them, count once and stay as long as another has them."""
+    rows = [("h", f"r{i % 3}", f"t{i}") for i in range(30)] + [(f"t{i}", "back", "h") for i in range(9)] + [("h", "r1", "t1")] * 2 + [("h", "r2", "h")]
+    texts = {f"t{i}": f"text {i % 11}" for i in range(25)}
+    asked = [(f"{i}", "h", f"r{i % 4}", f"t{i}") for i in range(30)] + [("0", "h", "r0", "t0")]
+    banned = {("r0", "back"), ("r0", "r2"), ("r1", "r0")}
+    out = graph.safe_neighbours(spark.createDataFrame(rows, EDGE), spark.createDataFrame(asked, "qid string, " + EDGE), spark.createDataFrame(sorted(banned), "relation string, inverse string"), spark.createDataFrame(list(texts.items()), "id string, text string"), 3)
+    near = {(h, r, t) for h, r, t in rows} | {(t, r, h) for h, r, t in rows}
+    key = lambda *parts: hashlib.sha256("|".join(parts).encode()).hexdigest()
+    want = {}
+    for qid, h, r, t in asked:
+        kept = sorted({(key("nbr", h, texts.get(o, o)), texts.get(o, o)) for e, via, o in near if e == h and o not in (h, t) and via != r and (r, via) not in banned})[:3]
+        want |= {qid: "|".join(o for _, o in kept)} if kept else {}
+    assert sorted(tuple(x) for x in out.collect()) == sorted(want.items()) and not by_query(out)
