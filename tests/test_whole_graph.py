@@ -1,12 +1,15 @@
 """Graph queries over all neighbours: nothing is capped, and what is shuffled stays in the row of a query."""
 
 import hashlib
+import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from graphlens.operators import graph
+from graphlens.operators import budget, graph
 
 SF = "/root/testdata/sf0.001"
 EDGE = "head string, relation string, tail string"
@@ -77,3 +80,24 @@ def test_safe_neighbours_stay_in_a_row(spark):
         kept = sorted({(key("nbr", h, texts.get(o, o)), texts.get(o, o)) for e, via, o in near if e == h and o not in (h, t) and via != r and (r, via) not in banned})[:3]
         want |= {qid: "|".join(o for _, o in kept)} if kept else {}
     assert sorted(tuple(x) for x in out.collect()) == sorted(want.items()) and not by_query(out)
+
+
+def test_alike_queries_are_filled_once(spark):
+    """The shapes of queries give the fillings that the queries give, with all policies, ties and missing traits."""
+    rng = random.Random(5)
+    kinds = [*budget.KINDS, "other"]
+    rows = []
+    for i in range(200):
+        blocks = [(rng.choice(kinds), f"t{rng.randint(0, 3)}", "w " * n, n) for n in (rng.randint(1, 6) for _ in range(rng.randint(0, 6)))]
+        traits = [rng.choice([None, True, False]), rng.choice([None, 0, 1, 2, 3, 9]), rng.choice([None, 1.0, 2.0, 7.0]), rng.choice([None, 3, 4, 5]), rng.choice([None, 1.9, 2.0, 4.0]), rng.choice([None, 2, 3, 50])]
+        rows += [(str(i), blocks, *traits), (f"{i}b", blocks, *traits)]
+    sets = spark.createDataFrame(rows, "qid string, blocks array<struct<kind:string,target:string,text:string,tokens:bigint>>, " + ", ".join(f"{c} {t}" for c, t in budget.TRAITS.items()))
+    kinds_of = lambda r: (r["policy"], r["spent"], tuple((k["kind"], k["tokens"]) for k in r["kept"]))
+    want = Counter(map(kinds_of, budget.allocated_sets(sets, F.lit(9)).collect()))
+    got, seen = Counter(), 0
+    for r in budget.allocated_shapes(sets, F.lit(9)).collect():
+        got[kinds_of(r)] += r["n"]
+        seen += 1
+    assert got == want and seen <= 200 * len(budget.POLICIES)
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    assert plain(budget.spent_by_kind(budget.allocated_sets(sets, F.lit(9)), "policy")) == plain(budget.spent_by_kind(budget.allocated_shapes(sets, F.lit(9)), "policy", times="n"))
