@@ -101,3 +101,33 @@ def test_alike_queries_are_filled_once(spark):
     assert got == want and seen <= 200 * len(budget.POLICIES)
     plain = lambda df: sorted(map(tuple, df.collect()))
     assert plain(budget.spent_by_kind(budget.allocated_sets(sets, F.lit(9)), "policy")) == plain(budget.spent_by_kind(budget.allocated_shapes(sets, F.lit(9)), "policy", times="n"))
+
+
+def test_paths_open_no_banned_edges(spark, monkeypatch):
+    """Chains are those of a plain self-join; edges of the asked relation and its inverses are not opened, however many an end has."""
+    rows = [("hub", "asked", f"t{i}") for i in range(40)] + [(f"t{i}", "inv", "hub") for i in range(40)] + [("hub", "r", f"m{i}") for i in range(5)]
+    rows += [(f"m{i % 5}", "s", f"t{i}") for i in range(40)] + [(f"t{i}", "r", f"m{(i + 1) % 5}") for i in range(40)] + [("m0", "s", "t0")] * 2 + [("hub", "r", "hub"), ("t1", "s", "m1")]
+    asked = [(f"q{i}", "hub", "asked", f"t{i}") for i in range(30)] + [("q0", "hub", "asked", "t0"), ("y", "t3", "s", "hub"), ("z", "hub", "asked", "none")]
+    banned = {("asked", "inv"), ("inv", "asked")}
+    opened, real = [], graph.spread_join
+
+    def counted(*args, **named):
+        out = real(*args, **named)
+        opened.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "spread_join", counted)
+    names = spark.createDataFrame([("hub", "the hub")], "id string, text string")
+    out = graph.safe_paths(spark.createDataFrame(rows, EDGE), spark.createDataFrame(asked, "qid string, " + EDGE), spark.createDataFrame(sorted(banned), "relation string, inverse string"), names, 2)
+    key = lambda *parts: hashlib.sha256("|".join(parts).encode()).hexdigest()
+    near = {(h, r, t) for h, r, t in rows if h != t} | {(t, r, h) for h, r, t in rows if h != t}
+    show, want = {"hub": "the hub"}, []
+    for qid, h, r, t in asked:
+        ok = lambda via: via != r and (r, via) not in banned  # noqa: B023, E731
+        chains = {}
+        for e, via, m in near:
+            lasts = [x for f, x, y in near if f == t and y == m and ok(x)] if e == h and ok(via) and m != t else []
+            chains |= {(key("path", qid, via, m), via, m): min(lasts, key=lambda x: key("path", x))} if lasts else {}
+        want.append((qid, "; ".join(f"{show.get(h, h)} {via} {m} {last} {show.get(t, t)}" for (_, via, m), last in sorted(chains.items())[:2])))
+    assert sorted(tuple(x) for x in out.collect()) == sorted(want) and sum(p != "" for _, p in want) > 20
+    assert sum(opened) < 200  # some 30 times 3 or less, not 30 times 80
