@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from graphlens.operators import budget, graph
+from graphlens.operators import budget, graph, sampling
 
 SF = "/root/testdata/sf0.001"
 EDGE = "head string, relation string, tail string"
@@ -131,3 +131,14 @@ def test_paths_open_no_banned_edges(spark, monkeypatch):
         want.append((qid, "; ".join(f"{show.get(h, h)} {via} {m} {last} {show.get(t, t)}" for (_, via, m), last in sorted(chains.items())[:2])))
     assert sorted(tuple(x) for x in out.collect()) == sorted(want) and sum(p != "" for _, p in want) > 20
     assert sum(opened) < 200  # some 30 times 3 or less, not 30 times 80
+
+
+def test_drawn_pools_are_not_copied(spark, monkeypatch):
+    """Small groups of a pool are broadcast, large ones meet their draws by a plain shuffle, and no entry is copied."""
+    monkeypatch.setattr(sampling, "BROADCAST_POOL", 10)
+    pool = spark.createDataFrame([(r, "head", i, f"{r}{i}") for r, n in (("a", 3), ("b", 7), ("c", 500)) for i in range(n)], "relation string, side string, idx long, own string")
+    rows = spark.createDataFrame([("h", r, f"t{i}", "head", i % n) for r, n in (("a", 3), ("b", 7), ("c", 500)) for i in range(900)], EDGE + ", side string, idx long")
+    out = sampling.fetch_drawn(rows, pool, ["relation", "side"])
+    assert sorted((r["relation"], r["idx"], r["own"]) for r in out.collect()) == sorted((r, i % n, f"{r}{i % n}") for r, n in (("a", 3), ("b", 7), ("c", 500)) for i in range(900))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" not in plan and "explode" not in plan and "hashpartitioning(relation" in plan
