@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from graphlens.operators import budget, graph, sampling
+from graphlens.operators import budget, conditions, graph, sampling
 
 SF = "/root/testdata/sf0.001"
 EDGE = "head string, relation string, tail string"
@@ -142,3 +142,18 @@ def test_drawn_pools_are_not_copied(spark, monkeypatch):
     assert sorted((r["relation"], r["idx"], r["own"]) for r in out.collect()) == sorted((r, i % n, f"{r}{i % n}") for r, n in (("a", 3), ("b", 7), ("c", 500)) for i in range(900))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "_salt" not in plan and "explode" not in plan and "hashpartitioning(relation" in plan
+
+
+def test_aligned_keeps_sums_only(spark, monkeypatch):
+    """Nothing of the rows' number is written by the comparison: before, a row for each id was."""
+    kept, real = [], conditions.checkpointed
+
+    def counted(df):
+        out = real(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(conditions, "checkpointed", counted)
+    rows = [(c, i, f"p{i % 3}{c if i % 5 == 0 else ''}") for c in "ABC" for i in range(300) if c != "C" or i < 250] + [("A", 7, "p1")]
+    got = {(r["a"], r["b"]): tuple(r)[2:] for r in conditions.aligned(spark.createDataFrame(rows, "condition string, id long, prompt string")).collect()}
+    assert got == {("A", "B"): (301, 300, False, 300, 240), ("A", "C"): (301, 250, False, 250, 200), ("B", "C"): (300, 250, False, 250, 200)} and sum(kept) < 20
