@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from graphlens.operators import budget, conditions, graph, sampling
+from graphlens.operators import budget, conditions, graph, ranking, sampling
 
 SF = "/root/testdata/sf0.001"
 EDGE = "head string, relation string, tail string"
@@ -157,3 +157,12 @@ def test_aligned_keeps_sums_only(spark, monkeypatch):
     rows = [(c, i, f"p{i % 3}{c if i % 5 == 0 else ''}") for c in "ABC" for i in range(300) if c != "C" or i < 250] + [("A", 7, "p1")]
     got = {(r["a"], r["b"]): tuple(r)[2:] for r in conditions.aligned(spark.createDataFrame(rows, "condition string, id long, prompt string")).collect()}
     assert got == {("A", "B"): (301, 300, False, 300, 240), ("A", "C"): (301, 250, False, 250, 200), ("B", "C"): (300, 250, False, 250, 200)} and sum(kept) < 20
+
+
+def test_margins_in_the_row_of_a_query(spark):
+    rng = random.Random(2)
+    sets = spark.createDataFrame([(str(i), [(rng.randint(0, 4) / 4, f"c{j}") for j in range(n)]) for i, n in enumerate([1, 2, 4, 5, 9, 12])], "qid string, c array<struct<score:double,candidate:string>>")
+    rows = sets.select("qid", F.explode("c").alias("x")).select("qid", "x.*")
+    out = ranking.top_and_margin_of_sets(sets)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, ranking.top_and_margin(rows).collect()))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
